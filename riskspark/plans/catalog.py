@@ -269,6 +269,73 @@ def q_best_model(spark, sf):
     return rnd(M.best_model(_comparison(spark, sf)))
 
 
+# ------------------------------------------------------------------ features
+
+DOC_CATS = ["lang", "source"]
+DOC_NUMS = ["n_chars", "n_words", "n_lines"]
+
+
+def encoded_docs(spark, sf):
+    from riskspark.operators.features import fit_label_encoder
+    v = documents_view(spark, sf)
+    return fit_label_encoder(v, DOC_CATS).transform(v)
+
+
+def q_label_encode(spark, sf):
+    return encoded_docs(spark, sf).select("id", F.col("lang").cast("int").alias("lang"),
+                                          F.col("source").cast("int").alias("source"))
+
+
+def q_standard_scale(spark, sf):
+    from riskspark.operators.features import PopulationScaler
+    v = S.stratified_split(documents_view(spark, sf), "label", "id", 0.2, SEED)
+    model = PopulationScaler(inputCols=DOC_NUMS).fit(v.where(F.col("split") == "train"))
+    return rnd(model.transform(v).select("id", "split", *DOC_NUMS))
+
+
+def q_align_features(spark, sf):
+    from riskspark.operators.features import align_features
+    return rnd(align_features(orders_view(spark, sf), ["amount", "missing_feature", "tenure"], keep=["id"]))
+
+
+def q_feature_frame(spark, sf):
+    from riskspark.operators.features import feature_frame
+    return rnd(feature_frame(orders_view(spark, sf), ["id", "label", "not_a_column"]))
+
+
+# ------------------------------------------------------------------ kNN and SMOTE
+
+def q_knn_join(spark, sf):
+    from riskspark.operators.knn import knn_join
+    v = embeddings_view(spark, sf)
+    return rnd(knn_join(v, v, 5))
+
+
+def q_self_knn(spark, sf):
+    from riskspark.operators.knn import self_knn
+    return rnd(self_knn(embeddings_view(spark, sf), 5))
+
+
+def q_knn_classify(spark, sf):
+    from riskspark.operators.knn import knn_classify
+    v = embeddings_view(spark, sf)
+    return rnd(knn_classify(v, v, 5, exclude_self=True))
+
+
+SMOTE_FEATURES = ["n_chars", "n_words", "n_lines", "lang", "source"]
+
+
+def q_smote_docs(spark, sf):
+    from riskspark.operators.resample import smote_synthetic
+    return rnd(smote_synthetic(encoded_docs(spark, sf), "label", "id", SMOTE_FEATURES, 5, SEED))
+
+
+def q_smote_class_counts(spark, sf):
+    from riskspark.operators.resample import smote
+    res = smote(encoded_docs(spark, sf), "label", "id", SMOTE_FEATURES, 5, SEED)
+    return res.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
 REGISTRY = {
     "label_summary": q_label_summary,
     "rate_by_segment": q_rate_by_segment,
@@ -311,4 +378,13 @@ REGISTRY = {
     "cv_summary": q_cv_summary,
     "model_comparison": q_model_comparison,
     "best_model": q_best_model,
+    "label_encode": q_label_encode,
+    "standard_scale": q_standard_scale,
+    "align_features": q_align_features,
+    "feature_frame": q_feature_frame,
+    "knn_join": q_knn_join,
+    "self_knn": q_self_knn,
+    "knn_classify": q_knn_classify,
+    "smote_docs": q_smote_docs,
+    "smote_class_counts": q_smote_class_counts,
 }

@@ -219,6 +219,49 @@ cmp AS (SELECT tm.model, tm.accuracy, tm.recall, tm.precision, tm.f1, cv.cv_mean
         JOIN (SELECT DISTINCT model, model_order FROM sc) mo USING (model))"""]
 
 
+KNN_PAIRS = """
+pr AS (SELECT a.id AS q_id, b.id AS nb_id,
+              list_reduce(list_transform(list_zip(a.features, b.features), lambda t: (t[1] - t[2]) * (t[1] - t[2])),
+                          lambda acc, v: acc + v, 0.0) AS d2,
+              row_number() OVER (PARTITION BY a.id ORDER BY
+                list_reduce(list_transform(list_zip(a.features, b.features), lambda t: (t[1] - t[2]) * (t[1] - t[2])),
+                            lambda acc, v: acc + v, 0.0), b.id) AS rank
+       FROM v_emb a JOIN v_emb b ON TRUE {cond})"""
+
+SMOTE_FEATURES = ["n_chars", "n_words", "n_lines", "lang", "source"]
+HASH_U = "(CAST(('0x' || substr(md5({x}), 1, 13))::BIGINT AS DOUBLE) / CAST(4503599627370496 AS DOUBLE))"
+
+
+def _u(tag: str) -> str:
+    return HASH_U.format(x=f"'42:' || CAST(m.label AS VARCHAR) || ':{tag}:' || CAST(i AS VARCHAR)")
+
+
+SMOTE_CTES = ["""
+enc AS (SELECT id, label, CAST(n_chars AS DOUBLE) AS n_chars, CAST(n_words AS DOUBLE) AS n_words,
+               CAST(n_lines AS DOUBLE) AS n_lines, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS lang,
+               CAST(dense_rank() OVER (ORDER BY source) - 1 AS DOUBLE) AS source FROM v_doc)""", """
+cnt AS (SELECT label, count(*) AS n FROM enc GROUP BY label)""", """
+minr AS (SELECT c.label, c.n, (SELECT max(n) FROM cnt) - c.n AS need, least(5, c.n - 1) AS kk
+         FROM cnt c WHERE c.n < (SELECT max(n) FROM cnt))""", """
+ordd AS (SELECT e.*, row_number() OVER (PARTITION BY e.label ORDER BY
+                  md5('42:smote:' || CAST(e.label AS VARCHAR) || ':' || CAST(e.id AS VARCHAR)), e.id) - 1 AS ord
+         FROM enc e JOIN minr USING (label))""", """
+nn AS (SELECT a.id AS parent_id, b.id AS nb_id,
+              row_number() OVER (PARTITION BY a.id ORDER BY
+                 ((((0.0 + (a.n_chars - b.n_chars) * (a.n_chars - b.n_chars)) + (a.n_words - b.n_words) * (a.n_words - b.n_words))
+                   + (a.n_lines - b.n_lines) * (a.n_lines - b.n_lines)) + (a.lang - b.lang) * (a.lang - b.lang))
+                   + (a.source - b.source) * (a.source - b.source), b.id) AS rnk
+       FROM ordd a JOIN ordd b ON a.label = b.label AND a.id <> b.id)""", f"""
+syn AS (SELECT m.label, i AS synth_index, CAST(floor({_u('p')} * m.n) AS BIGINT) AS ord,
+               CAST(floor({_u('n')} * greatest(m.kk, 1)) + 1 AS BIGINT) AS nbr, {_u('l')} AS lam
+        FROM (SELECT *, unnest(range(need)) AS i FROM minr) m)""", f"""
+gen AS (SELECT s.label, s.synth_index, p.id AS parent_id, nn.nb_id, s.lam,
+               {", ".join(f"p.{c} AS p_{c}, q.{c} AS n_{c}" for c in SMOTE_FEATURES)}
+        FROM syn s JOIN ordd p ON p.label = s.label AND p.ord = s.ord
+        JOIN nn ON nn.parent_id = p.id AND nn.rnk = s.nbr
+        JOIN enc q ON q.id = nn.nb_id)"""]
+
+
 def build() -> dict[str, str]:
     q: dict[str, str] = {}
     q["label_summary"] = w(["v_ord"], f"""
@@ -351,4 +394,45 @@ SELECT model, accuracy, recall, precision, f1, {r6('cv_mean')} AS cv_mean, {r6('
     q["best_model"] = w(["v_ord"], *COMPARISON, """
 SELECT model, recall, CAST(model_order AS INTEGER) AS model_order FROM cmp
 ORDER BY recall DESC, model_order ASC LIMIT 1""")
+    q["label_encode"] = w(["v_doc"], """
+SELECT id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang,
+       CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS source FROM v_doc""")
+    q["standard_scale"] = w(["v_doc"], """
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(id AS VARCHAR)), id) AS rk,
+             count(*) OVER (PARTITION BY label) AS n_c FROM v_doc)""", """
+sp AS (SELECT *, CASE WHEN rk <= greatest(1, round_even(CAST(n_c AS DOUBLE) * CAST(0.2 AS DOUBLE), 0))
+                      THEN 'test' ELSE 'train' END AS split FROM r)""", """
+st AS (SELECT avg(CAST(n_chars AS DOUBLE)) AS m1, stddev_pop(CAST(n_chars AS DOUBLE)) AS s1,
+              avg(CAST(n_words AS DOUBLE)) AS m2, stddev_pop(CAST(n_words AS DOUBLE)) AS s2,
+              avg(CAST(n_lines AS DOUBLE)) AS m3, stddev_pop(CAST(n_lines AS DOUBLE)) AS s3
+       FROM sp WHERE split = 'train')""", f"""
+SELECT id, split,
+       {r6("(n_chars - m1) / CASE WHEN s1 = 0 THEN 1.0 ELSE s1 END")} AS n_chars,
+       {r6("(n_words - m2) / CASE WHEN s2 = 0 THEN 1.0 ELSE s2 END")} AS n_words,
+       {r6("(n_lines - m3) / CASE WHEN s3 = 0 THEN 1.0 ELSE s3 END")} AS n_lines
+FROM sp JOIN st ON TRUE""")
+    q["align_features"] = w(["v_ord"], f"SELECT id, {r6('amount')} AS amount, 0 AS missing_feature, tenure FROM v_ord")
+    q["feature_frame"] = w(["v_ord"], f"""
+SELECT label_text, urgent, segment, nation, region, priority_score, {r6('amount')} AS amount,
+       {r6('balance')} AS balance, tenure, {r6('fixed_score')} AS fixed_score FROM v_ord""")
+    q["knn_join"] = w(["v_emb"], KNN_PAIRS.format(cond=""), f"""
+SELECT q_id, CAST(rank AS INTEGER) AS rank, nb_id, {r6('sqrt(d2)')} AS dist FROM pr WHERE rank <= 5""")
+    q["self_knn"] = w(["v_emb"], KNN_PAIRS.format(cond="WHERE a.id <> b.id"), f"""
+SELECT q_id, CAST(rank AS INTEGER) AS rank, nb_id, {r6('sqrt(d2)')} AS dist FROM pr WHERE rank <= 5""")
+    q["knn_classify"] = w(["v_emb"], KNN_PAIRS.format(cond="WHERE a.id <> b.id"), """
+cw AS (SELECT label, CAST(sum(count(*)) OVER () AS DOUBLE) / CAST(count(*) OVER () * count(*) AS DOUBLE) AS cw
+       FROM v_emb GROUP BY label)""", """
+nbw AS (SELECT pr.q_id, e.label, (1.0 / (sqrt(d2) + 1e-8)) * cw.cw AS wt
+        FROM pr JOIN v_emb e ON e.id = pr.nb_id JOIN cw ON cw.label = e.label WHERE rank <= 5)""", f"""
+SELECT q_id AS id, {r6('sum(CASE WHEN label = 1 THEN wt ELSE 0.0 END) / (sum(wt) + 1e-8)')} AS p,
+       count(*) AS n_neighbours
+FROM nbw GROUP BY q_id""")
+    q["smote_docs"] = w(["v_doc"], *SMOTE_CTES, f"""
+SELECT label, synth_index, parent_id, nb_id, {r6('lam')} AS lam,
+       {", ".join(r6(f"p_{c} + lam * (n_{c} - p_{c})") + f" AS {c}" for c in SMOTE_FEATURES)},
+       -(synth_index + 1) AS id
+FROM gen""")
+    q["smote_class_counts"] = w(["v_doc"], *SMOTE_CTES, """
+SELECT label, is_synthetic, count(*) AS n FROM (
+  SELECT label, FALSE AS is_synthetic FROM enc UNION ALL SELECT label, TRUE FROM gen) GROUP BY ALL""")
     return q
