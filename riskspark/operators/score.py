@@ -49,3 +49,67 @@ def at_risk_list(scored: DataFrame, p: str, threshold: float, id_col: str, cols:
     return (at_risk_filter(scored, p, threshold)
             .orderBy(F.col(pct_col).desc(), F.col(id_col).asc())
             .select(*chosen))
+
+
+def score_table(df: DataFrame, bundle, id_col: str, threshold: float = DEFAULT_AT_RISK_THRESHOLD,
+                keep: Sequence[str] | None = None) -> DataFrame:
+    """Score every row with a fitted bundle -> p, rounded %, level (and the original columns).
+
+    Encoding, column alignment (B3), scaling and the classifier run as one
+    narrow pass of the bundle's PipelineModel (or the kNN join for kNN).
+    """
+    scored = bundle.score(df, id_col)
+    return add_score_bands(scored, "p", threshold=None)
+
+
+def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
+                   threshold: float = DEFAULT_AT_RISK_THRESHOLD) -> DataFrame:
+    """Hypothetical profiles: rule check (B6), score, label (B9), decision (B11), action tier.
+
+    Rows breaking a rule are returned with their violation and no score.
+    """
+    from riskspark.operators.quality import consistency_violations
+    if rules:
+        bad = consistency_violations(df, rules, id_col)
+        ok = df.join(bad, id_col, "left_anti")
+    else:
+        bad, ok = None, df
+    scored = bundle.score(ok, id_col)
+    pred = predict_at("p")
+    out = scored.select(id_col, "p", pct_1dp("p").alias("p_pct"), risk_label("p").alias("risk_label"),
+                        pred.alias("pred"), action_tier("p", pred).alias("action"),
+                        F.lit(None).cast("string").alias("violation"))
+    if bad is not None:
+        out = out.unionByName(bad.select(id_col, F.lit(None).cast("double").alias("p"),
+                                         F.lit(None).cast("double").alias("p_pct"),
+                                         F.lit(None).cast("string").alias("risk_label"),
+                                         F.lit(None).cast("int").alias("pred"),
+                                         F.lit(None).cast("string").alias("action"), "violation"))
+    return out
+
+
+def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
+                   threshold: float = DEFAULT_AT_RISK_THRESHOLD, show_cols: Sequence[str] | None = None,
+                   out_path: str | None = None) -> dict:
+    """Score -> filter -> sort -> columns -> summary, histogram, level counts (-> CSV).
+
+    Returns a dict of DataFrames; ``out_path`` also writes the list (A8).
+    """
+    from riskspark.functions.columns import RISK_LEVEL_ORDER
+    from riskspark.operators.metrics import at_risk_summary
+    from riskspark.operators.profile import class_histogram, level_counts
+    scored = score_table(df, bundle, id_col)
+    cols = list(show_cols) if show_cols else [id_col] + [c for c in df.columns if c != id_col] + ["p_pct",
+                                                                                                  "risk_level"]
+    lst = at_risk_list(scored, "p", threshold, id_col, cols)
+    report = {
+        "list": lst,
+        "summary": at_risk_summary(scored, "p", threshold, label=label if label in df.columns else None,
+                                   pct_col="p_pct"),
+        "histogram": class_histogram(scored, "p", 40),
+        "levels": level_counts(scored, "risk_level", RISK_LEVEL_ORDER),
+    }
+    if out_path:
+        from riskspark.sources.sinks import write_at_risk
+        write_at_risk(lst, out_path)
+    return report

@@ -336,6 +336,186 @@ def q_smote_class_counts(spark, sf):
     return res.groupBy("label", "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# ------------------------------------------------------------------ explanations with data-derived weights
+
+def nation_rates(spark, sf):
+    return P.rate_by_group(orders_view(spark, sf), "nation", "label")
+
+
+def q_importance_tier(spark, sf):
+    from riskspark.operators.explain import importance_tier
+    return rnd(importance_tier(nation_rates(spark, sf), "rate_pct", "nation", 15))
+
+
+def q_driver_weights(spark, sf):
+    from riskspark.operators.explain import top_abs
+    v = orders_view(spark, sf)
+    overall = v.agg((F.avg(F.col("label").cast("double")) * 100.0)).first()[0]  # one scalar
+    rates = P.rate_by_group(v, "nation", "label")
+    w = rates.select("nation", (F.col("rate_pct") - F.lit(overall)).alias("weight"))
+    return rnd(top_abs(w, "weight", 10, "nation"))
+
+
+ORDER_NUMS = ["amount", "balance", "tenure", "priority_score"]
+
+
+def q_row_contributions(spark, sf):
+    from riskspark.operators.explain import correlation_weights, row_contributions
+    from riskspark.operators.features import PopulationScaler
+    v = orders_view(spark, sf).select("id", "label", *ORDER_NUMS)
+    scaled = PopulationScaler(inputCols=ORDER_NUMS).fit(v).transform(v)
+    weights = correlation_weights(v, ORDER_NUMS, "label")
+    return rnd(row_contributions(scaled, weights, "id", top_n=3))
+
+
+# ------------------------------------------------------------------ sources
+
+def q_read_table(spark, sf):
+    o = T.read_table(spark, f"{sf.rstrip('/')}/orders.parquet")
+    return o.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                          F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+def q_schema_table(spark, sf):
+    return T.schema_table(orders_view(spark, sf))
+
+
+def q_column_roles(spark, sf):
+    from riskspark.operators.features import split_columns_by_type
+    v = orders_view(spark, sf)
+    cats, nums = split_columns_by_type(v, "id", "label")
+    rows = [(c, "categorical") for c in cats] + [(c, "numeric") for c in nums]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
+# ------------------------------------------------------------------ models
+
+DOC_MODEL_COLS = ["id", "label", "lang", "source", "quality", "n_chars", "n_words", "n_lines"]
+
+
+def _doc_prepared(spark, sf):
+    from riskspark.plans.training import prepare
+    v = documents_view(spark, sf).select(*DOC_MODEL_COLS)
+    return prepare(v, "label", "id", test_size=0.2, seed=SEED, use_smote=True)
+
+
+def q_train_and_compare(spark, sf):
+    from riskspark.plans.models import default_specs
+    from riskspark.plans.training import train_and_compare
+    prep = _doc_prepared(spark, sf)
+    res = train_and_compare(prep, default_specs(len(prep.feature_cols), rf_trees=40), cv_k=3)
+    return rnd(res.comparison.withColumn("is_best", F.col("model") == F.lit(res.best_name)))
+
+
+def q_cross_validate(spark, sf):
+    from riskspark.plans.models import default_specs
+    from riskspark.plans.training import cross_validate
+    prep = _doc_prepared(spark, sf)
+    spec = default_specs(len(prep.feature_cols), models=["Logistic Regression"])[0]
+    return rnd(cross_validate(spec, prep.train, "label", "id", 3))
+
+
+def q_feature_importance(spark, sf):
+    from riskspark.operators.explain import feature_importance, importance_tier
+    from riskspark.plans.models import default_specs
+    prep = _doc_prepared(spark, sf)
+    spec = default_specs(len(prep.feature_cols), rf_trees=40, models=["Random Forest"])[0]
+    rf = spec.fit(prep.train, "label").model
+    return rnd(importance_tier(feature_importance(spark, rf, prep.feature_cols)))
+
+
+def q_coefficient_table(spark, sf):
+    from riskspark.operators.explain import coefficient_table
+    from riskspark.plans.models import default_specs
+    prep = _doc_prepared(spark, sf)
+    spec = default_specs(len(prep.feature_cols), models=["Logistic Regression"])[0]
+    lr = spec.fit(prep.train, "label").model
+    return rnd(coefficient_table(spark, lr, prep.feature_cols))
+
+
+ORDER_MODEL_COLS = ["id", "label", "segment", "nation", "region", "urgent", "priority_score", "amount", "balance",
+                    "tenure"]
+AT_RISK_SHOW = ["id", "segment", "nation", "urgent", "priority_score", "tenure", "amount", "p_pct", "risk_level",
+                "label"]
+
+
+def _order_bundle(spark, sf, model="Logistic Regression"):
+    from riskspark.plans.models import default_specs
+    from riskspark.plans.training import prepare
+    from riskspark.sources.bundle import Bundle
+    data = orders_view(spark, sf).select(*ORDER_MODEL_COLS)
+    prep = prepare(data, "label", "id", test_size=0.2, seed=SEED, use_smote=True)
+    spec = default_specs(len(prep.feature_cols), models=[model])[0]
+    fitted = spec.fit(prep.train, "label")
+    return data, Bundle.from_prepared(prep, fitted)
+
+
+def flagship(spark, sf):
+    """Score every order with the trained bundle and return the at-risk list."""
+    from riskspark.operators.score import at_risk_report
+    data, bundle = _order_bundle(spark, sf)
+    return at_risk_report(data, bundle, "id", label="label", threshold=0.40, show_cols=AT_RISK_SHOW)["list"]
+
+
+def q_at_risk_report(spark, sf):
+    return rnd(flagship(spark, sf))
+
+
+def q_score_table(spark, sf):
+    from riskspark.operators.score import score_table
+    data, bundle = _order_bundle(spark, sf, "Random Forest")
+    return rnd(score_table(data, bundle, "id").select("id", "label", "p", "p_pct", "risk_level"))
+
+
+def q_score_profiles(spark, sf):
+    from riskspark.operators.score import score_profiles
+    data, bundle = _order_bundle(spark, sf, "SVM (Linear)")
+    profiles = data.drop("label").drop("region")  # a missing column is filled with 0 (B3)
+    return rnd(score_profiles(profiles, bundle, "id", rules=order_rules()[::2]))
+
+
+def q_bundle_roundtrip(spark, sf):
+    import uuid
+
+    from riskspark.session import ensure_checkpoint_dir
+    from riskspark.sources.bundle import Bundle
+    data, bundle = _order_bundle(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    bundle.save(path)
+    loaded = Bundle.load(spark, path)
+    a = bundle.score(data, "id").select("id", F.col("p").alias("p_saved"))
+    b = loaded.score(data, "id").select("id", F.col("p").alias("p_loaded"))
+    return rnd(a.join(b, "id").withColumn("equal", F.abs(F.col("p_saved") - F.col("p_loaded")) < 1e-12))
+
+
+def q_history(spark, sf):
+    import uuid
+
+    from riskspark.plans.models import default_specs
+    from riskspark.plans.training import train_and_compare
+    from riskspark.session import ensure_checkpoint_dir
+    from riskspark.sources.bundle import append_history, read_history
+    prep = _doc_prepared(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    for models in (["Logistic Regression"], ["Logistic Regression", "SVM (Linear)"]):
+        res = train_and_compare(prep, default_specs(len(prep.feature_cols), models=models), cv_k=2)
+        append_history(spark, path, res.best_name, prep.train.count(), res.comparison)
+    return rnd(read_history(spark, path))
+
+
+def q_write_at_risk(spark, sf):
+    import uuid
+
+    from riskspark.session import ensure_checkpoint_dir
+    from riskspark.sources.sinks import read_at_risk, write_at_risk
+    s = scored_orders(spark, sf).withColumn("p_pct", C.pct_1dp("p"))
+    from riskspark.operators.score import at_risk_list
+    lst = at_risk_list(s, "p", 0.40, "id", ["id", "segment", "p_pct", "label"])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/at-risk-{uuid.uuid4().hex}"
+    write_at_risk(lst, path)
+    return rnd(read_at_risk(spark, path))
+
+
 REGISTRY = {
     "label_summary": q_label_summary,
     "rate_by_segment": q_rate_by_segment,
@@ -387,4 +567,20 @@ REGISTRY = {
     "knn_classify": q_knn_classify,
     "smote_docs": q_smote_docs,
     "smote_class_counts": q_smote_class_counts,
+    "importance_tier": q_importance_tier,
+    "driver_weights": q_driver_weights,
+    "row_contributions": q_row_contributions,
+    "read_table": q_read_table,
+    "schema_table": q_schema_table,
+    "column_roles": q_column_roles,
+    "write_at_risk": q_write_at_risk,
+    "train_and_compare": q_train_and_compare,
+    "cross_validate": q_cross_validate,
+    "feature_importance": q_feature_importance,
+    "coefficient_table": q_coefficient_table,
+    "score_table": q_score_table,
+    "score_profiles": q_score_profiles,
+    "at_risk_report": q_at_risk_report,
+    "bundle_roundtrip": q_bundle_roundtrip,
+    "history": q_history,
 }

@@ -435,4 +435,31 @@ FROM gen""")
     q["smote_class_counts"] = w(["v_doc"], *SMOTE_CTES, """
 SELECT label, is_synthetic, count(*) AS n FROM (
   SELECT label, FALSE AS is_synthetic FROM enc UNION ALL SELECT label, TRUE FROM gen) GROUP BY ALL""")
+    q["importance_tier"] = w(["v_ord"], f"""
+r AS (SELECT nation, {RATE} AS rate_pct FROM v_ord WHERE nation IS NOT NULL GROUP BY nation)""", """
+k AS (SELECT * FROM r ORDER BY rate_pct DESC, nation ASC LIMIT 15)""", """
+qq AS (SELECT quantile_cont(rate_pct, 0.75) AS q75, quantile_cont(rate_pct, 0.5) AS q50 FROM k)""", f"""
+SELECT nation, {r6('rate_pct')} AS rate_pct,
+       CASE WHEN rate_pct > q75 THEN 'high' WHEN rate_pct > q50 THEN 'medium' ELSE 'low' END AS tier
+FROM k JOIN qq ON TRUE""")
+    q["driver_weights"] = w(["v_ord"], f"""
+r AS (SELECT nation, {RATE} AS rate_pct FROM v_ord WHERE nation IS NOT NULL GROUP BY nation)""", f"""
+wt AS (SELECT nation, rate_pct - (SELECT {RATE} FROM v_ord) AS weight FROM r)""", f"""
+SELECT nation, {r6('weight')} AS weight, {r6('abs(weight)')} AS abs_weight,
+       CASE WHEN weight > 0 THEN 'leave' ELSE 'stay' END AS direction
+FROM wt ORDER BY abs(weight) DESC, nation ASC LIMIT 10""")
+    nums = ["amount", "balance", "tenure", "priority_score"]
+    stats = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}, "
+                      f"corr(CAST({c} AS DOUBLE), CAST(label AS DOUBLE)) AS w_{c}" for c in nums)
+    unp = "\n  UNION ALL ".join(
+        f"SELECT id, '{c}' AS feature, ((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END)"
+        f" * coalesce(w_{c}, 0.0) AS contribution FROM v_ord JOIN st ON TRUE" for c in nums)
+    q["row_contributions"] = w(["v_ord"], f"st AS (SELECT {stats} FROM v_ord)", f"c AS ({unp})", """
+rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, feature ASC) AS position
+       FROM c)""", f"""
+SELECT id, CAST(position AS INTEGER) AS position, feature, {r6('contribution')} AS contribution,
+       CASE WHEN contribution > 0 THEN 'leave' ELSE 'stay' END AS direction
+FROM rk WHERE position <= 3""")
+    q["read_table"] = """
+SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
     return q
