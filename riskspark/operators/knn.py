@@ -13,8 +13,9 @@ scheme of Lu, Shen, Chen, Ooi, VLDB 2012):
 4. Only (query, candidate cell) pairs are joined with the base rows of the
    cell. Cells larger than ``chunk_rows`` are split into chunks (salting), so
    a cell holding a third of the data spreads over many tasks.
-5. Top-k is taken per (query, cell, chunk) first, then per query, with ties
-   broken by base id. Distances are computed JVM-side.
+5. Each (cell, chunk, query block) group computes its distance block with
+   NumPy (cogrouped Arrow batches) and keeps k rows per query; the final
+   top-k per query runs over at most k rows per block, ties broken by id.
 
 The result is exact: pruning only drops cells that provably cannot contain
 one of the k nearest rows (a small slack guards floating error).
@@ -29,9 +30,9 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
-from riskspark.functions.columns import hash_hex, sq_dist
+from riskspark.functions.columns import hash_hex
 
 MAX_PIVOTS = 1024
 CHUNK_ROWS = 4096
@@ -116,13 +117,57 @@ def _candidate_cells(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame
     return queries.select(id_col, feat_col).mapInPandas(expand, schema)
 
 
+def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cells: int = 8_000_000):
+    """Per (cell, chunk, query block): exact distances with NumPy, k best per query (ties by id).
+
+    The squared distance is summed dimension by dimension (same order as a
+    SQL ``reduce`` over the zipped arrays), so values are bit-identical.
+    """
+
+    def run(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
+        cols = ["_qid", "nb_id", "_d2", *payload]
+        if len(qdf) == 0 or len(bdf) == 0:
+            return pd.DataFrame({c: [] for c in cols})
+        qx, bx = _as_matrix(qdf["_qfeat"]), _as_matrix(bdf["_bfeat"])
+        qid, bid = qdf["_qid"].to_numpy(np.int64), bdf["nb_id"].to_numpy(np.int64)
+        kk = min(k, len(bdf))
+        step = max(1, slice_cells // max(1, len(bdf)))
+        out_q, out_b, out_d = [], [], []
+        for s0 in range(0, len(qx), step):
+            xs = qx[s0:s0 + step]
+            d2 = np.zeros((len(xs), len(bx)))
+            for j in range(bx.shape[1]):
+                diff = xs[:, j, None] - bx[None, :, j]
+                d2 = d2 + diff * diff
+            if exclude_self:
+                d2[qid[s0:s0 + step, None] == bid[None, :]] = np.inf
+            order = np.lexsort((np.broadcast_to(bid, d2.shape), d2), axis=-1)[:, :kk]
+            rows = np.arange(len(xs))[:, None]
+            dd = d2[rows, order]
+            keep = np.isfinite(dd)
+            out_q.append(np.broadcast_to(qid[s0:s0 + step, None], order.shape)[keep])
+            out_b.append(order[keep])
+            out_d.append(dd[keep])
+        bi = np.concatenate(out_b)
+        res = {"_qid": np.concatenate(out_q), "nb_id": bid[bi], "_d2": np.concatenate(out_d)}
+        for c in payload:
+            res[c] = bdf[c].to_numpy()[bi]
+        return pd.DataFrame(res)
+
+    return run
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", feat_col: str = "features",
              exclude_self: bool = False, payload: tuple[str, ...] = (), seed: int = 42,
-             max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+             max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS
+             ) -> DataFrame:
     """K nearest base rows per query (Euclidean), ties by base id.
 
     Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour).
     ``exclude_self`` drops the base row with the query's id (C2 self-join).
+    Work is cut into (cell, base chunk, query block) groups of at most
+    ``chunk_rows`` x ``query_block_rows`` rows; each group computes its block
+    of distances with NumPy and emits at most k rows per query.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -130,9 +175,10 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     b = base.select(F.col(id_col), F.col(feat_col).cast("array<double>").alias(feat_col), *payload)
     q = queries.select(F.col(id_col), F.col(feat_col).cast("array<double>").alias(feat_col))
     n_base = b.count()
+    pay_fields = [f for f in b.schema.fields if f.name in payload]
     if n_base == 0:
         schema = "q_id long, rank int, nb_id long, dist double" + "".join(
-            f", {n} {t}" for n, t in b.select(*payload).dtypes)
+            f", {f.name} {f.dataType.simpleString()}" for f in pay_fields)
         return spark.createDataFrame([], schema)
     n_piv = _pivot_count(n_base, max_pivots)
     piv_rows = (b.withColumn("_h", hash_hex(seed, "pivot", F.col(id_col)))
@@ -144,19 +190,27 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     cell_stats = cell_stats.withColumn("n_chunks", F.ceil(F.col("n") / F.lit(chunk_rows)).cast("long"))
     cells = cell_stats.toPandas()  # one row per pivot: bounded by max_pivots
 
-    chunk_tab = spark.createDataFrame(cells[["_cell", "n_chunks"]].astype({"_cell": "int32", "n_chunks": "int64"}))
-    base_cells = (assigned.join(F.broadcast(chunk_tab), "_cell")
-                          .withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.col("n_chunks")).cast("int"))
-                          .select("_cell", "_chunk", F.col(id_col).alias("nb_id"), F.col(feat_col).alias("_bfeat"),
-                                  *payload))
     k_cover = k + (1 if exclude_self else 0)
-    cand = _candidate_cells(q, pivots, cells, k_cover, id_col, feat_col)
-    pairs = cand.join(base_cells, ["_cell", "_chunk"])
-    if exclude_self:
-        pairs = pairs.where(F.col("_qid") != F.col("nb_id"))
-    pairs = pairs.withColumn("_d2", sq_dist("_qfeat", "_bfeat"))
-    w1 = Window.partitionBy("_qid", "_cell", "_chunk").orderBy("_d2", "nb_id")
-    local = pairs.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
+    cand = _candidate_cells(q, pivots, cells, k_cover, id_col, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
+    # queries per cell (one row per cell) -> query blocks, so no group holds an unbounded query side
+    qblocks = (cand.where(F.col("_chunk") == 0).groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
+                   .select("_cell", F.ceil(F.col("_nq") / F.lit(query_block_rows)).cast("int").alias("_nqb")))
+    cells_tab = (F.broadcast(spark.createDataFrame(cells[["_cell", "n_chunks"]].astype(
+        {"_cell": "int32", "n_chunks": "int64"}))).join(F.broadcast(qblocks), "_cell", "left")
+        .select("_cell", "n_chunks", F.coalesce("_nqb", F.lit(1)).alias("_nqb")))
+    base_blocks = (assigned.join(F.broadcast(cells_tab), "_cell")
+                           .withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.col("n_chunks")).cast("int"))
+                           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
+                           .select("_cell", "_chunk", "_qb", F.col(id_col).alias("nb_id"),
+                                   F.col(feat_col).alias("_bfeat"), *payload))
+    q_blocks = (cand.join(F.broadcast(cells_tab.select("_cell", "_nqb")), "_cell")
+                    .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).cast("int"))
+                    .select("_cell", "_chunk", "_qb", "_qid", "_qfeat"))
+    out_schema = StructType([StructField("_qid", LongType()), StructField("nb_id", LongType()),
+                             StructField("_d2", DoubleType()), *pay_fields])
+    keys = ["_cell", "_chunk", "_qb"]
+    local = (q_blocks.groupBy(*keys).cogroup(base_blocks.groupBy(*keys))
+                     .applyInPandas(_block_topk(k, exclude_self, tuple(payload)), out_schema))
     w2 = Window.partitionBy("_qid").orderBy("_d2", "nb_id")
     top = local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias("q_id"), F.col("rank").cast("int").alias("rank"), "nb_id",
