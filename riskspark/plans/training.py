@@ -10,6 +10,7 @@ recompute the kNN join nor lose work when an executor goes away.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -78,19 +79,24 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
 
 
 def cross_validate(spec: ModelSpec, train: DataFrame, label: str = "label", id_col: str = "id", k: int = 3,
-                   seed: int = 42, scoring: str = "recall") -> DataFrame:
-    """K7: fresh fit per stratified fold; per-fold score rows (model, fold, score)."""
-    folded = fold_assign(train, label, id_col, k, seed).persist()
-    preds = None
-    for f in range(k):
+                   seed: int = 42, scoring: str = "recall", parallelism: int = 3) -> DataFrame:
+    """K7: fresh fit per stratified fold; per-fold score rows (model, fold, score).
+
+    Folds are fitted concurrently from a small driver thread pool (as MLlib's
+    ``CrossValidator(parallelism=...)``); each fit is itself distributed.
+    """
+    folded = fold_assign(train.drop("weight"), label, id_col, k, seed).persist()
+
+    def one(f: int):
         tr = folded.where(F.col("fold") != f)
         te = folded.where(F.col("fold") == f)
-        fitted = spec.fit(M.with_class_weights(tr.drop("weight"), label), label)
+        fitted = spec.fit(M.with_class_weights(tr, label), label)
         p = fitted.predict(te, label=label).select(F.lit(f).alias("fold"), label, "pred")
-        preds = p if preds is None else preds.unionByName(p)
-    mets = M.binary_metrics(preds, label, "pred", group_cols=["fold"])
-    out = mets.select(F.lit(spec.name).alias("model"), "fold", F.col(scoring).alias(scoring))
-    rows = out.collect()  # k rows
+        r = M.binary_metrics(p, label, "pred").first()
+        return (spec.name, f, float(r[scoring]))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        rows = list(pool.map(one, range(k)))
     folded.unpersist()
     return train.sparkSession.createDataFrame(rows, f"model string, fold int, {scoring} double")
 
@@ -105,21 +111,33 @@ class TrainResult:
     order: list
 
 
-def train_and_compare(prep: Prepared, specs: list[ModelSpec], cv_k: int = 3, seed: int = 42) -> TrainResult:
-    """CV, fit, predict test, metrics per model; best = max test recall, first on ties."""
+def train_and_compare(prep: Prepared, specs: list[ModelSpec], cv_k: int = 3, seed: int = 42,
+                      parallelism: int = 4) -> TrainResult:
+    """CV, fit, predict test, metrics per model; best = max test recall, first on ties.
+
+    Models are trained concurrently (driver threads submitting independent
+    Spark jobs); the metric tables are computed in one pass over the union of
+    all test predictions.
+    """
     spark = prep.train.sparkSession
     label, id_col = prep.label, prep.id_col
     n = prep.train.count()
-    folds, preds, fitted = None, None, {}
-    for i, spec in enumerate(specs):
+
+    def one(item):
+        i, spec = item
         cv = cross_validate(spec, prep.train, label, id_col, cv_k, seed)
-        folds = cv if folds is None else folds.unionByName(cv)
         fm = spec.fit(prep.train, label, n=n)
-        fitted[spec.name] = fm
         p = fm.predict(prep.test, label=label).select(
             F.lit(spec.name).alias("model"), F.lit(i + 1).alias("model_order"), id_col, label, "p", "pred")
+        return spec.name, cv, fm, cut_lineage(p)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
+        done = list(pool.map(one, enumerate(specs)))
+    folds, preds, fitted = None, None, {}
+    for name, cv, fm, p in done:
+        fitted[name] = fm
+        folds = cv if folds is None else folds.unionByName(cv)
         preds = p if preds is None else preds.unionByName(p)
-    preds = cut_lineage(preds)
     tm = M.binary_metrics(preds, label, "pred", group_cols=["model"])
     au = M.roc_auc(preds, label, "p", group_cols=["model"])
     order = spark.createDataFrame([(s.name, i + 1) for i, s in enumerate(specs)], "model string, model_order int")
