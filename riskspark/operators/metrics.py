@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import pct_1dp, safe_div
 from riskspark.operators.rank import prefix_sums
+from riskspark.session import cut_lineage
 
 ROC_START_THRESHOLD = 1.01  # fixed value: first threshold of the curve
 ROC_BUCKETS = 4096
@@ -130,7 +131,9 @@ def _grouped(df: DataFrame, group_cols: Sequence[str]) -> tuple[DataFrame, list[
 
 
 def _roc_cumulative(df: DataFrame, y: str, score: str, gcols: list[str], n_buckets: int):
-    st = _score_table(df, y, score, gcols)
+    # The per-score table (distinct scores, far smaller than the rows) feeds
+    # several branches; materialise it once so the input is scanned once.
+    st = cut_lineage(_score_table(df, y, score, gcols))
     totals = st.groupBy(*gcols).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
     # descending score order = ascending bucket of (n_buckets - floor(score * n_buckets))
     bucket = F.lit(n_buckets) - F.least(F.greatest(F.floor(F.col("score") * n_buckets), F.lit(0)),

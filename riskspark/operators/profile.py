@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import band, band_index, severity
 from riskspark.operators.rank import prefix_sums
+from riskspark.session import cut_lineage
 
 
 def label_summary(df: DataFrame, label: str, n_meta_cols: int = 2) -> DataFrame:
@@ -149,7 +150,8 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
               .unpivot([], list(cols), "column", "value")
               .where(F.col("value").isNotNull()))
-    vals = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
+    # distinct (value, count) pairs: used for cut points, ranks and lookups -> materialised once
+    vals = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")))
     cuts = [i / n_buckets for i in range(1, n_buckets)]
     bounds = vals.groupBy("column").agg(
         F.percentile_approx("value", cuts, accuracy).alias("_bounds"),

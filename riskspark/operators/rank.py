@@ -31,18 +31,20 @@ def hash_order_key(seed, id_col: str, *salt) -> Column:
 
 
 def rank_within(df: DataFrame, partition_cols: Sequence[str], bucket: Column, order_cols: Sequence,
-                rank_col: str = "rank") -> DataFrame:
+                rank_col: str = "rank", total_col: str | None = None) -> DataFrame:
     """1-based rank inside ``partition_cols`` by ``order_cols``.
 
     ``bucket`` must be non-decreasing in ``order_cols`` (e.g. a prefix of the
     sort key), so offsets of lower buckets plus the in-bucket row number give
-    the global rank.
+    the global rank. ``total_col`` also attaches the partition's row count,
+    taken from the same bucket-count table (no extra pass over the rows).
     """
     pcols = list(partition_cols)
     b = df.withColumn("_bkt", bucket)
     counts = b.groupBy(*pcols, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*pcols).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*pcols, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    extra = [F.sum("_n").over(Window.partitionBy(*pcols)).alias(total_col)] if total_col else []
+    offsets = counts.select(*pcols, "_bkt", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"), *extra)
     joined = b.join(F.broadcast(offsets), on=pcols + ["_bkt"], how="inner")
     w2 = Window.partitionBy(*pcols, "_bkt").orderBy(*order_cols)
     return (joined.withColumn(rank_col, (F.row_number().over(w2) + F.col("_off")).cast("long"))
@@ -50,12 +52,13 @@ def rank_within(df: DataFrame, partition_cols: Sequence[str], bucket: Column, or
 
 
 def hash_rank(df: DataFrame, partition_cols: Sequence[str], id_col: str, seed,
-              rank_col: str = "rank", digits: int = DEFAULT_HEX_DIGITS, salt: Sequence = ()) -> DataFrame:
+              rank_col: str = "rank", digits: int = DEFAULT_HEX_DIGITS, salt: Sequence = (),
+              total_col: str | None = None) -> DataFrame:
     """Rank rows in a deterministic pseudo-random order (md5 of seed:id), ties by id."""
     key = hash_order_key(seed, id_col, *salt)
     keyed = df.withColumn("_hkey", key)
     out = rank_within(keyed, partition_cols, F.substring("_hkey", 1, digits), [F.col("_hkey"), F.col(id_col)],
-                      rank_col)
+                      rank_col, total_col)
     return out.drop("_hkey")
 
 

@@ -12,20 +12,14 @@ from pyspark.sql import functions as F
 from riskspark.operators.rank import DEFAULT_HEX_DIGITS, hash_rank
 
 
-def _class_sizes(df: DataFrame, label: str | None) -> DataFrame:
-    keys = [label] if label else []
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_class_n"))
-
-
 def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42,
-               digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
-    """1-based position of each row in its class after a deterministic shuffle."""
-    return hash_rank(df, [label] if label else [], id_col, seed, "class_rank", digits)
-
+               digits: int = DEFAULT_HEX_DIGITS, with_size: bool = False) -> DataFrame:
+    """1-based position of each row in its class after a deterministic shuffle.
 
-def _with_sizes(ranked: DataFrame, df: DataFrame, label: str) -> DataFrame:
-    sizes = _class_sizes(df, label)  # one row per class: bounded, broadcast
-    return ranked.join(F.broadcast(sizes), on=[label], how="inner")
+    ``with_size`` adds ``_class_n`` (class size) from the rank's own bucket counts.
+    """
+    return hash_rank(df, [label] if label else [], id_col, seed, "class_rank", digits,
+                     total_col="_class_n" if with_size else None)
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = 0.2, seed: int = 42,
@@ -37,8 +31,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
     """
     if not 0.0 < test_size < 1.0:
         raise ValueError("test_size must be in (0, 1)")
-    ranked = class_rank(df, label, id_col, seed, digits)
-    sized = _with_sizes(ranked, df, label)
+    sized = class_rank(df, label, id_col, seed, digits, with_size=True)
     n_test = F.greatest(F.lit(1), F.rint(F.col("_class_n").cast("double") * F.lit(float(test_size))).cast("long"))
     return (sized.withColumn("split", F.when(F.col("class_rank") <= n_test, F.lit("test")).otherwise(F.lit("train")))
                  .drop("_class_n"))
@@ -47,11 +40,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float =
 def random_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42,
                  digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
     """K4: exactly ``max(1, round_half_even(n * test_size))`` test rows, no strata."""
-    ranked = class_rank(df, None, id_col, seed, digits)
-    n = df.count()
-    n_test = max(1, int(round(n * test_size)))
-    return ranked.withColumn("split", F.when(F.col("class_rank") <= F.lit(n_test), F.lit("test"))
-                             .otherwise(F.lit("train")))
+    ranked = class_rank(df, None, id_col, seed, digits, with_size=True)
+    n_test = F.greatest(F.lit(1), F.rint(F.col("_class_n").cast("double") * F.lit(float(test_size))).cast("long"))
+    return ranked.withColumn("split", F.when(F.col("class_rank") <= n_test, F.lit("test"))
+                             .otherwise(F.lit("train"))).drop("_class_n")
 
 
 def fold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int = 42, shuffle: bool = True,
@@ -64,15 +56,14 @@ def fold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int =
     if not 2 <= k:
         raise ValueError("k must be >= 2")
     if shuffle:
-        ranked = class_rank(df, label, id_col, seed, digits)
+        sized = class_rank(df, label, id_col, seed, digits, with_size=True)
     else:
         from riskspark.operators.rank import rank_within
         lo_hi = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
         lo, hi = lo_hi["lo"], lo_hi["hi"]
         width = max(1.0, (float(hi) - float(lo) + 1.0) / float(16 ** digits)) if lo is not None else 1.0
         bucket = F.floor((F.col(id_col).cast("double") - F.lit(float(lo or 0))) / F.lit(width))
-        ranked = rank_within(df, [label], bucket, [F.col(id_col)], "class_rank")
-    sized = _with_sizes(ranked, df, label)
+        sized = rank_within(df, [label], bucket, [F.col(id_col)], "class_rank", total_col="_class_n")
     n, r = F.col("_class_n"), F.col("class_rank")
     q = (n / F.lit(k)).cast("long")
     rem = n % F.lit(k)
