@@ -159,3 +159,11 @@ def interpolate(a, b, lam) -> Column:
     """a + lam * (b - a), element-wise over arrays."""
     lc = _col(lam)
     return F.zip_with(_col(a), _col(b), lambda x, y: x + lc * (y - x))
+
+
+def linear_probability(cols: Sequence[str], weights: Sequence[float], intercept: float = 0.0) -> Column:
+    """H4-H5: sigmoid(intercept + sum(w_i * x_i)) with the reference's clip at +-500."""
+    z = F.lit(float(intercept))
+    for c, w in zip(cols, weights):
+        z = z + F.col(c).cast("double") * F.lit(float(w))
+    return sigmoid(z)

@@ -84,3 +84,8 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     """Required columns absent from the table."""
     return [c for c in required if c not in df.columns]
+
+
+def filter_by_class(df: DataFrame, label: str, value) -> DataFrame:
+    """Rows of one class (pushed down to the scan when the label is a stored column)."""
+    return df.where(F.col(label) == F.lit(value))

@@ -497,7 +497,7 @@ def q_history(spark, sf):
     from riskspark.sources.bundle import append_history, read_history
     prep = _doc_prepared(spark, sf)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
-    for models in (["Logistic Regression"], ["Logistic Regression", "SVM (Linear)"]):
+    for models in (["Logistic Regression"], ["Logistic Regression", "Random Forest"]):
         res = train_and_compare(prep, default_specs(len(prep.feature_cols), models=models), cv_k=2)
         append_history(spark, path, res.best_name, prep.train.count(), res.comparison)
     return rnd(read_history(spark, path))
@@ -516,6 +516,30 @@ def q_write_at_risk(spark, sf):
     return rnd(read_at_risk(spark, path))
 
 
+def q_filter_by_class(spark, sf):
+    v = orders_view(spark, sf).select("id", "label", "amount")
+    return rnd(Q.filter_by_class(v, "label", 1))
+
+
+def q_decode_lookup(spark, sf):
+    from riskspark.operators.features import decode_labels, fit_label_encoder
+    v = documents_view(spark, sf).select("id", "lang", "source")
+    enc = fit_label_encoder(v, DOC_CATS)
+    coded = enc.transform(v)
+    back = decode_labels(enc, coded, "lang")
+    return back.select("id", F.col("lang").cast("int").alias("lang_code"), F.col("lang__value").alias("lang"))
+
+
+def q_linear_score(spark, sf):
+    from riskspark.operators.explain import correlation_weights
+    from riskspark.operators.features import PopulationScaler
+    v = orders_view(spark, sf).select("id", "label", *ORDER_NUMS)
+    scaled = PopulationScaler(inputCols=ORDER_NUMS).fit(v).transform(v)
+    w = correlation_weights(v, ORDER_NUMS, "label")
+    p = C.linear_probability(ORDER_NUMS, [w[c] for c in ORDER_NUMS], intercept=-0.5)
+    return rnd(scaled.select("id", p.alias("p"), (F.lit(1.0) - p).alias("p_stay")))
+
+
 REGISTRY = {
     "label_summary": q_label_summary,
     "rate_by_segment": q_rate_by_segment,
@@ -583,4 +607,7 @@ REGISTRY = {
     "at_risk_report": q_at_risk_report,
     "bundle_roundtrip": q_bundle_roundtrip,
     "history": q_history,
+    "filter_by_class": q_filter_by_class,
+    "decode_lookup": q_decode_lookup,
+    "linear_score": q_linear_score,
 }

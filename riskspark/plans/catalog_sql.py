@@ -462,4 +462,13 @@ SELECT id, CAST(position AS INTEGER) AS position, feature, {r6('contribution')}
 FROM rk WHERE position <= 3""")
     q["read_table"] = """
 SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
+    q["filter_by_class"] = w(["v_ord"], f"SELECT id, label, {r6('amount')} AS amount FROM v_ord WHERE label = 1")
+    q["decode_lookup"] = w(["v_doc"], """
+SELECT id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code, lang FROM v_doc""")
+    zterms = " + ".join(f"((CAST({c} AS DOUBLE) - m_{c}) / CASE WHEN s_{c} = 0 THEN 1.0 ELSE s_{c} END) * "
+                        f"coalesce(w_{c}, 0.0)" for c in nums)
+    prob = "1.0 / (1.0 + exp(-greatest(least(z, 500.0), -500.0)))"
+    q["linear_score"] = w(["v_ord"], f"st AS (SELECT {stats} FROM v_ord)", f"""
+zz AS (SELECT id, -0.5 + {zterms} AS z FROM v_ord JOIN st ON TRUE)""", f"""
+SELECT id, {r6(prob)} AS p, {r6('1.0 - ' + prob)} AS p_stay FROM zz""")
     return q
