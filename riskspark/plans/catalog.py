@@ -513,7 +513,7 @@ def q_write_at_risk(spark, sf):
     lst = at_risk_list(s, "p", 0.40, "id", ["id", "segment", "p_pct", "label"])
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/at-risk-{uuid.uuid4().hex}"
     write_at_risk(lst, path)
-    return rnd(read_at_risk(spark, path))
+    return rnd(read_at_risk(spark, path, "id long, segment string, p_pct double, label int"))
 
 
 def q_filter_by_class(spark, sf):

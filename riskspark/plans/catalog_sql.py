@@ -462,6 +462,8 @@ SELECT id, CAST(position AS INTEGER) AS position, feature, {r6('contribution')}
 FROM rk WHERE position <= 3""")
     q["read_table"] = """
 SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
+    q["write_at_risk"] = w(["v_ord"], SCORED, f"""
+SELECT id, segment, {r6(PCT)} AS p_pct, label FROM s WHERE p >= 0.40""")
     q["filter_by_class"] = w(["v_ord"], f"SELECT id, label, {r6('amount')} AS amount FROM v_ord WHERE label = 1")
     q["decode_lookup"] = w(["v_doc"], """
 SELECT id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code, lang FROM v_doc""")

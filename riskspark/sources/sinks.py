@@ -10,5 +10,8 @@ def write_at_risk(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def read_at_risk(spark, path: str) -> DataFrame:
-    return spark.read.option("header", True).option("inferSchema", True).csv(path)
+def read_at_risk(spark, path: str, schema=None) -> DataFrame:
+    """Read an exported list back (explicit schema preferred; inferred otherwise)."""
+    reader = spark.read.option("header", True)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
+    return reader.csv(path)
