@@ -34,13 +34,15 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 
 from riskspark.functions.columns import hash_hex
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 4096
+CELL_ROWS = 64  # target base rows per pivot cell (more cells = tighter pruning)
 CHUNK_ROWS = 4096
 SLACK = 1e-9
 
 
 def _pivot_count(n_base: int, max_pivots: int) -> int:
-    return int(max(1, min(max_pivots, round(math.sqrt(max(n_base, 1))))))
+    want = max(math.sqrt(max(n_base, 1)), n_base / CELL_ROWS)
+    return int(max(1, min(max_pivots, round(want))))
 
 
 def _as_matrix(series: pd.Series) -> np.ndarray:

@@ -58,9 +58,16 @@ class Bundle:
         return PipelineModel(stages=stages).transform(filled)
 
     def score(self, df: DataFrame, id_col: str) -> DataFrame:
-        """K17 core: adds ``p`` (probability of 1) to every row, keeping the input columns."""
+        """K17 core: adds ``p`` (probability of 1) to every row; input columns keep their original values.
+
+        Encoding and scaling work in place on the feature columns, so the
+        originals ride along under private names in the same narrow
+        projection (no join back).
+        """
         from pyspark.ml.functions import vector_to_array
-        feats = self._prepare(df)
+        keep = list(df.columns)
+        carried = df.select(*[F.col(c) for c in keep], *[F.col(c).alias(f"__orig_{c}") for c in keep])
+        feats = self._prepare(carried)
         if self.kind == "knn":
             q = feats.select(id_col, vector_to_array("features").alias("features"))
             p = knn_classify(q, self.classifier, self.params.get("k", 5), self.params.get("label", "label"), id_col,
@@ -68,8 +75,8 @@ class Bundle:
                              balanced=self.params.get("balanced", True))
             return df.join(p.select(id_col, "p"), id_col, "left")
         out = self.classifier.transform(feats)
-        keep = [F.col(c) for c in df.columns]
-        return out.select(*keep, vector_to_array("probability")[1].alias("p"))
+        return out.select(*[F.col(f"__orig_{c}").alias(c) for c in keep],
+                          vector_to_array("probability")[1].alias("p"))
 
     def save(self, path: str) -> None:
         spark = SparkSession.getActiveSession()

@@ -77,3 +77,12 @@ def test_row_contributions_top_abs(spark):
     df = spark.createDataFrame([(1, 1.0, -3.0, 0.5)], "id long, a double, b double, c double")
     out = row_contributions(df, {"a": 2.0, "b": 1.0, "c": -10.0}, "id", top_n=2).collect()
     assert [(r.feature, r.contribution, r.direction) for r in out] == [("c", -5.0, "stay"), ("b", -3.0, "stay")]
+
+
+def test_score_keeps_original_values(spark, signal, prepared):
+    spec = default_specs(len(prepared.feature_cols), models=["Logistic Regression"])[0]
+    b = Bundle.from_prepared(prepared, spec.fit(prepared.train, "label"))
+    scored = b.score(signal, "id")
+    assert scored.columns == signal.columns + ["p"]
+    j = scored.join(signal.select("id", F.col("grp").alias("g0"), F.col("x1").alias("x0")), "id")
+    assert j.where((F.col("grp") != F.col("g0")) | (F.col("x1") != F.col("x0"))).count() == 0
