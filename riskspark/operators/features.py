@@ -11,8 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -42,14 +42,15 @@ def align_features(df: DataFrame, cols: Sequence[str], fill=0, keep: Sequence[st
                      *[F.col(c) if c in present else F.lit(fill).alias(c) for c in cols])
 
 
-def label_encoder(cols: Sequence[str], suffix: str = "", handle_invalid: str = "error") -> list[StringIndexer]:
-    """K1: one ``StringIndexer`` per column, codes by sorted value from 0.
+def label_encoder(cols: Sequence[str], suffix: str = "__code", handle_invalid: str = "error") -> StringIndexer:
+    """K1: one multi-column ``StringIndexer`` (a single pass over the data for all columns).
 
-    ``suffix=''`` replaces the column in place after the caller drops it; the
-    indexers are fitted in one pass over all rows (before the split).
+    Codes are assigned by sorted value from 0 (``alphabetAsc``); unseen values
+    and nulls raise by default, as in the reference.
     """
-    return [StringIndexer(inputCol=c, outputCol=f"{c}{suffix or '__code'}", stringOrderType="alphabetAsc",
-                          handleInvalid=handle_invalid) for c in cols]
+    cols = list(cols)
+    return StringIndexer(inputCols=cols, outputCols=[f"{c}{suffix}" for c in cols], stringOrderType="alphabetAsc",
+                         handleInvalid=handle_invalid)
 
 
 class CodeReplacer(Model, DefaultParamsReadable, DefaultParamsWritable):
@@ -73,18 +74,29 @@ class CodeReplacer(Model, DefaultParamsReadable, DefaultParamsWritable):
 
 def fit_label_encoder(df: DataFrame, cols: Sequence[str], handle_invalid: str = "error") -> PipelineModel:
     """K1 fit: returns a PipelineModel that replaces each column by its code (double)."""
-    stages = label_encoder(cols, handle_invalid=handle_invalid)
-    fitted = Pipeline(stages=stages).fit(df) if stages else PipelineModel([])
-    return PipelineModel(stages=list(fitted.stages) + [CodeReplacer(cols=list(cols))])
+    cols = list(cols)
+    stages = [label_encoder(cols, handle_invalid=handle_invalid).fit(df)] if cols else []
+    return PipelineModel(stages=stages + [CodeReplacer(cols=cols)])
+
+
+def encoder_labels(model: PipelineModel) -> dict:
+    """Column -> sorted category list of a fitted K1 encoder."""
+    out = {}
+    for st in model.stages:
+        if isinstance(st, StringIndexerModel):
+            ins = st.getInputCols() if st.isSet(st.inputCols) else [st.getInputCol()]
+            labs = st.labelsArray
+            out.update({c: list(v) for c, v in zip(ins, labs)})
+    return out
 
 
 def decode_labels(model: PipelineModel, df: DataFrame, col: str) -> DataFrame:
     """K1 inverse: code -> value for one encoded column."""
-    for st in model.stages:
-        if getattr(st, "getInputCol", None) and st.getInputCol() == col:
-            return IndexToString(inputCol=col, outputCol=f"{col}__value", labels=st.labels).transform(
-                df.withColumn(col, F.col(col).cast("double")))
-    raise KeyError(col)
+    labels = encoder_labels(model)
+    if col not in labels:
+        raise KeyError(col)
+    return IndexToString(inputCol=col, outputCol=f"{col}__value", labels=labels[col]).transform(
+        df.withColumn(col, F.col(col).cast("double")))
 
 
 class _ScalerParams(HasInputCols):

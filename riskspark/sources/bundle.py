@@ -17,7 +17,7 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.operators.features import CodeReplacer
+from riskspark.operators.features import CodeReplacer, encoder_labels
 from riskspark.operators.knn import knn_classify
 
 
@@ -48,8 +48,12 @@ class Bundle:
         stages = []
         for st in self.prep.stages:
             if isinstance(st, StringIndexerModel):
-                if st.getInputCol() in present:
-                    stages.append(st)
+                labels = encoder_labels(PipelineModel(stages=[st]))
+                use = [c for c in labels if c in present]
+                if use:
+                    stages.append(StringIndexerModel.from_arrays_of_labels(
+                        [labels[c] for c in use], inputCols=use, outputCols=[f"{c}__code" for c in use],
+                        handleInvalid=st.getHandleInvalid()))
             elif isinstance(st, CodeReplacer):
                 stages.append(CodeReplacer(cols=[c for c in self.cat_cols if c in present]))
             else:
