@@ -80,24 +80,31 @@ def class_histogram(df: DataFrame, col: str, bins: int, label: str | None = None
     the range widens to +-0.5 like NumPy. Empty bins are emitted with n = 0.
     Output: (label?, bin 1..bins, bin_lo, bin_hi, n).
     """
-    keys = [label] if label else ["_all"]
+    keys = [label] if label else []
     x = F.col(col).cast("double")
-    base = df if label else df.withColumn("_all", F.lit(0))
-    data = base.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
+    data = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
+    lo_expr = F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn"))
+    hi_expr = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     rng = (data.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
-               .withColumn("_lo", F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")))
-               .withColumn("_hi", F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")))
-               .select(*keys, "_lo", "_hi"))
-    # one row per class: bounded, broadcast back to the rows
-    b = data.join(F.broadcast(rng), on=keys, how="inner")
+               .select(*keys, lo_expr.alias("_lo"), hi_expr.alias("_hi")))
+    if label:
+        # one row per class: bounded, broadcast back to the rows
+        b = data.join(F.broadcast(rng), on=keys, how="inner")
+        grid = rng
+    else:
+        # one range: two scalars to the driver, used as literals (no join at all)
+        r = rng.first()
+        if r is None or r["_lo"] is None:
+            return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
+        b = data.withColumn("_lo", F.lit(r["_lo"])).withColumn("_hi", F.lit(r["_hi"]))
+        grid = df.sparkSession.range(1).select(F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi"))
     pos = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))) + F.lit(1)
     counts = (b.select(*keys, F.least(F.lit(bins), pos).cast("int").alias("bin"))
                .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))
-    grid = rng.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    grid = grid.select(*keys, "_lo", "_hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    out_keys = [label] if label else []
     return (grid.join(counts, on=keys + ["bin"], how="left")
-                .select(*out_keys, "bin",
+                .select(*keys, "bin",
                         (F.col("_lo") + (F.col("bin") - 1).cast("double") * width).alias("bin_lo"),
                         (F.col("_lo") + F.col("bin").cast("double") * width).alias("bin_hi"),
                         F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))

@@ -21,3 +21,12 @@ def test_light_queries_run_on_smoke_data(spark):
     q = E.queries()
     for name in ["rate_by_segment", "roc_auc", "stratified_split", "knn_join", "smote_docs", "describe_numeric"]:
         assert q[name](spark, "/root/testdata/sf0.001").count() > 0, name
+
+
+def test_plans_have_no_cross_products(spark):
+    q = E.queries()
+    for name in ["rate_by_segment", "score_histogram", "class_histogram_amount", "roc_auc", "roc_curve",
+                 "stratified_split", "fold_assign", "knn_join", "self_knn", "smote_docs", "classification_report",
+                 "confusion_matrix", "importance_tier", "exact_percentiles", "row_contributions"]:
+        plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
