@@ -159,17 +159,15 @@ def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cell
     return run
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", feat_col: str = "features",
-             exclude_self: bool = False, payload: tuple[str, ...] = (), seed: int = 42,
-             max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS
-             ) -> DataFrame:
-    """K nearest base rows per query (Euclidean), ties by base id.
-
-    Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour).
-    ``exclude_self`` drops the base row with the query's id (C2 self-join).
-    Work is cut into (cell, base chunk, query block) groups of at most
-    ``chunk_rows`` x ``query_block_rows`` rows; each group computes its block
-    of distances with NumPy and emits at most k rows per query.
+def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col: str, exclude_self: bool = False,
+              payload: tuple[str, ...] = (), seed: int = 42, max_pivots: int = MAX_PIVOTS,
+              chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Pivot-pruned exact top-k per query over (ideally distinct) base vectors.
+
+    Output (q_id, rank, nb_id, dist, *payload). Work is cut into (cell, base
+    chunk, query block) groups of at most ``chunk_rows`` x ``query_block_rows``
+    rows; each group computes its block of distances with NumPy and emits at
+    most k rows per query.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -216,7 +214,49 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     w2 = Window.partitionBy("_qid").orderBy("_d2", "nb_id")
     top = local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
     return top.select(F.col("_qid").alias("q_id"), F.col("rank").cast("int").alias("rank"), "nb_id",
-                      F.sqrt("_d2").alias("dist"), *payload)
+                      F.sqrt("_d2").alias("dist"), "_d2", *payload)
+
+
+def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", feat_col: str = "features",
+             exclude_self: bool = False, payload: tuple[str, ...] = (), seed: int = 42,
+             max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS
+             ) -> DataFrame:
+    """K nearest base rows per query (Euclidean), ties by base id.
+
+    Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour).
+    ``exclude_self`` drops the base row with the query's id (C2 self-join).
+
+    Identical vectors are collapsed first, so a vector shared by a third of
+    the rows costs no more than any other:
+    * base: per distinct vector only its ``k+1`` smallest ids are kept
+      (``row_number <= k+1``, which Spark limits per task before the shuffle);
+    * queries: the search runs once per distinct query vector and the result
+      is fanned out to its rows by an equi-join.
+    The k nearest rows always lie within the k+1 nearest distinct vectors
+    ranked by (distance, smallest id), so the result is exact.
+    """
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    kb = k + (1 if exclude_self else 0)
+    feat = F.col(feat_col).cast("array<double>")
+    b = base.select(F.col(id_col), feat.alias(feat_col), *payload)
+    q = queries.select(F.col(id_col), feat.alias(feat_col))
+    by_vec = Window.partitionBy(feat_col)
+    members = (b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
+                .withColumn("_rep", F.min(id_col).over(by_vec)))
+    reps = members.where(F.col("_m") == 1).select(F.col(id_col), F.col(feat_col))
+    qv = q.groupBy(feat_col).agg(F.min(id_col).alias(id_col))  # one row per distinct query vector
+    top = _knn_core(qv, reps, kb, id_col, feat_col, False, (), seed, max_pivots, chunk_rows, query_block_rows)
+    expanded = top.select(F.col("q_id").alias("_qrep"), F.col("nb_id").alias("_rep"), "dist", "_d2").join(
+        members.select("_rep", F.col(id_col).alias("nb_id"), *payload), "_rep")
+    fan = q.join(qv.select(feat_col, F.col(id_col).alias("_qrep")), feat_col).select(
+        F.col(id_col).alias("q_id"), "_qrep")
+    pairs = fan.join(expanded, "_qrep")
+    if exclude_self:
+        pairs = pairs.where(F.col("q_id") != F.col("nb_id"))
+    w = Window.partitionBy("q_id").orderBy("_d2", "nb_id")  # at most (k+1)^2 rows per query
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("q_id", F.col("rank").cast("int").alias("rank"), "nb_id", "dist", *payload)
 
 
 def self_knn(df: DataFrame, k: int, id_col: str = "id", feat_col: str = "features", **kw) -> DataFrame:
