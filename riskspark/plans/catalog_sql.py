@@ -301,7 +301,7 @@ FROM lv LEFT JOIN c ON lv.risk_level = c.risk_level""")
     q["binarize_label"] = w(["v_ord"], """
 SELECT id, CAST(coalesce(CAST(lower(label_text) = 'yes' AS INTEGER), 0) AS INTEGER) AS label_bin FROM v_ord""")
     q["binarize_label_strict"] = w(["v_ord"], """
-t AS (SELECT id, CASE WHEN id % 7 = 0 THEN upper(label_text) ELSE label_text END AS label_text FROM v_ord)""", """
+t AS (SELECT id, CASE WHEN segment = 'BUILDING' THEN upper(label_text) ELSE label_text END AS label_text FROM v_ord)""", """
 SELECT id, CAST(CASE WHEN (SELECT bool_and(coalesce(lower(label_text) IN ('yes', 'no'), FALSE)) FROM t)
                      THEN coalesce(CAST(lower(label_text) = 'yes' AS INTEGER), 0) END AS INTEGER) AS label_bin
 FROM t""")
