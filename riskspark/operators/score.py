@@ -90,17 +90,24 @@ def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
 
 def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
                    threshold: float = DEFAULT_AT_RISK_THRESHOLD, show_cols: Sequence[str] | None = None,
-                   out_path: str | None = None) -> dict:
+                   out_path: str | None = None, split_ids: DataFrame | None = None) -> dict:
     """Score -> filter -> sort -> columns -> summary, histogram, level counts (-> CSV).
 
+    Every row is scored, training rows included (as the reference); pass the
+    ``(id, split)`` table of the preparation step as ``split_ids`` to show
+    which rows the model was trained on (column ``split``).
     Returns a dict of DataFrames; ``out_path`` also writes the list (A8).
     """
+    if split_ids is not None:
+        df = df.join(split_ids.select(id_col, "split"), id_col, "left")
     from riskspark.functions.columns import RISK_LEVEL_ORDER
     from riskspark.operators.metrics import at_risk_summary
     from riskspark.operators.profile import class_histogram, level_counts
     scored = score_table(df, bundle, id_col)
     cols = list(show_cols) if show_cols else [id_col] + [c for c in df.columns if c != id_col] + ["p_pct",
                                                                                                   "risk_level"]
+    if split_ids is not None and "split" not in cols:
+        cols.append("split")
     lst = at_risk_list(scored, "p", threshold, id_col, cols)
     report = {
         "list": lst,

@@ -413,7 +413,10 @@ def q_cross_validate(spark, sf):
     from riskspark.plans.training import cross_validate
     prep = _doc_prepared(spark, sf)
     spec = default_specs(len(prep.feature_cols), models=["Logistic Regression"])[0]
-    return rnd(cross_validate(spec, prep.train, "label", "id", 3))
+    leaky = cross_validate(spec, prep.train, "label", "id", 3).withColumn("resample_inside_fold", F.lit(False))
+    clean = cross_validate(spec, prep.train, "label", "id", 3, prep=prep).withColumn("resample_inside_fold",
+                                                                                    F.lit(True))
+    return rnd(leaky.unionByName(clean))
 
 
 def q_feature_importance(spark, sf):
@@ -440,7 +443,7 @@ AT_RISK_SHOW = ["id", "segment", "nation", "urgent", "priority_score", "tenure",
                 "label"]
 
 
-def _order_bundle(spark, sf, model="Logistic Regression"):
+def _order_bundle(spark, sf, model="Logistic Regression", with_prep=False):
     from riskspark.plans.models import default_specs
     from riskspark.plans.training import prepare
     from riskspark.sources.bundle import Bundle
@@ -448,14 +451,16 @@ def _order_bundle(spark, sf, model="Logistic Regression"):
     prep = prepare(data, "label", "id", test_size=0.2, seed=SEED, use_smote=True)
     spec = default_specs(len(prep.feature_cols), models=[model])[0]
     fitted = spec.fit(prep.train, "label")
-    return data, Bundle.from_prepared(prep, fitted)
+    bundle = Bundle.from_prepared(prep, fitted)
+    return (data, bundle, prep) if with_prep else (data, bundle)
 
 
 def flagship(spark, sf):
     """Score every order with the trained bundle and return the at-risk list."""
     from riskspark.operators.score import at_risk_report
-    data, bundle = _order_bundle(spark, sf)
-    return at_risk_report(data, bundle, "id", label="label", threshold=0.40, show_cols=AT_RISK_SHOW)["list"]
+    data, bundle, prep = _order_bundle(spark, sf, with_prep=True)
+    return at_risk_report(data, bundle, "id", label="label", threshold=0.40, show_cols=AT_RISK_SHOW + ["split"],
+                          split_ids=prep.split_ids)["list"]
 
 
 def q_at_risk_report(spark, sf):

@@ -39,6 +39,11 @@ class Prepared:
     label: str
     class_counts_before: dict = field(default_factory=dict)
     class_counts_after: dict = field(default_factory=dict)
+    train_raw: DataFrame | None = None  # encoded training rows before SMOTE and scaling
+    split_ids: DataFrame | None = None  # (id, split) of every input row
+    use_smote: bool = True
+    k_smote: int = 5
+    seed: int = 42
 
     def bundle_model(self, fitted: Fitted) -> PipelineModel:
         """Encoder + scaler + assembler + classifier as one saveable PipelineModel."""
@@ -60,8 +65,11 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     enc = encoder.transform(df.select(id_col, label, *feature_cols))
     enc = enc.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feature_cols])
     split = stratified_split(enc, label, id_col, test_size, seed)
+    if checkpoint:
+        split = cut_lineage(split)
     train = split.where(F.col("split") == "train").select(id_col, label, *feature_cols)
     test = split.where(F.col("split") == "test").select(id_col, label, *feature_cols)
+    train_raw = train
     before = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     after = dict(before)
     if use_smote:
@@ -75,21 +83,36 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     test_s = assembler.transform(scaler.transform(test))
     if checkpoint:
         train_s, test_s = cut_lineage(train_s), cut_lineage(test_s)
-    return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after)
+    return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
+                    train_raw, split.select(id_col, "split"), use_smote, k_smote, seed)
 
 
 def cross_validate(spec: ModelSpec, train: DataFrame, label: str = "label", id_col: str = "id", k: int = 3,
-                   seed: int = 42, scoring: str = "recall", parallelism: int = 3) -> DataFrame:
+                   seed: int = 42, scoring: str = "recall", parallelism: int = 3,
+                   prep: Prepared | None = None) -> DataFrame:
     """K7: fresh fit per stratified fold; per-fold score rows (model, fold, score).
 
+    Default (as the reference): folds of the resampled, scaled training set.
+    With ``prep`` given, folds are cut from the training rows *before* SMOTE
+    and each fold's training part is oversampled and scaled on its own, so no
+    synthetic point leaks into a validation fold.
     Folds are fitted concurrently from a small driver thread pool (as MLlib's
     ``CrossValidator(parallelism=...)``); each fit is itself distributed.
     """
-    folded = fold_assign(train.drop("weight"), label, id_col, k, seed).persist()
+    src = prep.train_raw if prep is not None else train.drop("weight")
+    folded = fold_assign(src, label, id_col, k, seed).persist()
 
     def one(f: int):
         tr = folded.where(F.col("fold") != f)
         te = folded.where(F.col("fold") == f)
+        if prep is not None:
+            feats = prep.feature_cols
+            tr = tr.select(id_col, label, *feats)
+            if prep.use_smote:
+                tr = smote(tr, label, id_col, feats, prep.k_smote, prep.seed).drop("is_synthetic")
+            sc = PopulationScaler(inputCols=feats).fit(tr)
+            tr = prep.assembler.transform(sc.transform(tr))
+            te = prep.assembler.transform(sc.transform(te.select(id_col, label, *feats)))
         fitted = spec.fit(M.with_class_weights(tr, label), label)
         p = fitted.predict(te, label=label).select(F.lit(f).alias("fold"), label, "pred")
         r = M.binary_metrics(p, label, "pred").first()
@@ -112,7 +135,7 @@ class TrainResult:
 
 
 def train_and_compare(prep: Prepared, specs: list[ModelSpec], cv_k: int = 3, seed: int = 42,
-                      parallelism: int = 4) -> TrainResult:
+                      parallelism: int = 4, resample_inside_fold: bool = False) -> TrainResult:
     """CV, fit, predict test, metrics per model; best = max test recall, first on ties.
 
     Models are trained concurrently (driver threads submitting independent
@@ -125,7 +148,8 @@ def train_and_compare(prep: Prepared, specs: list[ModelSpec], cv_k: int = 3, see
 
     def one(item):
         i, spec = item
-        cv = cross_validate(spec, prep.train, label, id_col, cv_k, seed)
+        cv = cross_validate(spec, prep.train, label, id_col, cv_k, seed,
+                            prep=prep if resample_inside_fold else None)
         fm = spec.fit(prep.train, label, n=n)
         p = fm.predict(prep.test, label=label).select(
             F.lit(spec.name).alias("model"), F.lit(i + 1).alias("model_order"), id_col, label, "p", "pred")

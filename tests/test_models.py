@@ -86,3 +86,11 @@ def test_score_keeps_original_values(spark, signal, prepared):
     assert scored.columns == signal.columns + ["p"]
     j = scored.join(signal.select("id", F.col("grp").alias("g0"), F.col("x1").alias("x0")), "id")
     assert j.where((F.col("grp") != F.col("g0")) | (F.col("x1") != F.col("x0"))).count() == 0
+
+
+def test_cv_resample_inside_fold(spark, prepared):
+    from riskspark.plans.training import cross_validate
+    spec = default_specs(len(prepared.feature_cols), models=["Logistic Regression"])[0]
+    rows = cross_validate(spec, prepared.train, "label", "id", 2, prep=prepared).collect()
+    assert len(rows) == 2 and all(0.0 <= r.recall <= 1.0 for r in rows)
+    assert prepared.split_ids.groupBy("split").count().count() == 2
