@@ -29,8 +29,11 @@ def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[s
     spark = df.sparkSession
     if label in df.columns:
         lab = F.col(label)
-        bad = F.when(lab.isNotNull() & ~lab.cast("string").isin(*[str(v) for v in ALLOWED_LABELS]),
-                     lab.cast("string"))
+        numeric = dict(df.dtypes)[label] in ("int", "bigint", "smallint", "tinyint", "double", "float") or \
+            dict(df.dtypes)[label].startswith("decimal")
+        # numeric labels compare by value (1.0 == 1); text labels never equal the integers 0/1
+        allowed = lab.isin(*ALLOWED_LABELS) if numeric else F.lit(False)
+        bad = F.when(lab.isNotNull() & ~allowed, lab.cast("string"))
         agg = df.agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("n_bad")).first()
         n, n_bad = agg["n"], agg["n_bad"]
         shown = (df.where(lab.isNotNull()).select(lab.cast("string").alias("v")).distinct()

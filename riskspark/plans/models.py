@@ -99,7 +99,7 @@ class ModelSpec:
             d = pr["n_features"]
             est = RandomForestClassifier(featuresCol=features_col, labelCol="_y", weightCol=weight_col,
                                          numTrees=pr.get("numTrees", 80), maxDepth=pr.get("maxDepth", 8),
-                                         maxBins=pr.get("maxBins", 32),
+                                         maxBins=pr.get("maxBins", 21),  # at most 20 thresholds per feature
                                          featureSubsetStrategy=str(max(1, int(math.sqrt(d)))),
                                          seed=pr.get("seed", 42))
             return Fitted(self.name, est.fit(data), "mllib", pr)

@@ -41,3 +41,10 @@ def test_distinct_labels_skip_null(spark):
     df = spark.createDataFrame([(1,), (0,), (None,), (1,)], "y int")
     assert sorted(r.y for r in Q.distinct_labels(df, "y").collect()) == [0, 1]
     assert df.where(F.col("y").isNull()).count() == 1
+
+
+def test_validate_label_values_numeric_vs_text(spark):
+    dbl = spark.createDataFrame([(i, float(i % 2)) for i in range(60)], "id long, Attrition double")
+    assert {r.check: r.passed for r in Q.validate_table(dbl).collect()}["label_values"]
+    txt = spark.createDataFrame([(i, str(i % 2)) for i in range(60)], "id long, Attrition string")
+    assert not {r.check: r.passed for r in Q.validate_table(txt).collect()}["label_values"]
