@@ -245,7 +245,10 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     members = (b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
                 .withColumn("_rep", F.min(id_col).over(by_vec)))
     reps = members.where(F.col("_m") == 1).select(F.col(id_col), F.col(feat_col))
-    qv = q.groupBy(feat_col).agg(F.min(id_col).alias(id_col))  # one row per distinct query vector
+    if queries is base:  # self-join: the distinct query vectors are the base representatives
+        qv = reps
+    else:  # one row per distinct query vector (partial aggregation collapses hot vectors map-side)
+        qv = q.groupBy(feat_col).agg(F.min(id_col).alias(id_col))
     top = _knn_core(qv, reps, kb, id_col, feat_col, False, (), seed, max_pivots, chunk_rows, query_block_rows)
     expanded = top.select(F.col("q_id").alias("_qrep"), F.col("nb_id").alias("_rep"), "dist", "_d2").join(
         members.select("_rep", F.col(id_col).alias("nb_id"), *payload), "_rep")

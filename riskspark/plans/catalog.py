@@ -309,7 +309,7 @@ def q_feature_frame(spark, sf):
 def q_knn_join(spark, sf):
     from riskspark.operators.knn import knn_join
     v = embeddings_view(spark, sf)
-    return rnd(knn_join(v, v, 5))
+    return rnd(knn_join(v, v, 5))  # same frame on both sides: representatives are shared
 
 
 def q_self_knn(spark, sf):
