@@ -385,8 +385,10 @@ def q_column_roles(spark, sf):
     from riskspark.operators.features import split_columns_by_type
     v = orders_view(spark, sf)
     cats, nums = split_columns_by_type(v, "id", "label")
-    rows = [(c, "categorical") for c in cats] + [(c, "numeric") for c in nums]
-    return spark.createDataFrame(rows, "column string, kind string")
+    roles = {**{c: "categorical" for c in cats}, **{c: "numeric" for c in nums}}
+    info = T.schema_table(v).where(F.col("column").isin(list(roles)))
+    kind = F.create_map(*[F.lit(x) for kv in roles.items() for x in kv])[F.col("column")]
+    return info.select("column", kind.alias("kind"), "non_null")
 
 
 # ------------------------------------------------------------------ models

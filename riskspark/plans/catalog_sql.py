@@ -464,6 +464,17 @@ FROM rk WHERE position <= 3""")
 SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_orderstatus"""
     q["write_at_risk"] = w(["v_ord"], SCORED, f"""
 SELECT id, segment, {r6(PCT)} AS p_pct, label FROM s WHERE p >= 0.40""")
+    ord_cols = [("id", "bigint"), ("label", "int"), ("label_text", "string"), ("urgent", "string"),
+                ("segment", "string"), ("nation", "string"), ("region", "string"), ("priority_score", "int"),
+                ("amount", "double"), ("balance", "double"), ("tenure", "int"), ("fixed_score", "double")]
+    q["schema_table"] = w(["v_ord"], "\nUNION ALL\n".join(
+        f"SELECT CAST({i} AS INTEGER) AS position, '{c}' AS \"column\", '{t}' AS dtype, count({c}) AS non_null "
+        f"FROM v_ord" for i, (c, t) in enumerate(ord_cols)))
+    kinds = {"label_text": "categorical", "urgent": "categorical", "segment": "categorical",
+             "nation": "categorical", "region": "categorical", "priority_score": "numeric", "amount": "numeric",
+             "balance": "numeric", "tenure": "numeric", "fixed_score": "numeric"}
+    q["column_roles"] = w(["v_ord"], "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", '{k}' AS kind, count({c}) AS non_null FROM v_ord" for c, k in kinds.items()))
     q["filter_by_class"] = w(["v_ord"], f"SELECT id, label, {r6('amount')} AS amount FROM v_ord WHERE label = 1")
     q["decode_lookup"] = w(["v_doc"], """
 SELECT id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS lang_code, lang FROM v_doc""")

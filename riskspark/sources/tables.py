@@ -84,6 +84,13 @@ def preview(df: DataFrame, n: int = 5, order_by: Sequence[str] | str | None = No
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    """(position, column, dtype) of the table's schema."""
-    rows = [(i, name, dtype) for i, (name, dtype) in enumerate(df.dtypes)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, dtype string")
+    """(position, column, dtype, non_null) - the schema with non-null counts from one aggregate.
+
+    The per-column counts are computed in a single distributed pass and laid
+    out one row per column with ``stack`` (no driver-side row building).
+    """
+    names = [n for n, _ in df.dtypes]
+    counts = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)])
+    parts = ", ".join(f"{i}, '{n}', '{t}', c{i}" for i, (n, t) in enumerate(df.dtypes))
+    return counts.select(F.expr(f"stack({len(names)}, {parts}) AS (position, column, dtype, non_null)")).select(
+        F.col("position").cast("int"), "column", "dtype", F.col("non_null").cast("long"))

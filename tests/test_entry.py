@@ -11,7 +11,7 @@ def test_registered_queries_have_oracles_or_are_model_based():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
     rows_only = set(q) - set(sql)
-    allowed = {"schema_table", "column_roles", "train_and_compare", "cross_validate",
+    allowed = {"train_and_compare", "cross_validate",
                "feature_importance", "coefficient_table", "score_table", "score_profiles", "at_risk_report",
                "bundle_roundtrip", "history"}
     assert rows_only <= allowed
