@@ -149,18 +149,6 @@ def safe_div(num, den) -> Column:
     return F.when(d == 0, F.lit(0.0)).otherwise(n.cast("double") / d.cast("double"))
 
 
-def sq_dist(a, b) -> Column:
-    """Squared Euclidean distance of two equal-length numeric arrays."""
-    return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y)),
-                       F.lit(0.0), lambda acc, v: acc + v)
-
-
-def interpolate(a, b, lam) -> Column:
-    """a + lam * (b - a), element-wise over arrays."""
-    lc = _col(lam)
-    return F.zip_with(_col(a), _col(b), lambda x, y: x + lc * (y - x))
-
-
 def linear_probability(cols: Sequence[str], weights: Sequence[float], intercept: float = 0.0) -> Column:
     """H4-H5: sigmoid(intercept + sum(w_i * x_i)) with the reference's clip at +-500."""
     z = F.lit(float(intercept))

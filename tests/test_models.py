@@ -94,3 +94,37 @@ def test_cv_resample_inside_fold(spark, prepared):
     rows = cross_validate(spec, prepared.train, "label", "id", 2, prep=prepared).collect()
     assert len(rows) == 2 and all(0.0 <= r.recall <= 1.0 for r in rows)
     assert prepared.split_ids.groupBy("split").count().count() == 2
+
+
+def test_score_profiles_and_report(spark, signal, prepared, tmp_path):
+    from pyspark.sql import functions as F
+
+    from riskspark.operators.score import at_risk_report, score_profiles
+    spec = default_specs(len(prepared.feature_cols), models=["Logistic Regression"])[0]
+    b = Bundle.from_prepared(prepared, spec.fit(prepared.train, "label"))
+    prof = signal.drop("label").limit(40)
+    rules = [("x1_too_high", F.col("x1") <= 1.5)]
+    out = score_profiles(prof, b, "id", rules=rules).collect()
+    bad = [r for r in out if r.violation is not None]
+    assert all(r.p is None for r in bad) and all(r.p is not None for r in out if r.violation is None)
+    assert len(out) == 40
+    rep = at_risk_report(signal, b, "id", label="label", threshold=0.4, split_ids=prepared.split_ids,
+                         out_path=str(tmp_path / "list"))
+    s = rep["summary"].first()
+    assert s.n_total == signal.count() and s.n_at_risk == rep["list"].count()
+    assert rep["histogram"].agg(F.sum("n")).first()[0] == signal.count()
+    assert "split" in rep["list"].columns
+    assert spark.read.option("header", True).csv(str(tmp_path / "list")).count() == s.n_at_risk
+
+
+def test_history_append_and_pivot(spark, tmp_path):
+    from riskspark.sources.bundle import append_history, clear_history, read_history
+    path = str(tmp_path / "hist")
+    m1 = spark.createDataFrame([("LR", 0.8, 0.7)], "model string, recall double, accuracy double")
+    m2 = spark.createDataFrame([("LR", 0.6, 0.9), ("RF", 0.7, 0.8)], "model string, recall double, accuracy double")
+    assert append_history(spark, path, "LR", 100, m1) == 1
+    assert append_history(spark, path, "RF", 120, m2) == 2
+    wide = {r.run: r for r in read_history(spark, path).collect()}
+    assert wide[1].LR_recall == 0.8 and wide[2].RF_acc == 0.8 and wide[2].n_models == 2
+    clear_history(spark, path)
+    assert spark.read.parquet(path).count() == 0
