@@ -23,7 +23,7 @@ from riskspark.operators.features import PopulationScaler, fit_label_encoder, sp
 from riskspark.operators.resample import smote
 from riskspark.operators.split import fold_assign, stratified_split
 from riskspark.plans.models import Fitted, ModelSpec
-from riskspark.session import cut_lineage
+from riskspark.session import cut_lineage, right_size
 
 
 @dataclass
@@ -83,6 +83,10 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     test_s = assembler.transform(scaler.transform(test))
     if checkpoint:
         train_s, test_s = cut_lineage(train_s), cut_lineage(test_s)
+    # size the partitions to the data: one MLlib job per optimizer step
+    row_bytes = 8 * (2 * len(feature_cols) + 4)
+    train_s = right_size(train_s, sum(after.values()), row_bytes)
+    test_s = right_size(test_s, test_s.count(), row_bytes)
     return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
                     train_raw, split.select(id_col, "split"), use_smote, k_smote, seed)
 

@@ -69,3 +69,13 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def right_size(df, n_rows: int, row_bytes: int, target_bytes: int = 64 << 20):
+    """Coalesce (narrow, no shuffle) to about ``target_bytes`` per partition; never adds partitions.
+
+    Iterative MLlib solvers run one job per step, so tiny partitions cost
+    scheduling time on every step; large inputs keep their parallelism.
+    """
+    want = max(1, -(-int(n_rows) * int(row_bytes) // int(target_bytes)))
+    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df
