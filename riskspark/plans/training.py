@@ -74,19 +74,20 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     after = dict(before)
     if use_smote:
         train = smote(train, label, id_col, feature_cols, k_smote, seed).drop("is_synthetic")
-        if checkpoint:
+        if checkpoint:  # the kNN join and synthetic rows are computed once
             train = cut_lineage(train)
-        after = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+        top = max(before.values()) if before else 0
+        after = {c: top for c in before}  # SMOTE lifts every class to the largest one
     scaler = PopulationScaler(inputCols=feature_cols).fit(train)
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features")
     train_s = M.with_class_weights(assembler.transform(scaler.transform(train)), label)
     test_s = assembler.transform(scaler.transform(test))
-    if checkpoint:
-        train_s, test_s = cut_lineage(train_s), cut_lineage(test_s)
+    # (above the checkpoints only narrow steps and a per-class broadcast join remain)
     # size the partitions to the data: one MLlib job per optimizer step
     row_bytes = 8 * (2 * len(feature_cols) + 4)
     train_s = right_size(train_s, sum(after.values()), row_bytes)
-    test_s = right_size(test_s, test_s.count(), row_bytes)
+    n_test = split.where(F.col("split") == "test").count()
+    test_s = right_size(test_s, n_test, row_bytes)
     return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
                     train_raw, split.select(id_col, "split"), use_smote, k_smote, seed)
 
