@@ -119,7 +119,7 @@ class ModelSpec:
         if self.kind == "knn":
             tr = train.select(id_col, F.col(label), vector_to_array(F.col(features_col)).alias("features"))
             return Fitted(self.name, tr, "knn", {"k": pr.get("k", 5), "weights": pr.get("weights", "distance"),
-                                                 "balanced": pr.get("balanced", True)})
+                                                 "balanced": pr.get("balanced", True), "label": label})
         raise ValueError(self.kind)
 
 

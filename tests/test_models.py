@@ -128,3 +128,14 @@ def test_history_append_and_pivot(spark, tmp_path):
     assert wide[1].LR_recall == 0.8 and wide[2].RF_acc == 0.8 and wide[2].n_models == 2
     clear_history(spark, path)
     assert spark.read.parquet(path).count() == 0
+
+
+def test_knn_bundle_with_custom_label_name(spark, signal, tmp_path):
+    from riskspark.plans.training import prepare as prep_fn
+    df = signal.withColumnRenamed("label", "Attrition").limit(400)
+    p = prep_fn(df, "Attrition", "id", test_size=0.25, seed=3, use_smote=True)
+    spec = default_specs(len(p.feature_cols), models=["KNN (Weighted)"])[0]
+    b = Bundle.from_prepared(p, spec.fit(p.train, "Attrition"))
+    b.save(str(tmp_path / "knn"))
+    got = Bundle.load(spark, str(tmp_path / "knn")).score(df, "id")
+    assert got.where(F.col("p").isNull()).count() == 0 and got.count() == 400
