@@ -63,7 +63,13 @@ def rate_by_scores(df: DataFrame, score_cols: Sequence[str], label: str, high: f
 
 def rate_by_band(df: DataFrame, col: str, edges: Sequence[float], labels: Sequence[str], label: str,
                  high: float = 20.0, mid: float = 12.0) -> DataFrame:
-    """Right-closed bands then D2; out-of-band rows and empty bands dropped."""
+    """Right-closed bands then D2; out-of-band rows and empty bands dropped.
+
+    The outer edges are also stated as a plain range predicate so Catalyst can
+    push it to the scan (parquet min/max skipping); the CASE bands alone are
+    opaque to pushdown.
+    """
+    df = df.where((F.col(col) > F.lit(edges[0])) & (F.col(col) <= F.lit(edges[-1])))
     banded = df.select(band(col, edges, labels).alias("band"), band_index(col, edges).alias("band_no"),
                        F.col(label))
     return (banded.where(F.col("band").isNotNull())
