@@ -239,8 +239,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
         raise ValueError("k must be >= 1")
     kb = k + (1 if exclude_self else 0)
     feat = F.col(feat_col).cast("array<double>")
-    b = base.select(F.col(id_col), feat.alias(feat_col), *payload)
-    q = queries.select(F.col(id_col), feat.alias(feat_col))
+    # rows without a vector have no distance to anything: they take no part
+    b = base.select(F.col(id_col), feat.alias(feat_col), *payload).where(F.col(feat_col).isNotNull())
+    q = queries.select(F.col(id_col), feat.alias(feat_col)).where(F.col(feat_col).isNotNull())
     by_vec = Window.partitionBy(feat_col)
     members = (b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
                 .withColumn("_rep", F.min(id_col).over(by_vec)))

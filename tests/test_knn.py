@@ -58,3 +58,9 @@ def test_knn_classify_weights(spark):
     w1 = 1 / (0.5 + 1e-8) * (4 / (2 * 1))
     w0 = 1 / (0.5 + 1e-8) * (4 / (2 * 3))
     assert p == pytest.approx(w1 / (w1 + w0 + 1e-8))
+
+
+def test_knn_skips_null_vectors(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None), (4, [5.0])], "id long, features array<double>")
+    out = {r.q_id: r.nb_id for r in self_knn(df, 1).collect()}
+    assert out == {1: 2, 2: 1, 4: 2}
