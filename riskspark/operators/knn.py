@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from riskspark.functions.columns import hash_hex
+from riskspark.session import cut_lineage
 
 MAX_PIVOTS = 4096
 CELL_ROWS = 64  # target base rows per pivot cell (more cells = tighter pruning)
@@ -161,7 +162,8 @@ def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cell
 
 def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col: str, exclude_self: bool = False,
               payload: tuple[str, ...] = (), seed: int = 42, max_pivots: int = MAX_PIVOTS,
-              chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS) -> DataFrame:
+              chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS,
+              cached: list | None = None) -> DataFrame:
     """Pivot-pruned exact top-k per query over (ideally distinct) base vectors.
 
     Output (q_id, rank, nb_id, dist, *payload). Work is cut into (cell, base
@@ -177,7 +179,7 @@ def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col
     n_base = b.count()
     pay_fields = [f for f in b.schema.fields if f.name in payload]
     if n_base == 0:
-        schema = "q_id long, rank int, nb_id long, dist double" + "".join(
+        schema = "q_id long, rank int, nb_id long, dist double, _d2 double" + "".join(
             f", {f.name} {f.dataType.simpleString()}" for f in pay_fields)
         return spark.createDataFrame([], schema)
     n_piv = _pivot_count(n_base, max_pivots)
@@ -186,12 +188,16 @@ def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col
     pivots = np.vstack([np.asarray(r[0], dtype=np.float64) for r in piv_rows])
 
     assigned = _assign_cells(b, pivots, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
+    if cached is not None:
+        cached.append(assigned)
     cell_stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dpiv").alias("radius"))
     cell_stats = cell_stats.withColumn("n_chunks", F.ceil(F.col("n") / F.lit(chunk_rows)).cast("long"))
     cells = cell_stats.toPandas()  # one row per pivot: bounded by max_pivots
 
     k_cover = k + (1 if exclude_self else 0)
     cand = _candidate_cells(q, pivots, cells, k_cover, id_col, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
+    if cached is not None:
+        cached.append(cand)
     # queries per cell (one row per cell) -> query blocks, so no group holds an unbounded query side
     qblocks = (cand.where(F.col("_chunk") == 0).groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
                    .select("_cell", F.ceil(F.col("_nq") / F.lit(query_block_rows)).cast("int").alias("_nqb")))
@@ -250,7 +256,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
         qv = reps
     else:  # one row per distinct query vector (partial aggregation collapses hot vectors map-side)
         qv = q.groupBy(feat_col).agg(F.min(id_col).alias(id_col))
-    top = _knn_core(qv, reps, kb, id_col, feat_col, False, (), seed, max_pivots, chunk_rows, query_block_rows)
+    cached: list = []
+    top = _knn_core(qv, reps, kb, id_col, feat_col, False, (), seed, max_pivots, chunk_rows, query_block_rows,
+                    cached)
     expanded = top.select(F.col("q_id").alias("_qrep"), F.col("nb_id").alias("_rep"), "dist", "_d2").join(
         members.select("_rep", F.col(id_col).alias("nb_id"), *payload), "_rep")
     fan = q.join(qv.select(feat_col, F.col(id_col).alias("_qrep")), feat_col).select(
@@ -260,7 +268,13 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
         pairs = pairs.where(F.col("q_id") != F.col("nb_id"))
     w = Window.partitionBy("q_id").orderBy("_d2", "nb_id")  # at most (k+1)^2 rows per query
     ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("q_id", F.col("rank").cast("int").alias("rank"), "nb_id", "dist", *payload)
+    out = ranked.select("q_id", F.col("rank").cast("int").alias("rank"), "nb_id", "dist", *payload)
+    # materialise the (q, k) result in the shared checkpoint folder, then release the cached
+    # intermediates: no cache outlives the call and downstream joins start from a short lineage
+    out = cut_lineage(out)
+    for d in cached:
+        d.unpersist()
+    return out
 
 
 def self_knn(df: DataFrame, k: int, id_col: str = "id", feat_col: str = "features", **kw) -> DataFrame:

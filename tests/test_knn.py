@@ -64,3 +64,9 @@ def test_knn_skips_null_vectors(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None), (4, [5.0])], "id long, features array<double>")
     out = {r.q_id: r.nb_id for r in self_knn(df, 1).collect()}
     assert out == {1: 2, 2: 1, 4: 2}
+
+
+def test_knn_empty_base(spark):
+    q = spark.createDataFrame([(1, [0.0])], "id long, features array<double>")
+    b = spark.createDataFrame([], "id long, features array<double>")
+    assert knn_join(q, b, 3).count() == 0
