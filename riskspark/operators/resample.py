@@ -34,10 +34,14 @@ def _maybe_broadcast(df: DataFrame, n_rows: int, n_cols: int) -> DataFrame:
 
 
 def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[str], k: int = 5,
-                    seed: int = 42) -> DataFrame:
-    """Synthetic rows only: (label, synth_index, parent_id, nb_id, lam, *features, id)."""
+                    seed: int = 42, counts: dict | None = None) -> DataFrame:
+    """Synthetic rows only: (label, synth_index, parent_id, nb_id, lam, *features, id).
+
+    ``counts`` (class -> rows) may be passed when the caller already knows them.
+    """
     feats = list(features)
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counts is None:
+        counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         raise ValueError("empty input")
     top = max(counts.values())
@@ -91,11 +95,11 @@ def spark_range(df: DataFrame, n: int) -> DataFrame:
     return df.sparkSession.range(0, n, 1, max(1, df.sparkSession.sparkContext.defaultParallelism))
 
 
-def smote(df: DataFrame, label: str, id_col: str, features: Sequence[str], k: int = 5, seed: int = 42
-          ) -> DataFrame:
+def smote(df: DataFrame, label: str, id_col: str, features: Sequence[str], k: int = 5, seed: int = 42,
+          counts: dict | None = None) -> DataFrame:
     """K5 + G1: original rows plus synthetic rows, flagged by ``is_synthetic``."""
     feats = list(features)
-    syn = smote_synthetic(df, label, id_col, feats, k, seed)
+    syn = smote_synthetic(df, label, id_col, feats, k, seed, counts)
     orig = df.select(F.col(id_col), F.col(label), *[F.col(c).cast("double") for c in feats],
                      F.lit(False).alias("is_synthetic"))
     return orig.unionByName(syn.select(id_col, label, *feats, F.lit(True).alias("is_synthetic")))

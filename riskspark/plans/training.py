@@ -70,10 +70,12 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     train = split.where(F.col("split") == "train").select(id_col, label, *feature_cols)
     test = split.where(F.col("split") == "test").select(id_col, label, *feature_cols)
     train_raw = train
-    before = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = split.groupBy(label, "split").agg(F.count(F.lit(1)).alias("n")).collect()  # classes x 2 rows
+    before = {r[label]: r["n"] for r in sizes if r["split"] == "train"}
+    n_test = sum(r["n"] for r in sizes if r["split"] == "test")
     after = dict(before)
     if use_smote:
-        train = smote(train, label, id_col, feature_cols, k_smote, seed).drop("is_synthetic")
+        train = smote(train, label, id_col, feature_cols, k_smote, seed, counts=before).drop("is_synthetic")
         if checkpoint:  # the kNN join and synthetic rows are computed once
             train = cut_lineage(train)
         top = max(before.values()) if before else 0
@@ -86,7 +88,6 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     # size the partitions to the data: one MLlib job per optimizer step
     row_bytes = 8 * (2 * len(feature_cols) + 4)
     train_s = right_size(train_s, sum(after.values()), row_bytes)
-    n_test = split.where(F.col("split") == "test").count()
     test_s = right_size(test_s, n_test, row_bytes)
     return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
                     train_raw, split.select(id_col, "split"), use_smote, k_smote, seed)
