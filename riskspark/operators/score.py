@@ -51,15 +51,17 @@ def at_risk_list(scored: DataFrame, p: str, threshold: float, id_col: str, cols:
             .select(*chosen))
 
 
-def score_table(df: DataFrame, bundle, id_col: str, threshold: float = DEFAULT_AT_RISK_THRESHOLD,
-                keep: Sequence[str] | None = None) -> DataFrame:
+def score_table(df: DataFrame, bundle, id_col: str, pct_col: str = "p_pct",
+                level_col: str = "risk_level") -> DataFrame:
     """Score every row with a fitted bundle -> p, rounded %, level (and the original columns).
 
     Encoding, column alignment (B3), scaling and the classifier run as one
     narrow pass of the bundle's PipelineModel (or the kNN join for kNN).
+    ``pct_col`` / ``level_col`` name the outputs (e.g. the HR export's
+    ``Attrition_Probability_%`` and ``Risk_Level``).
     """
     scored = bundle.score(df, id_col)
-    return add_score_bands(scored, "p", threshold=None)
+    return add_score_bands(scored, "p", pct_col=pct_col, level_col=level_col, threshold=None)
 
 
 def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
@@ -90,7 +92,8 @@ def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
 
 def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
                    threshold: float = DEFAULT_AT_RISK_THRESHOLD, show_cols: Sequence[str] | None = None,
-                   out_path: str | None = None, split_ids: DataFrame | None = None) -> dict:
+                   out_path: str | None = None, split_ids: DataFrame | None = None, pct_col: str = "p_pct",
+                   level_col: str = "risk_level") -> dict:
     """Score -> filter -> sort -> columns -> summary, histogram, level counts (-> CSV).
 
     Every row is scored, training rows included (as the reference); pass the
@@ -103,18 +106,18 @@ def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
     from riskspark.functions.columns import RISK_LEVEL_ORDER
     from riskspark.operators.metrics import at_risk_summary
     from riskspark.operators.profile import class_histogram, level_counts
-    scored = score_table(df, bundle, id_col)
-    cols = list(show_cols) if show_cols else [id_col] + [c for c in df.columns if c != id_col] + ["p_pct",
-                                                                                                  "risk_level"]
+    scored = score_table(df, bundle, id_col, pct_col, level_col)
+    cols = list(show_cols) if show_cols else [id_col] + [c for c in df.columns if c != id_col] + [pct_col,
+                                                                                                  level_col]
     if split_ids is not None and "split" not in cols:
         cols.append("split")
-    lst = at_risk_list(scored, "p", threshold, id_col, cols)
+    lst = at_risk_list(scored, "p", threshold, id_col, cols, pct_col=pct_col)
     report = {
         "list": lst,
         "summary": at_risk_summary(scored, "p", threshold, label=label if label in df.columns else None,
-                                   pct_col="p_pct"),
+                                   pct_col=pct_col),
         "histogram": class_histogram(scored, "p", 40),
-        "levels": level_counts(scored, "risk_level", RISK_LEVEL_ORDER),
+        "levels": level_counts(scored, level_col, RISK_LEVEL_ORDER),
     }
     if out_path:
         from riskspark.sources.sinks import write_at_risk
