@@ -49,3 +49,13 @@ def test_split_plan_has_no_single_partition_exchange(spark):
     df = _labelled(spark)
     plan = S.stratified_split(df, "label", "id", 0.2, 1)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_folds_without_shuffle_follow_id_order(spark):
+    rows = [(i * i, i % 4 == 0 and 1 or 0) for i in range(300)]  # clustered, uneven ids
+    df = spark.createDataFrame(rows, "id long, label int")
+    out = S.fold_assign(df, "label", "id", 3, shuffle=False).toPandas()
+    for lab in (0, 1):
+        part = out[out.label == lab].sort_values("id")
+        expect = np.concatenate([np.full(len(a), f) for f, a in enumerate(np.array_split(np.arange(len(part)), 3))])
+        assert list(part["fold"]) == list(expect)
