@@ -8,6 +8,7 @@ encoded once by the ``tokenizers`` library and looked up after that.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -16,7 +17,7 @@ from riskspark.llm.textbuf import distinct, groups, ranges, span_hash
 
 STEP_BYTES = 2 << 20
 #: Distinct pieces that a worker remembers with their ids; beyond that no more are added.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 1_500_000
 JOIN_BYTES = 1 << 16
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -62,12 +63,18 @@ class _Memory:
             return
         new = np.stack([np.cumsum(lengths) - lengths + len(self.bytes), lengths,
                         np.cumsum(n_ids) - n_ids + len(self.ids), n_ids]).astype(np.int32)
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.at = every[order], np.concatenate([self.at, new], axis=1)[:, order]
+        order = np.argsort(hashes, kind="stable")
+        place = np.searchsorted(self.hashes, hashes[order])
+        self.hashes, self.at = np.insert(self.hashes, place, hashes[order]), np.insert(self.at, place, new[:, order], axis=1)
         self.bytes, self.ids = np.concatenate([self.bytes, joined]), np.concatenate([self.ids, ids])
 
 
+@functools.cache
+def encoder(tokenizer_path: str) -> PieceEncoder:
+    """The worker's encoder for a file: later tasks of a worker find the pieces of earlier ones."""
+    return PieceEncoder(tokenizer_path)
+
+
 class PieceEncoder:
     """Ids of whole texts; ``tokenizer_path`` names a byte-level ``tokenizers`` JSON file.
 

@@ -202,8 +202,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from riskspark.llm.tokens import PieceEncoder
-        part, seq, encoder = TaskContext.get().partitionId(), 0, None
+        from riskspark.llm.tokens import encoder
+        part, seq, code = TaskContext.get().partitionId(), 0, encoder(tokenizer_path).encode
         doc_ids, counts, flat, size = [], [], [], 0
 
         def flush():
@@ -216,9 +216,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or PieceEncoder(tokenizer_path)
             keys = batch.column(0).to_pylist()
-            for first, n, ids in encoder.encode(batch.column(1).cast("binary").to_pylist()):
+            for first, n, ids in code(batch.column(1).cast("binary").to_pylist()):
                 doc_ids += keys[first:first + len(n)]
                 counts += (n + 1).tolist()
                 flat.append(np.insert(ids, np.cumsum(n), np.uint32(end_id)))
