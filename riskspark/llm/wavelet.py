@@ -51,7 +51,7 @@ class WaveletMatrix:
             bit = bit.astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
             if level + 1 < levels:
-                seq = np.concatenate([seq[~bit], seq[bit]])
+                seq = np.concatenate([seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]])
         return levels, planes
 
     def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -143,10 +143,10 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             raw = np.frombuffer(self._load(level), dtype=np.uint8)
             bit = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
-            zeros = self.n - int(np.count_nonzero(bit))
+            zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)
             up = np.empty(self.n, dtype=kind)
-            up[~bit] = seq[:zeros]
-            up[bit] = seq[zeros:] | kind(1 << (self.levels - 1 - level))
+            up[zero] = seq[:len(zero)]
+            up[one] = seq[len(zero):] | kind(1 << (self.levels - 1 - level))
             seq = up
         return seq
 
