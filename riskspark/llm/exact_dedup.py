@@ -1,7 +1,7 @@
 """Exact dedup with static binary-fuse filters over an immutable snapshot (operator 7).
 
-The snapshot's SHA-256 digests are cut into buckets by their first bits; each
-bucket's 64-bit keys get a 3-wise binary-fuse filter (Graf and Lemire, 2022)
+The snapshot's SHA-256 digests are cut into buckets by their first digits, one
+for each shuffle partition; a bucket's 64-bit keys get a 3-wise binary-fuse filter (Graf and Lemire, 2022)
 with 16-bit fingerprints, written once to the shared folder. Distinct digests of an incoming
 batch meet their bucket's filter; only positives join the exact buckets, and
 rows with equal digests are compared byte for byte with one text of theirs.
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from riskspark.llm.frames import id_back, id_key, pick, stored
 from riskspark.llm.textbuf import mix64
 
-#: Leading digest bits that name a bucket.
-BUCKET_BITS = 12
 #: Rows of one text that meet one copy of it in the byte check.
 CHECK_ROWS = 64
 FILTER_SCHEMA = "bucket int, seed long, segment long, length long, fingerprints binary"
@@ -84,12 +82,13 @@ class FuseFilter:
         return (self.prints[slots[0]] ^ self.prints[slots[1]] ^ self.prints[slots[2]]) == prints
 
 
-def _bucket(digest):
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % (1 << BUCKET_BITS)
+def _bucket(spark, digest):
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets).cast("int")
 
 
 def _keys(hexes) -> np.ndarray:
-    return np.array([int(x[4:20], 16) for x in hexes], dtype=np.uint64)
+    return np.array([int(x[8:24], 16) for x in hexes], dtype=np.uint64)
 
 
 def snapshot_filters(digests: DataFrame) -> DataFrame:
@@ -101,7 +100,7 @@ def snapshot_filters(digests: DataFrame) -> DataFrame:
         return pd.DataFrame([(key[0], f.seed, f.segment, len(f.prints), f.prints.tobytes())],
                             columns=["bucket", "seed", "segment", "length", "fingerprints"])
 
-    buckets = digests.select("digest").distinct().withColumn("bucket", _bucket(F.col("digest")))
+    buckets = digests.select("digest").distinct().withColumn("bucket", _bucket(digests.sparkSession, F.col("digest")))
     return stored(buckets.groupBy("bucket").applyInPandas(build, FILTER_SCHEMA), "fuse")
 
 
@@ -115,7 +114,7 @@ def screen(digests: DataFrame, filters: DataFrame) -> DataFrame:
         table = np.frombuffer(f["fingerprints"], dtype=np.uint16)
         return left[FuseFilter(int(f["seed"]), int(f["segment"]), table).contains(_keys(left["digest"]))]
 
-    batch = digests.withColumn("bucket", _bucket(F.col("digest")))
+    batch = digests.withColumn("bucket", _bucket(digests.sparkSession, F.col("digest")))
     return (batch.groupBy("bucket").cogroup(filters.groupBy("bucket"))
             .applyInPandas(test, batch.schema).drop("bucket"))
 
@@ -142,7 +141,7 @@ def groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str =
     both = known.select("digest", (F.col("n") + F.col("n2")).alias("n"), F.greatest("top", "top2").alias("top"))
     repeats = stored(both.unionByName(snapshot.where("n > 1").join(both, "digest", "left_anti"))
                      .unionByName(batch.where("n > 1").join(both, "digest", "left_anti")), "repeats")
-    odd = _differing(rows, slim, repeats)
+    odd = stored(_differing(rows, repeats), "odd")
     plain = (slim.join(repeats, "digest", "left")
              .select("id", F.coalesce("top", "id").alias("top"), F.coalesce("n", F.lit(1)).alias("n"), "digest"))
     # true digest collisions, as good as never: their rows are grouped by the text itself
@@ -156,7 +155,7 @@ def groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str =
                     F.col("digest").alias("text_sha256")))
 
 
-def _differing(rows: DataFrame, slim: DataFrame, repeats: DataFrame) -> DataFrame:
+def _differing(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     """Digests of which two rows differ in bytes: every row of a group meets the text of the row that stays.
 
     Rows of large groups are dealt over as many copies of that text as they
