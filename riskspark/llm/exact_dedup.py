@@ -162,10 +162,11 @@ def _differing(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     need, so no task gets a whole group.
     """
     shares = F.ceil(F.col("n") / CHECK_ROWS).cast("int")
-    member = (rows.withColumn("digest", F.sha2("text", 256))
-              .join(repeats.select("digest", "n", "top"), "digest")
-              .select("digest", "id", "text", "n", "top",
-                      F.pmod(F.xxhash64("id", "old"), shares).cast("int").alias("share")))
+    # a merge join at every size: the list of repeated digests grows with the corpus and is never broadcast
+    member = stored(rows.withColumn("digest", F.sha2("text", 256))
+                    .join(repeats.select("digest", "n", "top").hint("merge"), "digest")
+                    .select("digest", "id", "text", "n", "top",
+                            F.pmod(F.xxhash64("id", "old"), shares).cast("int").alias("share")), "members")
     first = (member.where(F.col("id") == F.col("top"))
              .groupBy("digest", "n").agg(F.min("text").alias("stay"))
              .select("digest", "stay", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")))
