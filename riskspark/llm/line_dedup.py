@@ -214,8 +214,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 .groupBy("id").agg(F.collect_list("hashes").alias("wanted")))
     lines = stored(rows.join(suspects, "id").select("id", "text", "wanted")
                    .mapInArrow(_suspect_lines(min_points), "id long, key string"), "suspects")
-    common = (lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-              .where(F.col("n") >= min_docs))
+    # written first: the join below then deals both sides out afresh, and a key that many documents hold can be split
+    common = stored(lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
+                    .where(F.col("n") >= min_docs), "common")
     drops = (lines.join(common, "key").where(F.col("id") != F.col("top"))
              .groupBy("id").agg(F.collect_set("key").alias("gone")))
     kept = rows.join(drops, "id", "left").select("id", "text", "gone").mapInArrow(
