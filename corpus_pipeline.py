@@ -18,7 +18,7 @@ from riskspark.llm.queries import END_ID, table, tokenizer_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model rejects go; it learns from the labels of this stage's documents."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, toxicity.grades(table(spark, sf_dir, "labels"))))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels"))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

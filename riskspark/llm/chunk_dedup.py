@@ -101,15 +101,15 @@ def _digests(raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
                          dtype="<u8").reshape(-1, 2)
 
 
-def _distinct(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(one row of each distinct digest in order, inverse, counts)."""
+def _distinct(d: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(one row of each distinct digest in order, inverse, their number)."""
     order = np.lexsort((d[:, 1], d[:, 0]))
     ranked = d[order]
     new = np.ones(len(d), dtype=bool)
     new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
     inverse = np.empty(len(d), dtype=np.int64)
     inverse[order] = np.cumsum(new) - 1
-    return ranked[new], inverse, np.bincount(inverse, minlength=int(new.sum()))
+    return ranked[new], inverse, int(new.sum())
 
 
 def _tables(rows: DataFrame, owners: int) -> DataFrame:
@@ -129,9 +129,14 @@ def _tables(rows: DataFrame, owners: int) -> DataFrame:
                 per_text, ends = chunk_ends(texts)
                 buf = np.frombuffer(b"".join(texts), dtype=np.uint8)
                 starts = np.append(0, ends)[:-1]
-                found, place, counts = _distinct(_digests(buf.tobytes(), starts.tolist(), ends.tolist()))
+                found, place, _ = _distinct(_digests(buf.tobytes(), starts.tolist(), ends.tolist()))
+                of = np.repeat(np.arange(len(texts)), per_text)
+                low, high = np.full(len(found), len(texts)), np.full(len(found), -1)
+                np.minimum.at(low, place, of)
+                np.maximum.at(high, place, of)
+                counts = 1 + (high > low)  # documents of the block that hold it: one or more
                 holder = np.full(len(found), np.iinfo(np.int64).max)
-                np.minimum.at(holder, place, np.repeat(ids[doc], per_text))
+                np.minimum.at(holder, place, ids[doc][of])
                 owner = (found[:, 0] >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
                 base = np.searchsorted(owner, np.arange(owners + 1))
                 have = np.flatnonzero(np.diff(base))
@@ -142,7 +147,7 @@ def _tables(rows: DataFrame, owners: int) -> DataFrame:
                       "e": pack(_word_starts(buf, ends).astype("<u2")), "f": pack(place.astype("<u4"))}]
                     + [{"kind": 1, "part": part, "seq": seq, "owner": int(o), "base": int(base[o]),
                         "a": found[base[o]:base[o + 1]].tobytes(),
-                        "b": pack(np.minimum(counts[base[o]:base[o + 1]], 2).astype(np.uint8)),
+                        "b": pack(counts[base[o]:base[o + 1]].astype(np.uint8)),
                         "c": pack(holder[base[o]:base[o + 1]]), "d": None, "e": None, "f": None}
                        for o in have.tolist()],
                     schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()),
@@ -164,7 +169,7 @@ def _answer(pdf):
     d = np.frombuffer(b"".join(blobs), dtype="<u8").reshape(-1, 2)
     count = np.frombuffer(b"".join(z.decompress(b) for b in pdf["counts"]), dtype=np.uint8)
     doc = np.frombuffer(b"".join(z.decompress(b) for b in pdf["docs"]), dtype="<i8")
-    found, place, blocks = _distinct(d)
+    found, place, _ = _distinct(d)
     low = np.full(len(found), np.iinfo(np.int64).max)
     np.minimum.at(low, place, doc)
     repeated = (np.bincount(place, weights=count, minlength=len(found)) >= 2)[place]
@@ -205,11 +210,7 @@ def _decide(min_words: int):
             ends = np.cumsum(sizes)
             text_end = np.append(0, np.cumsum(np.bincount(doc, weights=sizes, minlength=len(ids)))).astype(np.int64)
             flag = repeat[place]
-            # a chunk seen before in its own document is dropped there too, but for its first place
-            _, seen = np.unique(np.stack([doc, place]), axis=1, return_index=True) if len(place) else (0, [])
-            again = np.ones(len(place), dtype=bool)
-            again[seen] = False
-            drop = flag & ((holder[place] != ids[doc]) | again)
+            drop = flag & (holder[place] != ids[doc])
             total = np.append(0, np.cumsum(words))
             spans = {}
             for name, what in (("all", flag), ("drop", drop)):
@@ -239,9 +240,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                       min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of ``docs`` with its repeated and dropped byte spans (UTF-8 offsets).
 
-    Columns: doc_id, text_key (xxhash64 of the text), n_chunks, n_repeated (chunks that occur again somewhere),
-    repeated_words and longest_run_words (of runs of at least ``min_words``), dropped_words (of runs that an
-    earlier place keeps), keep_ids (documents that keep them), repeated_spans, dropped_spans. Null or empty text
+    Columns: doc_id, text_key (xxhash64 of the text), n_chunks, n_repeated (chunks that another document holds too),
+    repeated_words and longest_run_words (of runs of at least ``min_words``), dropped_words (of runs that a
+    document with a smaller id keeps), keep_ids (documents that keep them), repeated_spans, dropped_spans. Null or empty text
     has no chunks. Rows that share a doc_id (null ids share the smallest one) keep a repeated passage each.
     """
     spark = docs.sparkSession

@@ -19,7 +19,7 @@ from riskspark.llm.frames import pick
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 4_000
 DICT_BYTES = 256 << 10
-LEVEL = 3
+LEVEL = 9
 BLOCK_CHARS = 4_096
 #: A relative lead of the best language below this marks the row as rejected.
 MIN_MARGIN = 0.01
@@ -37,18 +37,25 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Dictionary content per language, the most frequent language first.
 
     Learns from rows with text and language for which ``learn`` (over doc_id) holds: per language the
-    ``sample_docs`` rows with the smallest hash of their id, the head of each; per-task pre-limits keep the
-    shuffle small.
+    ``sample_docs`` rows with the smallest hash of their id, the head of each. Memory is bounded by the number of
+    languages.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(learn, F.lit(False)))
+    share = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not share:
+        return {}
+    # a hash limit per language lets about three times the sample through, however large the corpus is
+    limits = docs.sparkSession.createDataFrame(
+        [(lang, min(1.0, 3 * sample_docs / n)) for lang, n in share.items()], "lang string, share double")
+    place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "head")
-    best = (rows.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("head"))
+    best = (rows.join(F.broadcast(limits), "lang").where(place <= F.col("share"))
+            .select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("head"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs))
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in best.select("lang", "rank", "head").toLocalIterator():
         texts.setdefault(row["lang"], []).append((row["rank"], normalise(row["head"])))
-    share = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     out = {}
     for lang in sorted(texts, key=lambda x: (-share[x], x)):
         raw = " ".join(t for _, t in sorted(texts[lang], reverse=True)).encode()  # the first samples end nearest

@@ -2,8 +2,8 @@
 
 1. Document frequencies of words are counted over all documents into a table of
    2**SLOT_BITS hashed slots (its size is fixed, so it can be sent to every task).
-   A shingle is five consecutive words; its weight is its count in the text times the
-   mean inverse document frequency of its words.
+   A shingle is five consecutive words; its weight is 1 + ln(count in the text) times the
+   mean normalised inverse document frequency of its words.
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples (Ioffe, 2010). Two
    texts agree on a sample with probability equal to their weighted Jaccard
    similarity. Texts that agree on all samples of a band share a bucket.
@@ -80,7 +80,7 @@ def shingles(counts: np.ndarray, hashes: np.ndarray, idf: np.ndarray):
     new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
     tf = np.diff(np.append(first, len(key)))
-    return owner[first], key[first], tf * mean[first]
+    return owner[first], key[first], (1 + np.log(tf)) * mean[first]
 
 
 def samples(owner: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +120,8 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def word_idf(rows: DataFrame) -> np.ndarray:
-    """ln((N + 1) / (df + 1)) + 1 for every slot of word hashes, df over all documents."""
+    """1 + ln((N + 1) / (df + 1)) / ln(N + 1) for every slot of word hashes, df over all documents: between 1 for a
+    word of every document and 2."""
     part = 1 << 12
 
     def count(batches):
@@ -151,7 +152,7 @@ def word_idf(rows: DataFrame) -> np.ndarray:
     df = np.concatenate([np.frombuffer(got[b], dtype=np.int64) if b in got else np.zeros(part, dtype=np.int64)
                          for b in range((1 << SLOT_BITS) // part)])
     n = int(np.frombuffer(got[-1], dtype=np.int64)[0]) if -1 in got else 0
-    return (np.log((n + 1) / (df + 1)) + 1).clip(min=1e-3).astype(np.float32)
+    return (1 + np.log((n + 1) / (df + 1)) / max(np.log(n + 1), 1e-9)).clip(min=1e-3).astype(np.float32)
 
 
 def signatures(rows: DataFrame, idf, bands: int, per_band: int) -> DataFrame:

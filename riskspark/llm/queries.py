@@ -58,7 +58,7 @@ def op5_chunk_dedup(spark, sf_dir):
 
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs, toxicity.grades(table(spark, sf_dir, "labels")))
+    model = toxicity.fit(docs, toxicity.toxic_labels(table(spark, sf_dir, "labels")))
     return toxicity.severity(docs, model)
 
 

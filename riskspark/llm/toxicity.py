@@ -1,6 +1,7 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features (operator 6).
 
-Severity grades are ordered 0 < 1 < ... < G. One weight vector over word
+Severity grades are ordered 0 < 1 < 2; the labels only tell toxic from not, so
+toxic rows are graded by how many kinds of marker words they hold. One weight vector over word
 features is shared by all thresholds: P(grade > j) = sigmoid(x.w - theta_j),
 theta increasing. A document's expected severity is the sum of these
 probabilities. Features are word hashes (64 bits), present or absent; the fit
@@ -15,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.llm.frames import pick
-from riskspark.llm.textbuf import words_of
+from riskspark.llm.textbuf import mix64, words_of
 
 #: Bound of the labelled sample; all labelled rows are used while there are fewer.
 SAMPLE_DOCS = 20_000
 MAX_FEATURES = 2_048
 MIN_DOCS = 5
 #: Penalty of squared weights, and steps of the optimiser.
-RIDGE = 1.0
+RIDGE = 0.05
 STEPS = 400
 #: A document is rejected if grade 1 or worse is at least this likely.
 REJECT = 0.5
@@ -50,19 +51,16 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-z))
 
 
-def grades(labels: DataFrame, id_col: str = "doc_id", toxic_col: str = "toxic", quality_col: str = "quality") -> DataFrame:
-    """(doc_id, grade) from the labels: 0 not toxic, 1 toxic, 2 toxic and of poor quality.
-
-    Rows without an id or a toxic label are left out; of several rows of an id the highest grade counts.
-    """
-    rows = pick(labels, doc_id=id_col, toxic=toxic_col, quality=quality_col)
-    grade = F.when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)
+def toxic_labels(labels: DataFrame, id_col: str = "doc_id", toxic_col: str = "toxic") -> DataFrame:
+    """(doc_id, toxic) from the labels, 0 or 1. Rows without an id or a label are left out; of several rows of an id
+    the highest label counts."""
+    rows = pick(labels, doc_id=id_col, toxic=toxic_col)
     return (rows.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-            .groupBy("doc_id").agg(F.max(grade).alias("grade")))
+            .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
 
 
 def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, bound: int):
-    """Grades and distinct word hashes of the ``bound`` labelled rows with the smallest id hash, one per text."""
+    """Labels and distinct word hashes of the ``bound`` labelled rows with the smallest id hash, one per text."""
 
     def words(batches):
         import pyarrow as pa
@@ -73,47 +71,101 @@ def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, boun
                 rows = [np.unique(hashes[s:e]).tobytes() for s, e in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(n)), marks.slice(first, len(n)), pa.array(rows, pa.binary())],
-                    names=["key", "grade", "words"])
+                    names=["key", "toxic", "words"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
     keyed = (rows.join(graded, "doc_id")
-             .select(F.xxhash64("doc_id").alias("key"), F.col("grade").cast("int"), F.col("text").cast("string"),
+             .select(F.xxhash64("doc_id").alias("key"), F.col("toxic").cast("int"), F.col("text").cast("string"),
                      F.xxhash64("text").alias("same")))
     chosen = keyed.select("key", "same").groupBy("same").agg(F.min("key").alias("key")).orderBy("key").limit(bound)
-    picked = keyed.join(chosen, ["key", "same"], "left_semi").select("key", "grade", "text")
-    got = picked.mapInArrow(words, "key long, grade int, words binary")
-    out = sorted((r["key"], r["grade"], bytes(r["words"])) for r in got.toLocalIterator())
+    picked = keyed.join(chosen, ["key", "same"], "left_semi").select("key", "toxic", "text")
+    got = picked.mapInArrow(words, "key long, toxic int, words binary")
+    out = sorted((r["key"], r["toxic"], bytes(r["words"])) for r in got.toLocalIterator())
     return np.array([g for _, g, _ in out], dtype=np.int64), [np.frombuffer(w, dtype="<u8") for _, _, w in out]
 
 
-def _select(grade: np.ndarray, words: list[np.ndarray], max_features: int, min_docs: int):
-    """The words whose share differs most between grade 0 and the rest, and the (doc, feature) pairs they occur in."""
+def _alike(words: list[np.ndarray], bands: int = 10, rows: int = 3) -> np.ndarray:
+    """Weight of each text: one over the size of its group of near copies within the sample.
+
+    Texts that agree on three min-hashes over their rare words (in 1 % of the texts at most) are grouped.
+    """
+    n = np.array([len(w) for w in words], dtype=np.int64)
+    if not n.sum():
+        return np.ones(len(words))
+    flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), n)
+    _, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    rare = np.flatnonzero(df[inverse] <= max(2, len(words) // 100))
+    flat, doc = flat[rare], doc[rare]
+    if not len(flat):
+        return np.ones(len(words))
+    start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    label = np.arange(len(words))
+    keys = []
+    for band in range(bands):
+        key = np.zeros(len(start), dtype=np.uint64)
+        for row in range(rows):
+            low = np.minimum.reduceat(mix64(flat + np.uint64(1 + band * rows + row)), start)
+            key = mix64(key ^ low)
+        keys.append(np.unique(key, return_inverse=True)[1])
+    own = doc[start]
+    while True:
+        before = label.copy()
+        for key in keys:
+            low = np.full(len(start), len(words))
+            np.minimum.at(low, key, label[own])
+            label[own] = np.minimum(label[own], low[key])
+        if (label == before).all():
+            break
+    return 1 / np.bincount(label, minlength=len(words))[label]
+
+
+def _grade(toxic: np.ndarray, words: list[np.ndarray], features: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Severity grades: 0 for not toxic; a toxic row is 1, or 2 if it holds more kinds of marker words than half of
+    the toxic rows with any. Markers are the selected words that speak for toxic."""
+    marks = features[good]
+    kinds = np.array([int(np.isin(w, marks).sum()) for w in words])
+    some = kinds[(toxic > 0) & (kinds > 0)]
+    middle = np.median(some) if len(some) else 0
+    return np.where(toxic > 0, np.where((kinds > middle) & (kinds > 1), 2, 1), 0)
+
+
+def _select(toxic: np.ndarray, words: list[np.ndarray], once: np.ndarray, max_features: int, min_docs: int):
+    """The words that tell toxic rows apart beyond chance, whether they speak for toxic, and their (doc, feature) pairs.
+
+    Twice the log-likelihood ratio of a word's share must exceed what the best of all words reaches by chance, so
+    a label without a trace in the words leaves none. Near copies of a text count as one.
+    """
     n = np.array([len(w) for w in words], dtype=np.int64)
     flat = np.concatenate(words) if len(words) else np.zeros(0, dtype=np.uint64)
     doc = np.repeat(np.arange(len(words)), n)
     found, inverse = np.unique(flat, return_inverse=True)
-    bad = np.bincount(inverse, weights=(grade > 0)[doc], minlength=len(found))
-    every = np.bincount(inverse, minlength=len(found))
-    total, total_bad = max(len(grade), 1), int((grade > 0).sum())
-    expect = every * total_bad / total
-    spread = np.maximum(expect * (1 - every / total), 0.25)
-    z = (bad - expect) / np.sqrt(spread)
-    z[every < min_docs] = 0
-    best = np.sort(np.argsort(-np.abs(z), kind="stable")[:max_features])
-    best = best[z[best] != 0]
+    bad = np.bincount(inverse, weights=((toxic > 0) * once)[doc], minlength=len(found))
+    every = np.bincount(inverse, weights=once[doc], minlength=len(found))
+    share = float(((toxic > 0) * once).sum() / max(once.sum(), 1e-9))
+    good = every - bad
+    with np.errstate(divide="ignore", invalid="ignore"):
+        g = 2 * (np.where(bad > 0, bad * np.log(bad / (every * share)), 0)
+                 + np.where(good > 0, good * np.log(good / (every * (1 - share))), 0))
+    g[every < min_docs] = 0
+    limit = 2 * np.log(10 * max(len(found), 1))
+    best = np.argsort(-g, kind="stable")[:max_features]
+    best = np.sort(best[g[best] > limit])
     place = np.full(len(found), -1)
     place[best] = np.arange(len(best))
-    hit = place[inverse] >= 0
-    return found[best], doc[hit], place[inverse][hit]
+    hit = np.flatnonzero(place[inverse] >= 0)
+    return found[best], bad[best] > every[best] * share, doc[hit], place[inverse][hit]
 
 
-def fit_sample(grade: np.ndarray, words: list[np.ndarray], max_features: int = MAX_FEATURES,
+def fit_sample(toxic: np.ndarray, words: list[np.ndarray], max_features: int = MAX_FEATURES,
                min_docs: int = MIN_DOCS, ridge: float = RIDGE, steps: int = STEPS) -> OrdinalModel:
     """Maximum penalised likelihood of the proportional-odds model, by Adam steps on the whole sample."""
-    top = int(grade.max()) if len(grade) else 0
-    if top == 0 or (grade == 0).sum() == 0:
-        return OrdinalModel(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(max(top, 1), 40.0 if top == 0 else -40.0))
-    features, doc, col = _select(grade, words, max_features, min_docs)
+    if not len(toxic) or (toxic > 0).all() or not (toxic > 0).any():
+        never = 40.0 if not (toxic > 0).any() else -40.0
+        return OrdinalModel(np.zeros(0, dtype=np.uint64), np.zeros(0), np.array([never]))
+    once = _alike(words)
+    features, speaks, doc, col = _select(toxic, words, once, max_features, min_docs)
+    grade = _grade(toxic, words, features, speaks)
+    top = int(grade.max())
     share = np.array([(grade > j).mean() for j in range(top)])
     share = np.minimum.accumulate(np.clip(share, 1e-6, 1 - 1e-6))
     theta = np.log((1 - share) / share)
@@ -130,7 +182,8 @@ def fit_sample(grade: np.ndarray, words: list[np.ndarray], max_features: int = M
         p = np.maximum(edge[rows, grade] - edge[rows, grade + 1], 1e-12)
         slope = edge * (1 - edge)
         d_low, d_high = slope[rows, grade] / p, slope[rows, grade + 1] / p
-        gx = -(d_low - d_high)
+        d_low, d_high = d_low * once, d_high * once
+        gx = d_high - d_low
         d_theta = np.zeros(top)
         np.add.at(d_theta, grade[grade > 0] - 1, d_low[grade > 0])
         np.add.at(d_theta, grade[grade < top], -d_high[grade < top])
