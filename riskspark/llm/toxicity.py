@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import pick
+from riskspark.llm.frames import bounded_batches, pick, stored
 from riskspark.llm.textbuf import mix64, words_of
 
 #: Bound of the labelled sample; all labelled rows are used while there are fewer.
@@ -60,7 +60,7 @@ def toxic_labels(labels: DataFrame, id_col: str = "doc_id", toxic_col: str = "to
 
 
 def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, bound: int):
-    """Labels and distinct word hashes of the ``bound`` labelled rows with the smallest id hash, one per text."""
+    """Labels and distinct word hashes of the ``bound`` labelled rows with the smallest id hash."""
 
     def words(batches):
         import pyarrow as pa
@@ -74,11 +74,15 @@ def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, boun
                     names=["key", "toxic", "words"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).where(F.col("text").isNotNull())
-    keyed = (rows.join(graded, "doc_id")
-             .select(F.xxhash64("doc_id").alias("key"), F.col("toxic").cast("int"), F.col("text").cast("string"),
-                     F.xxhash64("text").alias("same")))
-    chosen = keyed.select("key", "same").groupBy("same").agg(F.min("key").alias("key")).orderBy("key").limit(bound)
-    picked = keyed.join(chosen, ["key", "same"], "left_semi").select("key", "toxic", "text")
+    # the labels of rows at hand; a hash limit lets little more than the bound through, so the limit and the
+    # broadcast below are of a known size whatever the number of labels
+    place = F.xxhash64("doc_id")
+    here = stored(graded.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled")
+    share = min(1.0, 1.2 * bound / max(here.count(), 1))
+    chosen = (here.where(place.cast("double") / float(1 << 64) + 0.5 <= share)
+              .orderBy(place, "doc_id").limit(bound))
+    picked = (rows.join(F.broadcast(chosen), "doc_id")
+              .select(place.alias("key"), F.col("toxic").cast("int"), F.col("text").cast("string")))
     got = picked.mapInArrow(words, "key long, toxic int, words binary")
     out = sorted((r["key"], r["toxic"], bytes(r["words"])) for r in got.toLocalIterator())
     return np.array([g for _, g, _ in out], dtype=np.int64), [np.frombuffer(w, dtype="<u8") for _, _, w in out]
@@ -237,6 +241,7 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = REJECT) -> DataFrame:
     """The rows of ``docs``, all columns, that the model doesn't reject: a filter where the rows are read."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
