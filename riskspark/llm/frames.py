@@ -13,12 +13,22 @@ from riskspark.session import ensure_checkpoint_dir
 NULL_ID = -(1 << 63)
 
 
+#: Bytes of rows that Spark hands a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes for the session: rows hold whole texts, so a bound in rows bounds no memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the columns an operator needs, under its own names: other columns can't clash."""
+    bounded_batches(df.sparkSession)
     return df.select(*[quoted(old).alias(new) for new, old in columns.items()])
 
 
