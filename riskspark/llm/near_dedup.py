@@ -7,14 +7,12 @@
 2. Each text gets ``BANDS * ROWS`` consistent weighted samples (Ioffe, 2010). Two
    texts agree on a sample with probability equal to their weighted Jaccard
    similarity. Texts that agree on all samples of a band share a bucket.
-3. Pairs of a bucket are verified by their exact weighted Jaccard similarity. Only
-   pairs that can still join two classes matter: first every text meets its
-   bucket's first text, and links form classes; then texts of one bucket that are in
-   different classes meet their most similar partners by sample agreement, a few,
-   then more, at last all, until no such pair is left unverified.
-
-Large buckets are split into tiles, each text of a tile meeting the texts of another,
-so no task gets a whole hot bucket; copies of a text take part once.
+3. Texts connected through buckets form a family. A family meets in one task, or, if it is large, tile by tile, every
+   tile holding two bounded parts of it, so that all pairs of a family are looked at and no task gets a whole hot
+   family. Pairs whose samples agree often enough are verified by their exact weighted Jaccard similarity, the
+   closest first and only while they are in different classes. A tile returns the links that join classes, no pairs.
+
+Copies of a text take part once.
 """
 
 from __future__ import annotations
@@ -33,11 +31,8 @@ SLOT_BITS = 18
 STEP_BYTES = 1 << 20
 #: Sample agreement below the threshold by more than this (over 3 standard deviations) rules a pair out.
 SLACK = 0.17
-#: Texts of a bucket that meet in one tile, and partners a text may get in another class in each round.
-TILE = 1_024
-PARTNERS = (4, 64, TILE * 2)
-#: Pairs that one group of the verification holds, and pairs of one text in it.
-GROUP_PAIRS, HUB_PAIRS = 400, 256
+#: Bounds of one part of a tile, in texts and in bytes, and bytes of tiles that one group of rows holds.
+PART_TEXTS, PART_BYTES, GROUP_BYTES = 512, 4 << 20, 4 << 20
 _TABLE = 1 << 16
 _ODD = mix64(np.arange(1, 600, dtype=np.uint64)) | np.uint64(1)
 
@@ -209,67 +204,83 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(low / (a[1].sum() + b[1].sum() - low))
 
 
-def verify(pairs: DataFrame, n_pairs: int, texts: DataFrame, idf, threshold: float) -> DataFrame:
-    """The (hub, spoke) pairs whose weighted Jaccard similarity reaches the threshold, with it."""
-    n_groups = max(1, -(-n_pairs // GROUP_PAIRS))
-    counts = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    dealt = (pairs.join(counts, "hub")
-             .withColumn("salt", F.pmod(F.xxhash64("spoke"), F.ceil(F.col("n") / HUB_PAIRS)))
-             .withColumn("g", F.pmod(F.xxhash64("hub", "salt"), F.lit(n_groups))).select("g", "hub", "salt", "spoke"))
-    spokes = dealt.join(texts.withColumnRenamed("tid", "spoke"), "spoke").select("g", "hub", "spoke", "text").toDF("g", "hub", "spoke", "text")
-    hubs = (dealt.select("g", "hub").distinct().join(texts.withColumnRenamed("tid", "hub"), "hub")
-            .select("g", "hub", "text").toDF("g", "hub", "text"))
+def links_of(agree: np.ndarray, side: np.ndarray, vectors, threshold: float, slack: float) -> list[tuple[int, int, float]]:
+    """Links (x, y, similarity) that join classes among the texts of a tile.
+
+    ``side`` tells the tile's two parts; if there are two, only pairs across them are looked at.
+    """
+    n = len(agree)
+    across = side.min() != side.max()
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left, right, share = [], [], []
+    for x in range(n):
+        others = np.flatnonzero(side != side[x]) if across else np.arange(x + 1, n)
+        others = others[others > x]
+        same = (agree[others] == agree[x]).mean(axis=1)
+        near = np.flatnonzero(same >= threshold - slack)
+        left.append(np.full(len(near), x))
+        right.append(others[near])
+        share.append(same[near])
+    left, right = np.concatenate(left), np.concatenate(right)
+    order = np.argsort(-np.concatenate(share), kind="stable")
+    known, out = {}, []
+    for x, y in zip(left[order].tolist(), right[order].tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a == b:
+            continue
+        for i in (x, y):
+            if i not in known:
+                known[i] = vectors(i)
+        similarity = jaccard(known[x], known[y])
+        if similarity >= threshold:
+            parent[a] = b
+            out.append((x, y, similarity))
+    return out
 
-    def check(left, right):
-        import pandas as pd
-        table = idf.value
 
-        def vectors(texts):
-            for _, n, hashes in words_of(texts, STEP_BYTES):
-                owner, key, weight = shingles(n, hashes, table)
-                at = np.searchsorted(owner, np.arange(len(n) + 1))
-                for s, e in zip(at, at[1:], strict=False):
-                    yield key[s:e], weight[s:e]
-        hub = dict(zip(right["hub"], vectors(right["text"]), strict=True))
-        out = [(h, s, jaccard(hub[h], v)) for h, s, v in
-               zip(left["hub"], left["spoke"], vectors(left["text"]), strict=True)]
-        return pd.DataFrame([x for x in out if x[2] >= threshold], columns=["hub", "spoke", "similarity"])
-
-    return (spokes.groupBy("g").cogroup(hubs.groupBy("g"))
-            .applyInPandas(check, "hub binary, spoke binary, similarity double"))
-
-
-def _residual(members: DataFrame, partners: int, lowest: float) -> DataFrame:
-    """Pairs of different classes in one bucket that agree on enough samples, the closest ``partners`` of each text
-    in each other class. ``members``: key, tid, comp, n, agree, only of buckets with several classes."""
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = (members.withColumn("t", tiles).withColumn("own", F.pmod(F.xxhash64("tid"), F.col("t")).cast("int"))
+def family_links(members: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(u, v, similarity): verified links that connect the classes of every family.
+
+    ``members``: tid, family; ``texts``: tid, agree, text, size (bytes).
+    """
+    sizes = stored(members.join(texts.select("tid", "size"), "tid").groupBy("family").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / PART_TEXTS), F.ceil(F.sum("size") / PART_BYTES)).cast("int").alias("t"),
+        F.sum("size").alias("size")), "families")
+    total = sizes.agg(F.sum(F.col("size") * F.col("t"))).first()[0] or 0
+    groups = max(1, -(-int(total) // GROUP_BYTES))
+    dealt = (members.join(sizes.select("family", "t"), "family")
+             .withColumn("own", F.pmod(F.xxhash64("tid"), F.col("t")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-             .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "comp",
-                     "agree"))
-    n = members.count()
-    dealt = dealt.withColumn("g", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, n // 3000))))
+             .select("tid", "family", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+             .withColumn("g", F.pmod(F.xxhash64("family", "i", "j"), F.lit(groups))))
 
-    def pair(pdf):
+    def meet(pdf):
         import pandas as pd
-        out = []
-        for _, part in pdf.groupby(["key", "i", "j"], sort=False):
-            tid, comp = part["tid"].tolist(), part["comp"].tolist()
-            code = {c: x for x, c in enumerate(sorted(set(comp)))}
-            if len(code) < 2:
+        table, out = idf.value, []
+        for _, part in pdf.groupby(["family", "i", "j"], sort=False):
+            if len(part) < 2:
                 continue
-            comp = np.array([code[c] for c in comp])
-            agree = np.stack([np.frombuffer(a, dtype="<u2") for a in part["agree"]])
-            for x in range(len(tid)):
-                share = (agree == agree[x]).mean(axis=1)
-                near = np.flatnonzero((share >= lowest) & (comp != comp[x]))
-                near = near[np.lexsort((near, -share[near], comp[near]))]
-                begin = np.flatnonzero(np.append(True, np.diff(comp[near]) != 0)) if len(near) else near
-                rank = np.arange(len(near)) - np.repeat(begin, np.diff(np.append(begin, len(near))))
-                out += [(min(tid[x], tid[y]), max(tid[x], tid[y])) for y in near[rank < partners].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["hub", "spoke"])
+            part = part.sort_values("tid", kind="stable")
+            tid, text = part["tid"].tolist(), part["text"].tolist()
+            agree = np.stack([np.frombuffer(x, dtype="<u2") for x in part["agree"]])
+
+            def vectors(i, text=text):
+                hashes = np.concatenate([h for _, _, h in words_of([text[i]], STEP_BYTES)])
+                return shingles(np.array([len(hashes)]), hashes, table)[1:]
 
-    return dealt.groupBy("g").applyInPandas(pair, "hub binary, spoke binary").distinct()
+            out += [(tid[x], tid[y], s) for x, y, s in
+                    links_of(agree, part["own"].to_numpy(), vectors, threshold, SLACK)]
+        return pd.DataFrame(out, columns=["u", "v", "similarity"])
+
+    return (dealt.join(texts.select("tid", "agree", "text"), "tid").groupBy("g")
+            .applyInPandas(meet, "u binary, v binary, similarity double"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
@@ -279,7 +290,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Classes are the connected components of the links of at least ``threshold`` weighted Jaccard similarity; equal
     texts are one class. class_id is the smallest doc_id of a class, ``kept`` the row of that id. Null and wordless
     texts are in no group: each is its own class. Null ids count as smallest. At similarity 0.8 a pair shares a
-    bucket with probability 0.9998, a closer pair with more. ``text_id`` holds 16 bytes of the text's SHA-256.
+    bucket with probability 0.9998 and agrees on enough samples with 0.9995, a closer pair with more. ``text_id`` holds 16 bytes of the text's SHA-256.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_col, text=text_col).select(
@@ -289,37 +300,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = stored(signatures(rows, idf, bands, per_band), "signatures")
     unique = signed.where(F.col("agree").isNotNull()).groupBy("tid").agg(
         F.first("agree").alias("agree"), F.first("keys").alias("keys"))
-    keyed = unique.select("tid", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("first")).where("n > 1")
-    members = stored(keyed.join(shared, "key"), "buckets")
-    near = members.select("tid").distinct()
-    texts = stored(rows.join(near, "tid", "left_semi").groupBy("tid").agg(F.min("text").alias("text")), "texts")
-    agree = stored(unique.select("tid", "agree").join(near, "tid", "left_semi"), "agree")
-    labels = near.withColumn("comp", F.col("tid"))
-    tested = None
-    for partners in (0, *PARTNERS):
-        if partners:
-            mixed = (members.join(labels, "tid").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                     .where("lo != hi").select("key"))
-            open_ = members.join(mixed, "key", "left_semi").join(labels, "tid").join(agree, "tid")
-            pairs = _residual(open_.select("key", "tid", "comp", "n", "agree"), partners, threshold - SLACK)
-            pairs = pairs.join(tested, ["hub", "spoke"], "left_anti")
-        else:
-            pairs = (members.where("tid != first")
-                     .select(F.col("first").alias("hub"), F.col("tid").alias("spoke")).distinct())
-        pairs = stored(pairs, "pairs")
-        n_pairs = pairs.count()
-        if not n_pairs:
-            if partners == PARTNERS[-1] or not partners:
-                break
-            continue
-        links = verify(pairs, n_pairs, texts, idf, threshold)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        own = labels.select(F.col("tid").alias("hub"), F.col("comp").alias("u"))
-        other = labels.select(F.col("tid").alias("spoke"), F.col("comp").alias("v"))
-        joined = components(links.join(own, "hub").join(other, "spoke").select("u", "v"))
-        labels = stored(labels.join(joined, labels["comp"] == joined["node"], "left")
-                        .select("tid", F.coalesce(joined["comp"], labels["comp"]).alias("comp")), "labels")
+    keyed = stored(unique.select("tid", F.explode("keys").alias("key")), "keys")
+    shared = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("first"))
+                    .where("n > 1").select("key", "first"), "buckets")
+    families = components(keyed.join(shared, "key").where("tid != first")
+                          .select(F.col("tid").alias("u"), F.col("first").alias("v")))
+    members = stored(families.select(F.col("node").alias("tid"), F.col("comp").alias("family"))
+                     .unionByName(families.select(F.col("comp").alias("tid"), F.col("comp").alias("family")).distinct()),
+                     "members")
+    # a merge join at every size: the list of texts with a neighbour grows with the corpus and is never broadcast
+    texts = stored(rows.join(members.select("tid").hint("merge"), "tid").groupBy("tid").agg(F.min("text").alias("text"))
+                   .join(unique.select("tid", "agree"), "tid")
+                   .select("tid", "agree", "text", F.octet_length("text").alias("size")), "texts")
+    links = stored(family_links(members, texts, idf, threshold), "links")
+    joined = components(links.select("u", "v"))
+    labels = joined.select(F.col("node").alias("tid"), "comp")
     # a wordless text is alone: its rows get no class key
     placed = (signed.select("id", "tid", F.col("agree").isNotNull().alias("worded"))
               .join(labels, "tid", "left").withColumn("comp", F.coalesce("comp", "tid")))
