@@ -316,9 +316,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = components(links.select("u", "v"))
     labels = joined.select(F.col("node").alias("tid"), "comp")
     # a wordless text is alone: its rows get no class key
-    placed = (signed.select("id", "tid", F.col("agree").isNotNull().alias("worded"))
-              .join(labels, "tid", "left").withColumn("comp", F.coalesce("comp", "tid")))
-    sizes = placed.where("worded").groupBy("comp").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("n"))
+    placed = stored(signed.select("id", "tid", F.col("agree").isNotNull().alias("worded"))
+                    .join(labels, "tid", "left").withColumn("comp", F.coalesce("comp", "tid")), "placed")
+    # written first: the join then deals both sides out afresh, and a class with many rows can be split
+    sizes = stored(placed.where("worded").groupBy("comp").agg(F.min("id").alias("top"), F.count(F.lit(1)).alias("n")),
+                   "sizes")
     return (placed.where("worded").join(sizes, "comp").select("id", "tid", "top", "n")
             .unionByName(placed.where("not worded").select("id", "tid", F.col("id").alias("top"),
                                                            F.lit(1).cast("long").alias("n")))
