@@ -27,10 +27,10 @@ from riskspark.llm.frames import id_back, id_key, pick, stored
 from riskspark.llm.textbuf import groups, mix64
 
 #: Mean distance of chunk ends is 2**MASK_BITS bytes beyond the smallest chunk.
-MASK_BITS = 5
+MASK_BITS = 4
 MIN_CHUNK, MAX_CHUNK = 8, 512
 #: Words that a run of repeated chunks holds to count as a repeated passage. The chunks inside a passage lack
-#: its edges (some 40 bytes on either side), so this is well below the passages' 50 words.
+#: its edges (some 30 bytes on either side), so this is well below the passages' 50 words.
 MIN_WORDS = 20
 BLOCK_BYTES = 2 << 20
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
