@@ -309,7 +309,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                      .unionByName(families.select(F.col("comp").alias("tid"), F.col("comp").alias("family")).distinct()),
                      "members")
     # a merge join at every size: the list of texts with a neighbour grows with the corpus and is never broadcast
-    texts = stored(rows.join(members.select("tid").hint("merge"), "tid").groupBy("tid").agg(F.min("text").alias("text"))
+    # the aggregate comes first: copies collapse where they are read, so a text with many copies is few rows
+    texts = stored(rows.groupBy("tid").agg(F.min("text").alias("text")).join(members.select("tid").hint("merge"), "tid")
                    .join(unique.select("tid", "agree"), "tid")
                    .select("tid", "agree", "text", F.octet_length("text").alias("size")), "texts")
     links = stored(family_links(members, texts, idf, threshold), "links")
