@@ -19,7 +19,7 @@ from riskspark.llm.frames import bounded_batches, pick, stored
 from riskspark.llm.textbuf import mix64, words_of
 
 #: Bound of the labelled sample; all labelled rows are used while there are fewer.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 10_000
 MAX_FEATURES = 2_048
 MIN_DOCS = 5
 #: Penalty of squared weights, and steps of the optimiser.
