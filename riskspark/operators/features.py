@@ -19,6 +19,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TEXT_TYPES = ("string", "varchar", "char", "date", "timestamp")
 NUMERIC_TYPES = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
 
@@ -29,12 +30,30 @@ def feature_frame(df: DataFrame, drop: Sequence[str]) -> DataFrame:
 
 def split_columns_by_type(df: DataFrame, id_col: str | None = None, label: str | None = None
                           ) -> tuple[list[str], list[str]]:
-    """B2: (categorical = string columns minus id, numeric = numeric columns minus label)."""
-    cats = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name != id_col]
-    nums = [n for n, t in df.dtypes if (t in NUMERIC_TYPES or t.startswith("decimal")) and n not in (label, id_col)]
+    """B2: (categorical columns, numeric columns), without id and label.
+
+    Strings, dates and timestamps are categorical (a date in a CSV is text and gets a code per value); numbers and
+    booleans (0/1) are numeric. Other types (arrays, maps, structs, binary) raise: no column is left out silently.
+    """
+    cats, nums = [], []
+    for name, kind in df.dtypes:
+        if name in (id_col, label):
+            continue
+        if kind.startswith(TEXT_TYPES):
+            cats.append(name)
+        elif kind in NUMERIC_TYPES or kind == "boolean" or kind.startswith("decimal"):
+            nums.append(name)
+        else:
+            raise TypeError(f"column {name!r} of type {kind} is no feature: drop or convert it")
     return cats, nums
 
 
+def encodable(df: DataFrame, cats: Sequence[str]) -> DataFrame:
+    """Dates and timestamps among the categorical columns as text, as the encoder takes them."""
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: F.col(c).cast("string") for c in cats if c in kinds and kinds[c] != "string"})
+
+
 def align_features(df: DataFrame, cols: Sequence[str], fill=0, keep: Sequence[str] = ()) -> DataFrame:
     """Training column order; missing columns filled with ``fill``; extras dropped."""
     present = set(df.columns)

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from riskspark.functions.columns import hash_hex
 from riskspark.session import cut_lineage
@@ -39,6 +39,7 @@ MAX_PIVOTS = 4096
 CELL_ROWS = 64  # target base rows per pivot cell (more cells = tighter pruning)
 CHUNK_ROWS = 4096
 SLACK = 1e-9
+EXPAND_BYTES = 16 << 20  # of (query, cell) rows that a worker holds at once
 
 
 def _pivot_count(n_base: int, max_pivots: int) -> int:
@@ -107,16 +108,19 @@ def _candidate_cells(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame
                 theta = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
             lb = d - radius[None, :]
             ok = (lb <= theta[:, None] * (1 + SLACK) + SLACK) & (count[None, :] > 0)
-            qi, ci = np.nonzero(ok)
-            reps = chunks[ci]
-            qi = np.repeat(qi, reps)
-            ci_rep = np.repeat(ci, reps)
-            starts = np.cumsum(reps) - reps
-            chunk = np.arange(int(reps.sum())) - np.repeat(starts, reps)
-            yield pd.DataFrame({"_qid": pdf[id_col].values[qi], "_qfeat": pdf[feat_col].values[qi],
-                                "_cell": ci_rep.astype(np.int32), "_chunk": chunk.astype(np.int32)})
-
-    schema = "_qid long, _qfeat array<double>, _cell int, _chunk int"
+            every_q, every_c = np.nonzero(ok)
+            wide = max(1, EXPAND_BYTES // (8 * x.shape[1] + 64))  # rows of a frame: bounded by bytes
+            for s0 in range(0, len(every_q), wide):
+                qi, ci = every_q[s0:s0 + wide], every_c[s0:s0 + wide]
+                reps = chunks[ci]
+                qi = np.repeat(qi, reps)
+                ci_rep = np.repeat(ci, reps)
+                starts = np.cumsum(reps) - reps
+                chunk = np.arange(int(reps.sum())) - np.repeat(starts, reps)
+                yield pd.DataFrame({"_qid": pdf[id_col].values[qi], "_qfeat": pdf[feat_col].values[qi],
+                                    "_cell": ci_rep.astype(np.int32), "_chunk": chunk.astype(np.int32)})
+
+    schema = f"_qid {dict(queries.dtypes)[id_col]}, _qfeat array<double>, _cell int, _chunk int"
     return queries.select(id_col, feat_col).mapInPandas(expand, schema)
 
 
@@ -132,7 +136,8 @@ def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cell
         if len(qdf) == 0 or len(bdf) == 0:
             return pd.DataFrame({c: [] for c in cols})
         qx, bx = _as_matrix(qdf["_qfeat"]), _as_matrix(bdf["_bfeat"])
-        qid, bid = qdf["_qid"].to_numpy(np.int64), bdf["nb_id"].to_numpy(np.int64)
+        qid, bid = qdf["_qid"].to_numpy(), bdf["nb_id"].to_numpy()  # numbers or text
+        place = np.unique(bid, return_inverse=True)[1]  # ties go to the smaller id
         kk = min(k, len(bdf))
         step = max(1, slice_cells // max(1, len(bdf)))
         out_q, out_b, out_d = [], [], []
@@ -144,7 +149,7 @@ def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cell
                 d2 = d2 + diff * diff
             if exclude_self:
                 d2[qid[s0:s0 + step, None] == bid[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(bid, d2.shape), d2), axis=-1)[:, :kk]
+            order = np.lexsort((np.broadcast_to(place, d2.shape), d2), axis=-1)[:, :kk]
             rows = np.arange(len(xs))[:, None]
             dd = d2[rows, order]
             keep = np.isfinite(dd)
@@ -179,7 +184,8 @@ def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col
     n_base = b.count()
     pay_fields = [f for f in b.schema.fields if f.name in payload]
     if n_base == 0:
-        schema = "q_id long, rank int, nb_id long, dist double, _d2 double" + "".join(
+        kind = dict(b.dtypes)[id_col]
+        schema = f"q_id {kind}, rank int, nb_id {kind}, dist double, _d2 double" + "".join(
             f", {f.name} {f.dataType.simpleString()}" for f in pay_fields)
         return spark.createDataFrame([], schema)
     n_piv = _pivot_count(n_base, max_pivots)
@@ -212,7 +218,8 @@ def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col
     q_blocks = (cand.join(F.broadcast(cells_tab.select("_cell", "_nqb")), "_cell")
                     .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).cast("int"))
                     .select("_cell", "_chunk", "_qb", "_qid", "_qfeat"))
-    out_schema = StructType([StructField("_qid", LongType()), StructField("nb_id", LongType()),
+    out_schema = StructType([StructField("_qid", q.schema[id_col].dataType),
+                             StructField("nb_id", b.schema[id_col].dataType),
                              StructField("_d2", DoubleType()), *pay_fields])
     keys = ["_cell", "_chunk", "_qb"]
     local = (q_blocks.groupBy(*keys).cogroup(base_blocks.groupBy(*keys))
@@ -300,7 +307,7 @@ def knn_classify(queries: DataFrame, train: DataFrame, k: int = 5, label: str =
     else:
         cw = counts.select(label, F.lit(1.0).alias("_cw"))
     wd = F.lit(1.0) / (F.col("dist") + F.lit(1e-8)) if weights == "distance" else F.lit(1.0)
-    scored = nb.join(F.broadcast(cw), label).withColumn("_w", wd * F.col("_cw"))
+    scored = nb.join(cw, label).withColumn("_w", wd * F.col("_cw"))
     agg = scored.groupBy("q_id").agg(
         F.sum(F.when(F.col(label) == 1, F.col("_w")).otherwise(0.0)).alias("_w1"),
         F.sum("_w").alias("_wall"),

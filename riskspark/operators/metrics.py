@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import pct_1dp, safe_div
-from riskspark.operators.rank import prefix_sums
+from riskspark.operators.rank import join_null_safe, prefix_sums
 from riskspark.session import cut_lineage
 
 ROC_START_THRESHOLD = 1.01  # fixed value: first threshold of the curve
-ROC_BUCKETS = 4096
+ROC_BUCKETS = 256
 
 
 def class_weights(df: DataFrame, label: str, balanced: bool = True) -> DataFrame:
-    """N / (K * n_c) per class ('balanced'), else 1. Output (label, n, weight)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    """N / (K * n_c) per class ('balanced'), else 1. Output (label, n, weight); null labels are no class."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy()  # per-class table only: bounded by the number of classes
     if not balanced:
         return counts.withColumn("weight", F.lit(1.0))
@@ -30,13 +30,26 @@ def class_weights(df: DataFrame, label: str, balanced: bool = True) -> DataFrame
 
 
 def with_class_weights(df: DataFrame, label: str, weight_col: str = "weight", balanced: bool = True) -> DataFrame:
-    """Attach D12 weights as a column (broadcast of the per-class table)."""
+    """Attach D12 weights as a column; a row without a label stays, with a null weight."""
     cw = class_weights(df, label, balanced).select(label, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(cw), on=[label], how="inner")
+    return df.join(cw, on=[label], how="left")
 
 
-def confusion_matrix(df: DataFrame, y: str, pred: str, labels: Sequence[int] | None = None) -> DataFrame:
-    """Square matrix over the sorted union of labels, zero cells kept, rows = actual."""
+def confusion_matrix(df: DataFrame, y: str, pred: str, labels: Sequence[int] | None = None,
+                     group_cols: Sequence[str] = ()) -> DataFrame:
+    """Square matrix over the union of labels, zero cells kept, rows = actual; one matrix per group.
+
+    The grid comes from the (actual, predicted) count table, so the rows are scanned once.
+    """
+    if group_cols:
+        g = list(group_cols)
+        counts = cut_lineage(df.groupBy(*g, F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
+            F.count(F.lit(1)).alias("n")))
+        lab = (counts.select(*g, F.explode(F.array("actual", "predicted")).alias("v")).where(F.col("v").isNotNull())
+               .distinct())
+        grid = lab.select(*g, F.col("v").alias("actual")).join(lab.select(*g, F.col("v").alias("predicted")), g)
+        return (grid.join(counts, [*g, "actual", "predicted"], "left")
+                .select(*g, "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
     counts = df.groupBy(F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n"))
     if labels is None:
@@ -79,46 +92,50 @@ def binary_metrics(df: DataFrame, y: str, pred: str, pos: int = 1, group_cols: S
                       F.col("fn").cast("long").alias("fn"), "accuracy", "precision", "recall", "f1")
 
 
-def classification_report(df: DataFrame, y: str, pred: str) -> DataFrame:
+def classification_report(df: DataFrame, y: str, pred: str, group_cols: Sequence[str] = ()) -> DataFrame:
     """Per true class precision/recall/F1/support plus an accuracy row.
 
     Output (cls string, precision, recall, f1, support). Classes are the
     distinct values of ``y``. One (actual, predicted) count table (at most
     |labels|^2 rows) is expanded into per-class contributions, so the data is
-    scanned once and no join is needed.
+    scanned once and no join is needed. ``group_cols`` gives one report per group.
     """
-    counts = df.groupBy(F.col(y).alias("a"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    g = list(group_cols)
+    counts = df.groupBy(*g, F.col(y).alias("a"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     hit = F.col("a") == F.col("p")
-    contrib = counts.select(F.explode(F.array(
+    contrib = counts.select(*g, F.explode(F.array(
         F.struct(F.col("a").alias("cls"), F.col("n").alias("support"),
                  F.when(hit, F.col("n")).otherwise(0).alias("tp"), F.lit(0).cast("long").alias("fp"),
                  F.when(hit, 0).otherwise(F.col("n")).alias("fn")),
         F.struct(F.col("p").alias("cls"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("tp"),
                  F.when(hit, 0).otherwise(F.col("n")).alias("fp"), F.lit(0).cast("long").alias("fn")),
-    )).alias("c")).select("c.*")
-    per = (contrib.where(F.col("cls").isNotNull()).groupBy("cls")
+    )).alias("c")).select(*g, "c.*")
+    per = (contrib.where(F.col("cls").isNotNull()).groupBy(*g, "cls")
                   .agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
                        F.sum("support").alias("support"))
                   .where(F.col("support") > 0))
     prec = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
-    per = per.select(F.col("cls").cast("string").alias("cls"), prec.alias("precision"), rec.alias("recall"),
+    per = per.select(*g, F.col("cls").cast("string").alias("cls"), prec.alias("precision"), rec.alias("recall"),
                      F.col("support").cast("long").alias("support"))
     per = per.withColumn("f1", F.when(F.col("precision") + F.col("recall") > 0,
                                       2.0 * F.col("precision") * F.col("recall")
                                       / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0)))
-    acc = counts.agg(
+    acc = counts.groupBy(*g).agg(
         F.lit("accuracy").alias("cls"), F.lit(None).cast("double").alias("precision"),
         F.lit(None).cast("double").alias("recall"),
         F.sum("n").cast("long").alias("support"),
         safe_div(F.sum(F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)), F.sum("n")).alias("f1"))
-    return per.select("cls", "precision", "recall", "f1", "support").unionByName(
-        acc.select("cls", "precision", "recall", "f1", "support"))
+    cols = [*g, "cls", "precision", "recall", "f1", "support"]
+    return per.select(*cols).unionByName(acc.select(*cols))
 
 
 def _score_table(df: DataFrame, y: str, score: str, group_cols: Sequence[str]) -> DataFrame:
-    """Pre-aggregate by distinct score: (group, score, tp_s, fp_s) - partial agg absorbs hot scores."""
-    return (df.groupBy(*group_cols, F.col(score).cast("double").alias("score"))
+    """Pre-aggregate by distinct score: (group, score, tp_s, fp_s) - partial agg absorbs hot scores.
+
+    Rows without a score have no place on the curve and take no part; ``null_scores`` counts them.
+    """
+    return (df.where(F.col(score).isNotNull()).groupBy(*group_cols, F.col(score).cast("double").alias("score"))
               .agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).cast("long").alias("tp_s"),
                    F.sum(F.when(F.col(y) == 0, 1).otherwise(0)).cast("long").alias("fp_s")))
 
@@ -135,12 +152,20 @@ def _roc_cumulative(df: DataFrame, y: str, score: str, gcols: list[str], n_bucke
     # several branches; materialise it once so the input is scanned once.
     st = cut_lineage(_score_table(df, y, score, gcols))
     totals = st.groupBy(*gcols).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
-    # descending score order = ascending bucket of (n_buckets - floor(score * n_buckets))
-    bucket = F.lit(n_buckets) - F.least(F.greatest(F.floor(F.col("score") * n_buckets), F.lit(0)),
-                                        F.lit(n_buckets))
+    # cuts at quantiles of the distinct scores, so that scores in a narrow range spread over all buckets too;
+    # the array has n_buckets numbers whatever the input, and its exactness only matters for balance
+    cuts = st.agg(F.percentile_approx("score", [i / n_buckets for i in range(1, n_buckets)], 10 * n_buckets)
+                  .alias("cuts")).first()["cuts"] or []
+    cuts = sorted(set(cuts))
+    edges = F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>")
+    bucket = -F.size(F.filter(edges, lambda e: e <= F.col("score")))
     cum = prefix_sums(st, gcols, bucket, [F.col("score").desc()], ["tp_s", "fp_s"])
-    # totals: one row per group (bounded by the caller's group count)
-    return st, totals, cum.join(F.broadcast(totals), on=gcols, how="inner")
+    return st, totals, join_null_safe(cum, totals, gcols)
+
+
+def null_scores(df: DataFrame, score: str, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Rows without a score, per group: those that the ROC curve leaves out."""
+    return df.groupBy(*group_cols).agg(F.count(F.when(F.col(score).isNull(), 1)).alias("null_scores"))
 
 
 def roc_curve(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
@@ -150,7 +175,7 @@ def roc_curve(df: DataFrame, y: str, score: str, group_cols: Sequence[str] = (),
     The point (0, 0) before the first threshold is implied (it repeats the
     1.01 point for probability scores). A rate is 0 when its class is absent.
     Cumulative counts use bucket-parallel prefix sums over score ranges
-    (scores assumed in [0, 1]; others clamp to the edge buckets, still exact).
+    cut at quantiles of the distinct scores, so a narrow range of scores is spread as well.
     The closing (1, 1) row has a null threshold.
     """
     df, gcols, out_cols = _grouped(df, group_cols)

@@ -93,17 +93,15 @@ def class_histogram(df: DataFrame, col: str, bins: int, label: str | None = None
     hi_expr = F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx"))
     rng = (data.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
                .select(*keys, lo_expr.alias("_lo"), hi_expr.alias("_hi")))
+    grid = rng
     if label:
-        # one row per class: bounded, broadcast back to the rows
-        b = data.join(F.broadcast(rng), on=keys, how="inner")
-        grid = rng
+        from riskspark.operators.rank import join_null_safe
+        b = join_null_safe(data, rng, keys)  # one row per class; the planner decides how
     else:
-        # one range: two scalars to the driver, used as literals (no join at all)
-        r = rng.first()
-        if r is None or r["_lo"] is None:
-            return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
-        b = data.withColumn("_lo", F.lit(r["_lo"])).withColumn("_hi", F.lit(r["_hi"]))
-        grid = df.sparkSession.range(1).select(F.lit(r["_lo"]).alias("_lo"), F.lit(r["_hi"]).alias("_hi"))
+        # one range: a scalar subquery, so nothing runs before the result is asked for
+        span = rng.select(F.struct("_lo", "_hi")).scalar()
+        b = data.withColumn("_span", span).select("_x", F.col("_span._lo").alias("_lo"), F.col("_span._hi").alias("_hi"))
+        grid = rng.where(F.col("_lo").isNotNull())
     pos = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins))) + F.lit(1)
     counts = (b.select(*keys, F.least(F.lit(bins), pos).cast("int").alias("bin"))
                .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n")))

@@ -15,17 +15,15 @@ ALLOWED_LABELS = (0, 1)
 
 def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[str] | None = None,
                    max_rows: int | None = None, min_rows: int = MIN_ROWS,
-                   max_columns: int = MAX_COLUMNS, max_shown: int = 16) -> DataFrame:
+                   max_columns: int = MAX_COLUMNS, max_shown: int | None = None) -> DataFrame:
     """A5: ordered checks -> DataFrame (ordinal, check, observed, limit, passed, first_failure).
 
-    One distributed aggregate computes the row count and the number of
-    non-allowed labels; the observed values shown are a bounded sample of the
-    distinct labels (``max_shown``), so a wrong high-cardinality column never
-    funnels into one task. ``max_rows`` protected one machine in the
-    reference; it is off by default.
+    One grouped aggregate gives the row count and every distinct label; all of them are named, unless ``max_shown``
+    asks for a shorter list, which then says how many it leaves out. ``max_rows`` protects one machine; it is off by
+    default.
     """
     required = list(required) if required is not None else [label]
-    missing = [c for c in required if c not in df.columns]
+    missing = missing_columns(df, required)
     spark = df.sparkSession
     if label in df.columns:
         lab = F.col(label)
@@ -33,12 +31,13 @@ def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[s
             dict(df.dtypes)[label].startswith("decimal")
         # numeric labels compare by value (1.0 == 1); text labels never equal the integers 0/1
         allowed = lab.isin(*ALLOWED_LABELS) if numeric else F.lit(False)
-        bad = F.when(lab.isNotNull() & ~allowed, lab.cast("string"))
-        agg = df.agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("n_bad")).first()
-        n, n_bad = agg["n"], agg["n_bad"]
-        shown = (df.where(lab.isNotNull()).select(lab.cast("string").alias("v")).distinct()
-                   .orderBy("v").limit(max_shown).collect())
-        vals = [r["v"] for r in shown]
+        seen = [(r["v"], r["n"], r["ok"]) for r in df.groupBy(lab.cast("string").alias("v"), allowed.alias("ok"))
+                .agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]  # one scan: every value with its count
+        n = sum(x[1] for x in seen)
+        n_bad = sum(x[1] for x in seen if x[0] is not None and not x[2])
+        vals = sorted({x[0] for x in seen if x[0] is not None})
+        if max_shown is not None and len(vals) > max_shown:
+            vals = [*vals[:max_shown], f"(+{len(vals) - max_shown} more)"]
     else:
         n = df.count()
         vals, n_bad = [], 0
@@ -63,12 +62,17 @@ def consistency_violations(df: DataFrame, rules: Sequence[tuple[str, Column]], i
     Rows whose checked columns are null do not break a rule (comparison is
     unknown). Returns only violating rows: (id, violation).
     """
+    return (df.select(F.col(id_col), violation_column(rules).alias("violation"))
+              .where(F.col("violation").isNotNull()))
+
+
+def violation_column(rules: Sequence[tuple[str, Column]]) -> Column:
+    """B6 as a column: the name of the first broken rule, else null."""
     expr = None
     for name, must_hold in rules:
         broken = F.coalesce(~must_hold, F.lit(False))
         expr = F.when(broken, F.lit(name)) if expr is None else expr.when(broken, F.lit(name))
-    return (df.select(F.col(id_col), expr.alias("violation"))
-              .where(F.col("violation").isNotNull()))
+    return expr
 
 
 def hr_consistency_rules(age="Age", at_company="YearsAtCompany", since_promo="YearsSinceLastPromotion",

@@ -6,6 +6,9 @@ its k nearest class rows (exact kNN join, self excluded by id), one
 lambda in [0, 1) per synthetic row: x = parent + lambda * (neighbour - parent).
 With ``k = min(k, n_c - 1) < 1`` the parent is duplicated.
 
+Synthetic ids lie below every id of the input (numbers) or start with
+``synthetic:`` (text), so they collide with none.
+
 Randomness is md5-derived (``hash_uniform``) per synthetic index, so the
 result is reproducible in SQL; synthetic rows are generated by
 ``spark.range(need)`` across partitions, never on the driver.
@@ -44,10 +47,13 @@ def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[s
         counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         raise ValueError("empty input")
-    top = max(counts.values())
+    top = max((n for c, n in counts.items() if c is not None), default=0)  # rows without a label are no class
     out = None
     offset = 0
-    for cls in sorted(counts):
+    floor_ = None
+    if dict(df.dtypes)[id_col] != "string":
+        floor_ = min(0, int(df.agg(F.min(F.col(id_col).cast("long"))).first()[0] or 0))  # below every id at hand
+    for cls in sorted(c for c in counts if c is not None):
         n_c = counts[cls]
         if n_c >= top:
             continue
@@ -79,14 +85,16 @@ def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[s
                              *[(F.col(f"_p_{c}") + F.col("lam") * (F.col(f"_n_{c}") - F.col(f"_p_{c}"))).alias(c)
                                for c in feats])
         res = res.select(F.lit(cls).cast(df.schema[label].dataType).alias(label), "*").withColumn(
-            id_col, -(F.lit(offset) + F.col("synth_index") + F.lit(1)))
+            id_col, F.concat(F.lit(f"synthetic:{seed}:"), F.lit(offset) + F.col("synth_index")) if floor_ is None
+            else F.lit(floor_) - (F.lit(offset) + F.col("synth_index") + F.lit(1)))
         offset += need
         out = res if out is None else out.unionByName(res)
     if out is None:
         sch = df.select(label).schema.simpleString()[7:-1]
+        kind = dict(df.dtypes)[id_col]
         empty = df.sparkSession.createDataFrame(
-            [], f"{sch}, synth_index long, parent_id long, nb_id long, lam double, "
-                + ", ".join(f"{c} double" for c in feats) + f", {id_col} long")
+            [], f"{sch}, synth_index long, parent_id {kind}, nb_id {kind}, lam double, "
+                + ", ".join(f"{c} double" for c in feats) + f", {id_col} {'string' if kind == 'string' else 'long'}")
         return empty
     return out
 

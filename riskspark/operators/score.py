@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import (DEFAULT_AT_RISK_THRESHOLD, action_tier, pct_1dp, predict_at,
                                          risk_label, risk_level)
+from riskspark.session import cut_lineage
 
 # The columns the at-risk export shows, in order.
 AT_RISK_COLUMNS = ["EmployeeID", "Department", "JobRole", "OverTime", "JobSatisfaction", "YearsAtCompany",
@@ -45,10 +46,8 @@ def at_risk_list(scored: DataFrame, p: str, threshold: float, id_col: str, cols:
     """
     if pct_col not in scored.columns:
         scored = scored.withColumn(pct_col, pct_1dp(p))
-    chosen = [c for c in cols if c in scored.columns]
-    return (at_risk_filter(scored, p, threshold)
-            .orderBy(F.col(pct_col).desc(), F.col(id_col).asc())
-            .select(*chosen))
+    return select_available(at_risk_filter(scored, p, threshold)
+                            .orderBy(F.col(pct_col).desc(), F.col(id_col).asc()), cols)
 
 
 def score_table(df: DataFrame, bundle, id_col: str, pct_col: str = "p_pct",
@@ -68,38 +67,34 @@ def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
                    threshold: float = DEFAULT_AT_RISK_THRESHOLD) -> DataFrame:
     """Hypothetical profiles: rule check (B6), score, label (B9), decision (B11), action tier.
 
-    Rows breaking a rule are returned with their violation and no score.
+    Rows breaking a rule are returned with their violation and no score. The rule is a column, so rows are told
+    apart where they stand, without a join.
     """
-    from riskspark.operators.quality import consistency_violations
-    if rules:
-        bad = consistency_violations(df, rules, id_col)
-        ok = df.join(bad, id_col, "left_anti")
-    else:
-        bad, ok = None, df
-    scored = bundle.score(ok, id_col)
+    from riskspark.operators.quality import violation_column
+    broken = violation_column(rules) if rules else F.lit(None).cast("string")
+    marked = df.withColumn("violation", broken)
+    scored = bundle.score(marked.where(F.col("violation").isNull()), id_col)
     pred = predict_at("p")
     out = scored.select(id_col, "p", pct_1dp("p").alias("p_pct"), risk_label("p").alias("risk_label"),
-                        pred.alias("pred"), action_tier("p", pred).alias("action"),
-                        F.lit(None).cast("string").alias("violation"))
-    if bad is not None:
-        out = out.unionByName(bad.select(id_col, F.lit(None).cast("double").alias("p"),
-                                         F.lit(None).cast("double").alias("p_pct"),
-                                         F.lit(None).cast("string").alias("risk_label"),
-                                         F.lit(None).cast("int").alias("pred"),
-                                         F.lit(None).cast("string").alias("action"), "violation"))
-    return out
+                        pred.alias("pred"), action_tier("p", pred).alias("action"), "violation")
+    if not rules:
+        return out
+    none = {"p": "double", "p_pct": "double", "risk_label": "string", "pred": "int", "action": "string"}
+    return out.unionByName(marked.where(F.col("violation").isNotNull()).select(
+        id_col, *[F.lit(None).cast(t).alias(c) for c, t in none.items()], "violation"))
 
 
 def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
                    threshold: float = DEFAULT_AT_RISK_THRESHOLD, show_cols: Sequence[str] | None = None,
                    out_path: str | None = None, split_ids: DataFrame | None = None, pct_col: str = "p_pct",
-                   level_col: str = "risk_level") -> dict:
+                   level_col: str = "risk_level", keep_scores: bool = True) -> dict:
     """Score -> filter -> sort -> columns -> summary, histogram, level counts (-> CSV).
 
     Every row is scored, training rows included (as the reference); pass the
     ``(id, split)`` table of the preparation step as ``split_ids`` to show
     which rows the model was trained on (column ``split``).
-    Returns a dict of DataFrames; ``out_path`` also writes the list (A8).
+    Returns a dict of lazy DataFrames; ``out_path`` also writes the list (A8). ``keep_scores`` writes the scored
+    rows to the shared folder once, for callers that use several of the four; without it each scores on its own.
     """
     if split_ids is not None:
         df = df.join(split_ids.select(id_col, "split"), id_col, "left")
@@ -107,6 +102,8 @@ def at_risk_report(df: DataFrame, bundle, id_col: str, label: str | None = None,
     from riskspark.operators.metrics import at_risk_summary
     from riskspark.operators.profile import class_histogram, level_counts
     scored = score_table(df, bundle, id_col, pct_col, level_col)
+    if keep_scores:
+        scored = cut_lineage(scored)
     cols = list(show_cols) if show_cols else [id_col] + [c for c in df.columns if c != id_col] + [pct_col,
                                                                                                   level_col]
     if split_ids is not None and "split" not in cols:

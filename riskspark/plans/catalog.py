@@ -406,7 +406,7 @@ def q_train_and_compare(spark, sf):
     from riskspark.plans.models import default_specs
     from riskspark.plans.training import train_and_compare
     prep = _doc_prepared(spark, sf)
-    res = train_and_compare(prep, default_specs(len(prep.feature_cols), rf_trees=40), cv_k=3)
+    res = train_and_compare(prep, default_specs(len(prep.feature_cols)), cv_k=3)
     return rnd(res.comparison.withColumn("is_best", F.col("model") == F.lit(res.best_name)))
 
 
@@ -425,7 +425,7 @@ def q_feature_importance(spark, sf):
     from riskspark.operators.explain import feature_importance, importance_tier
     from riskspark.plans.models import default_specs
     prep = _doc_prepared(spark, sf)
-    spec = default_specs(len(prep.feature_cols), rf_trees=40, models=["Random Forest"])[0]
+    spec = default_specs(len(prep.feature_cols), models=["Random Forest"])[0]
     rf = spec.fit(prep.train, "label").model
     return rnd(importance_tier(feature_importance(spark, rf, prep.feature_cols)))
 
@@ -462,7 +462,7 @@ def flagship(spark, sf):
     from riskspark.operators.score import at_risk_report
     data, bundle, prep = _order_bundle(spark, sf, with_prep=True)
     return at_risk_report(data, bundle, "id", label="label", threshold=0.40, show_cols=AT_RISK_SHOW + ["split"],
-                          split_ids=prep.split_ids)["list"]
+                          split_ids=prep.split_ids, keep_scores=False)["list"]
 
 
 def q_at_risk_report(spark, sf):
@@ -506,7 +506,7 @@ def q_history(spark, sf):
     prep = _doc_prepared(spark, sf)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
     for models in (["Logistic Regression"], ["Logistic Regression", "Random Forest"]):
-        res = train_and_compare(prep, default_specs(len(prep.feature_cols), models=models), cv_k=2)
+        res = train_and_compare(prep, default_specs(len(prep.feature_cols), models=models), cv_k=3)
         append_history(spark, path, res.best_name, prep.train.count(), res.comparison)
     return rnd(read_history(spark, path))
 

@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.operators import metrics as M
-from riskspark.operators.features import PopulationScaler, fit_label_encoder, split_columns_by_type
+from riskspark.operators.features import PopulationScaler, encodable, fit_label_encoder, split_columns_by_type
 from riskspark.operators.resample import smote
-from riskspark.operators.split import fold_assign, stratified_split
+from riskspark.operators.split import fold_assign, fold_train_test, stratified_split
 from riskspark.plans.models import Fitted, ModelSpec
-from riskspark.session import cut_lineage, right_size
+from riskspark.session import cut_lineage
 
 
 @dataclass
@@ -45,15 +45,6 @@ class Prepared:
     k_smote: int = 5
     seed: int = 42
 
-    def bundle_model(self, fitted: Fitted) -> PipelineModel:
-        """Encoder + scaler + assembler + classifier as one saveable PipelineModel."""
-        if fitted.kind != "mllib":
-            raise TypeError("kNN bundles keep their training rows; see sources.bundle")
-        stages = list(self.encoder.stages) + [self.scaler, self.assembler]
-        m = fitted.model
-        stages += list(m.stages) if isinstance(m, PipelineModel) else [m]
-        return PipelineModel(stages=stages)
-
 
 def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None, test_size: float = 0.2,
             seed: int = 42, use_smote: bool = True, k_smote: int = 5, checkpoint: bool = True) -> Prepared:
@@ -61,10 +52,12 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     cats = list(cat_cols) if cat_cols is not None else cats
     nums = list(num_cols) if num_cols is not None else nums
     feature_cols = [c for c in df.columns if c in set(cats) | set(nums)]  # table order, remembered
+    df = encodable(df, cats)
     encoder = fit_label_encoder(df, cats)
     enc = encoder.transform(df.select(id_col, label, *feature_cols))
     enc = enc.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feature_cols])
-    split = stratified_split(enc, label, id_col, test_size, seed)
+    enc = enc.where(F.col(label).isNotNull())  # a row without a label can train and test nothing; scoring takes it
+    split = stratified_split(enc, label, id_col, test_size, seed, with_rank=False)
     if checkpoint:
         split = cut_lineage(split)
     train = split.where(F.col("split") == "train").select(id_col, label, *feature_cols)
@@ -72,7 +65,6 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     train_raw = train
     sizes = split.groupBy(label, "split").agg(F.count(F.lit(1)).alias("n")).collect()  # classes x 2 rows
     before = {r[label]: r["n"] for r in sizes if r["split"] == "train"}
-    n_test = sum(r["n"] for r in sizes if r["split"] == "test")
     after = dict(before)
     if use_smote:
         train = smote(train, label, id_col, feature_cols, k_smote, seed, counts=before).drop("is_synthetic")
@@ -84,11 +76,6 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features")
     train_s = M.with_class_weights(assembler.transform(scaler.transform(train)), label)
     test_s = assembler.transform(scaler.transform(test))
-    # (above the checkpoints only narrow steps and a per-class broadcast join remain)
-    # size the partitions to the data: one MLlib job per optimizer step
-    row_bytes = 8 * (2 * len(feature_cols) + 4)
-    train_s = right_size(train_s, sum(after.values()), row_bytes)
-    test_s = right_size(test_s, n_test, row_bytes)
     return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
                     train_raw, split.select(id_col, "split"), use_smote, k_smote, seed)
 
@@ -106,11 +93,10 @@ def cross_validate(spec: ModelSpec, train: DataFrame, label: str = "label", id_c
     ``CrossValidator(parallelism=...)``); each fit is itself distributed.
     """
     src = prep.train_raw if prep is not None else train.drop("weight")
-    folded = fold_assign(src, label, id_col, k, seed).persist()
+    folded = fold_assign(src, label, id_col, k, seed, with_rank=False).persist()
 
     def one(f: int):
-        tr = folded.where(F.col("fold") != f)
-        te = folded.where(F.col("fold") == f)
+        tr, te = fold_train_test(folded, f)
         if prep is not None:
             feats = prep.feature_cols
             tr = tr.select(id_col, label, *feats)

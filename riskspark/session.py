@@ -20,6 +20,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -44,7 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when it is unset (local tests) a private folder is created.
+    Only when it is unset and everything runs in this process (master ``local``) a private folder is created; on a
+    cluster the executors could not read it, so that is an error.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -60,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir() or configured
     if current:
         return current
+    if not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="riskspark-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -69,13 +73,3 @@ def cut_lineage(df):
     """Reliable checkpoint (never ``localCheckpoint``): survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def right_size(df, n_rows: int, row_bytes: int, target_bytes: int = 64 << 20):
-    """Coalesce (narrow, no shuffle) to about ``target_bytes`` per partition; never adds partitions.
-
-    Iterative MLlib solvers run one job per step, so tiny partitions cost
-    scheduling time on every step; large inputs keep their parallelism.
-    """
-    want = max(1, -(-int(n_rows) * int(row_bytes) // int(target_bytes)))
-    return df.coalesce(want) if df.rdd.getNumPartitions() > want else df

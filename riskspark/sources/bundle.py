@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import StringIndexerModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.operators.features import CodeReplacer, encoder_labels
+from riskspark.operators.features import CodeReplacer, encodable, encoder_labels
 from riskspark.operators.knn import knn_classify
 
 
@@ -58,7 +59,10 @@ class Bundle:
                 stages.append(CodeReplacer(cols=[c for c in self.cat_cols if c in present]))
             else:
                 stages.append(st)
-        filled = df.withColumns({c: F.lit(0.0) for c in self.feature_cols if c not in present})
+        df = encodable(df, self.cat_cols)
+        filled = df.withColumns({c: F.lit(0.0) for c in self.feature_cols if c not in present}
+                                | {c: F.col(c).cast("double") for c in self.feature_cols
+                                   if c in present and c not in self.cat_cols})
         return PipelineModel(stages=stages).transform(filled)
 
     def score(self, df: DataFrame, id_col: str) -> DataFrame:
@@ -111,11 +115,13 @@ def append_history(spark: SparkSession, path: str, best: str, train_size: int, m
     """Append one run in long form (run, best, n_models, train_size, model, metric, value).
 
     ``metrics`` is the comparison table (model, recall, accuracy, ...); the run
-    number is one past the largest stored run.
+    number is one past the largest stored run. One writer at a time: two at once could take the same number.
     """
     try:
-        last = spark.read.parquet(path).agg(F.max("run")).first()[0] or 0
-    except Exception:  # noqa: BLE001 - first run: nothing stored yet
+        last = spark.read.schema(HISTORY_SCHEMA).parquet(path).agg(F.max("run")).first()[0] or 0
+    except AnalysisException as e:  # the first run: nothing stored yet; every other error is raised
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         last = 0
     run = int(last) + 1
     n_models = metrics.select("model").distinct().count()

@@ -87,10 +87,10 @@ def schema_table(df: DataFrame) -> DataFrame:
     """(position, column, dtype, non_null) - the schema with non-null counts from one aggregate.
 
     The per-column counts are computed in a single distributed pass and laid
-    out one row per column with ``stack`` (no driver-side row building).
+    out one row per column (no driver-side row building). Names may hold quotes.
     """
     names = [n for n, _ in df.dtypes]
-    counts = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"c{i}") for i, n in enumerate(names)])
-    parts = ", ".join(f"{i}, '{n}', '{t}', c{i}" for i, (n, t) in enumerate(df.dtypes))
-    return counts.select(F.expr(f"stack({len(names)}, {parts}) AS (position, column, dtype, non_null)")).select(
-        F.col("position").cast("int"), "column", "dtype", F.col("non_null").cast("long"))
+    counts = df.agg(*[F.count(F.col("`" + n.replace("`", "``") + "`")).alias(f"c{i}") for i, n in enumerate(names)])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"), F.lit(t).alias("dtype"),
+                              F.col(f"c{i}").alias("non_null")) for i, (n, t) in enumerate(df.dtypes)])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")

@@ -1,16 +1,18 @@
 import __spark_entry__ as E
+from riskspark.plans.catalog import REGISTRY
 
 
 def test_entry_runs(spark):
     df = E.entry(spark)
-    assert df.count() >= 0
-    assert "p_pct" in df.columns and "id" in df.columns
+    rows = df.select("id", "p_pct").collect()
+    assert rows and all(r["p_pct"] >= 39.9 for r in rows)
+    assert [r["p_pct"] for r in rows] == sorted((r["p_pct"] for r in rows), reverse=True)
 
 
 def test_registered_queries_have_oracles_or_are_model_based():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
-    rows_only = set(q) - set(sql)
+    rows_only = set(REGISTRY) - set(sql)
     allowed = {"train_and_compare", "cross_validate",
                "feature_importance", "coefficient_table", "score_table", "score_profiles", "at_risk_report",
                "bundle_roundtrip", "history"}
