@@ -21,7 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.functions.columns import hash_hex
+from riskspark.session import cut_lineage
 
+BROADCAST_CLASSES = 10_000
 DEFAULT_HEX_DIGITS = 4  # 65 536 buckets per partition key value
 
 
@@ -68,6 +70,9 @@ def cuts_before(df: DataFrame, label: str | None, id_col: str, seed, ranks, out:
                 digits: int = DEFAULT_HEX_DIGITS) -> DataFrame:
     """Add ``out``: how many of its class's cuts lie before each row."""
     keyed, cuts, pcols = class_cuts(df, label, id_col, seed, ranks, digits)
+    cuts = cut_lineage(cuts)
+    if cuts.count() <= BROADCAST_CLASSES:  # a checked size: one row per class; beyond it the planner joins as it can
+        cuts = F.broadcast(cuts)
     own = F.struct(F.col("_hkey"), F.col(id_col).alias("_id"))
     n = F.size(F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda c: c < own))
     joined = join_null_safe(keyed, cuts, pcols)

@@ -49,12 +49,12 @@ def band_case(x: str, edges, labels, index: bool = False) -> str:
     return "(CASE " + " ".join(whens) + " END)"
 
 
-def hist(view: str, col: str, bins: int, label: str | None) -> str:
+def hist(view: str, col: str, bins: int, label: str | None, views=None, ctes=()) -> str:
     k = f"{label}, " if label else ""
     on = f"g.{label} = c.{label} AND " if label else ""
     using = f"USING ({label})" if label else "ON TRUE"
     grp = f"GROUP BY {label}" if label else ""
-    return w([view], f"""
+    return w([view] if views is None else views, *ctes, f"""
 d AS (SELECT {k}CAST({col} AS DOUBLE) AS x FROM {view} WHERE {col} IS NOT NULL)""", f"""
 rng AS (SELECT {k}CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
                CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi

@@ -26,7 +26,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import DECISION_THRESHOLD, predict_at
+from riskspark.functions.columns import DECISION_THRESHOLD, linear_probability, predict_at
 from riskspark.operators.knn import knn_classify
 
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "SVM (Linear)", "KNN (Weighted)"]
@@ -52,6 +52,24 @@ class MarginScaler(Model, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn(self.getOrDefault(self.outputCol), array_to_vector(F.array(z)))
 
 
+class LinearScorer(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A linear model with given weights as a saveable stage: probability = sigmoid(intercept + sum of w * x)."""
+
+    cols = Param(Params._dummy(), "cols", "feature columns", typeConverter=TypeConverters.toListString)
+    weights = Param(Params._dummy(), "weights", "weight of each", typeConverter=TypeConverters.toListFloat)
+    intercept = Param(Params._dummy(), "intercept", "intercept", typeConverter=TypeConverters.toFloat)
+
+    @keyword_only
+    def __init__(self, cols=None, weights=None, intercept=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        p = linear_probability(self.getOrDefault(self.cols), self.getOrDefault(self.weights),
+                               self.getOrDefault(self.intercept))
+        return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))
+
+
 def prob1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from riskspark.functions.columns import hash_hex
 from riskspark.operators import split as S
+from riskspark.operators.split import fold_assign, random_split, stratified_split
 
 
 def _labelled(spark, n_pos=37, n_neg=203):
@@ -59,3 +60,24 @@ def test_folds_without_shuffle_follow_id_order(spark):
         part = out[out.label == lab].sort_values("id")
         expect = np.concatenate([np.full(len(a), f) for f, a in enumerate(np.array_split(np.arange(len(part)), 3))])
         assert list(part["fold"]) == list(expect)
+
+
+def test_cuts_equal_ranks_and_shuffle_no_rows(spark):
+    rows = [(i, [0, 1, None, 2][i % 4] if i % 97 else 3) for i in range(2000)] + [(5000, 9), (5001, 9)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    for k in (2, 5):
+        a = {r["id"]: r["fold"] for r in fold_assign(df, "y", "id", k).collect()}
+        assert a == {r["id"]: r["fold"] for r in fold_assign(df, "y", "id", k, with_rank=False).collect()}
+        assert len(a) == len(rows)
+    for split in (lambda **o: stratified_split(df, "y", "id", 0.3, **o), lambda **o: random_split(df, "id", 0.3, **o)):
+        a = {r["id"]: r["split"] for r in split().collect()}
+        got = split(with_rank=False)
+        assert a == {r["id"]: r["split"] for r in got.collect()} and len(a) == len(rows)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+
+
+def test_null_labels_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "id long, y int")
+    assert stratified_split(df, "y", "id").count() == 100
+    assert fold_assign(df, "y", "id", 5).count() == 100
