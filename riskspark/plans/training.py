@@ -46,6 +46,12 @@ class Prepared:
     seed: int = 42
 
 
+def _few(df: DataFrame, n_rows: int, n_cols: int, target_bytes: int = 64 << 20) -> DataFrame:
+    """At most one partition per ``target_bytes`` of doubles, by a narrow coalesce: iterative solvers run a job per
+    step, and a task per partition in each."""
+    return df.coalesce(max(1, -(-n_rows * 8 * (n_cols + 4) // target_bytes)))
+
+
 def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None, test_size: float = 0.2,
             seed: int = 42, use_smote: bool = True, k_smote: int = 5, checkpoint: bool = True) -> Prepared:
     cats, nums = split_columns_by_type(df, id_col, label)
@@ -69,11 +75,13 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     if use_smote:
         train = smote(train, label, id_col, feature_cols, k_smote, seed, counts=before).drop("is_synthetic")
         if checkpoint:  # the kNN join and synthetic rows are computed once
-            train = cut_lineage(train)
+            train = cut_lineage(_few(train, 2 * sum(before.values()), len(feature_cols)))
         top = max(before.values()) if before else 0
         after = {c: top for c in before}  # SMOTE lifts every class to the largest one
     scaler = PopulationScaler(inputCols=feature_cols).fit(train)
     assembler = VectorAssembler(inputCols=feature_cols, outputCol="features")
+    n_test = sum(r["n"] for r in sizes if r["split"] == "test")
+    test = _few(test, n_test, len(feature_cols))
     train_s = M.with_class_weights(assembler.transform(scaler.transform(train)), label)
     test_s = assembler.transform(scaler.transform(test))
     return Prepared(train_s, test_s, encoder, scaler, assembler, feature_cols, cats, id_col, label, before, after,
