@@ -21,7 +21,7 @@ from riskspark.llm.textbuf import LOWER, distinct, groups, span_hash
 
 MIN_POINTS = 40
 MIN_DOCS = 5
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Filter bits a hash, and probes: a suspect is wrong about once in 2,000.
 BITS, PROBES = 16, 6
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -70,7 +70,7 @@ def line_keys(run: list[bytes], min_points: int) -> tuple[np.ndarray, np.ndarray
     lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
     full = hi > lo
     starts, ends = solid[lo[full]], solid[hi[full] - 1] + 1
-    points = np.append(0, np.cumsum((buf & 0xC0) != 0x80))
+    points = np.append(np.int32(0), np.cumsum((buf & 0xC0) != 0x80, dtype=np.int32))
     enough = points[ends] - points[starts] >= min_points
     starts, ends = starts[enough], ends[enough]
     return np.searchsorted(text_end, starts, side="right"), span_hash(buf, starts, ends)
