@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import id_back, id_key, pick, stored
+from riskspark.llm.frames import bounded_batches, id_back, id_key, pick, stored
 from riskspark.llm.textbuf import groups, mix64
 
 #: Mean distance of chunk ends is 2**MASK_BITS bytes beyond the smallest chunk.
@@ -246,6 +246,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     has no chunks. Rows that share a doc_id (null ids share the smallest one) keep a repeated passage each.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         id_key(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_key"),

@@ -28,7 +28,6 @@ def quoted(name: str) -> Column:
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Project to the columns an operator needs, under its own names: other columns can't clash."""
-    bounded_batches(df.sparkSession)
     return df.select(*[quoted(old).alias(new) for new, old in columns.items()])
 
 

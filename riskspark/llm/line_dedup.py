@@ -157,6 +157,7 @@ def _suspect_lines(min_points: int):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
+            out_ids, out_keys = [], []
             ids, texts, wanted = (c.to_pylist() for c in (batch.column(0), batch.column(1).cast("binary"),
                                                           batch.column(2)))
             for id_, text, hashes in zip(ids, texts, wanted, strict=True):
@@ -167,10 +168,10 @@ def _suspect_lines(min_points: int):
                 _, have = line_keys(keys, 0)
                 found = [k for k, hit in zip(keys, np.isin(have, want), strict=True)
                          if hit and len(k.decode()) >= min_points]
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([id_] * len(found), pa.int64()), pa.array([k.decode() for k in found], pa.string())],
-                        names=["id", "key"])
+                out_ids += [id_] * len(found)
+                out_keys += [k.decode() for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.string())],
+                                             names=["id", "key"])
     return run
 
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import id_back, id_key, pick, quoted, stored
+from riskspark.llm.frames import bounded_batches, id_back, id_key, pick, quoted, stored
 from riskspark.llm.textbuf import mix64, words_of
 
 SHINGLE = 5
@@ -293,6 +293,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bucket with probability 0.9998 and agrees on enough samples with 0.9995, a closer pair with more. ``text_id`` holds 16 bytes of the text's SHA-256.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         id_key(F.col("doc_id")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tid", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))

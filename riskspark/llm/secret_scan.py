@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import pick
+from riskspark.llm.frames import bounded_batches, pick
 
 #: Fixed patterns; offsets are code points, the span is the whole match.
 ASSIGN = re.compile(
@@ -117,6 +117,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  pa.array(out[5], pa.string())],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
+    bounded_batches(docs.sparkSession)
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, "
                                 "base_sha256 string, spans string")
