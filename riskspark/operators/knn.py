@@ -1,24 +1,21 @@
-"""Exact k-nearest-neighbour join without a cross join.
-
-Pivot partitioning with triangle-inequality pruning (the MapReduce kNN-join
-scheme of Lu, Shen, Chen, Ooi, VLDB 2012):
-
-1. ``P`` pivots: the base rows with the smallest md5(seed:id) (TakeOrdered;
-   P is capped, so the pivot matrix the tasks receive is bounded).
-2. Every base row goes to its nearest pivot's cell; per cell we keep the
-   count and the radius (max distance to the pivot) - one row per cell.
-3. For a query q with pivot distances D_c: walking cells by D_c + r_c until
-   k points are covered gives an upper bound theta_q on its k-th neighbour
-   distance; a cell can hold a neighbour only if D_c - r_c <= theta_q.
-4. Only (query, candidate cell) pairs are joined with the base rows of the
-   cell. Cells larger than ``chunk_rows`` are split into chunks (salting), so
-   a cell holding a third of the data spreads over many tasks.
-5. Each (cell, chunk, query block) group computes its distance block with
-   NumPy (cogrouped Arrow batches) and keeps k rows per query; the final
-   top-k per query runs over at most k rows per block, ties broken by id.
-
-The result is exact: pruning only drops cells that provably cannot contain
-one of the k nearest rows (a small slack guards floating error).
+"""Exact k-nearest-neighbour join in packed tiles.
+
+Pivot partitioning with triangle-inequality pruning (after Lu, Shen, Chen, Ooi, VLDB 2012), on blocks instead of rows:
+
+1. Distinct vectors are written once. ``P`` pivots are the base rows with the smallest md5(seed:id), put in a
+   neighbourly order. P is at least the square root of the number of vectors at every size, so cells don't outgrow
+   their number; the pivot matrix in the tasks grows with that root only.
+2. Every row goes to its nearest pivot's cell. Neighbouring cells are packed into tiles: one record holds the ids and
+   vectors of a bounded block of rows. A cell larger than a tile is dealt over several.
+3. Probe: a query tile meets the base tile of its own cells. The k-th distance found there bounds each query's answer.
+4. A base tile survives for a query if it has a cell with d(query, pivot) - radius within that bound. Surviving pairs
+   are (tile, tile, bit per query): ids only. Each pair then brings its two tiles together once, and returns what lies
+   within the bound.
+5. The final top-k per query is ranked over those rows, ties by id.
+
+The result is exact: pruning only drops tiles that can't hold one of the k nearest rows (a small slack guards
+floating error). On few dimensions most tiles go. On many (the 64-d embeddings) nearly all survive and exact search
+stays a quadratic block join, which ships a tile per pair of tiles, not a vector per query and cell.
 """
 
 from __future__ import annotations
@@ -30,256 +27,293 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from riskspark.functions.columns import hash_hex
 from riskspark.session import cut_lineage
 
-MAX_PIVOTS = 4096
-CELL_ROWS = 64  # target base rows per pivot cell (more cells = tighter pruning)
-CHUNK_ROWS = 4096
+CELL_ROWS = 64  # target base rows per pivot cell while there are few rows (more cells = tighter pruning)
+FINE_PIVOTS = 4096  # cells of that size up to this many; beyond it the square root of the rows decides
+TILE_ROWS, TILE_BYTES = 4096, 1 << 20  # of one packed record
 SLACK = 1e-9
-EXPAND_BYTES = 16 << 20  # of (query, cell) rows that a worker holds at once
+SALT_ROWS = 100_000  # rows of one query vector that one join key may hold
+MAX_HOT = 4096  # vectors that can be hotter than that are at most so many
+_KEEP = StorageLevel.MEMORY_AND_DISK
 
 
-def _pivot_count(n_base: int, max_pivots: int) -> int:
-    want = max(math.sqrt(max(n_base, 1)), n_base / CELL_ROWS)
-    return int(max(1, min(max_pivots, round(want))))
+def _pivot_count(n_base: int, max_pivots: int | None) -> int:
+    want = max(math.sqrt(max(n_base, 1)), min(FINE_PIVOTS, n_base / CELL_ROWS))
+    return int(max(1, round(min(want, max_pivots or want))))
 
 
 def _as_matrix(series: pd.Series) -> np.ndarray:
-    if len(series) == 0:
-        return np.zeros((0, 0))
     return np.vstack([np.asarray(v, dtype=np.float64) for v in series.values])
 
 
-def _pivot_distances(x: np.ndarray, piv: np.ndarray, max_cells: int = 4_000_000) -> np.ndarray:
-    """Exact (q, P) distance matrix, computed in slices so memory stays bounded."""
-    out = np.empty((len(x), len(piv)))
+def _pivot_distances(x: np.ndarray, piv: np.ndarray, max_cells: int = 4_000_000):
+    """(first row, exact distances of a slice of rows to the pivots), slice by slice."""
     step = max(1, max_cells // max(1, piv.size))
     for s0 in range(0, len(x), step):
-        xs = x[s0:s0 + step]
-        out[s0:s0 + step] = np.sqrt(((xs[:, None, :] - piv[None, :, :]) ** 2).sum(axis=2))
-    return out
+        yield s0, np.sqrt(((x[s0:s0 + step, None, :] - piv[None, :, :]) ** 2).sum(axis=2))
+
+
+def _neighbourly(piv: np.ndarray) -> np.ndarray:
+    """Order of the pivots by halving at the median of the widest dimension, so that close pivots get close numbers."""
+    todo, order = [np.arange(len(piv))], []
+    while todo:
+        part = todo.pop()
+        if len(part) == 1:
+            order.append(part[0])
+            continue
+        x = piv[part]
+        ranked = part[np.argsort(x[:, np.ptp(x, axis=0).argmax()], kind="stable")]
+        half = len(part) // 2
+        todo += [ranked[half:], ranked[:half]]
+    return np.array(order)
+
+
+def _assign_cells(rows: DataFrame, piv: np.ndarray, feat_col: str) -> DataFrame:
+    """Nearest pivot and exact distance to it for every row."""
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = [(d.argmin(axis=1), d.min(axis=1)) for _, d in _pivot_distances(_as_matrix(pdf[feat_col]), piv)]
+                yield pdf.assign(_cell=np.concatenate([c for c, _ in near]).astype(np.int32),
+                                 _dpiv=np.concatenate([d for _, d in near]))
 
+    return rows.mapInPandas(assign, StructType(rows.schema.fields + [StructField("_cell", IntegerType()),
+                                                                     StructField("_dpiv", DoubleType())]))
 
-def _assign_cells(base: DataFrame, pivots: np.ndarray, feat_col: str) -> DataFrame:
-    """Nearest pivot and exact distance to it for every base row (Arrow batches, NumPy)."""
-    piv = pivots
 
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            d = _pivot_distances(_as_matrix(pdf[feat_col]), piv)
-            cell = d.argmin(axis=1)
-            yield pdf.assign(_cell=cell.astype(np.int32), _dpiv=d[np.arange(len(d)), cell])
-
-    schema = StructType(base.schema.fields + [StructField("_cell", IntegerType()),
-                                              StructField("_dpiv", DoubleType())])
-    return base.mapInPandas(assign, schema)
-
-
-def _candidate_cells(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k_cover: int,
-                     id_col: str, feat_col: str) -> DataFrame:
-    """(query id, features, cell, chunk) for every cell that may hold one of its k nearest rows."""
-    piv = pivots
-    radius = np.zeros(len(piv))
-    count = np.zeros(len(piv), dtype=np.int64)
-    chunks = np.ones(len(piv), dtype=np.int64)
-    radius[cells["_cell"].values] = cells["radius"].values
-    count[cells["_cell"].values] = cells["n"].values
-    chunks[cells["_cell"].values] = cells["n_chunks"].values
-    total = int(count.sum())
-
-    def expand(batches):
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _as_matrix(pdf[feat_col])
-            d = _pivot_distances(x, piv)  # (q, P); P is capped
-            if total <= k_cover:
-                theta = np.full(len(x), np.inf)
-            else:
-                ub = d + radius[None, :]
-                order = np.argsort(ub, axis=1)
-                cum = np.cumsum(count[order], axis=1)
-                pos = (cum >= k_cover).argmax(axis=1)
-                theta = ub[np.arange(len(x)), order[np.arange(len(x)), pos]]
-            lb = d - radius[None, :]
-            ok = (lb <= theta[:, None] * (1 + SLACK) + SLACK) & (count[None, :] > 0)
-            every_q, every_c = np.nonzero(ok)
-            wide = max(1, EXPAND_BYTES // (8 * x.shape[1] + 64))  # rows of a frame: bounded by bytes
-            for s0 in range(0, len(every_q), wide):
-                qi, ci = every_q[s0:s0 + wide], every_c[s0:s0 + wide]
-                reps = chunks[ci]
-                qi = np.repeat(qi, reps)
-                ci_rep = np.repeat(ci, reps)
-                starts = np.cumsum(reps) - reps
-                chunk = np.arange(int(reps.sum())) - np.repeat(starts, reps)
-                yield pd.DataFrame({"_qid": pdf[id_col].values[qi], "_qfeat": pdf[feat_col].values[qi],
-                                    "_cell": ci_rep.astype(np.int32), "_chunk": chunk.astype(np.int32)})
-
-    schema = f"_qid {dict(queries.dtypes)[id_col]}, _qfeat array<double>, _cell int, _chunk int"
-    return queries.select(id_col, feat_col).mapInPandas(expand, schema)
-
-
-def _block_topk(k: int, exclude_self: bool, payload: tuple[str, ...], slice_cells: int = 8_000_000):
-    """Per (cell, chunk, query block): exact distances with NumPy, k best per query (ties by id).
-
-    The squared distance is summed dimension by dimension (same order as a
-    SQL ``reduce`` over the zipped arrays), so values are bit-identical.
+def _layout(count: np.ndarray, group: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first tile, number of tiles) of every group of cells, for rows counted per cell."""
+    rows = np.bincount(group, weights=count)
+    tiles = np.maximum(1, np.ceil(rows / (1.5 * tile_rows))).astype(np.int64)
+    return np.cumsum(tiles) - tiles, tiles
+
+
+def _packed(assigned: DataFrame, group: np.ndarray, first: np.ndarray, tiles: np.ndarray, id_col: str, feat_col: str,
+            prefix: str) -> DataFrame:
+    """One record per tile: its number, its group of cells, ids and vectors of its rows."""
+    table = pd.DataFrame({"_cell": np.arange(len(group), dtype=np.int32), "_group": group.astype(np.int32),
+                          "_first": first[group], "_tiles": tiles[group]})
+    cells = assigned.sparkSession.createDataFrame(table)  # a row per pivot
+    dealt = assigned.join(F.broadcast(cells), "_cell").withColumn(
+        "_tile", F.col("_first") + F.pmod(F.xxhash64(id_col), F.col("_tiles")))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"tile": pdf["_tile"].iloc[:1], "group": pdf["_group"].iloc[:1],
+                             "ids": [pdf[id_col].to_numpy()], "vec": [_as_matrix(pdf[feat_col]).tobytes()]})
+
+    schema = StructType([StructField("tile", LongType()), StructField("group", IntegerType()),
+                         StructField("ids", ArrayType(assigned.schema[id_col].dataType)),
+                         StructField("vec", BinaryType())])
+    records = dealt.select("_tile", "_group", id_col, feat_col).groupBy("_tile").applyInPandas(pack, schema)
+    return records.toDF(*[f"{prefix}{c}" for c in records.columns])
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, bound: np.ndarray, slice_cells: int = 1_000_000):
+    """(row of x, row of y, squared distance): the k nearest rows of y within ``bound`` of each row, ties by id.
+
+    The squared distance is summed dimension by dimension (same order as a SQL ``reduce`` over the zipped arrays), so
+    values are bit-identical.
     """
+    by_id = np.argsort(y_ids, kind="stable")  # numbers or text
+    y, k = y[by_id], min(k, len(y))
+    step = max(1, slice_cells // max(1, len(y)))
+    out = []
+    for s0 in range(0, len(x), step):
+        xs = x[s0:s0 + step]
+        d2 = np.zeros((len(xs), len(y)))
+        for j in range(y.shape[1]):
+            diff = xs[:, j, None] - y[None, :, j]
+            diff *= diff
+            d2 += diff
+        kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
+        r, c = np.nonzero(d2 <= np.minimum(kth, bound[s0:s0 + step])[:, None])
+        d = d2[r, c]
+        order = np.lexsort((c, d, r))
+        r, c, d = r[order], c[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)  # of ties at the k-th distance the smaller ids stay
+        out.append((r[place < k] + s0, by_id[c[place < k]], d[place < k]))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
+def _block(ids, vec: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.asarray(ids)
+    return ids, np.frombuffer(vec, dtype=np.float64).reshape(len(ids), -1)
+
+
+def _probe(k: int):
+    """A query tile with the base tile of its cells: what it finds there, and the k-th distance (squared) per query."""
+    def run(batches):
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                q_ids, x = _block(t.q_ids, t.q_vec)
+                bound = np.full(len(x), np.inf)
+                if t.b_ids is None:  # no base row came to these cells
+                    yield pd.DataFrame({"q_tile": [t.q_tile], "probed": [-1], "bound": [bound.tobytes()],
+                                        "hit_q": [[]], "hit_b": [[]], "hit_d": [[]]})
+                    continue
+                b_ids, y = _block(t.b_ids, t.b_vec)
+                r, c, d = _nearest(x, y, b_ids, k, bound)
+                if len(y) >= k:
+                    bound[r] = d  # the last one of each row is its k-th
+                yield pd.DataFrame({"q_tile": [t.q_tile], "probed": [t.b_tile], "bound": [bound.tobytes()],
+                                    "hit_q": [q_ids[r]], "hit_b": [b_ids[c]], "hit_d": [d]})
 
-    def run(qdf: pd.DataFrame, bdf: pd.DataFrame) -> pd.DataFrame:
-        cols = ["_qid", "nb_id", "_d2", *payload]
-        if len(qdf) == 0 or len(bdf) == 0:
-            return pd.DataFrame({c: [] for c in cols})
-        qx, bx = _as_matrix(qdf["_qfeat"]), _as_matrix(bdf["_bfeat"])
-        qid, bid = qdf["_qid"].to_numpy(), bdf["nb_id"].to_numpy()  # numbers or text
-        place = np.unique(bid, return_inverse=True)[1]  # ties go to the smaller id
-        kk = min(k, len(bdf))
-        step = max(1, slice_cells // max(1, len(bdf)))
-        out_q, out_b, out_d = [], [], []
-        for s0 in range(0, len(qx), step):
-            xs = qx[s0:s0 + step]
-            d2 = np.zeros((len(xs), len(bx)))
-            for j in range(bx.shape[1]):
-                diff = xs[:, j, None] - bx[None, :, j]
-                d2 = d2 + diff * diff
-            if exclude_self:
-                d2[qid[s0:s0 + step, None] == bid[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(place, d2.shape), d2), axis=-1)[:, :kk]
-            rows = np.arange(len(xs))[:, None]
-            dd = d2[rows, order]
-            keep = np.isfinite(dd)
-            out_q.append(np.broadcast_to(qid[s0:s0 + step, None], order.shape)[keep])
-            out_b.append(order[keep])
-            out_d.append(dd[keep])
-        bi = np.concatenate(out_b)
-        res = {"_qid": np.concatenate(out_q), "nb_id": bid[bi], "_d2": np.concatenate(out_d)}
-        for c in payload:
-            res[c] = bdf[c].to_numpy()[bi]
-        return pd.DataFrame(res)
+    return run
+
+
+def _survivors(piv: np.ndarray, radius: np.ndarray, count: np.ndarray, group: np.ndarray, first: np.ndarray,
+               tiles: np.ndarray):
+    """(query tile, base tile, bit per query) of the tiles that may hold one of the k nearest rows of a query."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    reach = np.where(count > 0, radius, -np.inf)
+
+    def run(batches):
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                x = _block(t.q_ids, t.q_vec)[1]
+                limit = np.sqrt(np.frombuffer(t.bound, dtype=np.float64)) * (1 + SLACK) + SLACK
+                ok = np.concatenate([np.minimum.reduceat(d - reach, starts, axis=1) <= limit[s0:s0 + len(d), None]
+                                     for s0, d in _pivot_distances(x, piv)])
+                for g in np.flatnonzero(ok.any(axis=0)):
+                    bits = np.packbits(ok[:, g]).tobytes()
+                    met = [b for b in range(first[g], first[g] + tiles[g]) if b != t.probed]
+                    yield pd.DataFrame({"q_tile": t.q_tile, "b_tile": met, "bits": [bits] * len(met)})
 
     return run
 
 
-def _knn_core(queries: DataFrame, base: DataFrame, k: int, id_col: str, feat_col: str, exclude_self: bool = False,
-              payload: tuple[str, ...] = (), seed: int = 42, max_pivots: int = MAX_PIVOTS,
-              chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS,
-              cached: list | None = None) -> DataFrame:
-    """Pivot-pruned exact top-k per query over (ideally distinct) base vectors.
+def _meet(k: int):
+    """The two tiles of a surviving pair: rows within the bound of the queries for which the tile survived."""
+    def run(batches):
+        for pdf in batches:
+            for t in pdf.itertuples(index=False):
+                q_ids, x = _block(t.q_ids, t.q_vec)
+                b_ids, y = _block(t.b_ids, t.b_vec)
+                rows = np.flatnonzero(np.unpackbits(np.frombuffer(t.bits, dtype=np.uint8), count=len(x)))
+                r, c, d = _nearest(x[rows], y, b_ids, k, np.frombuffer(t.bound, dtype=np.float64)[rows])
+                yield pd.DataFrame({"q_id": q_ids[rows[r]], "nb_id": b_ids[c], "_d2": d})
 
-    Output (q_id, rank, nb_id, dist, *payload). Work is cut into (cell, base
-    chunk, query block) groups of at most ``chunk_rows`` x ``query_block_rows``
-    rows; each group computes its block of distances with NumPy and emits at
-    most k rows per query.
-    """
-    if k < 1:
-        raise ValueError("k must be >= 1")
-    spark = base.sparkSession
-    b = base.select(F.col(id_col), F.col(feat_col).cast("array<double>").alias(feat_col), *payload)
-    q = queries.select(F.col(id_col), F.col(feat_col).cast("array<double>").alias(feat_col))
-    n_base = b.count()
-    pay_fields = [f for f in b.schema.fields if f.name in payload]
-    if n_base == 0:
-        kind = dict(b.dtypes)[id_col]
-        schema = f"q_id {kind}, rank int, nb_id {kind}, dist double, _d2 double" + "".join(
-            f", {f.name} {f.dataType.simpleString()}" for f in pay_fields)
-        return spark.createDataFrame([], schema)
-    n_piv = _pivot_count(n_base, max_pivots)
-    piv_rows = (b.withColumn("_h", hash_hex(seed, "pivot", F.col(id_col)))
-                 .orderBy("_h", id_col).limit(n_piv).select(feat_col).collect())
-    pivots = np.vstack([np.asarray(r[0], dtype=np.float64) for r in piv_rows])
-
-    assigned = _assign_cells(b, pivots, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
-    if cached is not None:
-        cached.append(assigned)
-    cell_stats = assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dpiv").alias("radius"))
-    cell_stats = cell_stats.withColumn("n_chunks", F.ceil(F.col("n") / F.lit(chunk_rows)).cast("long"))
-    cells = cell_stats.toPandas()  # one row per pivot: bounded by max_pivots
-
-    k_cover = k + (1 if exclude_self else 0)
-    cand = _candidate_cells(q, pivots, cells, k_cover, id_col, feat_col).persist(StorageLevel.MEMORY_AND_DISK)
-    if cached is not None:
-        cached.append(cand)
-    # queries per cell (one row per cell) -> query blocks, so no group holds an unbounded query side
-    qblocks = (cand.where(F.col("_chunk") == 0).groupBy("_cell").agg(F.count(F.lit(1)).alias("_nq"))
-                   .select("_cell", F.ceil(F.col("_nq") / F.lit(query_block_rows)).cast("int").alias("_nqb")))
-    cells_tab = (F.broadcast(spark.createDataFrame(cells[["_cell", "n_chunks"]].astype(
-        {"_cell": "int32", "n_chunks": "int64"}))).join(F.broadcast(qblocks), "_cell", "left")
-        .select("_cell", "n_chunks", F.coalesce("_nqb", F.lit(1)).alias("_nqb")))
-    base_blocks = (assigned.join(F.broadcast(cells_tab), "_cell")
-                           .withColumn("_chunk", F.pmod(F.xxhash64(F.col(id_col)), F.col("n_chunks")).cast("int"))
-                           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_nqb") - 1)))
-                           .select("_cell", "_chunk", "_qb", F.col(id_col).alias("nb_id"),
-                                   F.col(feat_col).alias("_bfeat"), *payload))
-    q_blocks = (cand.join(F.broadcast(cells_tab.select("_cell", "_nqb")), "_cell")
-                    .withColumn("_qb", F.pmod(F.xxhash64("_qid"), F.col("_nqb")).cast("int"))
-                    .select("_cell", "_chunk", "_qb", "_qid", "_qfeat"))
-    out_schema = StructType([StructField("_qid", q.schema[id_col].dataType),
-                             StructField("nb_id", b.schema[id_col].dataType),
-                             StructField("_d2", DoubleType()), *pay_fields])
-    keys = ["_cell", "_chunk", "_qb"]
-    local = (q_blocks.groupBy(*keys).cogroup(base_blocks.groupBy(*keys))
-                     .applyInPandas(_block_topk(k, exclude_self, tuple(payload)), out_schema))
-    w2 = Window.partitionBy("_qid").orderBy("_d2", "nb_id")
-    top = local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
-    return top.select(F.col("_qid").alias("q_id"), F.col("rank").cast("int").alias("rank"), "nb_id",
-                      F.sqrt("_d2").alias("dist"), "_d2", *payload)
+    return run
+
+
+def _knn_core(queries: DataFrame, base: DataFrame, n_base: int, k: int, id_col: str, feat_col: str, seed: int,
+              max_pivots: int | None, tile_rows: int | None, query_tile_rows: int | None, kept: list) -> DataFrame:
+    """Exact top-k (q_id, nb_id, _d2) per query over distinct base vectors; ``kept`` collects what is persisted."""
+    top = (base.withColumn("_h", hash_hex(seed, "pivot", F.col(id_col))).orderBy("_h", id_col)
+               .limit(_pivot_count(n_base, max_pivots)).select(feat_col).collect())
+    piv = np.array([r[0] for r in top], dtype=np.float64)
+    piv = piv[_neighbourly(piv)]
+    fit = max(1, min(TILE_ROWS, TILE_BYTES // (8 * max(1, piv.shape[1]))))
+
+    def cells_of(rows: DataFrame):
+        placed = _assign_cells(rows, piv, feat_col).persist(_KEEP)
+        kept.append(placed)
+        stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dpiv").alias("radius")).toPandas()
+        count, radius = np.zeros(len(piv)), np.zeros(len(piv))  # a row per pivot
+        count[stats["_cell"]], radius[stats["_cell"]] = stats["n"], stats["radius"]
+        return placed, count, radius
+
+    placed, count, radius = cells_of(base)
+    _, group = np.unique((np.cumsum(count) - count) // (tile_rows or fit), return_inverse=True)
+    first, tiles = _layout(count, group, tile_rows or fit)
+    b_tiles = _packed(placed, group, first, tiles, id_col, feat_col, "b_").persist(_KEEP)
+    q_placed, q_count, _ = (placed, count, radius) if queries is base else cells_of(queries)
+    q_tiles = _packed(q_placed, group, *_layout(q_count, group, query_tile_rows or fit), id_col, feat_col,
+                      "q_").persist(_KEEP)
+    kept += [b_tiles, q_tiles]
+
+    kind, b_kind = queries.schema[id_col].dataType, base.schema[id_col].dataType
+    home = b_tiles.groupBy("b_group").agg(F.min("b_tile").alias("b_tile"))
+    probe_schema = StructType([StructField("q_tile", LongType()), StructField("probed", LongType()),
+                               StructField("bound", BinaryType()), StructField("hit_q", ArrayType(kind)),
+                               StructField("hit_b", ArrayType(b_kind)), StructField("hit_d", ArrayType(DoubleType()))])
+    probed = (q_tiles.join(home, F.col("q_group") == F.col("b_group"), "left").drop("b_group")
+                     .withColumn("b_tile", F.coalesce("b_tile", F.lit(-1))).join(b_tiles, "b_tile", "left")
+                     .mapInPandas(_probe(k), probe_schema).persist(_KEEP))
+    kept.append(probed)
+    bounded = q_tiles.join(probed.select("q_tile", "probed", "bound"), "q_tile")
+    pairs = bounded.mapInPandas(_survivors(piv, radius, count, group, first, tiles),
+                                "q_tile long, b_tile long, bits binary")
+    hits = StructType([StructField("q_id", kind), StructField("nb_id", b_kind), StructField("_d2", DoubleType())])
+    far = pairs.join(bounded, "q_tile").join(b_tiles, "b_tile").mapInPandas(_meet(k), hits)
+    near = probed.select(F.explode(F.arrays_zip("hit_q", "hit_b", "hit_d")).alias("h")).select(
+        F.col("h.hit_q").alias("q_id"), F.col("h.hit_b").alias("nb_id"), F.col("h.hit_d").alias("_d2"))
+    w = Window.partitionBy("q_id").orderBy("_d2", "nb_id")
+    return near.unionByName(far).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", feat_col: str = "features",
              exclude_self: bool = False, payload: tuple[str, ...] = (), seed: int = 42,
-             max_pivots: int = MAX_PIVOTS, chunk_rows: int = CHUNK_ROWS, query_block_rows: int = CHUNK_ROWS
+             max_pivots: int | None = None, chunk_rows: int | None = None, query_block_rows: int | None = None
              ) -> DataFrame:
     """K nearest base rows per query (Euclidean), ties by base id.
 
     Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour).
     ``exclude_self`` drops the base row with the query's id (C2 self-join).
+    ``chunk_rows`` and ``query_block_rows`` set the rows of a base and of a query tile (by default what fits 1 MB).
 
-    Identical vectors are collapsed first, so a vector shared by a third of
-    the rows costs no more than any other:
+    Identical vectors are collapsed first, so a vector shared by a third of the rows is searched once:
     * base: per distinct vector only its ``k+1`` smallest ids are kept
       (``row_number <= k+1``, which Spark limits per task before the shuffle);
-    * queries: the search runs once per distinct query vector and the result
-      is fanned out to its rows by an equi-join.
+    * queries: the search runs once per distinct query vector, and its at most k+1 nearest rows go to the query rows
+      as one array by an equi-join, whose hot vectors are salted.
     The k nearest rows always lie within the k+1 nearest distinct vectors
     ranked by (distance, smallest id), so the result is exact.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    spark = base.sparkSession
     kb = k + (1 if exclude_self else 0)
     feat = F.col(feat_col).cast("array<double>")
-    # rows without a vector have no distance to anything: they take no part
-    b = base.select(F.col(id_col), feat.alias(feat_col), *payload).where(F.col(feat_col).isNotNull())
-    q = queries.select(F.col(id_col), feat.alias(feat_col)).where(F.col(feat_col).isNotNull())
+    # rows without a vector of finite numbers have no distance to anything: they take no part
+    finite = F.coalesce(F.forall(feat_col, lambda v: F.abs(v) < F.lit(math.inf)), F.lit(False))
+    b = base.select(F.col(id_col), feat.alias(feat_col), *payload).where(finite)
+    q = queries.select(F.col(id_col), feat.alias(feat_col)).where(finite)
     by_vec = Window.partitionBy(feat_col)
-    members = (b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
-                .withColumn("_rep", F.min(id_col).over(by_vec)))
-    reps = members.where(F.col("_m") == 1).select(F.col(id_col), F.col(feat_col))
-    if queries is base:  # self-join: the distinct query vectors are the base representatives
-        qv = reps
-    else:  # one row per distinct query vector (partial aggregation collapses hot vectors map-side)
-        qv = q.groupBy(feat_col).agg(F.min(id_col).alias(id_col))
-    cached: list = []
-    top = _knn_core(qv, reps, kb, id_col, feat_col, False, (), seed, max_pivots, chunk_rows, query_block_rows,
-                    cached)
-    expanded = top.select(F.col("q_id").alias("_qrep"), F.col("nb_id").alias("_rep"), "dist", "_d2").join(
+    members = cut_lineage(b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
+                           .withColumn("_rep", F.min(id_col).over(by_vec)))
+    # one row per distinct query vector (partial aggregation collapses hot vectors map-side)
+    qv = cut_lineage(q.groupBy(feat_col).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n")))
+    vectors = qv.select(id_col, feat_col)
+    # in a self-join the distinct query vectors are the base representatives
+    reps = vectors if queries is base else members.where(F.col("_m") == 1).select(id_col, feat_col)
+    n_base = reps.count()
+    if n_base == 0:
+        return spark.createDataFrame([], StructType([
+            StructField("q_id", q.schema[id_col].dataType), StructField("rank", IntegerType()),
+            StructField("nb_id", b.schema[id_col].dataType), StructField("dist", DoubleType()),
+            *[b.schema[c] for c in payload]]))
+    kept: list = []
+    top = _knn_core(vectors, reps, n_base, kb, id_col, feat_col, seed, max_pivots, chunk_rows, query_block_rows, kept)
+    rows = top.select(F.col("q_id").alias(id_col), F.col("nb_id").alias("_rep"), "_d2").join(
         members.select("_rep", F.col(id_col).alias("nb_id"), *payload), "_rep")
-    fan = q.join(qv.select(feat_col, F.col(id_col).alias("_qrep")), feat_col).select(
-        F.col(id_col).alias("q_id"), "_qrep")
-    pairs = fan.join(expanded, "_qrep")
-    if exclude_self:
-        pairs = pairs.where(F.col("q_id") != F.col("nb_id"))
-    w = Window.partitionBy("q_id").orderBy("_d2", "nb_id")  # at most (k+1)^2 rows per query
-    ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    out = ranked.select("q_id", F.col("rank").cast("int").alias("rank"), "nb_id", "dist", *payload)
+    near = rows.groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(
+        F.struct("_d2", "nb_id", *payload))), 1, kb).alias("_near"))  # of at most (k+1)^2
+    unit = max(SALT_ROWS, -(-int(qv.agg(F.sum("_n")).first()[0] or 0) // MAX_HOT))
+    vec_hash = F.xxhash64(feat_col).alias("_hash")
+    hot = qv.where(F.col("_n") > unit).groupBy(vec_hash).agg(F.max(F.ceil(F.col("_n") / unit)).alias("_salts"))
+    hot = F.broadcast(hot)  # at most MAX_HOT rows
+
+    def salted(df: DataFrame) -> DataFrame:
+        return df.withColumn("_hash", vec_hash).join(hot, "_hash", "left").withColumn(
+            "_salts", F.coalesce("_salts", F.lit(1)).cast("long"))
+
+    answers = (salted(qv.join(near, id_col)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+               .select(feat_col, F.col("_salt").cast("long").alias("_salt"), "_near"))
+    asked = salted(q).select(F.col(id_col).alias("q_id"), feat_col,
+                             F.pmod(F.xxhash64(id_col), F.col("_salts")).alias("_salt"))
+    own = F.filter("_near", lambda s: s["nb_id"] != F.col("q_id")) if exclude_self else F.col("_near")
+    ranked = asked.join(answers, [feat_col, "_salt"]).select("q_id", F.posexplode(F.slice(own, 1, k)).alias("_p", "_s"))
+    out = ranked.select("q_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_s.nb_id").alias("nb_id"),
+                        F.sqrt("_s._d2").alias("dist"), *[F.col("_s")[c].alias(c) for c in payload])
     # materialise the (q, k) result in the shared checkpoint folder, then release the cached
     # intermediates: no cache outlives the call and downstream joins start from a short lineage
     out = cut_lineage(out)
-    for d in cached:
+    for d in kept:
         d.unpersist()
     return out
 

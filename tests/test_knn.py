@@ -61,7 +61,8 @@ def test_knn_classify_weights(spark):
 
 
 def test_knn_skips_null_vectors(spark):
-    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None), (4, [5.0])], "id long, features array<double>")
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None), (4, [5.0]), (5, [float("nan")]), (6, [None])],
+                               "id long, features array<double>")
     out = {r.q_id: r.nb_id for r in self_knn(df, 1).collect()}
     assert out == {1: 2, 2: 1, 4: 2}
 
@@ -70,3 +71,12 @@ def test_knn_empty_base(spark):
     q = spark.createDataFrame([(1, [0.0])], "id long, features array<double>")
     b = spark.createDataFrame([], "id long, features array<double>")
     assert knn_join(q, b, 3).count() == 0
+
+
+def test_knn_hot_query_vector_is_salted(spark, monkeypatch):
+    monkeypatch.setattr("riskspark.operators.knn.SALT_ROWS", 5)
+    rng = np.random.default_rng(7)
+    b, q = rng.integers(0, 4, (60, 2)).astype(float), np.vstack([np.ones((37, 2)), rng.normal(0, 1, (9, 2))])
+    out = knn_join(_frame(spark, q, np.arange(46)), _frame(spark, b, np.arange(60)), 3, chunk_rows=8).toPandas()
+    ref = brute(q, b, np.arange(46), np.arange(60), 3, False)
+    assert {k: list(g.sort_values("rank")["nb_id"]) for k, g in out.groupby("q_id")} == ref
