@@ -7,6 +7,7 @@ task before the shuffle. Null group keys are dropped (pandas ``groupby``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -150,43 +151,63 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
                       n_buckets: int = 1024, accuracy: int = 10000) -> DataFrame:
     """Exact linear-interpolated percentiles (NumPy/pandas 'linear'), distributed.
 
-    No task sees a whole column: values are first collapsed to (value, count)
-    with partial aggregation, cut into ~``n_buckets`` value ranges by
-    ``percentile_approx`` cut points (a bounded array per column, bucketed
-    with a vectorised search in Arrow batches), and running counts are
-    computed bucket-parallel; the rows holding the wanted ranks are joined
-    back to interpolate.
-    Output: (column, prob, value).
+    A sketch of every column (``percentile_approx``) gives a bracket of values around each wanted rank. One pass counts
+    the values below each bracket and keeps, as (value, count), those inside: some ``10 / accuracy`` of a column. The
+    rank is then exact within the bracket, found over value ranges in parallel. A bracket that turns out not to hold
+    its ranks is taken anew over the whole column, so the sketch decides the work only, never the result.
+    Columns without values give no rows. Output: (column, prob, value).
     """
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot([], list(cols), "column", "value")
-              .where(F.col("value").isNotNull()))
-    # distinct (value, count) pairs: used for cut points, ranks and lookups -> materialised once
-    vals = cut_lineage(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c")))
+    spark = df.sparkSession
+    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    margin = 4 / accuracy + 2 / max(1, df.count())
+    around = [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
+    sketch = num.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, around, accuracy).alias("at")).alias(c)
+                       for c in cols]).first()
+    slots = {}  # one per column and wanted percentile
+    for c in cols:
+        for i, p in enumerate(probs if sketch[c]["n"] else []):
+            pos = p * (sketch[c]["n"] - 1)
+            slots[len(slots)] = (c, float(p), pos, math.floor(pos), math.ceil(pos), *sketch[c]["at"][2 * i:2 * i + 2])
+    if not slots:
+        return spark.createDataFrame([], "column string, prob double, value double")
+
+    def gather(brackets: dict) -> tuple[DataFrame, dict]:
+        """(slot, below, value, c) of the values up to each bracket's end, and the counts per (slot, below)."""
+        sides = [F.struct(F.lit(i).alias("slot"), F.when(F.col(c) < lo, True).when(F.col(c) <= hi, False).alias("below"),
+                          F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c)).alias("value"))
+                 for i, (c, lo, hi) in brackets.items()]
+        long = num.select(F.explode(F.array(*sides)).alias("s")).select("s.*").where(F.col("below").isNotNull())
+        vals = cut_lineage(long.groupBy("slot", "below", "value").agg(F.count(F.lit(1)).alias("c")))
+        return vals, {(r["slot"], r["below"]): r["n"]
+                      for r in vals.groupBy("slot", "below").agg(F.sum("c").alias("n")).collect()}
+
+    vals, n = gather({i: (c, F.lit(lo), F.lit(hi)) for i, (c, _, _, _, _, lo, hi) in slots.items()})
+    missed = [i for i, (_, _, _, r_lo, r_hi, _, _) in slots.items()
+              if not n.get((i, True), 0) <= r_lo <= r_hi < n.get((i, True), 0) + n.get((i, False), 0)]
+    if missed:
+        rest, n_rest = gather({i: (slots[i][0], F.lit(-math.inf), F.lit(math.nan)) for i in missed})  # NaN sorts last
+        vals = vals.where(~F.col("slot").isin(missed)).unionByName(rest)
+        n = {key: v for key, v in n.items() if key[0] not in missed} | n_rest
+    inside = vals.where(~F.col("below")).select(F.col("slot").alias("column"), "value", "c")
     cuts = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = vals.groupBy("column").agg(
-        F.percentile_approx("value", cuts, accuracy).alias("_bounds"),
-        F.sum("c").alias("_n"))
-    # bounded: one sorted array of n_buckets - 1 cut points per column
-    cut_map = {r["column"]: np.asarray(r["_bounds"], dtype=np.float64) for r in bounds.collect()}
-    bv = vals.mapInPandas(_bucketizer(cut_map), "column string, value double, c long, _bkt int")
-    cum = prefix_sums(bv, ["column"], F.col("_bkt"), [F.col("value")], ["c"])
-    # wanted 0-based ranks per (column, prob)
-    targets = (bounds.select("column", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
-                     .withColumn("_pos", F.col("prob") * (F.col("_n") - 1).cast("double"))
-                     .withColumn("_r_lo", F.floor("_pos").cast("long"))
-                     .withColumn("_r_hi", F.ceil("_pos").cast("long")))
-    # row with cum_c - c <= r < cum_c holds rank r
-    lo = (cum.join(F.broadcast(targets), on="column")
-             .where((F.col("cum_c") - F.col("c") <= F.col("_r_lo")) & (F.col("_r_lo") < F.col("cum_c")))
-             .select("column", "prob", "_pos", "_r_lo", F.col("value").alias("_v_lo")))
-    hi = (cum.join(F.broadcast(targets.select("column", "prob", "_r_hi")), on="column")
-             .where((F.col("cum_c") - F.col("c") <= F.col("_r_hi")) & (F.col("_r_hi") < F.col("cum_c")))
-             .select("column", "prob", F.col("value").alias("_v_hi")))
-    return (lo.join(hi, on=["column", "prob"])
-              .select("column", "prob",
-                      (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * (F.col("_pos") - F.col("_r_lo")))
-                      .alias("value")))
+    # bounded: one sorted array of n_buckets - 1 cut points per slot
+    cut_map = {r["column"]: np.asarray(r["_cuts"], dtype=np.float64) for r in inside.groupBy("column").agg(
+        F.percentile_approx("value", cuts, accuracy).alias("_cuts")).collect()}
+    bv = inside.mapInPandas(_bucketizer(cut_map), "column int, value double, c long, _bkt int")
+    cum = prefix_sums(bv, ["column"], F.col("_bkt"), [F.col("value")], ["c"]).withColumnRenamed("column", "slot")
+    targets = spark.createDataFrame(
+        [(i, c, p, pos - r_lo, r_lo - n.get((i, True), 0), r_hi - n.get((i, True), 0))
+         for i, (c, p, pos, r_lo, r_hi, _, _) in slots.items()],
+        "slot int, column string, prob double, _part double, _lo long, _hi long")
+
+    def at(rank: str):  # the row with cum_c - c <= r < cum_c holds rank r
+        return F.max(F.when((F.col("cum_c") - F.col("c") <= F.col(rank)) & (F.col(rank) < F.col("cum_c")),
+                            F.col("value")))
+
+    return (cum.join(F.broadcast(targets), "slot").groupBy("slot", "column", "prob", "_part")
+               .agg(at("_lo").alias("_v_lo"), at("_hi").alias("_v_hi"))
+               .select("column", "prob", (F.col("_v_lo") + (F.col("_v_hi") - F.col("_v_lo")) * F.col("_part"))
+                       .alias("value")))
 
 
 def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, decimals: int | None = 1) -> DataFrame:

@@ -38,6 +38,15 @@ def test_exact_percentiles_with_hot_value(spark):
             assert got == pytest.approx(np.percentile(arr, p * 100), abs=1e-12)
 
 
+def test_exact_percentiles_of_sparse_and_empty_columns(spark):
+    few = [float(v) for v in np.random.default_rng(4).permutation(10)]
+    rows = [(few[i // 100] if i % 100 == 0 else None, None, float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = {(r["column"], r["prob"]): r["value"] for r in P.exact_percentiles(df, ["a", "b", "c"], [0.25, 0.5]).collect()}
+    assert got == {("a", 0.25): 2.25, ("a", 0.5): 4.5, ("c", 0.25): 249.75, ("c", 0.5): 499.5}
+    assert P.exact_percentiles(df.limit(0), ["a"], [0.5]).count() == 0
+
+
 def test_describe_numeric_matches_pandas(spark):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"a": rng.integers(0, 100, 500), "b": rng.normal(10, 3, 500), "c": np.ones(500)})
