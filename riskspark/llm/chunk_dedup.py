@@ -10,8 +10,14 @@ Chunks are deduplicated by a 128-bit digest:
 2. the owner of a digest range adds the counts of all blocks and answers each
    block with the digests that repeat and the smallest document holding them;
 3. each block merges consecutive repeated chunks into runs. A run of at least
-   ``min_words`` words is a repeated passage. It stays in the smallest document
-   that holds it and is dropped from the others.
+   ``min_words`` words, or as long as that many average words, is a repeated
+   passage. It stays in the smallest document that holds it and is dropped from
+   the others.
+
+Words begin after ASCII white space. Text without it (Chinese, Japanese, Thai,
+lists joined by commas) has hardly any word starts, so a run also counts by its
+code points other than ASCII white space: ``WORD_CHARS`` of them stand for a
+word. Chunks end between code points, so that no cut leaves half of one.
 
 A block sends a digest once however often it occurs there, so a passage that a
 third of all documents share is a handful of rows. No text is shuffled.
@@ -32,10 +38,12 @@ MIN_CHUNK, MAX_CHUNK = 8, 512
 #: Words that a run of repeated chunks holds to count as a repeated passage. The chunks inside a passage lack
 #: its edges (some 30 bytes on either side), so this is well below the passages' 50 words.
 MIN_WORDS = 20
+#: Code points that stand for a word in a run with too few word starts (words of the given tables hold 5.2, and a space).
+WORD_CHARS = 6
 BLOCK_BYTES = 2 << 20
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _MASK = np.uint32(((1 << MASK_BITS) - 1) << (16 - MASK_BITS))
-BLOCK_SCHEMA = "part int, seq int, doc_ids binary, text_keys binary, chunks binary, sizes binary, words binary, place binary"
+BLOCK_SCHEMA = "part int, seq int, doc_ids binary, text_keys binary, chunks binary, sizes binary, words binary, chars binary, place binary"
 ASK_SCHEMA = "part int, seq int, owner int, base long, digests binary, counts binary, docs binary"
 ANSWER_SCHEMA = "part int, seq int, at binary, docs binary"
 OUT_SCHEMA = ("doc_id long, text_key long, n_chunks long, n_repeated long, repeated_words long, longest_run_words long, "
@@ -53,13 +61,22 @@ def gear(buf: np.ndarray) -> np.ndarray:
 
 def chunk_ends(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(chunks per text, chunk ends in the joined bytes); every text ends a chunk, an empty text has none."""
-    buf = np.frombuffer(b"".join(run), dtype=np.uint8)
+    raw = b"".join(run)
+    buf = np.frombuffer(raw, dtype=np.uint8)
     sizes = np.array([len(b) for b in run], dtype=np.int64)
     ends_of = np.cumsum(sizes)
     cand = np.flatnonzero((gear(buf) & _MASK) == 0) + 1 if len(buf) else np.zeros(0, dtype=np.int64)
     text = np.searchsorted(ends_of, cand, side="left")
     cand = cand[cand - (ends_of - sizes)[text] >= 16]  # else the hash holds bytes of the text before
+    for _ in range(3):  # on to the start of a code point; a text never starts inside one
+        cand = cand + _inside(buf, cand)
     out, per_text = [], []
+
+    def furthest(at: int) -> int:
+        """The last start of a code point that a chunk from ``at`` can reach."""
+        at += MAX_CHUNK
+        return at - next((k for k in range(4) if raw[at - k] & 0xC0 != 0x80), 0)
+
     cut = np.searchsorted(cand, ends_of).tolist()
     cand = cand.tolist()
     i, begin = 0, 0
@@ -71,12 +88,12 @@ def chunk_ends(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             if c - at < MIN_CHUNK or c == end:
                 continue
             while c - at > MAX_CHUNK:
-                at += MAX_CHUNK
+                at = furthest(at)
                 out.append(at)
             out.append(c)
             at = c
         while end - at > MAX_CHUNK:
-            at += MAX_CHUNK
+            at = furthest(at)
             out.append(at)
         if end > at:
             out.append(end)
@@ -85,15 +102,30 @@ def chunk_ends(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(per_text, dtype=np.int64), np.array(out, dtype=np.int64)
 
 
+def _inside(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a byte goes on a code point that began before it; false past the end."""
+    return (at < len(buf)) & (buf[np.minimum(at, len(buf) - 1)] & 0xC0 == 0x80) if len(at) else np.zeros(0, dtype=bool)
+
+
+def _space(buf: np.ndarray) -> np.ndarray:
+    return (buf == 32) | ((buf >= 9) & (buf <= 13))
+
+
 def _word_starts(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Words that begin in each chunk."""
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    space = _space(buf)
     begin = ~space
     begin[1:] &= space[:-1]
     upto = np.append(0, np.cumsum(begin))
     return np.diff(upto[ends], prepend=0)
 
 
+def _chars(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Code points in each chunk, without ASCII white space."""
+    upto = np.append(0, np.cumsum(((buf & 0xC0) != 0x80) & ~_space(buf)))
+    return np.diff(upto[ends], prepend=0)
+
+
 def _digests(raw: bytes, starts: list[int], ends: list[int]) -> np.ndarray:
     """xxh3-128 of each chunk as two unsigned 64-bit columns."""
     from xxhash import xxh3_128_digest as digest
@@ -144,19 +176,21 @@ def _tables(rows: DataFrame, owners: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(
                     [{"kind": 0, "part": part, "seq": seq, "owner": 0, "base": 0, "a": pack(ids[doc]),
                       "b": pack(keys[doc]), "c": pack(per_text), "d": pack((ends - starts).astype("<u2")),
-                      "e": pack(_word_starts(buf, ends).astype("<u2")), "f": pack(place.astype("<u4"))}]
+                      "e": pack(_word_starts(buf, ends).astype("<u2")), "f": pack(_chars(buf, ends).astype("<u2")),
+                      "g": pack(place.astype("<u4"))}]
                     + [{"kind": 1, "part": part, "seq": seq, "owner": int(o), "base": int(base[o]),
                         "a": found[base[o]:base[o + 1]].tobytes(),
                         "b": pack(counts[base[o]:base[o + 1]].astype(np.uint8)),
-                        "c": pack(holder[base[o]:base[o + 1]]), "d": None, "e": None, "f": None}
+                        "c": pack(holder[base[o]:base[o + 1]]), "d": None, "e": None, "f": None,
+                        "g": None}
                        for o in have.tolist()],
                     schema=pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("seq", pa.int32()),
                                       ("owner", pa.int32()), ("base", pa.int64()),
-                                      *[(c, pa.binary()) for c in "abcdef"]]))
+                                      *[(c, pa.binary()) for c in "abcdefg"]]))
                 seq += 1
 
     return rows.mapInArrow(run, "kind int, part int, seq int, owner int, base long, a binary, b binary, c binary, "
-                                "d binary, e binary, f binary")
+                                "d binary, e binary, f binary, g binary")
 
 
 def _answer(pdf):
@@ -199,7 +233,8 @@ def _decide(min_words: int):
         for row in left.itertuples():
             ids, keys, per_text = (np.frombuffer(z.decompress(b), dtype="<i8")
                                    for b in (row.doc_ids, row.text_keys, row.chunks))
-            sizes, words = (np.frombuffer(z.decompress(b), dtype="<u2").astype(np.int64) for b in (row.sizes, row.words))
+            sizes, words, chars = (np.frombuffer(z.decompress(b), dtype="<u2").astype(np.int64)
+                                   for b in (row.sizes, row.words, row.chars))
             place = np.frombuffer(z.decompress(row.place), dtype="<u4").astype(np.int64)
             holder = np.full(int(place.max()) + 1 if len(place) else 0, np.iinfo(np.int64).min)
             repeat = np.zeros(len(holder), dtype=bool)
@@ -211,11 +246,12 @@ def _decide(min_words: int):
             text_end = np.append(0, np.cumsum(np.bincount(doc, weights=sizes, minlength=len(ids)))).astype(np.int64)
             flag = repeat[place]
             drop = flag & (holder[place] != ids[doc])
-            total = np.append(0, np.cumsum(words))
+            total, length = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(chars))
             spans = {}
             for name, what in (("all", flag), ("drop", drop)):
                 first, last = _runs(what, doc)
-                size = total[last] - total[first]
+                size, by_length = total[last] - total[first], (length[last] - length[first]) // WORD_CHARS
+                size = np.where(size < min_words, np.maximum(size, by_length), size)
                 long = size >= min_words
                 spans[name] = (doc[first[long]], first[long], last[long], size[long])
             n_rep = np.bincount(doc, weights=flag, minlength=len(ids)).astype(np.int64)
@@ -241,7 +277,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of ``docs`` with its repeated and dropped byte spans (UTF-8 offsets).
 
     Columns: doc_id, text_key (xxhash64 of the text), n_chunks, n_repeated (chunks that another document holds too),
-    repeated_words and longest_run_words (of runs of at least ``min_words``), dropped_words (of runs that a
+    repeated_words and longest_run_words (of runs of at least ``min_words``; a run with fewer word starts counts a word
+    for every ``WORD_CHARS`` code points), dropped_words (of runs that a
     document with a smaller id keeps), keep_ids (documents that keep them), repeated_spans, dropped_spans. Null or empty text
     has no chunks. Rows that share a doc_id (null ids share the smallest one) keep a repeated passage each.
     """
@@ -253,7 +290,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.col("text").cast("string").alias("text"))
     tables = stored(_tables(rows, owners), "chunks", "kind")
     blocks = tables.where("kind = 0").selectExpr("part", "seq", "a doc_ids", "b text_keys", "c chunks", "d sizes",
-                                                 "e words", "f place")
+                                                 "e words", "f chars", "g place")
     asks = tables.where("kind = 1").selectExpr("part", "seq", "owner", "base", "a digests", "b counts", "c docs")
     answers = asks.groupBy("owner").applyInPandas(_answer, ANSWER_SCHEMA)
     found = (blocks.groupBy("part", "seq").cogroup(answers.groupBy("part", "seq"))

@@ -59,6 +59,29 @@ def test_copies_and_strip(frame):
     assert kept == {0: text, 1: "", 2: "other words here", 3: "", 4: None, 5: ""}
 
 
+def test_passages_without_spaces(frame):
+    rng = random.Random(9)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    thai = lambda n: "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(n))
+    listed = lambda n: ",".join(str(rng.randrange(10**6)) for _ in range(n))
+    wide = lambda n: "\u3000".join(thai(5) for _ in range(n))
+    for make, size in ((han, 300), (thai, 300), (listed, 60), (wide, 60)):
+        shared, own = make(size), [make(size) for _ in range(4)]
+        texts = [own[0] + shared + own[1], own[2] + shared + own[3], make(2 * size), make(3 * size)]
+        docs = frame([*texts, texts[3]])
+        found = C.repeated_passages(docs)
+        got = {r["doc_id"]: r for r in found.collect()}
+        assert all(got[d]["repeated_words"] >= C.MIN_WORDS for d in (0, 1, 3, 4))
+        assert [d for d in got if got[d]["dropped_spans"]] == [1, 4] and got[1]["keep_ids"] == [0]
+        assert got[2]["repeated_words"] == 0
+        kept = {r["doc_id"]: r["text"] for r in C.strip(docs, found).collect()}
+        assert kept[0] == texts[0] and kept[3] == texts[3] and kept[4] == ""
+        (start, end), = got[1]["dropped_spans"]
+        raw = texts[1].encode()
+        assert kept[1] == raw[:start].decode() + raw[end:].decode()  # no code point is cut
+        assert raw[start:end].decode() in shared and end - start >= 0.7 * len(shared.encode())
+
+
 def test_edge_rows(edges, nothing, all_null, edge_texts):
     got = C.repeated_passages(edges).collect()
     assert len(got) == len(edge_texts)
