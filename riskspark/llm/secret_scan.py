@@ -5,7 +5,13 @@ token characters that hold a digit) are scanned per character class: a window
 slides over the string, symbol counts are updated by the character that enters
 and the one that leaves, and the window's Shannon entropy follows from the
 running sum of c*log2(c). A string whose best window reaches its class's limit
-is a finding, unless the allow-list knows it or a base finding covers it.
+is a finding.
+
+Base findings and what the allow-list knows are cut out of a candidate first, and
+what remains on either side is scanned for itself: they silence no neighbour. A
+known word silences the part between separators that holds it, and of a very long
+part only the slices that hold it. A remainder below its limit is scanned again
+part by part, as a separator makes its class a wider one with a higher limit.
 """
 
 from __future__ import annotations
@@ -27,12 +33,18 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}", re.ASCII)
+MIN_CANDIDATE = 20
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE, re.ASCII)
+#: What stands between separators, the separators, and the slices in which a long part is compared with known words.
+PART = re.compile(r"[A-Za-z0-9]+")
+SEPARATORS = "+/_=-"
+SLICE, OVERLAP = 128, 32
 WINDOW = 20
 #: Entropy in bits a symbol that the best window of a class must reach, highest class first met.
 LIMITS = (("hex", re.compile(r"[0-9a-fA-F]+\Z"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 3.7),
           ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 3.9))
-#: Strings that are known to be no secrets: placeholders, UUIDs, dates and plain numbers.
+#: Strings that are known to be no secrets: placeholders, UUIDs, dates and plain numbers. Patterns that begin with .* are
+#: sought in each part, the others at a candidate's start.
 ALLOW = (r"(?i).*(example|sample|placeholder|changeme|dummy|x{6,})", r"[0-9+/_=-]+\Z",
          r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _PLOGP = [0.0] + [c * math.log2(c) for c in range(1, 257)]
@@ -67,28 +79,84 @@ def _has_digit(text: str) -> bool:
     return any(c in text for c in "0123456789")
 
 
+def _reaches(word: str, window: int, limits) -> bool:
+    """Whether the best window of a string that holds a digit reaches the limit of the string's class."""
+    if not _has_digit(word):
+        return False
+    limit = next((limit for _, form, limit in limits if form.match(word)), math.inf)
+    return limit < math.inf and best_entropy(word, window, limit) >= limit
+
+
+def _known(word: str, words: re.Pattern, shapes: re.Pattern) -> list[tuple[int, int]]:
+    """Spans of a candidate that the allow-list knows."""
+    m = shapes.match(word)
+    out = [m.span()] if m and m.end() else []
+    if words.match(word):  # else none of its parts holds one
+        for m in PART.finditer(word):
+            for s in range(m.start(), max(m.end() - OVERLAP, m.start() + 1), SLICE - OVERLAP):
+                e = min(s + SLICE, m.end())
+                if words.match(word[s:e]):
+                    out.append((s, e))
+    return out
+
+
+def _rest(word: str, cuts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What the cuts leave of a candidate, without the separators beside a cut, where it is long enough."""
+    out, at = [], 0
+    for s, e in sorted([*cuts, (len(word), len(word))]):
+        a, b = at, s
+        while at and a < b and word[a] in SEPARATORS:
+            a += 1
+        while s < len(word) and a < b and word[b - 1] in SEPARATORS:
+            b -= 1
+        if b - a >= MIN_CANDIDATE:
+            out.append((a, b))
+        at = max(at, e)
+    return out
+
+
 def scan(text: str, window: int = WINDOW, limits=LIMITS, allow=None) -> list[tuple[int, str, int]]:
     """(start, kind, end) of every finding, by start and then kind as listed."""
-    allow = _allow(ALLOW) if allow is None else allow
+    words, shapes = _allow(ALLOW) if allow is None else allow
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= MIN_ASSIGN]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     found = list(base)
+    base.sort()
+    ahead = 0  # base findings from here on can meet the candidate
     for m in CANDIDATE.finditer(text):
-        word = m.group()
-        if not _has_digit(word) or allow.match(word) or any(s < m.end() and m.start() < e for s, _, e in base):
+        word, first = m.group(), m.start()
+        if not _has_digit(word):
             continue
-        for _, form, limit in limits:
-            if form.match(word):
-                if best_entropy(word, window, limit) >= limit:
-                    found.append((m.start(), 3, m.end()))
+        while ahead < len(base) and base[ahead][2] <= first:
+            ahead += 1
+        cuts = _known(word, words, shapes)
+        for s, _, e in base[ahead:]:
+            if s >= m.end():
                 break
+            if e > first:
+                cuts.append((max(s - first, 0), min(e - first, len(word))))
+        for s, e in _rest(word, cuts):
+            piece = word[s:e]
+            if (known := shapes.match(piece)) and known.end() == len(piece):
+                continue
+            if _reaches(piece, window, limits):
+                found.append((first + s, 3, first + e))
+                continue
+            for p in PART.finditer(piece):
+                if MIN_CANDIDATE <= p.end() - p.start() < len(piece) and not shapes.match(p.group()) and _reaches(
+                        p.group(), window, limits):
+                    found.append((first + s + p.start(), 3, first + s + p.end()))
     return [(s, KINDS[k], e) for s, k, e in sorted(found)]
 
 
-def _allow(patterns) -> re.Pattern:
-    return re.compile("|".join(f"(?:{p.removeprefix('(?i)')})" if not p.startswith("(?i)")
-                               else f"(?i:{p.removeprefix('(?i)')})" for p in patterns) or r"(?!)")
+def _allow(patterns) -> tuple[re.Pattern, re.Pattern]:
+    """The patterns sought in each part (those that begin with .*), and those matched at a candidate's start."""
+    both = [[], []]
+    for p in patterns:
+        bare = p.removeprefix("(?i)")
+        both[not bare.startswith(".*")].append(f"(?:{bare})" if bare == p else f"(?i:{bare})")
+    return tuple(re.compile("|".join(b) or r"(?!)") for b in both)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -97,7 +165,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     ``spans`` joins kind:start:end by commas, in code points, end exclusive, by start and then kind;
     ``base_sha256`` hashes the same list without the entropy findings. Null text is empty: no finding.
-    ``allow`` holds regular expressions matched at a candidate's start.
+    ``allow`` holds regular expressions. One that begins with ``.*`` silences the parts (between separators) that it
+    matches; any other is matched at a candidate's start and silences what it matches.
     """
 
     def run(batches):
