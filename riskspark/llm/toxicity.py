@@ -22,6 +22,8 @@ from riskspark.llm.textbuf import mix64, words_of
 SAMPLE_DOCS = 10_000
 MAX_FEATURES = 2_048
 MIN_DOCS = 5
+#: Share of two texts' words that both hold, from which they are near copies.
+ALIKE = 0.8
 #: Penalty of squared weights, and steps of the optimiser.
 RIDGE = 0.05
 STEPS = 400
@@ -89,36 +91,65 @@ def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, boun
     return np.array([g for _, g, _ in out], dtype=np.int64), [np.frombuffer(w, dtype="<u8") for _, _, w in out]
 
 
+def _pairs(own: np.ndarray, key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Pairs of texts of one key whose numbers of words allow near copies, as smaller * texts + larger. Texts of one key
+    share a rare word, so there are few."""
+    order = np.lexsort((own, key))
+    own, key = own[order], key[order]
+    out, i = [], np.arange(len(own))
+    while True:
+        gap = len(out) + 1
+        i = i[i + gap < len(own)]
+        i = i[key[i] == key[i + gap]]
+        if not len(i):
+            break
+        a, b = own[i], own[i + gap]
+        fit = np.minimum(n[a], n[b]) >= ALIKE * np.maximum(n[a], n[b])
+        out.append(a[fit] * len(n) + b[fit])
+    return np.concatenate([np.zeros(0, dtype=np.int64), *out])
+
+
 def _alike(words: list[np.ndarray], bands: int = 10, rows: int = 3) -> np.ndarray:
     """Weight of each text: one over the size of its group of near copies within the sample.
 
-    Texts that agree on three min-hashes over their rare words (in 1 % of the texts at most) are grouped.
+    Texts that agree on three min-hashes over their rare words (in 1 % of the texts at most) are compared, and grouped if
+    the Jaccard similarity of all their words is at least ``ALIKE``: a shared rare word alone groups none.
     """
     n = np.array([len(w) for w in words], dtype=np.int64)
     if not n.sum():
         return np.ones(len(words))
     flat, doc = np.concatenate(words), np.repeat(np.arange(len(words)), n)
     _, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
+    inverse, at = inverse.astype(np.int32), np.append(0, np.cumsum(n))
     rare = np.flatnonzero(df[inverse] <= max(2, len(words) // 100))
     flat, doc = flat[rare], doc[rare]
     if not len(flat):
         return np.ones(len(words))
     start = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    label = np.arange(len(words))
-    keys = []
+    own, pairs = doc[start], np.zeros(0, dtype=np.int64)
     for band in range(bands):
         key = np.zeros(len(start), dtype=np.uint64)
         for row in range(rows):
             low = np.minimum.reduceat(mix64(flat + np.uint64(1 + band * rows + row)), start)
             key = mix64(key ^ low)
-        keys.append(np.unique(key, return_inverse=True)[1])
-    own = doc[start]
+        pairs = np.union1d(pairs, _pairs(own, key, n))
+    left, right = np.divmod(pairs, len(words))
+    keep = np.zeros(len(pairs), dtype=bool)
+    held = np.zeros(len(df), dtype=bool)
+    edge = np.flatnonzero(np.diff(left, prepend=-1, append=len(words)))
+    for lo, hi in zip(edge, edge[1:], strict=False):  # a text against all it may be like
+        a, others = left[lo], right[lo:hi]
+        held[inverse[at[a]:at[a + 1]]] = True
+        both = np.array([np.count_nonzero(held[inverse[at[b]:at[b + 1]]]) for b in others])
+        held[inverse[at[a]:at[a + 1]]] = False
+        keep[lo:hi] = both >= ALIKE * (n[a] + n[others] - both)
+    left, right, label = left[keep], right[keep], np.arange(len(words))
     while True:
         before = label.copy()
-        for key in keys:
-            low = np.full(len(start), len(words))
-            np.minimum.at(low, key, label[own])
-            label[own] = np.minimum(label[own], low[key])
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        label = label[label]
         if (label == before).all():
             break
     return 1 / np.bincount(label, minlength=len(words))[label]

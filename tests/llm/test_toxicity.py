@@ -76,6 +76,22 @@ def test_copies_count_once():
     assert weight.tolist() == [1 / 3] * 3 + [1] * 399
 
 
+def test_texts_that_share_a_rare_marker_count_each():
+    rng = np.random.default_rng(6)
+    texts = [rng.choice(np.arange(1, 401), 10, replace=False).astype(np.uint64) for _ in range(2000)]
+    toxic = np.array([int(i % 111 == 0) for i in range(2000)])
+    words = [np.sort(np.append(t, np.uint64(9999))) if bad else np.sort(t) for t, bad in zip(texts, toxic, strict=True)]
+    assert 10 < toxic.sum() < 20  # the marker is in less than 1 % of the texts
+    assert (T._alike(words) == 1).all()
+    model = T.fit_sample(toxic, words)
+    assert 9999 in model.features.tolist()
+    one = np.sort(np.append(np.arange(1, 8), 9999)).astype(np.uint64)
+    assert model.above(model.score(np.array([8]), one))[0, 0] >= T.REJECT
+    near = [np.sort(np.append(words[0], np.arange(5000, 5030))).astype(np.uint64)] * 2
+    near[1] = np.sort(np.append(near[1][:-1], 6000)).astype(np.uint64)  # one word of 41 differs
+    assert T._alike([*near, *words]).tolist() == [0.5] * 2 + [1] * 2000
+
+
 def test_edge_rows(spark, edges, nothing, all_null, edge_texts):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = T.fit(edges, T.toxic_labels(none))
