@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import __spark_entry__ as E
 from riskspark.plans.catalog import REGISTRY
 
@@ -32,3 +37,18 @@ def test_plans_have_no_cross_products(spark):
                  "confusion_matrix", "importance_tier", "exact_percentiles", "row_contributions"]:
         plan = q[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_entry_loads_without_the_training_data_operators(tmp_path):
+    root = os.path.dirname(os.path.abspath(E.__file__))
+    shutil.copytree(f"{root}/riskspark", tmp_path / "riskspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(sorted(e.queries())); print(sorted(e.oracle_sql()))"
+    for extra in ([], ["corpus_pipeline.py"]):  # with the pipeline's file left behind, too
+        for name in ["__spark_entry__.py", *extra]:
+            shutil.copy(f"{root}/{name}", tmp_path)
+        done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120,
+                              env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+        assert done.returncode == 0, done.stderr
+        queries, twins = map(eval, done.stdout.strip().split("\n"))
+        assert set(queries) == {k for k in E.queries() if not k.startswith("op") and k != "pipeline"}
+        assert set(twins) <= set(queries)
