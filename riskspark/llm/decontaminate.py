@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import pick, scratch
+from riskspark.llm.frames import pick, scratch, small_batches
 from riskspark.llm.textbuf import distinct, ranges, words_of
 
 WINDOW = 10
@@ -67,7 +67,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 seq += 1
 
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows.mapInArrow(build, INDEX_SCHEMA).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(build, INDEX_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 class Queries:

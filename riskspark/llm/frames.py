@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,18 @@ NULL_ID = -(1 << 63)
 BATCH_BYTES = 8 << 20
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within the block, jobs that are planned hand Python at most ``BATCH_BYTES`` at once; then the setting is as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes for the session: rows hold whole texts, so a bound in rows bounds no memory."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -50,5 +63,6 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -315,6 +315,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    .join(unique.select("tid", "agree"), "tid")
                    .select("tid", "agree", "text", F.octet_length("text").alias("size")), "texts")
     links = stored(family_links(members, texts, idf, threshold), "links")
+    idf.destroy()  # all that reads it is written
     joined = components(links.select("u", "v"))
     labels = joined.select(F.col("node").alias("tid"), "comp")
     # a wordless text is alone: its rows get no class key

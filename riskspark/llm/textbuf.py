@@ -22,24 +22,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
+#: Powers of the hash base and of its inverse that a worker keeps; higher ones are products of two.
+_TABLE = 1 << 15
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(_TABLE, base, dtype=np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown on demand, kept per worker."""
+_UP, _DOWN = _powers(_P), _powers(_P_INV)
 
-    up = _powers(_P, 1 << 12)
-    down = _powers(_P_INV, 1 << 12)
 
-    @classmethod
-    def get(cls, n: int):
-        if len(cls.up) < n:
-            size = -(-n // (1 << 18)) << 18
-            cls.up, cls.down = _powers(_P, size), _powers(_P_INV, size)
-        return cls.up, cls.down
+def _high(base: int, n: int) -> np.ndarray:
+    """Powers 0, _TABLE, 2 * _TABLE ... of the base, for exponents below ``n``."""
+    out = np.full(n // _TABLE + 1, pow(base, _TABLE, 1 << 64), dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -54,13 +54,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes, in one pass over ``buf``."""
-    up, down = _Powers.get(len(buf) + 1)
+    """64-bit hash of each byte span, equal for equal bytes, in one pass over ``buf``.
+
+    A prefix sum of byte values times powers of an odd base; what a worker keeps between calls is of fixed size.
+    """
     acc = np.empty(len(buf) + 1, dtype=np.uint64)
     acc[0] = 0
-    np.multiply(buf.astype(np.uint64) + np.uint64(1), up[:len(buf)], out=acc[1:])
-    np.cumsum(acc[1:], out=acc[1:])
-    h = (acc[ends] - acc[starts]) * down[starts]
+    for at, high in zip(range(0, len(buf), _TABLE), _high(_P, len(buf)), strict=False):
+        part = acc[at + 1:at + 1 + _TABLE]
+        np.add(buf[at:at + _TABLE], np.uint64(1), out=part)
+        part *= _UP[:len(part)]
+        part *= high
+    np.cumsum(acc, out=acc)
+    h = acc[ends]
+    h -= acc[starts]
+    h *= _DOWN[starts % _TABLE]
+    if len(buf) > _TABLE:
+        h *= _high(_P_INV, len(buf))[starts // _TABLE]
     return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
 
 

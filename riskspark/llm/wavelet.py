@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import pick, scratch
+from riskspark.llm.frames import pick, scratch, small_batches, stored
 
 MAGIC = b"WVMX0001"
 SHARD_TOKENS = 2_000_000
@@ -231,7 +231,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, i
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = (rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"))
-    ordered.mapInArrow(build, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(build, SHARD_SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_shards(spark, path: str) -> DataFrame:
@@ -304,4 +305,4 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, **options) -> Da
     """Write the shards to the shared folder and return the document index read back from them."""
     path = scratch(docs.sparkSession, "wavelet")
     write_shards(docs, path, tokenizer_path, end_id, **options)
-    return document_index(read_shards(docs.sparkSession, path))
+    return stored(document_index(read_shards(docs.sparkSession, path)), "index")
