@@ -66,3 +66,14 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     with small_batches(df.sparkSession):
         writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def arrow_batch(schema: str, rows: list[tuple]):
+    """An Arrow batch of rows under a schema text such as ``id long, parts array<binary>`` (within tasks)."""
+    import pyarrow as pa
+    plain = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),
+             "binary": pa.binary()}
+    names, kinds = zip(*(column.split() for column in schema.split(", ")), strict=True)
+    kinds = [pa.list_(plain[k[6:-1]]) if k.startswith("array<") else plain[k] for k in kinds]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))

@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: production parameters, whole tables, contract columns."""
+"""Registered queries of the training-data operators: production parameters, whole tables, contract columns."""
 
 from __future__ import annotations
 
@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 
 from riskspark.llm import (
     chunk_dedup,
+    conversation_repair,
     decontaminate,
     exact_dedup,
     language,
     line_dedup,
+    merkle,
     mixing,
     near_dedup,
+    pitman_yor,
     secret_scan,
     toxicity,
     wavelet,
@@ -81,6 +84,24 @@ def op10_secrets(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_pitman_yor(spark, sf_dir):
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return pitman_yor.scores(table(spark, sf_dir, "documents"), held_out)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, present_col="present")
+
+
+def op13_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, tampered).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_wavelet_tokens, op2_decontaminate, op3_language, op4_mixing, op5_chunk_dedup, op6_toxicity, op7_exact_dedup,
-    op8_line_dedup, op9_near_dedup, op10_secrets)}
+    op8_line_dedup, op9_near_dedup, op10_secrets, op11_pitman_yor, op12_conversation_repair, op13_merkle)}
