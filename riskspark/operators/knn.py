@@ -13,6 +13,10 @@ Pivot partitioning with triangle-inequality pruning (after Lu, Shen, Chen, Ooi,
    within the bound.
 5. The final top-k per query is ranked over those rows, ties by id.
 
+A search can be confined to rows of the query's own key (``within``: tiles are built inside a key, so one pass serves all
+classes of a SMOTE) or to rows outside the query's own group (``unlike``: one pass gives every row its neighbours under
+the fold that leaves it out).
+
 The result is exact: pruning only drops tiles that can't hold one of the k nearest rows (a small slack guards
 floating error). On few dimensions most tiles go. On many (the 64-d embeddings) nearly all survive and exact search
 stays a quadratic block join, which ships a tile per pair of tiles, not a vector per query and cell.
@@ -36,6 +40,7 @@ CELL_ROWS = 64  # target base rows per pivot cell while there are few rows (more
 FINE_PIVOTS = 4096  # cells of that size up to this many; beyond it the square root of the rows decides
 TILE_ROWS, TILE_BYTES = 4096, 1 << 20  # of one packed record
 SLACK = 1e-9
+NO_FOLD = np.iinfo(np.int64).min  # of a row that no fold leaves out
 SALT_ROWS = 100_000  # rows of one query vector that one join key may hold
 MAX_HOT = 4096  # vectors that can be hotter than that are at most so many
 _KEEP = StorageLevel.MEMORY_AND_DISK
@@ -85,41 +90,67 @@ def _assign_cells(rows: DataFrame, piv: np.ndarray, feat_col: str) -> DataFrame:
                                                                      StructField("_dpiv", DoubleType())]))
 
 
-def _layout(count: np.ndarray, group: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first tile, number of tiles) of every group of cells, for rows counted per cell."""
-    rows = np.bincount(group, weights=count)
-    tiles = np.maximum(1, np.ceil(rows / (1.5 * tile_rows))).astype(np.int64)
-    return np.cumsum(tiles) - tiles, tiles
-
-
-def _packed(assigned: DataFrame, group: np.ndarray, first: np.ndarray, tiles: np.ndarray, id_col: str, feat_col: str,
+class _Slots:
+    """The occupied (key, cell) pairs, sorted: base and query rows, radius, group of neighbouring slots of one key."""
+
+    def __init__(self, base: pd.DataFrame, queries: pd.DataFrame, tile_rows: int):
+        both = base.merge(queries, on=["_key", "_cell"], how="outer", suffixes=("", "_q")).sort_values(["_key", "_cell"])
+        self.key, self.cell = both["_key"].to_numpy(np.int64), both["_cell"].to_numpy(np.int64)
+        self.count, self.asked = both["n"].fillna(0).to_numpy(float), both["n_q"].fillna(0).to_numpy(float)
+        self.reach = np.where(self.count > 0, both["radius"].fillna(0).to_numpy(float), -np.inf)
+        self.span = {}
+        self.group, n_groups = np.zeros(len(both), dtype=np.int64), 0
+        for key in np.unique(self.key).tolist():
+            lo, hi = np.searchsorted(self.key, key, side="left"), np.searchsorted(self.key, key, side="right")
+            own = self.count[lo:hi]
+            _, group = np.unique((np.cumsum(own) - own) // tile_rows, return_inverse=True)
+            self.group[lo:hi] = group + n_groups
+            n_groups += int(group.max()) + 1
+            self.span[key] = (int(lo), int(hi))
+
+    def tiles(self, count: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first tile, number of tiles) of every group, for rows counted per slot."""
+        rows = np.bincount(self.group, weights=count)
+        tiles = np.maximum(1, np.ceil(rows / (1.5 * tile_rows))).astype(np.int64)
+        return np.cumsum(tiles) - tiles, tiles
+
+
+def _packed(assigned: DataFrame, slots: _Slots, first: np.ndarray, tiles: np.ndarray, id_col: str, feat_col: str,
             prefix: str) -> DataFrame:
-    """One record per tile: its number, its group of cells, ids and vectors of its rows."""
-    table = pd.DataFrame({"_cell": np.arange(len(group), dtype=np.int32), "_group": group.astype(np.int32),
-                          "_first": first[group], "_tiles": tiles[group]})
-    cells = assigned.sparkSession.createDataFrame(table)  # a row per pivot
-    dealt = assigned.join(F.broadcast(cells), "_cell").withColumn(
+    """One record per tile: its number, key and group of slots, ids, folds and vectors of its rows."""
+    table = pd.DataFrame({"_key": slots.key, "_cell": slots.cell.astype(np.int32), "_group": slots.group.astype(np.int32),
+                          "_first": first[slots.group], "_tiles": tiles[slots.group]})
+    cells = assigned.sparkSession.createDataFrame(
+        table, "_key long, _cell int, _group int, _first long, _tiles long")  # a row per key and pivot
+    dealt = assigned.join(F.broadcast(cells), ["_key", "_cell"]).withColumn(
         "_tile", F.col("_first") + F.pmod(F.xxhash64(id_col), F.col("_tiles")))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": pdf["_tile"].iloc[:1], "group": pdf["_group"].iloc[:1],
-                             "ids": [pdf[id_col].to_numpy()], "vec": [_as_matrix(pdf[feat_col]).tobytes()]})
+        return pd.DataFrame({"tile": pdf["_tile"].iloc[:1], "key": pdf["_key"].iloc[:1], "group": pdf["_group"].iloc[:1],
+                             "ids": [pdf[id_col].to_numpy()],
+                             "folds": [pdf["_fold"].to_numpy(np.int64).tobytes()],
+                             "vec": [_as_matrix(pdf[feat_col]).tobytes()]})
 
-    schema = StructType([StructField("tile", LongType()), StructField("group", IntegerType()),
+    schema = StructType([StructField("tile", LongType()), StructField("key", LongType()),
+                         StructField("group", IntegerType()),
                          StructField("ids", ArrayType(assigned.schema[id_col].dataType)),
-                         StructField("vec", BinaryType())])
-    records = dealt.select("_tile", "_group", id_col, feat_col).groupBy("_tile").applyInPandas(pack, schema)
+                         StructField("folds", BinaryType()), StructField("vec", BinaryType())])
+    records = dealt.select("_tile", "_key", "_group", "_fold", id_col, feat_col).groupBy("_tile").applyInPandas(pack, schema)
     return records.toDF(*[f"{prefix}{c}" for c in records.columns])
 
 
-def _nearest(x: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, bound: np.ndarray, slice_cells: int = 1_000_000):
+def _nearest(x: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, bound: np.ndarray, x_folds: np.ndarray,
+             y_folds: np.ndarray, slice_cells: int = 1_000_000):
     """(row of x, row of y, squared distance): the k nearest rows of y within ``bound`` of each row, ties by id.
 
+    Rows of one fold are no neighbours of each other; fold ``NO_FOLD`` leaves nothing out.
+
     The squared distance is summed dimension by dimension (same order as a SQL ``reduce`` over the zipped arrays), so
     values are bit-identical.
     """
     by_id = np.argsort(y_ids, kind="stable")  # numbers or text
-    y, k = y[by_id], min(k, len(y))
+    y, y_folds, k = y[by_id], y_folds[by_id], min(k, len(y))
+    split = bool((x_folds != NO_FOLD).any())
     step = max(1, slice_cells // max(1, len(y)))
     out = []
     for s0 in range(0, len(x), step):
@@ -129,8 +160,13 @@ def _nearest(x: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, bound: np.
             diff = xs[:, j, None] - y[None, :, j]
             diff *= diff
             d2 += diff
+        own = x_folds[s0:s0 + step]
+        out_of = (own[:, None] == y_folds[None, :]) & (own != NO_FOLD)[:, None] if split else None
+        if split:
+            d2[out_of] = np.inf
         kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-        r, c = np.nonzero(d2 <= np.minimum(kth, bound[s0:s0 + step])[:, None])
+        near = d2 <= np.minimum(kth, bound[s0:s0 + step])[:, None]
+        r, c = np.nonzero(near & ~out_of if split else near)
         d = d2[r, c]
         order = np.lexsort((c, d, r))
         r, c, d = r[order], c[order], d[order]
@@ -139,9 +175,9 @@ def _nearest(x: np.ndarray, y: np.ndarray, y_ids: np.ndarray, k: int, bound: np.
     return tuple(np.concatenate(part) for part in zip(*out))
 
 
-def _block(ids, vec: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _block(ids, vec: bytes, folds: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.asarray(ids)
-    return ids, np.frombuffer(vec, dtype=np.float64).reshape(len(ids), -1)
+    return ids, np.frombuffer(vec, dtype=np.float64).reshape(len(ids), -1), np.frombuffer(folds, dtype=np.int64)
 
 
 def _probe(k: int):
@@ -149,37 +185,39 @@ def _probe(k: int):
     def run(batches):
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                q_ids, x = _block(t.q_ids, t.q_vec)
+                q_ids, x, xf = _block(t.q_ids, t.q_vec, t.q_folds)
                 bound = np.full(len(x), np.inf)
                 if t.b_ids is None:  # no base row came to these cells
                     yield pd.DataFrame({"q_tile": [t.q_tile], "probed": [-1], "bound": [bound.tobytes()],
                                         "hit_q": [[]], "hit_b": [[]], "hit_d": [[]]})
                     continue
-                b_ids, y = _block(t.b_ids, t.b_vec)
-                r, c, d = _nearest(x, y, b_ids, k, bound)
-                if len(y) >= k:
-                    bound[r] = d  # the last one of each row is its k-th
+                b_ids, y, yf = _block(t.b_ids, t.b_vec, t.b_folds)
+                r, c, d = _nearest(x, y, b_ids, k, bound, xf, yf)
+                bound[r] = d  # the last one of each row is its k-th, if it has k
+                bound[np.bincount(r, minlength=len(x)) < k] = np.inf
                 yield pd.DataFrame({"q_tile": [t.q_tile], "probed": [t.b_tile], "bound": [bound.tobytes()],
                                     "hit_q": [q_ids[r]], "hit_b": [b_ids[c]], "hit_d": [d]})
 
     return run
 
 
-def _survivors(piv: np.ndarray, radius: np.ndarray, count: np.ndarray, group: np.ndarray, first: np.ndarray,
-               tiles: np.ndarray):
+def _survivors(piv: np.ndarray, slots: _Slots, first: np.ndarray, tiles: np.ndarray):
     """(query tile, base tile, bit per query) of the tiles that may hold one of the k nearest rows of a query."""
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    reach = np.where(count > 0, radius, -np.inf)
 
     def run(batches):
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                x = _block(t.q_ids, t.q_vec)[1]
+                x = _block(t.q_ids, t.q_vec, t.q_folds)[1]
+                lo, hi = slots.span[t.q_key]
+                own = slots.group[lo:hi]
+                starts = np.flatnonzero(np.diff(own, prepend=-1))
                 limit = np.sqrt(np.frombuffer(t.bound, dtype=np.float64)) * (1 + SLACK) + SLACK
-                ok = np.concatenate([np.minimum.reduceat(d - reach, starts, axis=1) <= limit[s0:s0 + len(d), None]
-                                     for s0, d in _pivot_distances(x, piv)])
-                for g in np.flatnonzero(ok.any(axis=0)):
-                    bits = np.packbits(ok[:, g]).tobytes()
+                ok = np.concatenate([
+                    np.minimum.reduceat(d[:, slots.cell[lo:hi]] - slots.reach[lo:hi], starts, axis=1)
+                    <= limit[s0:s0 + len(d), None] for s0, d in _pivot_distances(x, piv)])
+                for i in np.flatnonzero(ok.any(axis=0)).tolist():
+                    g = own[starts[i]]
+                    bits = np.packbits(ok[:, i]).tobytes()
                     met = [b for b in range(first[g], first[g] + tiles[g]) if b != t.probed]
                     yield pd.DataFrame({"q_tile": t.q_tile, "b_tile": met, "bits": [bits] * len(met)})
 
@@ -191,10 +229,10 @@ def _meet(k: int):
     def run(batches):
         for pdf in batches:
             for t in pdf.itertuples(index=False):
-                q_ids, x = _block(t.q_ids, t.q_vec)
-                b_ids, y = _block(t.b_ids, t.b_vec)
+                q_ids, x, xf = _block(t.q_ids, t.q_vec, t.q_folds)
+                b_ids, y, yf = _block(t.b_ids, t.b_vec, t.b_folds)
                 rows = np.flatnonzero(np.unpackbits(np.frombuffer(t.bits, dtype=np.uint8), count=len(x)))
-                r, c, d = _nearest(x[rows], y, b_ids, k, np.frombuffer(t.bound, dtype=np.float64)[rows])
+                r, c, d = _nearest(x[rows], y, b_ids, k, np.frombuffer(t.bound, dtype=np.float64)[rows], xf[rows], yf)
                 yield pd.DataFrame({"q_id": q_ids[rows[r]], "nb_id": b_ids[c], "_d2": d})
 
     return run
@@ -205,6 +243,7 @@ def _knn_core(queries: DataFrame, base: DataFrame, n_base: int, k: int, id_col:
     """Exact top-k (q_id, nb_id, _d2) per query over distinct base vectors; ``kept`` collects what is persisted."""
     top = (base.withColumn("_h", hash_hex(seed, "pivot", F.col(id_col))).orderBy("_h", id_col)
                .limit(_pivot_count(n_base, max_pivots)).select(feat_col).collect())
+    # (the pivots serve all keys: a key's rows fill the cells that they lie in)
     piv = np.array([r[0] for r in top], dtype=np.float64)
     piv = piv[_neighbourly(piv)]
     fit = max(1, min(TILE_ROWS, TILE_BYTES // (8 * max(1, piv.shape[1]))))
@@ -212,17 +251,15 @@ def _knn_core(queries: DataFrame, base: DataFrame, n_base: int, k: int, id_col:
     def cells_of(rows: DataFrame):
         placed = _assign_cells(rows, piv, feat_col).persist(_KEEP)
         kept.append(placed)
-        stats = placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dpiv").alias("radius")).toPandas()
-        count, radius = np.zeros(len(piv)), np.zeros(len(piv))  # a row per pivot
-        count[stats["_cell"]], radius[stats["_cell"]] = stats["n"], stats["radius"]
-        return placed, count, radius
-
-    placed, count, radius = cells_of(base)
-    _, group = np.unique((np.cumsum(count) - count) // (tile_rows or fit), return_inverse=True)
-    first, tiles = _layout(count, group, tile_rows or fit)
-    b_tiles = _packed(placed, group, first, tiles, id_col, feat_col, "b_").persist(_KEEP)
-    q_placed, q_count, _ = (placed, count, radius) if queries is base else cells_of(queries)
-    q_tiles = _packed(q_placed, group, *_layout(q_count, group, query_tile_rows or fit), id_col, feat_col,
+        return placed, placed.groupBy("_key", "_cell").agg(F.count(F.lit(1)).alias("n"),
+                                                           F.max("_dpiv").alias("radius")).toPandas()  # a row per slot
+
+    placed, stats = cells_of(base)
+    q_placed, q_stats = (placed, stats) if queries is base else cells_of(queries)
+    slots = _Slots(stats, q_stats, tile_rows or fit)
+    first, tiles = slots.tiles(slots.count, tile_rows or fit)
+    b_tiles = _packed(placed, slots, first, tiles, id_col, feat_col, "b_").persist(_KEEP)
+    q_tiles = _packed(q_placed, slots, *slots.tiles(slots.asked, query_tile_rows or fit), id_col, feat_col,
                       "q_").persist(_KEEP)
     kept += [b_tiles, q_tiles]
 
@@ -236,7 +273,7 @@ def _knn_core(queries: DataFrame, base: DataFrame, n_base: int, k: int, id_col:
                      .mapInPandas(_probe(k), probe_schema).persist(_KEEP))
     kept.append(probed)
     bounded = q_tiles.join(probed.select("q_tile", "probed", "bound"), "q_tile")
-    pairs = bounded.mapInPandas(_survivors(piv, radius, count, group, first, tiles),
+    pairs = bounded.mapInPandas(_survivors(piv, slots, first, tiles),
                                 "q_tile long, b_tile long, bits binary")
     hits = StructType([StructField("q_id", kind), StructField("nb_id", b_kind), StructField("_d2", DoubleType())])
     far = pairs.join(bounded, "q_tile").join(b_tiles, "b_tile").mapInPandas(_meet(k), hits)
@@ -248,15 +285,22 @@ def _knn_core(queries: DataFrame, base: DataFrame, n_base: int, k: int, id_col:
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", feat_col: str = "features",
              exclude_self: bool = False, payload: tuple[str, ...] = (), seed: int = 42,
-             max_pivots: int | None = None, chunk_rows: int | None = None, query_block_rows: int | None = None
-             ) -> DataFrame:
+             max_pivots: int | None = None, chunk_rows: int | None = None, query_block_rows: int | None = None,
+             within: str | None = None, unlike: str | None = None, core=None) -> DataFrame:
     """K nearest base rows per query (Euclidean), ties by base id.
 
-    Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour).
+    Output: (q_id, rank 1..k, nb_id, dist, *payload of the neighbour). A query that has no neighbour (its vector is null
+    or holds a null, NaN or infinity; no base row is allowed for it) has one row whose other columns are null. Base rows
+    without a finite vector are nobody's neighbour.
     ``exclude_self`` drops the base row with the query's id (C2 self-join).
+    ``within`` names a column of few values (a class) on both sides: neighbours have the query's value of it (null is a
+    value). ``unlike`` names an integer column (a fold) on both sides: neighbours have another value of it; a query
+    without a value leaves nothing out.
+    ``core`` replaces the exact search over distinct vectors (see ``knn_approx``).
     ``chunk_rows`` and ``query_block_rows`` set the rows of a base and of a query tile (by default what fits 1 MB).
 
-    Identical vectors are collapsed first, so a vector shared by a third of the rows is searched once:
+    Identical vectors (of one ``within`` and ``unlike`` value) are collapsed first, so a vector shared by a third of the
+    rows is searched once:
     * base: per distinct vector only its ``k+1`` smallest ids are kept
       (``row_number <= k+1``, which Spark limits per task before the shuffle);
     * queries: the search runs once per distinct query vector, and its at most k+1 nearest rows go to the query rows
@@ -269,32 +313,37 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     spark = base.sparkSession
     kb = k + (1 if exclude_self else 0)
     feat = F.col(feat_col).cast("array<double>")
-    # rows without a vector of finite numbers have no distance to anything: they take no part
+    key = (F.xxhash64(within) if within else F.lit(0)).cast("long").alias("_key")
+    fold = (F.coalesce(F.col(unlike).cast("long"), F.lit(NO_FOLD)) if unlike else F.lit(NO_FOLD)).cast("long").alias("_fold")
     finite = F.coalesce(F.forall(feat_col, lambda v: F.abs(v) < F.lit(math.inf)), F.lit(False))
-    b = base.select(F.col(id_col), feat.alias(feat_col), *payload).where(finite)
-    q = queries.select(F.col(id_col), feat.alias(feat_col)).where(finite)
-    by_vec = Window.partitionBy(feat_col)
+    same = [feat_col, "_key", "_fold"]
+    b = base.select(F.col(id_col), feat.alias(feat_col), key, fold, *payload).where(finite)
+    every = queries.select(F.col(id_col), feat.alias(feat_col), key, fold)
+    q = every.where(finite)
+    by_vec = Window.partitionBy(*same)
     members = cut_lineage(b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
                            .withColumn("_rep", F.min(id_col).over(by_vec)))
     # one row per distinct query vector (partial aggregation collapses hot vectors map-side)
-    qv = cut_lineage(q.groupBy(feat_col).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n")))
-    vectors = qv.select(id_col, feat_col)
+    qv = cut_lineage(q.groupBy(*same).agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("_n")))
+    vectors = qv.select(id_col, *same)
     # in a self-join the distinct query vectors are the base representatives
-    reps = vectors if queries is base else members.where(F.col("_m") == 1).select(id_col, feat_col)
+    reps = vectors if queries is base else members.where(F.col("_m") == 1).select(id_col, *same)
     n_base = reps.count()
+    extra = [b.schema[c] for c in payload]
+    lone = every if n_base == 0 else every.where(~finite)
+    lone = lone.select(F.col(id_col).alias("q_id"), F.lit(None).cast("int").alias("rank"),
+                       F.lit(None).cast(b.schema[id_col].dataType).alias("nb_id"), F.lit(None).cast("double").alias("dist"),
+                       *[F.lit(None).cast(c.dataType).alias(c.name) for c in extra])
     if n_base == 0:
-        return spark.createDataFrame([], StructType([
-            StructField("q_id", q.schema[id_col].dataType), StructField("rank", IntegerType()),
-            StructField("nb_id", b.schema[id_col].dataType), StructField("dist", DoubleType()),
-            *[b.schema[c] for c in payload]]))
+        return lone
     kept: list = []
-    top = _knn_core(vectors, reps, n_base, kb, id_col, feat_col, seed, max_pivots, chunk_rows, query_block_rows, kept)
+    top = (core or _knn_core)(vectors, reps, n_base, kb, id_col, feat_col, seed, max_pivots, chunk_rows, query_block_rows, kept)
     rows = top.select(F.col("q_id").alias(id_col), F.col("nb_id").alias("_rep"), "_d2").join(
         members.select("_rep", F.col(id_col).alias("nb_id"), *payload), "_rep")
     near = rows.groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(
         F.struct("_d2", "nb_id", *payload))), 1, kb).alias("_near"))  # of at most (k+1)^2
     unit = max(SALT_ROWS, -(-int(qv.agg(F.sum("_n")).first()[0] or 0) // MAX_HOT))
-    vec_hash = F.xxhash64(feat_col).alias("_hash")
+    vec_hash = F.xxhash64(*same).alias("_hash")
     hot = qv.where(F.col("_n") > unit).groupBy(vec_hash).agg(F.max(F.ceil(F.col("_n") / unit)).alias("_salts"))
     hot = F.broadcast(hot)  # at most MAX_HOT rows
 
@@ -302,14 +351,16 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
         return df.withColumn("_hash", vec_hash).join(hot, "_hash", "left").withColumn(
             "_salts", F.coalesce("_salts", F.lit(1)).cast("long"))
 
-    answers = (salted(qv.join(near, id_col)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-               .select(feat_col, F.col("_salt").cast("long").alias("_salt"), "_near"))
-    asked = salted(q).select(F.col(id_col).alias("q_id"), feat_col,
+    answers = (salted(qv.join(near, id_col, "left"))
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+               .select(*same, F.col("_salt").cast("long").alias("_salt"), "_near"))
+    asked = salted(q).select(F.col(id_col).alias("q_id"), *same,
                              F.pmod(F.xxhash64(id_col), F.col("_salts")).alias("_salt"))
     own = F.filter("_near", lambda s: s["nb_id"] != F.col("q_id")) if exclude_self else F.col("_near")
-    ranked = asked.join(answers, [feat_col, "_salt"]).select("q_id", F.posexplode(F.slice(own, 1, k)).alias("_p", "_s"))
+    ranked = asked.join(answers, [*same, "_salt"]).select(
+        "q_id", F.posexplode_outer(F.slice(own, 1, k)).alias("_p", "_s"))
     out = ranked.select("q_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_s.nb_id").alias("nb_id"),
-                        F.sqrt("_s._d2").alias("dist"), *[F.col("_s")[c].alias(c) for c in payload])
+                        F.sqrt("_s._d2").alias("dist"), *[F.col("_s")[c].alias(c) for c in payload]).unionByName(lone)
     # materialise the (q, k) result in the shared checkpoint folder, then release the cached
     # intermediates: no cache outlives the call and downstream joins start from a short lineage
     out = cut_lineage(out)
@@ -323,28 +374,46 @@ def self_knn(df: DataFrame, k: int, id_col: str = "id", feat_col: str = "feature
     return knn_join(df, df, k, id_col, feat_col, exclude_self=True, **kw)
 
 
+def class_weight_table(train: DataFrame, label: str, balanced: bool = True, unlike: str | None = None,
+                       folds: int = 0) -> DataFrame:
+    """(_fold, label, _cw): the weight N / (K n_c) of every class over the rows outside each fold, ``_fold`` -1 for all
+    rows. One count per fold and class; bounded by both."""
+    fold = F.col(unlike).cast("int") if unlike else F.lit(None).cast("int")
+    counts = train.where(F.col(label).isNotNull()).groupBy(fold.alias("_own"), label).agg(F.count(F.lit(1)).alias("_n"))
+    left_out = F.explode(F.array(*[F.lit(f) for f in [-1, *range(folds)]])).alias("_fold")
+    seen = (counts.select("*", left_out).where((F.col("_fold") == -1) | ~F.col("_own").eqNullSafe(F.col("_fold")))
+            .groupBy("_fold", label).agg(F.sum("_n").alias("_n")))
+    if not balanced:
+        return seen.select("_fold", label, F.lit(1.0).alias("_cw"))
+    whole = Window.partitionBy("_fold")
+    return seen.select("_fold", label, (F.sum("_n").over(whole).cast("double")
+                                        / (F.count(F.lit(1)).over(whole) * F.col("_n")).cast("double")).alias("_cw"))
+
+
 def knn_classify(queries: DataFrame, train: DataFrame, k: int = 5, label: str = "label", id_col: str = "id",
                  feat_col: str = "features", weights: str = "distance", balanced: bool = True,
-                 exclude_self: bool = False, **kw) -> DataFrame:
+                 exclude_self: bool = False, unlike: str | None = None, folds: int = 0, **kw) -> DataFrame:
     """p(1) = sum of w over neighbours labelled 1 / (sum of w + 1e-8).
 
     w = 1/(d + 1e-8) ('distance') or 1 ('uniform'), times the balanced class
     weight N/(K n_c) of the neighbour's label computed on the training rows
-    (a per-class table: bounded, broadcast). Output (id, p, n_neighbours).
+    (a per-class table: bounded, broadcast). Output (id, p, n_neighbours); a query without neighbours has a null p.
+
+    With ``unlike`` (a fold column of both sides, 0..folds-1 or null) a query's training rows are those of the other
+    folds, for the neighbours and for the class weights: all folds of a cross-validation in one search.
     """
-    nb = knn_join(queries, train, k, id_col, feat_col, exclude_self=exclude_self, payload=(label,), **kw)
-    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    wall = Window.partitionBy()
-    if balanced:
-        cw = counts.select(label, (F.sum("_n").over(wall).cast("double")
-                                   / (F.count(F.lit(1)).over(wall) * F.col("_n")).cast("double")).alias("_cw"))
+    asked = queries.select(F.col(id_col).alias("q_id"), F.col(unlike).cast("int").alias("_qf")) if unlike else None
+    nb = knn_join(queries, train, k, id_col, feat_col, exclude_self=exclude_self, payload=(label,), unlike=unlike, **kw)
+    cw = class_weight_table(train, label, balanced, unlike, folds)
+    if unlike:
+        nb = nb.join(asked, "q_id").withColumn("_fold", F.coalesce("_qf", F.lit(-1)))
     else:
-        cw = counts.select(label, F.lit(1.0).alias("_cw"))
+        nb = nb.withColumn("_fold", F.lit(-1))
     wd = F.lit(1.0) / (F.col("dist") + F.lit(1e-8)) if weights == "distance" else F.lit(1.0)
-    scored = nb.join(cw, label).withColumn("_w", wd * F.col("_cw"))
+    scored = nb.join(cw, ["_fold", label], "left").withColumn("_w", wd * F.col("_cw"))
     agg = scored.groupBy("q_id").agg(
         F.sum(F.when(F.col(label) == 1, F.col("_w")).otherwise(0.0)).alias("_w1"),
         F.sum("_w").alias("_wall"),
-        F.count(F.lit(1)).alias("n_neighbours"))
+        F.count("_cw").alias("n_neighbours"))
     return agg.select(F.col("q_id").alias(id_col), (F.col("_w1") / (F.col("_wall") + F.lit(1e-8))).alias("p"),
                       "n_neighbours")

@@ -60,17 +60,18 @@ def test_knn_classify_weights(spark):
     assert p == pytest.approx(w1 / (w1 + w0 + 1e-8))
 
 
-def test_knn_skips_null_vectors(spark):
+def test_rows_without_a_vector_have_no_neighbours(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0]), (3, None), (4, [5.0]), (5, [float("nan")]), (6, [None])],
                                "id long, features array<double>")
-    out = {r.q_id: r.nb_id for r in self_knn(df, 1).collect()}
-    assert out == {1: 2, 2: 1, 4: 2}
+    rows = self_knn(df, 1).collect()
+    assert {r.q_id: r.nb_id for r in rows} == {1: 2, 2: 1, 4: 2, 3: None, 5: None, 6: None} and len(rows) == 6
+    assert all(r["rank"] is None and r.dist is None for r in rows if r.nb_id is None)
 
 
 def test_knn_empty_base(spark):
     q = spark.createDataFrame([(1, [0.0])], "id long, features array<double>")
     b = spark.createDataFrame([], "id long, features array<double>")
-    assert knn_join(q, b, 3).count() == 0
+    assert [tuple(r) for r in knn_join(q, b, 3).collect()] == [(1, None, None, None)]
 
 
 def test_knn_hot_query_vector_is_salted(spark, monkeypatch):
@@ -80,3 +81,97 @@ def test_knn_hot_query_vector_is_salted(spark, monkeypatch):
     out = knn_join(_frame(spark, q, np.arange(46)), _frame(spark, b, np.arange(60)), 3, chunk_rows=8).toPandas()
     ref = brute(q, b, np.arange(46), np.arange(60), 3, False)
     assert {k: list(g.sort_values("rank")["nb_id"]) for k, g in out.groupby("q_id")} == ref
+
+
+def _pairs(out):
+    return {q: list(g.sort_values("rank")["nb_id"]) for q, g in out.dropna(subset=["rank"]).groupby("q_id")}
+
+
+@pytest.mark.parametrize("tiles", [{}, {"max_pivots": 5, "chunk_rows": 16, "query_block_rows": 8}])
+def test_within_and_unlike(spark, tiles):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(0, 1, (150, 3)), np.zeros((40, 3)), rng.integers(0, 3, (50, 3))]).astype(float)
+    klass, fold = rng.integers(0, 4, 240), rng.integers(0, 3, 240)
+    klass[0] = 9  # alone in its class
+    rows = [(i, x[i].tolist(), f"k{klass[i]}" if klass[i] != 3 else None, None if i % 11 == 0 else int(fold[i]))
+            for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, features array<double>, klass string, fold int")
+
+    def brute(allowed):
+        out = {}
+        for i in range(240):
+            d2 = ((x - x[i]) ** 2)
+            d2 = (d2[:, 0] + d2[:, 1]) + d2[:, 2]
+            near = sorted((d2[j], j) for j in range(240) if j != i and allowed(i, j))[:4]
+            if near:
+                out[i] = [j for _, j in near]
+        return out
+
+    same = knn_join(df, df, 4, exclude_self=True, within="klass", **tiles).toPandas()
+    assert _pairs(same) == brute(lambda i, j: klass[i] == klass[j])
+    assert same[same["q_id"] == 0]["nb_id"].isna().all() and len(same[same["q_id"] == 0]) == 1
+    other = knn_join(df, df, 4, exclude_self=True, unlike="fold", **tiles).toPandas()
+    assert _pairs(other) == brute(lambda i, j: i % 11 == 0 or j % 11 == 0 or fold[i] != fold[j])
+    base = df.where("id < 120")
+    both = knn_join(df, base, 4, exclude_self=True, within="klass", unlike="fold", **tiles).toPandas()
+    assert _pairs(both) == brute(lambda i, j: j < 120 and klass[i] == klass[j]
+                                 and (i % 11 == 0 or j % 11 == 0 or fold[i] != fold[j]))
+
+
+def test_classify_all_folds_at_once(spark):
+    rng = np.random.default_rng(2)
+    x, y, fold = rng.normal(0, 1, (90, 2)), rng.integers(0, 2, 90), np.arange(90) % 3
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i]), int(fold[i])) for i in range(90)],
+                               "id long, features array<double>, label int, fold int")
+    got = {r["id"]: r["p"] for r in knn_classify(df, df, 3, unlike="fold", folds=3).collect()}
+    for f in range(3):
+        one = knn_classify(df.where(f"fold = {f}"), df.where(f"fold <> {f}"), 3).collect()
+        assert all(got[r["id"]] == pytest.approx(r["p"], abs=1e-12) for r in one) and len(one) == 30
+
+
+def _clusters(spark, n, dim=12, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 6, (40, dim))
+    x = centres[rng.integers(0, 40, n)] + rng.normal(0, 1, (n, dim))
+    return _frame(spark, x, np.arange(n))
+
+
+def test_approximate_recall_and_exact_distances(spark):
+    from riskspark.operators.knn_approx import approx_knn_join, recall
+    df = _clusters(spark, 4000)
+    exact = knn_join(df, df, 10, exclude_self=True)
+    found = approx_knn_join(df, df, 10, exclude_self=True)
+    assert recall(found, exact).first()["recall"] >= 0.9
+    pdf, ref = found.toPandas(), exact.toPandas()
+    dist = {(r.q_id, r.nb_id): r.dist for r in ref.itertuples()}
+    assert all(dist[r.q_id, r.nb_id] == r.dist for r in pdf.itertuples() if (r.q_id, r.nb_id) in dist)
+    assert pdf.groupby("q_id")["dist"].apply(lambda d: d.is_monotonic_increasing).all()
+
+
+def test_approximate_ships_rows_in_proportion(spark):
+    """Every base row is in one bucket a table, every query in at most ``probes``; buckets keep their size."""
+    from riskspark.operators import knn_approx as A
+    shipped, largest = [], []
+    for n in (2000, 8000):
+        df = _clusters(spark, n).selectExpr("id", "features", "0L as _key", "0L as _fold")
+        x = np.array([r["features"] for r in df.collect()])
+        tables = A.Tables(x[:A.SAMPLE], n, 4, 128, 1)
+        base = A._placed(df, tables, 4, "id", "features", 1)
+        asked = A._placed(df, tables, 4, "id", "features", 8)
+        assert base.count() == 4 * n
+        shipped.append(asked.count() / n)
+        sizes = base.groupBy("_bucket").count().toPandas()["count"]
+        largest.append((sizes ** 2).sum() / sizes.sum())  # rows in the bucket of a row, on average
+    assert max(shipped) <= 32 and largest[1] < 2.5 * largest[0]
+
+
+def test_approximate_hot_vectors_missing_and_keys(spark):
+    from riskspark.operators.knn_approx import approx_knn_join
+    rng = np.random.default_rng(6)
+    x = np.vstack([np.ones((300, 2)), rng.normal(0, 1, (200, 2))])
+    df = _frame(spark, x, np.arange(500)).selectExpr("id", "IF(id = 450, NULL, features) AS features", "id % 2 AS k")
+    out = approx_knn_join(df, df, 3, exclude_self=True, within="k", tables=6, probes=8, leaf_rows=50).toPandas()
+    assert set(out["q_id"]) == set(range(500)) and out[out["q_id"] == 450]["nb_id"].isna().all()
+    met = out.dropna(subset=["nb_id"])
+    assert (met["q_id"] % 2 == met["nb_id"] % 2).all() and (met["q_id"] != met["nb_id"]).all()
+    assert (met[met["q_id"] < 300]["dist"] == 0).all()
