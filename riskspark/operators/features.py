@@ -16,7 +16,7 @@ from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEXT_TYPES = ("string", "varchar", "char", "date", "timestamp")
@@ -61,6 +61,15 @@ def align_features(df: DataFrame, cols: Sequence[str], fill=0, keep: Sequence[st
                      *[F.col(c) if c in present else F.lit(fill).alias(c) for c in cols])
 
 
+def complete_row(cols: Sequence[str]) -> Column:
+    """True where every listed number column has a value (neither null nor NaN)."""
+    out = F.lit(True)
+    for c in cols:
+        x = F.col(c).cast("double")
+        out = out & x.isNotNull() & ~F.isnan(x)
+    return out
+
+
 def label_encoder(cols: Sequence[str], suffix: str = "__code", handle_invalid: str = "error") -> StringIndexer:
     """K1: one multi-column ``StringIndexer`` (a single pass over the data for all columns).
 

@@ -32,8 +32,9 @@ def add_score_bands(scored: DataFrame, p: str, pct_col: str = "p_pct", level_col
     out = scored.withColumn(pct_col, pct_1dp(p)).withColumn(level_col, risk_level(p))
     if threshold is not None:
         pred = predict_at(p, threshold)
-        out = (out.withColumn("pred", pred).withColumn("risk_label", risk_label(p))
-                  .withColumn("action", action_tier(p, F.col("pred"))))
+        has = F.col(p).isNotNull()
+        out = (out.withColumn("pred", F.when(has, pred)).withColumn("risk_label", F.when(has, risk_label(p)))
+                  .withColumn("action", F.when(has, action_tier(p, F.col("pred")))))
     return out
 
 
@@ -54,6 +55,8 @@ def score_table(df: DataFrame, bundle, id_col: str, pct_col: str = "p_pct",
                 level_col: str = "risk_level") -> DataFrame:
     """Score every row with a fitted bundle -> p, rounded %, level (and the original columns).
 
+    A row with a missing feature value stays, without p, % and level.
+
     Encoding, column alignment (B3), scaling and the classifier run as one
     narrow pass of the bundle's PipelineModel (or the kNN join for kNN).
     ``pct_col`` / ``level_col`` name the outputs (e.g. the HR export's
@@ -68,15 +71,15 @@ def score_profiles(df: DataFrame, bundle, id_col: str, rules=None,
     """Hypothetical profiles: rule check (B6), score, label (B9), decision (B11), action tier.
 
     Rows breaking a rule are returned with their violation and no score. The rule is a column, so rows are told
-    apart where they stand, without a join.
+    apart where they stand, without a join. A row with a missing feature has neither score nor decision.
     """
     from riskspark.operators.quality import violation_column
     broken = violation_column(rules) if rules else F.lit(None).cast("string")
     marked = df.withColumn("violation", broken)
     scored = bundle.score(marked.where(F.col("violation").isNull()), id_col)
-    pred = predict_at("p")
-    out = scored.select(id_col, "p", pct_1dp("p").alias("p_pct"), risk_label("p").alias("risk_label"),
-                        pred.alias("pred"), action_tier("p", pred).alias("action"), "violation")
+    pred, has = predict_at("p"), F.col("p").isNotNull()
+    out = scored.select(id_col, "p", pct_1dp("p").alias("p_pct"), F.when(has, risk_label("p")).alias("risk_label"),
+                        F.when(has, pred).alias("pred"), F.when(has, action_tier("p", pred)).alias("action"), "violation")
     if not rules:
         return out
     none = {"p": "double", "p_pct": "double", "risk_label": "string", "pred": "int", "action": "string"}

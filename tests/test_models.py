@@ -127,7 +127,25 @@ def test_history_append_and_pivot(spark, tmp_path):
     wide = {r.run: r for r in read_history(spark, path).collect()}
     assert wide[1].LR_recall == 0.8 and wide[2].RF_acc == 0.8 and wide[2].n_models == 2
     clear_history(spark, path)
-    assert spark.read.parquet(path).count() == 0
+    assert read_history(spark, path).count() == 0
+
+
+def test_history_takes_concurrent_writers_and_skips_unfinished_runs(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from riskspark.sources.bundle import append_history, read_history
+    path = str(tmp_path / "hist")
+    runs = [spark.createDataFrame([(f"M{i}", i / 10, 0.5)], "model string, recall double, accuracy double")
+            for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        numbers = list(pool.map(lambda i: append_history(spark, path, f"M{i}", 100 + i, runs[i]), range(6)))
+    runs[0].selectExpr("'zz' key", "'M0' best", "1 n_models", "7L train_size", "model", "'acc' metric",
+                       "recall value").write.parquet(f"{path}/run-zz")  # written, never committed
+    wide = read_history(spark, path).collect()
+    assert [r.run for r in wide] == [1, 2, 3, 4, 5, 6] and sorted(r.best for r in wide) == [f"M{i}" for i in range(6)]
+    assert all(r[f"{r.best}_recall"] == int(r.best[1]) / 10 and r.train_size == 100 + int(r.best[1]) for r in wide)
+    assert all(1 <= n <= 6 for n in numbers)
+    assert append_history(spark, path, "M1", 1, runs[1]) == 7
 
 
 def test_knn_bundle_with_custom_label_name(spark, signal, tmp_path):
