@@ -10,10 +10,17 @@ LR: weighted log-loss + ||w||^2 / (2 C n)   -> regParam = 1 / (C n)
 SVM: weighted hinge + ||w||^2 / (C n)       -> regParam = 2 / (C n)
 MLlib normalises the data term by the weight sum, which equals n for
 balanced weights.
+
+``rf_levels`` is the forest of ``operators.trees``, whose nodes stop at a
+smallest number of rows. ``lr_steps`` and ``svm_steps`` minimise the same objectives by the reference's
+fixed number of gradient steps (``operators.gradient``). These two and kNN are
+fold-aware: ``fit_folds`` fits or searches all folds of a cross-validation and
+the whole training set in one pass.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -26,9 +33,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.functions.columns import DECISION_THRESHOLD, linear_probability, predict_at
+from riskspark.functions.columns import DECISION_THRESHOLD, linear_probability, predict_at, sigmoid
+from riskspark.operators.gradient import by_fold, descend, platt
 from riskspark.operators.knn import knn_classify
+from riskspark.operators.trees import Forest, grow_forest
 
+FOLD_AWARE = ("knn", "lr_steps", "svm_steps")
 MODEL_NAMES = ["Logistic Regression", "Random Forest", "SVM (Linear)", "KNN (Weighted)"]
 
 
@@ -70,6 +80,27 @@ class LinearScorer(Model, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - p, p)))
 
 
+class ForestScorer(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """A level-wise forest as a saveable stage: its node table travels as JSON, bounded by trees x 2^(depth + 1)."""
+
+    cols = Param(Params._dummy(), "cols", "feature columns", typeConverter=TypeConverters.toListString)
+    nodes = Param(Params._dummy(), "nodes", "number of trees, depth and node table as JSON",
+                  typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, cols=None, nodes=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def forest(self) -> Forest:
+        n_trees, depth, nodes = json.loads(self.getOrDefault(self.nodes))
+        return Forest(self.getOrDefault(self.cols), n_trees, depth, [tuple(n) for n in nodes])
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_p1", self.forest().probability())
+        return out.withColumn("probability", array_to_vector(F.array(F.lit(1.0) - F.col("_p1"), F.col("_p1")))).drop("_p1")
+
+
 def prob1(col: str = "probability"):
     return vector_to_array(F.col(col))[1]
 
@@ -138,8 +169,56 @@ class ModelSpec:
             tr = train.select(id_col, F.col(label), vector_to_array(F.col(features_col)).alias("features"))
             return Fitted(self.name, tr, "knn", {"k": pr.get("k", 5), "weights": pr.get("weights", "distance"),
                                                  "balanced": pr.get("balanced", True), "label": label})
+        if self.kind == "rf_levels":  # MLlib's forest has no smallest node to split
+            forest = grow_forest(train, pr["cols"], label, id_col, pr.get("numTrees", 80), pr.get("maxDepth", 8),
+                                 pr.get("minSamples", 5), balanced=pr.get("balanced", True), seed=pr.get("seed", 42))
+            stage = ForestScorer(cols=forest.cols, nodes=json.dumps([forest.n_trees, forest.max_depth, forest.nodes]))
+            return Fitted(self.name, PipelineModel(stages=[stage]), "mllib", pr)
+        if self.kind in FOLD_AWARE:
+            return self._linear(self._steps(train, label)[-1])
         raise ValueError(self.kind)
 
+    def _steps(self, train: DataFrame, label: str, fold_col: str | None = None, folds: int = 0) -> list:
+        pr, svm = self.params, self.kind == "svm_steps"
+        fits = descend(train, pr["cols"], label, "hinge" if svm else "logistic", pr.get("C", 1.0),
+                       pr.get("steps", 100 if svm else 150), pr.get("balanced", True), fold_col, folds)
+        return platt(train, fits, label, fold_col=fold_col) if svm else fits
+
+    def _linear(self, fit) -> Fitted:
+        scorer = LinearScorer(cols=list(fit.cols), weights=list(fit.weights), intercept=float(fit.intercept))
+        return Fitted(self.name, PipelineModel(stages=[scorer]), "mllib", self.params)
+
+    def fit_folds(self, folded: DataFrame, folds: int, label: str = "label", id_col: str = "id",
+                  test: DataFrame | None = None, features_col: str = "features",
+                  threshold: float = DECISION_THRESHOLD) -> tuple[Fitted, DataFrame]:
+        """(the fit on all rows, every row scored by the fit that left its fold out: id, label, fold, p, pred).
+
+        ``folded`` has a ``fold`` column; rows of ``test`` come with a null fold and are scored by the fit on all rows.
+        kNN searches once for all of them, the linear models descend once.
+        """
+        if self.kind == "knn":
+            vec = lambda df, fold: df.select(
+                id_col, label, fold.cast("int").alias("fold"), vector_to_array(F.col(features_col)).alias("features"))
+            rows = vec(folded, F.col("fold"))
+            asked = rows if test is None else rows.unionByName(vec(test, F.lit(None)))
+            pr = self.params
+            p = knn_classify(asked, rows, pr.get("k", 5), label, id_col, weights=pr.get("weights", "distance"),
+                             balanced=pr.get("balanced", True), unlike="fold", folds=folds)
+            scored = asked.select(id_col, label, "fold").join(p.select(id_col, "p"), id_col, "left")
+            fitted = Fitted(self.name, rows.drop("fold"), "knn", {
+                "k": pr.get("k", 5), "weights": pr.get("weights", "distance"), "balanced": pr.get("balanced", True),
+                "label": label})
+        elif self.kind in FOLD_AWARE:
+            fits = self._steps(folded, label, "fold", folds)
+            scored = folded.select(id_col, label, "fold", sigmoid(by_fold(fits, "fold")).alias("p"))
+            if test is not None:
+                scored = scored.unionByName(test.select(id_col, label, F.lit(None).cast("int").alias("fold"),
+                                                        sigmoid(fits[-1].score()).alias("p")))
+            fitted = self._linear(fits[-1])
+        else:
+            raise ValueError(f"{self.kind} fits fold by fold")
+        return fitted, scored.withColumn("pred", predict_at("p", threshold))
+
 
 def default_specs(n_features: int, lr_c: float = 1.0, rf_trees: int = 80, svm_c: float = 1.0, knn_k: int = 5,
                   models: list[str] | None = None) -> list[ModelSpec]:
@@ -150,3 +229,10 @@ def default_specs(n_features: int, lr_c: float = 1.0, rf_trees: int = 80, svm_c:
         ModelSpec("KNN (Weighted)", "knn", {"k": knn_k, "weights": "distance", "balanced": True}),
     ]
     return [s for s in specs if models is None or s.name in models]
+
+
+def step_specs(cols: list[str], C: float = 1.0, lr_steps: int = 150, svm_steps: int = 100, knn_k: int = 5) -> list[ModelSpec]:
+    """The fold-aware models over named feature columns: LR and SVM by the reference's gradient steps, kNN."""
+    return [ModelSpec("Logistic Regression", "lr_steps", {"cols": list(cols), "C": C, "steps": lr_steps}),
+            ModelSpec("SVM (Linear)", "svm_steps", {"cols": list(cols), "C": C, "steps": svm_steps}),
+            ModelSpec("KNN (Weighted)", "knn", {"k": knn_k, "weights": "distance", "balanced": True})]

@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.operators import metrics as M
-from riskspark.operators.features import PopulationScaler, encodable, fit_label_encoder, split_columns_by_type
+from riskspark.operators.dictionary import DictionaryEncoder
+from riskspark.operators.features import PopulationScaler, complete_row, encodable, split_columns_by_type
 from riskspark.operators.resample import smote
 from riskspark.operators.split import fold_assign, fold_train_test, stratified_split
-from riskspark.plans.models import Fitted, ModelSpec
+from riskspark.plans.models import FOLD_AWARE, Fitted, ModelSpec
 from riskspark.session import cut_lineage
 
 
@@ -59,10 +60,11 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     nums = list(num_cols) if num_cols is not None else nums
     feature_cols = [c for c in df.columns if c in set(cats) | set(nums)]  # table order, remembered
     df = encodable(df, cats)
-    encoder = fit_label_encoder(df, cats)
+    encoder = PipelineModel(stages=[DictionaryEncoder(cols=cats).fit(df)] if cats else [])
     enc = encoder.transform(df.select(id_col, label, *feature_cols))
     enc = enc.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feature_cols])
-    enc = enc.where(F.col(label).isNotNull())  # a row without a label can train and test nothing; scoring takes it
+    # a row without a label or with a missing feature can train and test nothing; scoring takes it
+    enc = enc.where(F.col(label).isNotNull() & complete_row(feature_cols))
     split = stratified_split(enc, label, id_col, test_size, seed, with_rank=False)
     if checkpoint:
         split = cut_lineage(split)
@@ -97,9 +99,14 @@ def cross_validate(spec: ModelSpec, train: DataFrame, label: str = "label", id_c
     With ``prep`` given, folds are cut from the training rows *before* SMOTE
     and each fold's training part is oversampled and scaled on its own, so no
     synthetic point leaks into a validation fold.
-    Folds are fitted concurrently from a small driver thread pool (as MLlib's
+    kNN and the step-wise linear models do all folds in one pass (``ModelSpec.fit_folds``); other models' folds are
+    fitted concurrently from a small driver thread pool (as MLlib's
     ``CrossValidator(parallelism=...)``); each fit is itself distributed.
     """
+    if prep is None and spec.kind in FOLD_AWARE:
+        folded = fold_assign(train.drop("weight"), label, id_col, k, seed, with_rank=False)
+        _, scored = spec.fit_folds(folded, k, label, id_col)
+        return fold_scores(spec.name, scored, label, scoring)
     src = prep.train_raw if prep is not None else train.drop("weight")
     folded = fold_assign(src, label, id_col, k, seed, with_rank=False).persist()
 
@@ -124,6 +131,13 @@ def cross_validate(spec: ModelSpec, train: DataFrame, label: str = "label", id_c
     return train.sparkSession.createDataFrame(rows, f"model string, fold int, {scoring} double")
 
 
+def fold_scores(name: str, scored: DataFrame, label: str, scoring: str) -> DataFrame:
+    """(model, fold, score) from rows scored out of their fold, in one aggregate."""
+    by_fold = M.binary_metrics(scored.where(F.col("fold").isNotNull()), label, "pred", group_cols=["fold"])
+    return by_fold.select(F.lit(name).alias("model"), F.col("fold").cast("int").alias("fold"),
+                          F.col(scoring).cast("double").alias(scoring))
+
+
 @dataclass
 class TrainResult:
     comparison: DataFrame
@@ -146,8 +160,18 @@ def train_and_compare(prep: Prepared, specs: list[ModelSpec], cv_k: int = 3, see
     label, id_col = prep.label, prep.id_col
     n = prep.train.count()
 
+    folded = fold_assign(prep.train.drop("weight"), label, id_col, cv_k, seed, with_rank=False)
+    if any(s.kind in FOLD_AWARE for s in specs) and not resample_inside_fold:
+        folded = cut_lineage(folded)
+
     def one(item):
         i, spec = item
+        if spec.kind in FOLD_AWARE and not resample_inside_fold:
+            fm, scored = spec.fit_folds(folded, cv_k, label, id_col, prep.test)
+            scored = cut_lineage(scored)
+            p = scored.where(F.col("fold").isNull()).select(
+                F.lit(spec.name).alias("model"), F.lit(i + 1).alias("model_order"), id_col, label, "p", "pred")
+            return spec.name, fold_scores(spec.name, scored, label, "recall"), fm, p
         cv = cross_validate(spec, prep.train, label, id_col, cv_k, seed,
                             prep=prep if resample_inside_fold else None)
         fm = spec.fit(prep.train, label, n=n)
