@@ -41,45 +41,27 @@ def confusion_matrix(df: DataFrame, y: str, pred: str, labels: Sequence[int] | N
 
     The grid comes from the (actual, predicted) count table, so the rows are scanned once.
     """
-    if group_cols:
-        g = list(group_cols)
-        counts = cut_lineage(df.groupBy(*g, F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
-            F.count(F.lit(1)).alias("n")))
+    g = list(group_cols) or ["_all"]  # one group, so that the grid is an equi-join too
+    rows = df if group_cols else df.withColumn("_all", F.lit(0))
+    counts = cut_lineage(rows.groupBy(*g, F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
+        F.count(F.lit(1)).alias("n")))
+    if labels is None:
         lab = (counts.select(*g, F.explode(F.array("actual", "predicted")).alias("v")).where(F.col("v").isNotNull())
                .distinct())
-        grid = lab.select(*g, F.col("v").alias("actual")).join(lab.select(*g, F.col("v").alias("predicted")), g)
-        return (grid.join(counts, [*g, "actual", "predicted"], "left")
-                .select(*g, "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
-    counts = df.groupBy(F.col(y).alias("actual"), F.col(pred).alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
-    if labels is None:
-        lab = (df.select(F.col(y).alias("v")).union(df.select(F.col(pred).alias("v")))
-                 .where(F.col("v").isNotNull()).distinct())
-        lab_list = F.collect_list("v")
-        grid = (lab.agg(F.array_sort(lab_list).alias("vals"))
-                   .select(F.explode("vals").alias("actual"), F.col("vals"))
-                   .select("actual", F.explode("vals").alias("predicted")))
     else:
-        grid = df.sparkSession.createDataFrame(
-            [(a, p) for a in labels for p in labels], "actual int, predicted int")
-    return (grid.join(counts, on=["actual", "predicted"], how="left")
-                .select("actual", "predicted", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
-
-
-def _tp_fp_fn(y, pred, pos):
-    yc, pc = F.col(y), F.col(pred)
-    return (F.sum(F.when((yc == pos) & (pc == pos), 1).otherwise(0)),
-            F.sum(F.when((yc != pos) & (pc == pos), 1).otherwise(0)),
-            F.sum(F.when((yc == pos) & (pc != pos), 1).otherwise(0)))
+        lab = counts.select(*g).distinct().withColumn("v", F.explode(F.array(*[F.lit(v) for v in labels])))
+    grid = lab.select(*g, F.col("v").alias("actual")).join(lab.select(*g, F.col("v").alias("predicted")), g)
+    return (grid.join(counts, [*g, "actual", "predicted"], "left")
+            .select(*group_cols, "actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def binary_metrics(df: DataFrame, y: str, pred: str, pos: int = 1, group_cols: Sequence[str] = ()) -> DataFrame:
     """Accuracy, precision, recall, F1 for ``pos``; 0 when a denominator is 0."""
-    tp, fp, fn = _tp_fp_fn(y, pred, pos)
-    agg = (df.groupBy(*group_cols) if group_cols else df.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(y) == F.col(pred), 1).otherwise(0)).alias("_correct"),
-        tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    actual, said = F.col(y) == pos, F.col(pred) == pos
+    agg = df.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == F.col(pred)).alias("_correct"),
+        F.count_if(actual & said).alias("tp"), F.count_if(said & ~actual).alias("fp"),
+        F.count_if(actual & ~said).alias("fn"))
     prec = safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
     out = (agg.withColumn("accuracy", safe_div(F.col("_correct"), F.col("n")))

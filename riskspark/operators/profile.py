@@ -157,38 +157,55 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     its ranks is taken anew over the whole column, so the sketch decides the work only, never the result.
     Columns without values give no rows. Output: (column, prob, value).
     """
-    spark = df.sparkSession
-    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    margin = 4 / accuracy + 2 / max(1, df.count())
-    around = [min(1.0, max(0.0, p + m)) for p in probs for m in (-margin, margin)]
-    sketch = num.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, around, accuracy).alias("at")).alias(c)
-                       for c in cols]).first()
+    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
+    try:
+        return _exact_percentiles(num, _sketch(num, cols, probs, accuracy), cols, probs, n_buckets, accuracy)
+    finally:
+        num.unpersist()
+
+
+def _sketch(num: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int):
+    """One row: per column its count, moments and the values around each wanted rank, in one scan."""
+    around = [min(1.0, max(0.0, p + m)) for p in probs for m in (-4 / accuracy, 4 / accuracy)]
+    return num.agg(*[F.struct(
+        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+        F.max(c).alias("max"), F.percentile_approx(c, around, accuracy).alias("at")).alias(c) for c in cols]).first()
+
+
+def _exact_percentiles(num: DataFrame, sketch, cols, probs, n_buckets: int, accuracy: int) -> DataFrame:
+    spark = num.sparkSession
     slots = {}  # one per column and wanted percentile
     for c in cols:
-        for i, p in enumerate(probs if sketch[c]["n"] else []):
-            pos = p * (sketch[c]["n"] - 1)
-            slots[len(slots)] = (c, float(p), pos, math.floor(pos), math.ceil(pos), *sketch[c]["at"][2 * i:2 * i + 2])
+        n = sketch[c]["n"]
+        for i, p in enumerate(probs if n else []):
+            pos = p * (n - 1)
+            # a column of few values is its own bracket
+            lo, hi = sketch[c]["at"][2 * i:2 * i + 2] if n > accuracy else (sketch[c]["min"], sketch[c]["max"])
+            slots[len(slots)] = (c, float(p), pos, math.floor(pos), math.ceil(pos), lo, hi)
     if not slots:
         return spark.createDataFrame([], "column string, prob double, value double")
 
     def gather(brackets: dict) -> tuple[DataFrame, dict]:
-        """(slot, below, value, c) of the values up to each bracket's end, and the counts per (slot, below)."""
-        sides = [F.struct(F.lit(i).alias("slot"), F.when(F.col(c) < lo, True).when(F.col(c) <= hi, False).alias("below"),
-                          F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c)).alias("value"))
-                 for i, (c, lo, hi) in brackets.items()]
-        long = num.select(F.explode(F.array(*sides)).alias("s")).select("s.*").where(F.col("below").isNotNull())
-        vals = cut_lineage(long.groupBy("slot", "below", "value").agg(F.count(F.lit(1)).alias("c")))
-        return vals, {(r["slot"], r["below"]): r["n"]
-                      for r in vals.groupBy("slot", "below").agg(F.sum("c").alias("n")).collect()}
+        """(slot, value, c) of the values inside each bracket, and the counts {slot: (below, inside)}.
+
+        Values outside all brackets, nearly all, are only counted: they leave no row.
+        """
+        inside = {i: (F.col(c) >= lo) & (F.col(c) <= hi) for i, (c, lo, hi) in brackets.items()}
+        counted = num.agg(*[F.count_if(F.col(c) < lo).alias(f"b{i}") for i, (c, lo, _) in brackets.items()],
+                          *[F.count_if(x).alias(f"i{i}") for i, x in inside.items()]).first()
+        cells = F.filter(F.array(*[F.when(x, F.struct(F.lit(i).alias("slot"), F.col(brackets[i][0]).alias("value")))
+                                   for i, x in inside.items()]), lambda s: s.isNotNull())
+        long = num.select(F.explode(cells).alias("s")).select("s.*")
+        vals = cut_lineage(long.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("c")))
+        return vals, {i: (counted[f"b{i}"], counted[f"i{i}"]) for i in brackets}
 
     vals, n = gather({i: (c, F.lit(lo), F.lit(hi)) for i, (c, _, _, _, _, lo, hi) in slots.items()})
-    missed = [i for i, (_, _, _, r_lo, r_hi, _, _) in slots.items()
-              if not n.get((i, True), 0) <= r_lo <= r_hi < n.get((i, True), 0) + n.get((i, False), 0)]
+    missed = [i for i, (_, _, _, r_lo, r_hi, _, _) in slots.items() if not n[i][0] <= r_lo <= r_hi < sum(n[i])]
     if missed:
         rest, n_rest = gather({i: (slots[i][0], F.lit(-math.inf), F.lit(math.nan)) for i in missed})  # NaN sorts last
         vals = vals.where(~F.col("slot").isin(missed)).unionByName(rest)
-        n = {key: v for key, v in n.items() if key[0] not in missed} | n_rest
-    inside = vals.where(~F.col("below")).select(F.col("slot").alias("column"), "value", "c")
+        n |= n_rest
+    inside = vals.select(F.col("slot").alias("column"), "value", "c")
     cuts = [i / n_buckets for i in range(1, n_buckets)]
     # bounded: one sorted array of n_buckets - 1 cut points per slot
     cut_map = {r["column"]: np.asarray(r["_cuts"], dtype=np.float64) for r in inside.groupBy("column").agg(
@@ -196,7 +213,7 @@ def exact_percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]
     bv = inside.mapInPandas(_bucketizer(cut_map), "column int, value double, c long, _bkt int")
     cum = prefix_sums(bv, ["column"], F.col("_bkt"), [F.col("value")], ["c"]).withColumnRenamed("column", "slot")
     targets = spark.createDataFrame(
-        [(i, c, p, pos - r_lo, r_lo - n.get((i, True), 0), r_hi - n.get((i, True), 0))
+        [(i, c, p, pos - r_lo, r_lo - n[i][0], r_hi - n[i][0])
          for i, (c, p, pos, r_lo, r_hi, _, _) in slots.items()],
         "slot int, column string, prob double, _part double, _lo long, _hi long")
 
@@ -219,15 +236,16 @@ def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, decimals:
         cols = [n for n, t in df.dtypes if t in ("int", "bigint", "double", "float", "smallint", "tinyint")
                 or t.startswith("decimal")]
     cols = list(cols)
-    long = (df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot([], cols, "column", "value"))
-    stats = long.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    num = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
+    probs = [0.25, 0.5, 0.75]
+    try:
+        sketch = _sketch(num, cols, probs, 10000)
+        q = _exact_percentiles(num, sketch, cols, probs, 1024, 10000)
+    finally:
+        num.unpersist()
+    stats = df.sparkSession.createDataFrame(
+        [(c, *[sketch[c][k] for k in ("n", "mean", "std", "min", "max")]) for c in cols],
+        "column string, count long, mean double, std double, min double, max double")  # a row a column
     qw = q.groupBy("column").agg(
         F.max(F.when(F.col("prob") == 0.25, F.col("value"))).alias("p25"),
         F.max(F.when(F.col("prob") == 0.5, F.col("value"))).alias("p50"),

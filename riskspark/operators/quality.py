@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskspark.session import cut_lineage
+
 # The validator's limits.
 MIN_ROWS = 50
 MAX_COLUMNS = 100
 ALLOWED_LABELS = (0, 1)
+#: Labels that the check names; ``observed_labels`` has them all.
+MAX_SHOWN = 1000
 
 
 def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[str] | None = None,
                    max_rows: int | None = None, min_rows: int = MIN_ROWS,
-                   max_columns: int = MAX_COLUMNS, max_shown: int | None = None) -> DataFrame:
+                   max_columns: int = MAX_COLUMNS, max_shown: int = MAX_SHOWN) -> DataFrame:
     """A5: ordered checks -> DataFrame (ordinal, check, observed, limit, passed, first_failure).
 
-    One grouped aggregate gives the row count and every distinct label; all of them are named, unless ``max_shown``
-    asks for a shorter list, which then says how many it leaves out. ``max_rows`` protects one machine; it is off by
-    default.
+    One grouped aggregate gives the row count and the distinct labels, of any number; the check names the first
+    ``max_shown`` in order and says how many it leaves out. ``max_rows`` protects one machine; it is off by default.
     """
     required = list(required) if required is not None else [label]
     missing = missing_columns(df, required)
@@ -31,13 +34,15 @@ def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[s
             dict(df.dtypes)[label].startswith("decimal")
         # numeric labels compare by value (1.0 == 1); text labels never equal the integers 0/1
         allowed = lab.isin(*ALLOWED_LABELS) if numeric else F.lit(False)
-        seen = [(r["v"], r["n"], r["ok"]) for r in df.groupBy(lab.cast("string").alias("v"), allowed.alias("ok"))
-                .agg(F.count(F.lit(1)).alias("n")).toLocalIterator()]  # one scan: every value with its count
-        n = sum(x[1] for x in seen)
-        n_bad = sum(x[1] for x in seen if x[0] is not None and not x[2])
-        vals = sorted({x[0] for x in seen if x[0] is not None})
-        if max_shown is not None and len(vals) > max_shown:
-            vals = [*vals[:max_shown], f"(+{len(vals) - max_shown} more)"]
+        seen = cut_lineage(df.groupBy(lab.cast("string").alias("v"), allowed.alias("ok"))
+                           .agg(F.count(F.lit(1)).alias("n")))  # one scan: every value with its count
+        total = seen.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("v").isNotNull() & ~F.col("ok"), F.col("n"))
+                                                      .otherwise(0)).alias("bad"), F.count_distinct("v").alias("k")).first()
+        n, n_bad = int(total["n"] or 0), int(total["bad"] or 0)
+        vals = [r["v"] for r in seen.where(F.col("v").isNotNull()).select("v").distinct().orderBy("v")
+                .limit(max_shown).collect()]
+        if total["k"] > len(vals):
+            vals.append(f"(+{total['k'] - len(vals)} more)")
     else:
         n = df.count()
         vals, n_bad = [], 0
@@ -56,6 +61,11 @@ def validate_table(df: DataFrame, label: str = "Attrition", required: Sequence[s
         rows, "ordinal int, check string, observed string, limit string, passed boolean, first_failure boolean")
 
 
+def observed_labels(df: DataFrame, label: str) -> DataFrame:
+    """D11 + A5: (label, n) of every distinct label, null included."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+
+
 def consistency_violations(df: DataFrame, rules: Sequence[tuple[str, Column]], id_col: str) -> DataFrame:
     """First broken rule per row (rules are (name, condition-that-must-hold)).
 

@@ -127,3 +127,16 @@ def prefix_sums(df: DataFrame, partition_cols: Sequence[str], bucket: Column, or
     for c in value_cols:
         joined = joined.withColumn(f"{prefix}{c}", F.sum(c).over(w2) + F.col(f"_o_{c}"))
     return joined.drop("_bkt", *[f"_o_{c}" for c in value_cols])
+
+
+def range_rank(df: DataFrame, partition_cols: Sequence[str], order_col: str, rank_col: str = "rank",
+               total_col: str | None = None) -> DataFrame:
+    """1-based rank inside ``partition_cols`` in the order of a column of any type that sorts (nulls first).
+
+    Spark's sampled range partitions over (partition columns, order column) are the buckets; they are written once, so
+    that counts and rows see the same ones.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in (*partition_cols, order_col)]
+    dealt = cut_lineage(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    return rank_within(dealt, partition_cols, F.col("_range"), [F.col(order_col).asc_nulls_first()], rank_col,
+                       total_col).drop("_range")

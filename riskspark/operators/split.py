@@ -6,12 +6,10 @@ SQL engine reproduce the same assignment; sizes are exact, not Bernoulli.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.operators.rank import DEFAULT_HEX_DIGITS, cuts_before, hash_rank
+from riskspark.operators.rank import DEFAULT_HEX_DIGITS, cuts_before, hash_rank, range_rank
 
 
 def class_rank(df: DataFrame, label: str | None, id_col: str, seed: int = 42,
@@ -66,7 +64,7 @@ def fold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int =
     """Stratified fold number 0..k-1 with ``array_split`` sizes.
 
     Within a class of n rows, the first ``n % k`` folds get ``n//k + 1`` rows
-    (identical to ``ntile(k)``). ``shuffle=False`` keeps id order. ``with_rank=False`` leaves ``class_rank`` out
+    (identical to ``ntile(k)``). ``shuffle=False`` keeps id order (ids of any type that sorts). ``with_rank=False`` leaves ``class_rank`` out
     and compares rows with their class's k - 1 cuts, without a shuffle of the rows.
     """
     if not 2 <= k:
@@ -80,9 +78,7 @@ def fold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int =
     if shuffle:
         sized = class_rank(df, label, id_col, seed, digits, with_size=True)
     else:
-        from riskspark.operators.rank import rank_within
-        sized = rank_within(df, [label], _id_quantile_bucket(df, id_col, 16 ** digits), [F.col(id_col)],
-                            "class_rank", total_col="_class_n")
+        sized = range_rank(df, [label], id_col, "class_rank", "_class_n")
     n, r = F.col("_class_n"), F.col("class_rank")
     q = (n / F.lit(k)).cast("long")
     rem = n % F.lit(k)
@@ -92,23 +88,6 @@ def fold_assign(df: DataFrame, label: str, id_col: str, k: int = 5, seed: int =
     return sized.withColumn("fold", fold.cast("int")).drop("_class_n")
 
 
-def _id_quantile_bucket(df: DataFrame, id_col: str, n_buckets: int):
-    """Bucket non-decreasing in id with about equal rows per bucket (approximate-quantile cut points).
-
-    The cut points (at most ``n_buckets - 1`` numbers) come to the driver and
-    are searched per Arrow batch; exactness of the rank does not depend on
-    the cut quality, only the balance does.
-    """
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = np.unique(np.asarray(df.approxQuantile(id_col, probs, 1.0 / (4 * n_buckets)), dtype=np.float64))
-
-    @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(dtype=np.float64), side="left").astype(np.int32))
-
-    return bucket(F.col(id_col))
-
-
 def fold_train_test(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
     """train = every fold except ``fold``; test = ``fold`` (disjoint by construction)."""
     return folded.where(F.col("fold") != F.lit(fold)), folded.where(F.col("fold") == F.lit(fold))

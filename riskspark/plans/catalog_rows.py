@@ -24,7 +24,7 @@ from riskspark.plans import catalog as K
 from riskspark.plans.catalog_sql import (KNN_PAIRS, PCT, PRED, RATE, SCORED, SCORERS, hist, r6, risk_level_sql, roc_cte, sdiv, w)
 from riskspark.plans.models import LinearScorer
 from riskspark.plans.views import documents_view, embeddings_view, orders_view, read
-from riskspark.session import ensure_checkpoint_dir
+from riskspark.session import cut_lineage, ensure_checkpoint_dir
 from riskspark.sources import tables as T
 from riskspark.sources.bundle import Bundle, append_history, read_history
 
@@ -159,12 +159,15 @@ def _report(spark, sf, part):
 # ------------------------------------------------------------------ history, per-model evaluation
 
 def q_history_scorers(spark, sf):
-    """Two runs of the two fixed scorers, the second on another fold; appended, then read wide."""
+    """One run for each of the five folds of the two fixed scorers: appended, then read wide."""
     path = _shared(spark, "history")
     scored = K.scorer_orders(spark, sf)
-    for fold in (0, 1):
-        rows = M.binary_metrics(scored.where(F.col("fold") == fold), "label", "pred", group_cols=["model"])
-        append_history(spark, path, "hash_score", 100 + fold, rows)
+    rows = cut_lineage(M.binary_metrics(scored, "label", "pred", group_cols=["model", "model_order", "fold"]))
+    total = rows.where(F.col("model_order") == 1).agg(F.sum("n")).first()[0]
+    for fold in range(5):
+        here = rows.where(F.col("fold") == fold)
+        best = M.best_model(here).first()["model"]
+        append_history(spark, path, best, total - here.first()["n"], here)
     return rnd(read_history(spark, path))
 
 
@@ -357,12 +360,13 @@ c AS (SELECT {LEVEL} AS risk_level, count(*) AS n FROM s GROUP BY 1)""", """
 SELECT CAST(lv.ordinal AS INTEGER) AS ordinal, lv.risk_level, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM lv LEFT JOIN c ON lv.risk_level = c.risk_level"""),
     "history_scorers": w(["v_ord"], SCORERS, f"""
-m AS (SELECT fold, model, {sdiv('sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END)',
-                               'sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)')} AS recall,
+m AS (SELECT fold, model, model_order, count(*) AS n,
+             {sdiv('sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END)', 'sum(CASE WHEN label = 1 THEN 1 ELSE 0 END)')}
+               AS recall,
              {sdiv('sum(CASE WHEN label = pred THEN 1 ELSE 0 END)', 'count(*)')} AS acc
-      FROM pr WHERE fold < 2 GROUP BY fold, model)""", f"""
-SELECT CAST(fold + 1 AS INTEGER) AS run, 'hash_score' AS best, CAST(2 AS INTEGER) AS n_models,
-       CAST(100 + fold AS BIGINT) AS train_size,
+      FROM pr GROUP BY fold, model, model_order)""", f"""
+SELECT CAST(fold + 1 AS INTEGER) AS run, arg_max(model, recall - model_order * 1e-9) AS best, CAST(2 AS INTEGER) AS n_models,
+       CAST((SELECT count(*) FROM fo) - max(n) AS BIGINT) AS train_size,
        {", ".join(r6(f"max(CASE WHEN model = '{m}' THEN {k} END)") + f" AS {m}_{k}" for m in ("hash_score", "priority_score")
                   for k in ("acc", "recall"))}
 FROM m GROUP BY fold"""),

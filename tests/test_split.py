@@ -81,3 +81,16 @@ def test_null_labels_keep_their_rows(spark):
     df = spark.createDataFrame([(i, None if i % 10 == 0 else i % 2) for i in range(100)], "id long, y int")
     assert stratified_split(df, "y", "id").count() == 100
     assert fold_assign(df, "y", "id", 5).count() == 100
+
+
+def test_ordered_folds_take_ids_of_any_type(spark):
+    rng = np.random.default_rng(1)
+    ids = [f"id-{v}" for v in rng.permutation(700)]
+    rows = [(i, int(n % 5 == 0) if n % 50 else None) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "id string, label int")
+    out = S.fold_assign(df, "label", "id", 4, shuffle=False)
+    assert out.count() == 700
+    for lab, part in out.toPandas().groupby(out.toPandas()["label"].fillna(-1)):
+        part = part.sort_values("id")
+        want = np.concatenate([np.full(len(a), f) for f, a in enumerate(np.array_split(np.arange(len(part)), 4))])
+        assert part["fold"].tolist() == want.tolist() and part["class_rank"].tolist() == list(range(1, len(part) + 1))
