@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import pick, scratch, small_batches
+from riskspark.llm.frames import arrow_batch, pick, scratch, small_batches, stored
 from riskspark.llm.textbuf import distinct, ranges, words_of
 
 WINDOW = 10
@@ -71,29 +71,57 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         rows.mapInArrow(build, INDEX_SCHEMA).write.option("compression", "none").parquet(path)
 
 
-class Queries:
-    """A block of benchmark windows: term hashes, lengths and the item and offset of each."""
+QUERY_SCHEMA = "items array<string>, item_nos array<long>, item_of binary, offsets binary, lengths binary, hashes binary"
 
-    def __init__(self, window: int):
-        self.window = window
-        self.items: list[str | None] = []
-        self.rows: list[tuple[int, int, np.ndarray]] = []
 
-    def add(self, item: str | None, text: str | None) -> None:
-        hashes = np.concatenate([h for _, _, h in words_of([text])])
-        if not len(hashes):
-            return
-        self.items.append(item)
-        size = min(self.window, len(hashes))
-        self.rows += [(len(self.items) - 1, at, hashes[at:at + size]) for at in range(len(hashes) - size + 1)]
+def query_blocks(items: DataFrame, window: int, block_windows: int) -> DataFrame:
+    """The windows of the items (item, text) as rows of at most ``block_windows`` windows, built where items are read.
 
-    def arrays(self):
-        hashes = np.zeros((len(self.rows), self.window), dtype=np.uint64)
-        used = np.zeros((len(self.rows), self.window), dtype=bool)
-        for row, (_, _, h) in enumerate(self.rows):
-            hashes[row, :len(h)], used[row, :len(h)] = h, True
-        return (self.items, np.array([r[0] for r in self.rows], dtype=np.int64),
-                np.array([r[1] for r in self.rows], dtype=np.int64), hashes, used)
+    An item with more windows goes on in the next row. ``item_nos`` tells the items apart.
+    """
+
+    def build(batches):
+        from pyspark import TaskContext
+        part, no = TaskContext.get().partitionId(), 0
+        names, numbers, rows = [], [], []
+
+        def flush():
+            nonlocal names, numbers, rows
+            wide = np.zeros((len(rows), window), dtype="<u8")
+            for i, (_, _, h) in enumerate(rows):
+                wide[i, :len(h)] = h
+            out = arrow_batch(QUERY_SCHEMA, [(
+                names, numbers, np.array([r[0] for r in rows], dtype="<i8").tobytes(),
+                np.array([r[1] for r in rows], dtype="<i8").tobytes(),
+                np.array([len(r[2]) for r in rows], dtype="<i8").tobytes(), wide.tobytes())])
+            names, numbers, rows = [], [], []
+            return out
+
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).cast("binary").to_pylist(), strict=True):
+                hashes = np.concatenate([h for _, _, h in words_of([text])])
+                size, no = min(window, len(hashes)), no + 1
+                for at in range(len(hashes) - size + 1 if size else 0):
+                    if len(rows) == block_windows:
+                        yield flush()
+                    if not numbers or numbers[-1] != (part << 32) + no:
+                        names.append(item)
+                        numbers.append((part << 32) + no)
+                    rows.append((len(names) - 1, at, hashes[at:at + size]))
+        if rows:
+            yield flush()
+
+    return items.mapInArrow(build, QUERY_SCHEMA)
+
+
+class Queries:
+    """A block of benchmark windows: term hashes, lengths and the item and offset of each."""
+
+    def __init__(self, window: int, items=(), item_nos=(), item_of=b"", offsets=b"", lengths=b"", hashes=b""):
+        self.items, self.item_nos = list(items), np.array(item_nos, dtype=np.int64)
+        self.item_of, self.offsets = np.frombuffer(item_of, dtype="<i8"), np.frombuffer(offsets, dtype="<i8")
+        self.hashes = np.frombuffer(hashes, dtype="<u8").reshape(-1, window)
+        self.used = np.arange(window) < np.frombuffer(lengths, dtype="<i8")[:, None]
 
 
 def intersect(terms: np.ndarray, counts: np.ndarray, at: np.ndarray, hashes: np.ndarray, used: np.ndarray,
@@ -134,13 +162,14 @@ def find_matches(index: DataFrame, queries: Queries, slop: int = 0, with_docs: b
     Consecutive windows of an item that match at consecutive places form one
     row. With ``with_docs`` every document also has one row without an item.
     """
-    sent = index.sparkSession.sparkContext.broadcast(queries.arrays())
+    sent = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
         import pyarrow as pa
         import zstandard
         z = zstandard.ZstdDecompressor()
-        items, item_of, offset_of, hashes, used = sent.value
+        asked = sent.value
+        items, item_of, offset_of, hashes, used = asked.items, asked.item_of, asked.offsets, asked.hashes, asked.used
         size_of = used.sum(axis=1) if len(used) else np.zeros(0, dtype=np.int64)
         for batch in batches:
             part, seq, ids, words, terms, counts, deltas = (batch.column(c) for c in range(7))
@@ -168,7 +197,7 @@ def find_matches(index: DataFrame, queries: Queries, slop: int = 0, with_docs: b
                 new[1:] = ((np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(lead) != 0) | (np.diff(first) > 1))
                 head = np.flatnonzero(new)
                 end = last[np.append(head[1:], len(w)) - 1] if len(head) else head
-                rows = [(d, items[i], i, f, e) for d, i, f, e in
+                rows = [(d, items[i], int(asked.item_nos[i]), f, e) for d, i, f, e in
                         zip(doc[head].tolist(), item[head].tolist(), first[head].tolist(), end.tolist(), strict=True)]
                 if with_docs:
                     rows += [(d, None, None, None, None) for d in range(len(n_words))]
@@ -182,28 +211,31 @@ def find_matches(index: DataFrame, queries: Queries, slop: int = 0, with_docs: b
                      pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())],
                     names=["part", "seq", "ord", "doc_id", "n_words", "item", "item_no", "first", "last"])
 
-    return index.mapInArrow(run, MATCH_SCHEMA)
+    found = stored(index.mapInArrow(run, MATCH_SCHEMA), "matches")
+    sent.destroy()
+    return found
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slop: int = 0,
             block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Index the documents and look up every benchmark item, block of windows after block."""
+    """Index the documents and look up every benchmark item, block of windows after block.
+
+    The driver holds one block at a time, whatever the size of the benchmark; every block's matches are written before
+    the next is sent. Null texts have no words; rows that share an id are separate; empty tables match nothing.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "postings")
     build_index(docs, path, id_col, text_col)
     index = spark.read.schema(INDEX_SCHEMA).parquet(path)
-    out, block = None, Queries(window)
-    items = pick(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("string"), "text")
-    for row in items.toLocalIterator():
-        block.add(row["item"], row["text"])
-        if len(block.rows) >= block_windows:
-            part = find_matches(index, block, slop, out is None)
-            out, block = part if out is None else out.unionByName(part), Queries(window)
-    if out is None or block.rows:
-        part = find_matches(index, block, slop, out is None)
+    items = pick(benchmark, item=item_col, text=item_text_col).select(F.col("item").cast("string"),
+                                                                      F.col("text").cast("string"))
+    blocks = stored(query_blocks(items, window, block_windows), "windows")
+    out = None
+    for row in blocks.toLocalIterator():
+        part = find_matches(index, Queries(window, **row.asDict()), slop, out is None)
         out = part if out is None else out.unionByName(part)
-    return out
+    return find_matches(index, Queries(window), slop) if out is None else out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
