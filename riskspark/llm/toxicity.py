@@ -84,9 +84,14 @@ def _sample(docs: DataFrame, graded: DataFrame, id_col: str, text_col: str, boun
     share = min(1.0, 1.2 * bound / max(here.count(), 1))
     chosen = (here.where(place.cast("double") / float(1 << 64) + 0.5 <= share)
               .orderBy(place, "doc_id").limit(bound))
-    picked = (rows.join(F.broadcast(chosen), "doc_id")
-              .select(place.alias("key"), F.col("toxic").cast("int"), F.col("text").cast("string")))
-    got = picked.mapInArrow(words, "key long, toxic int, words binary")
+    # ids may repeat: the bound holds for rows, by id hash, id and text hash; equal rows count once
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    keys = (rows.select("doc_id", "th").join(F.broadcast(chosen), "doc_id").distinct()
+            .orderBy(place, "doc_id", "th").limit(bound))
+    picked = (rows.join(F.broadcast(keys), ["doc_id", "th"])
+              .select(F.xxhash64("doc_id", "th").alias("key"), F.col("toxic").cast("int"), F.col("text").cast("string")))
+    got = (picked.mapInArrow(words, "key long, toxic int, words binary")
+           .groupBy("key").agg(F.max("toxic").alias("toxic"), F.min("words").alias("words")))
     out = sorted((r["key"], r["toxic"], bytes(r["words"])) for r in got.toLocalIterator())
     return np.array([g for _, g, _ in out], dtype=np.int64), [np.frombuffer(w, dtype="<u8") for _, _, w in out]
 
@@ -236,7 +241,10 @@ def fit_sample(toxic: np.ndarray, words: list[np.ndarray], max_features: int = M
 
 def fit(docs: DataFrame, graded: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sample_docs: int = SAMPLE_DOCS) -> OrdinalModel:
-    """Fit on at most ``sample_docs`` labelled rows. Without toxic rows nothing is ever rejected."""
+    """Fit on at most ``sample_docs`` labelled rows: of rows that share an id each text counts, of equal rows one.
+
+    Null texts and unlabelled rows teach nothing. Without toxic rows (an empty table too) nothing is ever rejected.
+    """
     return fit_sample(*_sample(docs, graded, id_col, text_col, sample_docs))
 
 
@@ -273,7 +281,10 @@ def severity(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text", reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model doesn't reject: a filter where the rows are read."""
+    """The rows of ``docs``, all columns, that the model doesn't reject: a filter where the rows are read.
+
+    Null and empty texts stay, equal rows share their fate, an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -102,3 +103,30 @@ def test_edge_rows(spark, edges, nothing, all_null, edge_texts):
     assert T.keep_clean(nothing, model).count() == 0
     got = T.severity(all_null, T.fit(all_null, some)).collect()
     assert {(r["expected_severity"], r["rejected"]) for r in got} == {(0.0, False)}
+
+
+def test_the_sample_bound_holds_for_rows(spark):
+    rows = [(i % 50, f"word{i} text{i % 7}") for i in range(6000)] + [(3, "word3 text3")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    marks, words = T._sample(docs, T.toxic_labels(labels), "doc_id", "text", 100)
+    assert len(marks) == len(words) == 100
+    again, _ = T._sample(docs.repartition(7), T.toxic_labels(labels), "doc_id", "text", 100)
+    assert (again == marks).all()
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    from riskspark.llm.textbuf import words_of
+    model = T.OrdinalModel(np.sort(np.concatenate([h for _, _, h in words_of(["bad worse evil"])])),
+                           np.array([1.5, -0.5, 2.0]), np.array([1.0, 2.5]))
+    weight = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    texts = ["bad day", "evil evil evil", "BAD, worse; evil!", "", None, "good", "bad " * 3000 + "worse"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in T.severity(docs, model).collect()}
+    for i, text in enumerate(texts):
+        known = {h for _, _, hs in words_of([text]) for h in hs.tolist()}
+        z = sum(weight.get(h, 0.0) for h in known)
+        above = [1 / (1 + math.exp(-(z - t))) for t in (1.0, 2.5)] if known else [0.0, 0.0]
+        assert abs(got[i]["expected_severity"] - sum(above)) < 1e-9 and abs(got[i]["p_toxic"] - above[0]) < 1e-9
+        likely = [1 - above[0], above[0] - above[1], above[1]]
+        assert got[i]["grade"] == likely.index(max(likely)) and got[i]["rejected"] == (above[0] >= T.REJECT)
