@@ -35,10 +35,10 @@ MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 MIN_CANDIDATE = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CANDIDATE, re.ASCII)
-#: What stands between separators, the separators, and the slices in which a long part is compared with known words.
+#: What stands between separators, the separators, and how far on either side a known word silences its part.
 PART = re.compile(r"[A-Za-z0-9]+")
 SEPARATORS = "+/_=-"
-SLICE, OVERLAP = 128, 32
+REACH = 64
 WINDOW = 20
 #: Entropy in bits a symbol that the best window of a class must reach, highest class first met.
 LIMITS = (("hex", re.compile(r"[0-9a-fA-F]+\Z"), 3.0), ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 3.7),
@@ -91,12 +91,10 @@ def _known(word: str, words: re.Pattern, shapes: re.Pattern) -> list[tuple[int,
     """Spans of a candidate that the allow-list knows."""
     m = shapes.match(word)
     out = [m.span()] if m and m.end() else []
-    if words.match(word):  # else none of its parts holds one
+    if words.search(word):  # else none of its parts holds one
         for m in PART.finditer(word):
-            for s in range(m.start(), max(m.end() - OVERLAP, m.start() + 1), SLICE - OVERLAP):
-                e = min(s + SLICE, m.end())
-                if words.match(word[s:e]):
-                    out.append((s, e))
+            out += [(max(m.start(), w.start() - REACH), min(m.end(), w.end() + REACH))
+                    for w in words.finditer(word, m.start(), m.end())]
     return out
 
 
@@ -131,7 +129,8 @@ def scan(text: str, window: int = WINDOW, limits=LIMITS, allow=None) -> list[tup
         while ahead < len(base) and base[ahead][2] <= first:
             ahead += 1
         cuts = _known(word, words, shapes)
-        for s, _, e in base[ahead:]:
+        for i in range(ahead, len(base)):
+            s, _, e = base[i]
             if s >= m.end():
                 break
             if e > first:
@@ -155,7 +154,8 @@ def _allow(patterns) -> tuple[re.Pattern, re.Pattern]:
     both = [[], []]
     for p in patterns:
         bare = p.removeprefix("(?i)")
-        both[not bare.startswith(".*")].append(f"(?:{bare})" if bare == p else f"(?i:{bare})")
+        sought = bare.removeprefix(".*")
+        both[sought == bare].append(f"(?:{sought})" if bare == p else f"(?i:{sought})")
     return tuple(re.compile("|".join(b) or r"(?!)") for b in both)
 
 
@@ -163,10 +163,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  allow: tuple[str, ...] = ALLOW) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans.
 
+    Rows are looked at on their own: repeated ones repeat their findings, an empty table has none.
     ``spans`` joins kind:start:end by commas, in code points, end exclusive, by start and then kind;
     ``base_sha256`` hashes the same list without the entropy findings. Null text is empty: no finding.
-    ``allow`` holds regular expressions. One that begins with ``.*`` silences the parts (between separators) that it
-    matches; any other is matched at a candidate's start and silences what it matches.
+    ``allow`` holds regular expressions. One that begins with ``.*`` is sought in the parts (between separators) and silences what it
+    finds and ``REACH`` characters of the part on either side; any other is matched at a candidate's start and silences what it matches.
     """
 
     def run(batches):

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 
 from hypothesis import given
@@ -82,3 +83,30 @@ def test_edge_rows(edges, nothing, all_null, edge_texts):
     assert S.find_secrets(edges).count() == len(edge_texts)
     assert S.find_secrets(nothing).count() == 0
     assert {r["spans"] for r in S.find_secrets(all_null).collect()} == {""}
+
+
+def test_time_grows_with_the_length():
+    import time
+    rng = random.Random(3)
+    line = lambda i: f"{i} password={i:09d}abc key {''.join(rng.choice('abcdef0123456789') for _ in range(40))} end\n"
+    text = "".join(line(i) for i in range(4000))
+
+    def took(t):
+        begin = time.thread_time()
+        n = len(S.scan(t))
+        return time.thread_time() - begin, n
+
+    (a, n), (b, m) = took(text), took(text * 8)
+    assert m == 8 * n >= 64_000 and b < 24 * a + 1
+
+
+def test_known_words_silence_what_stands_around_them_in_parts_of_any_length():
+    rng = random.Random(4)
+    noise = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for n in (100, 1000, 20_000):
+        left, right = noise(n), noise(n)
+        word = f"{left}example{right}"
+        found = S.scan(word)
+        assert [k for _, k, _ in found] == ["entropy"] * 2
+        assert found[0][0] == 0 and found[0][2] == n - S.REACH and found[1][0] == n + 7 + S.REACH
+    assert S.scan(f"{noise(30)}example{noise(30)}") == []
