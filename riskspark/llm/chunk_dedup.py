@@ -9,6 +9,7 @@ Chunks are deduplicated by a 128-bit digest:
    document;
 2. the owner of a digest range adds the counts of all blocks and answers each
    block with the digests that repeat and the smallest document holding them;
+   (a passage that stands again in its own document is found within the block);
 3. each block merges consecutive repeated chunks into runs. A run of at least
    ``min_words`` words, or as long as that many average words, is a repeated
    passage. It stays in the smallest document that holds it and is dropped from
@@ -48,7 +49,7 @@ ASK_SCHEMA = "part int, seq int, owner int, base long, digests binary, counts bi
 ANSWER_SCHEMA = "part int, seq int, at binary, docs binary"
 OUT_SCHEMA = ("doc_id long, text_key long, n_chunks long, n_repeated long, repeated_words long, longest_run_words long, "
               "dropped_words long, keep_ids array<long>, repeated_spans array<array<long>>, "
-              "dropped_spans array<array<long>>")
+              "dropped_spans array<array<long>>, inner_words long, inner_spans array<array<long>>")
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -224,6 +225,19 @@ def _runs(flag: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(flag & ~prev), np.flatnonzero(flag & ~follow) + 1
 
 
+def _again(place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last + 1) of the runs of chunks that follow one another as they did before in the same document."""
+    key = doc * (int(place.max()) + 1 if len(place) else 1) + place
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    before = np.full(len(place), -2)
+    before[order[1:][same]] = order[:-1][same]
+    again = before >= 0
+    linked = again[1:] & again[:-1] & (before[1:] == before[:-1] + 1) & (doc[1:] == doc[:-1])
+    return np.flatnonzero(again & ~np.append(False, linked)[:len(again)]), np.flatnonzero(
+        again & ~np.append(linked, False)[:len(again)]) + 1
+
+
 def _decide(min_words: int):
     def decide(left, right):
         import pandas as pd
@@ -248,14 +262,13 @@ def _decide(min_words: int):
             drop = flag & (holder[place] != ids[doc])
             total, length = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(chars))
             spans = {}
-            for name, what in (("all", flag), ("drop", drop)):
-                first, last = _runs(what, doc)
+            for name, (first, last) in (("all", _runs(flag, doc)), ("drop", _runs(drop, doc)), ("inner", _again(place, doc))):
                 size, by_length = total[last] - total[first], (length[last] - length[first]) // WORD_CHARS
                 size = np.where(size < min_words, np.maximum(size, by_length), size)
                 long = size >= min_words
                 spans[name] = (doc[first[long]], first[long], last[long], size[long])
             n_rep = np.bincount(doc, weights=flag, minlength=len(ids)).astype(np.int64)
-            res = [[int(k), int(t), int(c), int(r), 0, 0, 0, [], [], []] for k, t, c, r in
+            res = [[int(k), int(t), int(c), int(r), 0, 0, 0, [], [], [], 0, []] for k, t, c, r in
                    zip(ids, keys, per_text, n_rep, strict=True)]
             for d, f, e, w in zip(*(a.tolist() for a in spans["all"]), strict=True):
                 res[d][4] += w
@@ -265,6 +278,9 @@ def _decide(min_words: int):
                 res[d][6] += w
                 res[d][7] += holder[place[f:e]].tolist()
                 res[d][9].append([int(ends[f] - sizes[f] - text_end[d]), int(ends[e - 1] - text_end[d])])
+            for d, f, e, w in zip(*(a.tolist() for a in spans["inner"]), strict=True):
+                res[d][10] += w
+                res[d][11].append([int(ends[f] - sizes[f] - text_end[d]), int(ends[e - 1] - text_end[d])])
             for r in res:
                 r[7] = sorted(set(r[7]))
             out += res
@@ -279,8 +295,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Columns: doc_id, text_key (xxhash64 of the text), n_chunks, n_repeated (chunks that another document holds too),
     repeated_words and longest_run_words (of runs of at least ``min_words``; a run with fewer word starts counts a word
     for every ``WORD_CHARS`` code points), dropped_words (of runs that a
-    document with a smaller id keeps), keep_ids (documents that keep them), repeated_spans, dropped_spans. Null or empty text
-    has no chunks. Rows that share a doc_id (null ids share the smallest one) keep a repeated passage each.
+    document with a smaller id keeps), keep_ids (documents that keep them), repeated_spans, dropped_spans; inner_words and
+    inner_spans of passages that stood earlier in the same document (the first place stays). Null or empty text
+    has no chunks, an empty table gives no rows. Rows that share a doc_id (null ids share the smallest one) keep a repeated passage each.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -300,7 +317,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with the dropped spans cut out, by a join on id and text hash."""
+    """(doc_id, text) with the dropped spans and those repeated inside a document cut out, by a join on id and text hash."""
 
     def cut(batches):
         import pyarrow as pa
@@ -309,16 +326,16 @@ def strip(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: s
             for raw, spans in zip(batch.column(1).cast("binary").to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if raw is not None and spans:
                     kept, at = [], 0
-                    for s, e in spans:
-                        kept.append(raw[at:s])
-                        at = e
+                    for s, e in sorted(spans):
+                        kept.append(raw[at:max(s, at)])
+                        at = max(at, e)
                     raw = b"".join([*kept, raw[at:]])
                 texts.append(None if raw is None else raw.decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = pick(docs, doc_id=id_col, text=text_col).withColumn("text_key", F.xxhash64("text"))
-    spans = found.where(F.size("dropped_spans") > 0).groupBy("doc_id", "text_key").agg(
-        F.first("dropped_spans").alias("dropped_spans"))
+    every = F.concat("dropped_spans", "inner_spans")
+    spans = found.where(F.size(every) > 0).groupBy("doc_id", "text_key").agg(F.first(every).alias("dropped_spans"))
     same = rows["doc_id"].eqNullSafe(spans["doc_id"]) & (rows["text_key"] == spans["text_key"])
     return rows.join(spans, same, "left").select(rows["doc_id"], "text", "dropped_spans").mapInArrow(
         cut, "doc_id long, text string")

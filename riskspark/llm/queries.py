@@ -56,7 +56,8 @@ def op4_mixing(spark, sf_dir):
 def op5_chunk_dedup(spark, sf_dir):
     found = chunk_dedup.repeated_passages(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chunks", "n_repeated", "repeated_words", "longest_run_words", "dropped_words",
-                        (F.col("repeated_words") > 0).alias("repeated"), "keep_ids", "dropped_spans")
+                        (F.col("repeated_words") > 0).alias("repeated"), "keep_ids", "dropped_spans", "inner_words",
+                        "inner_spans")
 
 
 def op6_toxicity(spark, sf_dir):

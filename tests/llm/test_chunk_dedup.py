@@ -88,3 +88,33 @@ def test_edge_rows(edges, nothing, all_null, edge_texts):
     assert C.repeated_passages(nothing).count() == 0
     assert {r["n_chunks"] for r in C.repeated_passages(all_null).collect()} == {0}
     assert C.strip(edges, C.repeated_passages(edges)).count() == len(edge_texts)
+
+
+def test_repeats_inside_a_document_keep_their_first_place(frame):
+    from .conftest import prose
+    rng = random.Random(12)
+    passage, own, line = prose(rng, 120), [prose(rng, 30) for _ in range(50)], prose(rng, 6)
+    many = " ".join(f"{o} {passage}" for o in own)
+    lines = "\n".join([line] * 40)
+    texts = [many, prose(rng, 300), lines, f"{passage} {prose(rng, 40)}", None]
+    docs = frame(texts)
+    found = C.repeated_passages(docs)
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert got[0]["inner_words"] >= 49 * 100 and len(got[0]["inner_spans"]) >= 49
+    assert got[1]["inner_words"] == 0 and got[1]["inner_spans"] == [] and got[4]["inner_words"] == 0
+    assert got[2]["inner_words"] >= 6 * 30 and got[2]["repeated_words"] == 0
+    assert got[3]["dropped_words"] > 0 and got[3]["inner_words"] == 0
+    kept = {r["doc_id"]: r["text"] for r in C.strip(docs, found).collect()}
+    assert passage in kept[0] and kept[0].count(passage[200:400]) == 1 and all(o in kept[0] for o in own)
+    assert len(kept[0]) < 0.35 * len(many) and kept[1] == texts[1] and line in kept[2] and len(kept[2]) < len(lines) / 4
+    assert passage[200:400] not in kept[3]
+
+
+def test_a_long_text_is_chunked_whole(frame):
+    from .conftest import prose
+    rng = random.Random(13)
+    passage = prose(rng, 80)
+    long = " ".join(f"{prose(rng, 400)}" for _ in range(900))
+    assert len(long) > C.BLOCK_BYTES
+    got = {r["doc_id"]: r for r in C.repeated_passages(frame([f"{long} {passage}", f"{passage} {prose(rng, 50)}"])).collect()}
+    assert got[0]["repeated_words"] >= 60 and got[1]["dropped_words"] >= 60
