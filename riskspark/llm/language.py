@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.frames import pick
 
-#: Bound of the training sample: documents per language, characters taken of each, bytes per dictionary.
+#: Bound of the training sample: documents per language and bytes per dictionary; every document gives an even share.
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 4_000
 DICT_BYTES = 256 << 10
 LEVEL = 9
 BLOCK_CHARS = 4_096
@@ -37,8 +36,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """Dictionary content per language, the most frequent language first.
 
     Learns from rows with text and language for which ``learn`` (over doc_id) holds: per language the
-    ``sample_docs`` rows with the smallest hash of their id, the head of each. Memory is bounded by the number of
-    languages.
+    ``sample_docs`` rows with the smallest hash of their id, of each an even share of the dictionary from a place that the
+    id's hash draws. Memory is bounded by the number of languages.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(learn, F.lit(False)))
@@ -49,13 +48,17 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     limits = docs.sparkSession.createDataFrame(
         [(lang, min(1.0, 3 * sample_docs / n)) for lang, n in share.items()], "lang string, share double")
     place = F.xxhash64("doc_id").cast("double") / float(1 << 64) + 0.5
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "head")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "part")
+    share_bytes = max(1, dict_bytes // sample_docs - 1)  # and a space
+    chars = F.lit(share_bytes)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
     best = (rows.join(F.broadcast(limits), "lang").where(place <= F.col("share"))
-            .select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("head"))
+            .select("lang", "doc_id", F.substring("text", begin.cast("int"), chars).alias("part"))
             .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for row in best.select("lang", "rank", "head").toLocalIterator():
-        texts.setdefault(row["lang"], []).append((row["rank"], normalise(row["head"])))
+    for row in best.select("lang", "rank", "part").toLocalIterator():
+        texts.setdefault(row["lang"], []).append(
+            (row["rank"], normalise(row["part"]).encode()[:share_bytes].decode("utf-8", "ignore")))
     out = {}
     for lang in sorted(texts, key=lambda x: (-share[x], x)):
         raw = " ".join(t for _, t in sorted(texts[lang], reverse=True)).encode()  # the first samples end nearest
@@ -125,7 +128,7 @@ def held_out(doc_id: Column) -> Column:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Fit on the rows outside the held-out fold, predict every row. A row without an id is neither held out nor
-    learnt from."""
+    learnt from; repeated rows get equal predictions; an empty table has none."""
     doc_id = F.col("doc_id")
     model = fit(docs, doc_id.isNotNull() & ~held_out(doc_id), id_col, text_col, lang_col)
     return (predict(docs, model, id_col, text_col)

@@ -30,3 +30,44 @@ def test_edge_rows(edges, nothing, all_null, edge_texts):
     assert all(r["score"] == 0 for r in got if r["lang_pred"] == "und")
     assert L.identify(nothing).count() == 0
     assert {r["lang_pred"] for r in L.identify(all_null).collect()} == {"und"}
+
+
+def test_predictions_are_those_of_plain_compression(spark):
+    """Every prediction against zstandard called text by text and block by block."""
+    import zstandard as z
+    from pyspark.sql import functions as F
+    docs = table(spark, SF01, "documents").where("doc_id < 150")
+    model = L.fit(table(spark, SF01, "documents"), ~L.held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r for r in L.predict(docs, model).collect()}
+    for row in docs.collect():
+        clean = L.normalise(row["text"] or "")
+        if not any(c.isalpha() for c in clean):
+            assert got[row["doc_id"]]["lang_pred"] == "und"
+            continue
+        sizes = {}
+        for lang, raw in model.items():
+            d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=L.LEVEL)
+            coder = z.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(coder.compress(clean[i:i + L.BLOCK_CHARS].encode()))
+                              for i in range(0, len(clean), L.BLOCK_CHARS))
+        best = min(sizes, key=sizes.get)
+        rest = min(v for k, v in sizes.items() if k != best)
+        assert got[row["doc_id"]]["lang_pred"] == best
+        assert abs(got[row["doc_id"]]["score"] - (rest - sizes[best]) / rest) < 1e-12
+
+
+def test_every_sampled_document_gives_an_even_share(frame):
+    from pyspark.sql import functions as F
+    names = [f"w{chr(97 + i // 20)}{chr(97 + i % 20)}" for i in range(40)]
+    docs = frame([" ".join(name + "z" * (k % 3) for k in range(5000)) for name in names])
+    model = L.fit(docs, F.lit(True), sample_docs=40, dict_bytes=8000)
+    found = model["en"].decode().replace("z", "").split()
+    places = [found.count(name) for name in names]
+    assert min(places) > 20 and max(places) < 2 * min(places) and len(model["en"]) <= 8000
+
+
+def test_a_tie_goes_to_the_more_frequent_language():
+    model = L.Classifier({"aa": b"same words here " * 20, "bb": b"same words here " * 20})
+    lang, score, rejected = model.predict("same words here")
+    assert (lang, score, rejected) == ("aa", 0.0, True)
