@@ -126,7 +126,7 @@ def groups(docs: DataFrame, in_snapshot, id_col: str = "doc_id", text_col: str =
     the rows of the snapshot from the incoming batch. Null text counts as
     empty. The largest doc_id of a group stays (null is smallest); of rows that
     share it, all are kept rows of that id. If two texts ever share a digest, the
-    byte check tells them apart and each text forms its own group.
+    byte check tells them apart and each text forms its own group. An empty table gives no rows.
     """
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         id_key(F.col("doc_id")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

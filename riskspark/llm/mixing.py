@@ -148,7 +148,10 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken (and source)."""
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (and source).
+
+    Null and wordless texts have size 0 and take nothing, repeated rows count each, an empty table gives no rows.
+    """
     slim = stored(prepared(docs), "sizes")
     return mix(slim, **options).select("doc_id", "source", "size", "source_size", "target", "taken")
 
@@ -157,7 +160,8 @@ def mixture(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sou
             **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: every row as often as it is taken.
 
-    Whole repeats keep their text. A partial one holds the taken words, joined by single spaces.
+    Whole repeats keep their text. A partial one holds the taken words, joined by single spaces. Null and wordless texts
+    are never taken; an empty table stays empty.
     """
     slim = stored(prepared(docs, id_col, text_col, source_col), "sizes")
     whole = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("_row"),
