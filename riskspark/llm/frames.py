@@ -52,6 +52,14 @@ def id_back(col: Column) -> Column:
     return F.when(col != F.lit(NULL_ID), col)
 
 
+def range_count(rows: DataFrame, text_col: str, bytes_each: int) -> int:
+    """Hash ranges so that each answers for about ``bytes_each`` bytes of text at most, whatever the input; at least as
+    many as the session has shuffle partitions."""
+    total = rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, -(-int(total) // bytes_each))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the cluster's shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -16,12 +16,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import id_back, id_key, pick, stored
+from riskspark.llm.frames import id_back, id_key, pick, range_count, stored
 from riskspark.llm.textbuf import LOWER, distinct, groups, span_hash
 
 MIN_POINTS = 40
 MIN_DOCS = 5
 BLOCK_BYTES = 1 << 20
+#: Text whose line hashes one owner gets at most, about.
+OWNER_BYTES = 256 << 20
 #: Filter bits a hash, and probes: a suspect is wrong about once in 2,000.
 BITS, PROBES = 16, 6
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -89,13 +91,13 @@ def _blocks(rows: DataFrame, owners: int, min_points: int) -> DataFrame:
         from pyspark import TaskContext
         z, part, seq = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), dtype=np.int64)
-            for first, texts in groups(batch.column(1).cast("binary").to_pylist(), BLOCK_BYTES):
+            ids, keys = (np.array(batch.column(c).to_pylist(), dtype=np.int64) for c in (0, 1))
+            for first, texts in groups(batch.column(2).cast("binary").to_pylist(), BLOCK_BYTES):
                 doc, hashes = line_keys(texts, min_points)
                 if not len(hashes):
                     continue
                 found, _, inverse = distinct(hashes)
-                pairs = np.unique(np.stack([inverse, ids[first:first + len(texts)][doc]]), axis=1)
+                pairs = np.unique(np.stack([inverse, doc + first]), axis=1)  # a line counts once in a row
                 n_docs = np.bincount(pairs[0], minlength=len(found))
                 owner = (found >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
                 at = np.searchsorted(owner, np.arange(owners + 1))
@@ -106,13 +108,13 @@ def _blocks(rows: DataFrame, owners: int, min_points: int) -> DataFrame:
                      pa.array(have, pa.int32()),
                      pa.array([found[at[o]:at[o + 1]].tobytes() for o in have], pa.binary()),
                      pa.array([z.compress(n_docs[at[o]:at[o + 1]].astype("<u4").tobytes()) for o in have], pa.binary()),
-                     pa.array([z.compress(pairs[1][upto[at[o]]:upto[at[o + 1]]].tobytes()) for o in have],
-                              pa.binary())],
-                    names=["part", "seq", "owner", "hashes", "n_docs", "docs"])
+                     *[pa.array([z.compress(of[pairs[1][upto[at[o]]:upto[at[o + 1]]]].tobytes()) for o in have],
+                                pa.binary()) for of in (ids, keys)]],
+                    names=["part", "seq", "owner", "hashes", "n_docs", "docs", "texts"])
                 seq += 1
 
-    return rows.select("id", "text").mapInArrow(
-        run, "part int, seq int, owner int, hashes binary, n_docs binary, docs binary")
+    return rows.select("id", "k", "text").mapInArrow(
+        run, "part int, seq int, owner int, hashes binary, n_docs binary, docs binary, texts binary")
 
 
 def _screen(pdf):
@@ -133,34 +135,38 @@ def _screen(pdf):
 
 
 def _suspect_docs(batches):
-    """(id, hashes): suspected line hashes of each document of a block and hash range."""
+    """(id, k, hashes): suspected line hashes of each row of a block and hash range."""
     import pyarrow as pa
     import zstandard
     z = zstandard.ZstdDecompressor()
     for batch in batches:
-        for hashes, n_docs, docs, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for hashes, n_docs, docs, texts, flags in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             hashes = np.frombuffer(hashes, dtype="<u8")
             n = np.frombuffer(z.decompress(n_docs), dtype="<u4").astype(np.int64)
-            ids = np.frombuffer(z.decompress(docs), dtype="<i8")
+            ids, keys = (np.frombuffer(z.decompress(b), dtype="<i8") for b in (docs, texts))
             flag = np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=len(hashes)).astype(bool)
             wide = np.repeat(flag, n)
-            ids, values = ids[wide], np.repeat(hashes[flag], n[flag])
-            order = np.argsort(ids, kind="stable")
-            ids, values = ids[order], values[order].view(np.int64)
-            at = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+            ids, keys, values = ids[wide], keys[wide], np.repeat(hashes[flag], n[flag])
+            order = np.lexsort((values, keys, ids))
+            ids, keys, values = ids[order], keys[order], values[order]
+            other = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])
+            new = np.append(True, other | (values[1:] != values[:-1]))  # equal rows send their list once
+            at = np.cumsum(new)[np.append(True, other)] - 1
+            ids, keys, values = ids[np.append(True, other)], keys[np.append(True, other)], values[new].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[at]), pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()),
-                                                             pa.array(values))], names=["id", "hashes"])
+                [pa.array(ids), pa.array(keys), pa.ListArray.from_arrays(pa.array(np.append(at, len(values)), pa.int32()),
+                                                                         pa.array(values))],
+                names=["id", "k", "hashes"])
 
 
 def _suspect_lines(min_points: int):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            out_ids, out_keys = [], []
-            ids, texts, wanted = (c.to_pylist() for c in (batch.column(0), batch.column(1).cast("binary"),
-                                                          batch.column(2)))
-            for id_, text, hashes in zip(ids, texts, wanted, strict=True):
+            out_ids, out_ks, out_keys = [], [], []
+            ids, ks, texts, wanted = (c.to_pylist() for c in (batch.column(0), batch.column(1),
+                                                              batch.column(2).cast("binary"), batch.column(3)))
+            for id_, k_, text, hashes in zip(ids, ks, texts, wanted, strict=True):
                 want = np.unique(np.concatenate([np.array(h, dtype=np.int64) for h in hashes])).view(np.uint64)
                 keys = [k for k in {_key(line) for line in text.split(b"\n")} if len(k) >= min_points]
                 if not keys:
@@ -169,9 +175,11 @@ def _suspect_lines(min_points: int):
                 found = [k for k, hit in zip(keys, np.isin(have, want), strict=True)
                          if hit and len(k.decode()) >= min_points]
                 out_ids += [id_] * len(found)
+                out_ks += [k_] * len(found)
                 out_keys += [k.decode() for k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_keys, pa.string())],
-                                             names=["id", "key"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(out_ids, pa.int64()), pa.array(out_ks, pa.int64()), pa.array(out_keys, pa.string())],
+                names=["id", "k", "key"])
     return run
 
 
@@ -202,24 +210,27 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A line's key is the line stripped of white space and with A-Z lower-cased. Keys of ``min_points`` code points
     or more that ``min_docs`` documents or more hold lose all their lines but those in the largest doc_id. Null
-    text is one empty line. A document is a doc_id: rows that share one (null ids share the smallest) count once.
+    text is one empty line. A document is a doc_id: rows that share one (null ids share the smallest) count once. An
+    empty table gives no rows.
     """
-    owners = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         id_key(F.col("doc_id")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # rows that share an id (all those without one) are told apart by their text: equal rows have equal answers
+    rows = rows.select("id", F.xxhash64("text").alias("k"), "text")
+    owners = range_count(rows, "text", OWNER_BYTES)
     blocks = stored(_blocks(rows, owners, min_points), "lines")
     flags = (blocks.select("part", "seq", "owner", "hashes", "n_docs").groupBy("owner")
              .applyInPandas(_screen, "part int, seq int, owner int, flags binary"))
-    suspects = (blocks.join(flags, ["part", "seq", "owner"]).select("hashes", "n_docs", "docs", "flags")
-                .mapInArrow(_suspect_docs, "id long, hashes array<long>")
-                .groupBy("id").agg(F.collect_list("hashes").alias("wanted")))
-    lines = stored(rows.join(suspects, "id").select("id", "text", "wanted")
-                   .mapInArrow(_suspect_lines(min_points), "id long, key string"), "suspects")
+    suspects = (blocks.join(flags, ["part", "seq", "owner"]).select("hashes", "n_docs", "docs", "texts", "flags")
+                .mapInArrow(_suspect_docs, "id long, k long, hashes array<long>")
+                .groupBy("id", "k").agg(F.collect_set("hashes").alias("wanted")))
+    lines = stored(rows.join(suspects, ["id", "k"]).select("id", "k", "text", "wanted")
+                   .mapInArrow(_suspect_lines(min_points), "id long, k long, key string"), "suspects")
     # written first: the join below then deals both sides out afresh, and a key that many documents hold can be split
-    common = stored(lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
-                    .where(F.col("n") >= min_docs), "common")
+    common = stored(lines.select("id", "key").distinct().groupBy("key")
+                    .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top")).where(F.col("n") >= min_docs), "common")
     drops = (lines.join(common, "key").where(F.col("id") != F.col("top"))
-             .groupBy("id").agg(F.collect_set("key").alias("gone")))
-    kept = rows.join(drops, "id", "left").select("id", "text", "gone").mapInArrow(
+             .groupBy("id", "k").agg(F.collect_set("key").alias("gone")))
+    kept = rows.join(drops, ["id", "k"], "left").select("id", "text", "gone").mapInArrow(
         _drop, "id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string")
     return kept.select(id_back(F.col("id")).alias("doc_id"), "n_lines", "n_dropped", "kept_sha256", "kept_text")

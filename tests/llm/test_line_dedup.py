@@ -65,3 +65,25 @@ def test_twice_bloom_misses_no_repeat():
     several = L.TwiceBloom(10)
     several.add(once[:5], np.array([True] * 5))
     assert several.suspects(once[:5]).all()
+
+
+def test_rows_without_an_id_are_told_apart_by_text(frame):
+    import time
+
+    from .conftest import prose
+    rng = random.Random(21)
+    shared = [prose(rng, 15) for _ in range(30)]
+
+    def took(n):
+        texts = ["\n".join([*rng.sample(shared, 12), prose(rng, 5)]) for _ in range(n)]
+        texts += texts[:n // 4]
+        ids = [None] * len(texts)
+        ids[:6] = range(6)
+        begin = time.time()
+        found = have(L.dedup_lines(frame(texts, ids=ids)))
+        took_s = time.time() - begin
+        assert found == brute(texts, ids)
+        return took_s
+
+    took(50)
+    assert took(3000) < 6 * took(500) + 3
