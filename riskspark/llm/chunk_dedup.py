@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.frames import bounded_batches, id_back, id_key, pick, stored
+from riskspark.llm.frames import bounded_batches, id_back, id_key, pick, range_count, stored
 from riskspark.llm.textbuf import groups, mix64
 
 #: Mean distance of chunk ends is 2**MASK_BITS bytes beyond the smallest chunk.
@@ -42,6 +42,8 @@ MIN_WORDS = 20
 #: Code points that stand for a word in a run with too few word starts (words of the given tables hold 5.2, and a space).
 WORD_CHARS = 6
 BLOCK_BYTES = 2 << 20
+#: Text whose chunk digests one owner gets at most, about.
+OWNER_BYTES = 64 << 20
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _MASK = np.uint32(((1 << MASK_BITS) - 1) << (16 - MASK_BITS))
 BLOCK_SCHEMA = "part int, seq int, doc_ids binary, text_keys binary, chunks binary, sizes binary, words binary, chars binary, place binary"
@@ -301,10 +303,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    owners = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = pick(docs, doc_id=id_col, text=text_col).select(
         id_key(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("text_key"),
         F.col("text").cast("string").alias("text"))
+    owners = range_count(rows, "text", OWNER_BYTES)
     tables = stored(_tables(rows, owners), "chunks", "kind")
     blocks = tables.where("kind = 0").selectExpr("part", "seq", "a doc_ids", "b text_keys", "c chunks", "d sizes",
                                                  "e words", "f chars", "g place")
