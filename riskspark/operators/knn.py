@@ -318,8 +318,8 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     finite = F.coalesce(F.forall(feat_col, lambda v: F.abs(v) < F.lit(math.inf)), F.lit(False))
     same = [feat_col, "_key", "_fold"]
     b = base.select(F.col(id_col), feat.alias(feat_col), key, fold, *payload).where(finite)
-    every = queries.select(F.col(id_col), feat.alias(feat_col), key, fold)
-    q = every.where(finite)
+    every = queries.select(F.col(id_col), feat.alias(feat_col), key, fold, finite.alias("_ok"))
+    q = every.where("_ok")
     by_vec = Window.partitionBy(*same)
     members = cut_lineage(b.withColumn("_m", F.row_number().over(by_vec.orderBy(id_col))).where(F.col("_m") <= kb)
                            .withColumn("_rep", F.min(id_col).over(by_vec)))
@@ -330,12 +330,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     reps = vectors if queries is base else members.where(F.col("_m") == 1).select(id_col, *same)
     n_base = reps.count()
     extra = [b.schema[c] for c in payload]
-    lone = every if n_base == 0 else every.where(~finite)
-    lone = lone.select(F.col(id_col).alias("q_id"), F.lit(None).cast("int").alias("rank"),
-                       F.lit(None).cast(b.schema[id_col].dataType).alias("nb_id"), F.lit(None).cast("double").alias("dist"),
-                       *[F.lit(None).cast(c.dataType).alias(c.name) for c in extra])
     if n_base == 0:
-        return lone
+        return every.select(F.col(id_col).alias("q_id"), F.lit(None).cast("int").alias("rank"),
+                            F.lit(None).cast(b.schema[id_col].dataType).alias("nb_id"),
+                            F.lit(None).cast("double").alias("dist"),
+                            *[F.lit(None).cast(c.dataType).alias(c.name) for c in extra])
     kept: list = []
     top = (core or _knn_core)(vectors, reps, n_base, kb, id_col, feat_col, seed, max_pivots, chunk_rows, query_block_rows, kept)
     rows = top.select(F.col("q_id").alias(id_col), F.col("nb_id").alias("_rep"), "_d2").join(
@@ -354,13 +353,15 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, id_col: str = "id", fe
     answers = (salted(qv.join(near, id_col, "left"))
                .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
                .select(*same, F.col("_salt").cast("long").alias("_salt"), "_near"))
-    asked = salted(q).select(F.col(id_col).alias("q_id"), *same,
-                             F.pmod(F.xxhash64(id_col), F.col("_salts")).alias("_salt"))
+    # a query without a vector meets nothing, wherever it is dealt
+    asked = salted(every.withColumn(feat_col, F.when(F.col("_ok"), F.col(feat_col)))).select(
+        F.col(id_col).alias("q_id"), *same, F.pmod(F.xxhash64(id_col), F.when(
+            F.col("_ok"), F.col("_salts")).otherwise(F.lit(1 << 20))).alias("_salt"))
     own = F.filter("_near", lambda s: s["nb_id"] != F.col("q_id")) if exclude_self else F.col("_near")
-    ranked = asked.join(answers, [*same, "_salt"]).select(
+    ranked = asked.join(answers, [*same, "_salt"], "left").select(
         "q_id", F.posexplode_outer(F.slice(own, 1, k)).alias("_p", "_s"))
     out = ranked.select("q_id", (F.col("_p") + 1).cast("int").alias("rank"), F.col("_s.nb_id").alias("nb_id"),
-                        F.sqrt("_s._d2").alias("dist"), *[F.col("_s")[c].alias(c) for c in payload]).unionByName(lone)
+                        F.sqrt("_s._d2").alias("dist"), *[F.col("_s")[c].alias(c) for c in payload])
     # materialise the (q, k) result in the shared checkpoint folder, then release the cached
     # intermediates: no cache outlives the call and downstream joins start from a short lineage
     out = cut_lineage(out)

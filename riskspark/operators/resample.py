@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 from riskspark.functions.columns import hash_uniform
 from riskspark.operators.knn import self_knn
 from riskspark.operators.rank import hash_rank
+from riskspark.session import cut_lineage
 
 #: Synthetic rows that one parent row may meet under one salt, about.
 SALT_ROWS = 10_000
+#: Pairs of at most so many bytes are broadcast; a text id counts as ``ID_BYTES``.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 256
 
 
 def _by_class(position: Column, values: Sequence, kind: str) -> Column:
@@ -63,8 +66,12 @@ def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[s
     near = [min(k, n - 1) for n in size]
     salts = [max(1, -(-m // (n * SALT_ROWS))) for n, m in zip(size, need, strict=True)]
 
-    rows = df.where(F.col(label).isin(short)).select(
-        F.col(id_col), F.col(label), *[F.col(c).cast("double").alias(c) for c in feats])
+    # written once: ranks, vectors and both ends of every pair read the same rows
+    rows = cut_lineage(df.where(F.col(label).isin(short)).select(
+        F.col(id_col), F.col(label), *[F.col(c).cast("double").alias(c) for c in feats]))
+    width = 8 * (2 * len(feats) + 6) + (2 * ID_BYTES if kind == "string" else 0)
+    small = sum(n * max(1, r) * m for n, r, m in zip(size, near, salts, strict=True)) * width <= BROADCAST_BYTES
+    sent = F.broadcast if small else (lambda table: table)  # a checked size: rows, ranks and salts of all classes
     parents = hash_rank(rows, [label], id_col, seed, "_ord", salt=("smote", F.col(label))).select(
         F.col(label), (F.col("_ord") - 1).alias("_ord"), F.col(id_col).alias("parent_id"),
         *[F.col(c).alias(f"_p_{c}") for c in feats])
@@ -77,7 +84,7 @@ def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[s
             F.col("q_id").alias("parent_id"), F.col("rank").alias("_nbr"), "nb_id")
         ends = rows.select(F.col(id_col).alias("nb_id"), *[F.col(c).alias(f"_n_{c}") for c in feats])
         # a rank that a row has no neighbour for (missing values, the only row of its class) is the row itself
-        pairs = drawn.join(nn.join(ends, "nb_id"), ["parent_id", "_nbr"], "left")
+        pairs = drawn.join(sent(nn.join(sent(ends), "nb_id")), ["parent_id", "_nbr"], "left")
     else:
         pairs = drawn.select("*", F.lit(None).cast(kind).alias("nb_id"),
                              *[F.lit(None).cast("double").alias(f"_n_{c}") for c in feats])
@@ -91,7 +98,7 @@ def smote_synthetic(df: DataFrame, label: str, id_col: str, features: Sequence[s
         label, "_at", "synth_index", F.floor(u("p") * _by_class(F.col("_c"), size, "long")).cast("long").alias("_ord"),
         (F.floor(u("n") * _by_class(F.col("_c"), [max(n, 1) for n in near], "int")) + 1).cast("int").alias("_nbr"),
         u("l").alias("lam"), F.pmod(F.xxhash64("_at"), _by_class(F.col("_c"), salts, "long")).cast("int").alias("_salt"))
-    met = syn.join(pairs, [label, "_ord", "_nbr", "_salt"])
+    met = syn.join(sent(pairs), [label, "_ord", "_nbr", "_salt"])
     alone = F.col("nb_id").isNull()
     met = met.withColumn("lam", F.when(alone, F.lit(0.0)).otherwise(F.col("lam")))
     point = [F.when(alone, F.col(f"_p_{c}")).otherwise(

@@ -81,3 +81,10 @@ def test_a_class_of_few_rows_is_salted(spark, monkeypatch):
     monkeypatch.setattr("riskspark.operators.resample.SALT_ROWS", 10_000)
     assert salted == smote_synthetic(df, "label", "id", ["a", "b"], 2, 5).orderBy("synth_index").collect()
     assert len(salted) == 57
+
+
+def test_pairs_joined_or_broadcast_give_the_same(spark, monkeypatch):
+    df = _imbalanced(spark)
+    sent = smote_synthetic(df, "label", "id", ["a", "b"], 3, 5).orderBy("synth_index").collect()
+    monkeypatch.setattr("riskspark.operators.resample.BROADCAST_BYTES", 0)
+    assert sent == smote_synthetic(df, "label", "id", ["a", "b"], 3, 5).orderBy("synth_index").collect()

@@ -94,3 +94,11 @@ def test_ordered_folds_take_ids_of_any_type(spark):
         part = part.sort_values("id")
         want = np.concatenate([np.full(len(a), f) for f, a in enumerate(np.array_split(np.arange(len(part)), 4))])
         assert part["fold"].tolist() == want.tolist() and part["class_rank"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_cut_tables_joined_or_broadcast_give_the_same(spark, monkeypatch):
+    rows = [(i, [0, 1, None, 2][i % 4]) for i in range(800)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    sent = {r["id"]: r["fold"] for r in fold_assign(df, "y", "id", 5, with_rank=False).collect()}
+    monkeypatch.setattr("riskspark.operators.rank.BROADCAST_CLASSES", 0)
+    assert sent == {r["id"]: r["fold"] for r in fold_assign(df, "y", "id", 5, with_rank=False).collect()}
