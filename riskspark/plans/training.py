@@ -47,10 +47,11 @@ class Prepared:
     seed: int = 42
 
 
-def _few(df: DataFrame, n_rows: int, n_cols: int, target_bytes: int = 64 << 20) -> DataFrame:
+def _few(df: DataFrame, n_rows: int, n_cols: int, target_bytes: int = 64 << 20, least_bytes: int = 4 << 20) -> DataFrame:
     """At most one partition per ``target_bytes`` of doubles, by a narrow coalesce: iterative solvers run a job per
-    step, and a task per partition in each."""
-    return df.coalesce(max(1, -(-n_rows * 8 * (n_cols + 4) // target_bytes)))
+    step, and a task per partition in each. While that leaves cores idle, partitions go down to ``least_bytes``."""
+    size, cores = n_rows * 8 * (n_cols + 4), df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(1, -(-size // target_bytes), min(2 * cores, -(-size // least_bytes))))
 
 
 def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None, test_size: float = 0.2,

@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from riskspark.operators.knn import knn_classify, knn_join, self_knn
 
 
@@ -175,3 +177,42 @@ def test_approximate_hot_vectors_missing_and_keys(spark):
     met = out.dropna(subset=["nb_id"])
     assert (met["q_id"] % 2 == met["nb_id"] % 2).all() and (met["q_id"] != met["nb_id"]).all()
     assert (met[met["q_id"] < 300]["dist"] == 0).all()
+
+
+def test_asked_rows_meet_all_rows(spark):
+    df = _frame(spark, np.random.default_rng(8).normal(size=(90, 24)), np.arange(90))
+    every = {tuple(r) for r in self_knn(df, 3).where("q_id % 20 = 0").collect()}
+    assert {tuple(r) for r in self_knn(df, 3, asked=F.expr("id % 20 = 0")).collect()} == every and len(every) == 15
+
+
+@pytest.mark.parametrize("shift,dims", [(0.0, 40), (1e6, 40), (0.0, 5)])
+def test_nearest_agrees_with_plain_sums(shift, dims):
+    from riskspark.operators.knn import NO_FOLD, _nearest, _squared
+    rng = np.random.default_rng(9)
+    y = np.repeat(rng.normal(size=(60, dims)), 2, axis=0) + shift  # every distance is there twice
+    x, ids = rng.normal(size=(30, dims)) + shift, rng.permutation(120)
+    folds = np.full(120, NO_FOLD)
+    r, c, d = _nearest(x, y, ids, 5, np.full(30, np.inf), folds[:30], folds)
+    d2 = _squared(x, y)
+    want = [(i, int(ids[j]), d2[i, j]) for i in range(30) for j in sorted(range(120), key=lambda j: (d2[i, j], ids[j]))[:5]]
+    assert [(int(a), int(ids[b]), v) for a, b, v in zip(r, c, d)] == want
+
+
+def test_query_tiles_of_many_dimensions_are_filled_across_groups():
+    import pandas as pd
+    from riskspark.operators.knn import _Slots
+    base = pd.DataFrame({"_key": 0, "_cell": range(50), "n": 100, "radius": 1.0})
+    asked = pd.DataFrame({"_key": 0, "_cell": range(0, 50, 2), "n": 10, "radius": 1.0})
+    slots = _Slots(base, asked, 100, 100, True)
+    assert slots.tiles(slots.count, 100, slots.group)[1].sum() >= 50
+    assert slots.tiles(slots.asked, 100, slots.q_group)[1].sum() == 3  # 250 queries; one tile per group of the base before
+    narrow = _Slots(base, asked, 100, 100, False)
+    assert narrow.q_group is narrow.group
+
+
+def test_training_rows_use_the_cores(spark):
+    from riskspark.plans.training import _few
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 1000, 1, 64)
+    assert _few(rows, 1000, 8).rdd.getNumPartitions() == 1
+    assert _few(rows, 500_000, 8).rdd.getNumPartitions() == min(12, 2 * cores)  # 46 MB: one task a step before
