@@ -4,8 +4,8 @@ Every word that stands before another one has a restaurant; a token is a custome
 these restaurants share one parent, whose customers are their tables; its own base is uniform over the known words and
 one unknown word. A token's probability is the Chinese-restaurant predictive
     p(w | u) = (c_uw - d t_uw + (theta + d t_u) p(w)) / (theta + c_u),
-the same form one level up for p(w). Seatings are sampled by Gibbs steps that take a customer from its table and seat
-it anew; predictive probabilities are averaged over samples.
+the same form one level up for p(w). Seatings are sampled by Gibbs steps that seat all customers of a dish anew;
+predictive probabilities are averaged over samples.
 
 How the work is spread (all exchanged lists are sorted, delta-coded and packed):
 
@@ -17,14 +17,14 @@ How the work is spread (all exchanged lists are sorted, delta-coded and packed):
    Given the parent, restaurants of different contexts are independent; the few totals of hot ones are exchanged.
 5. The owner answers every pair of every block with its averaged probability, and the blocks add them up by document.
 
-A restaurant's seating of one dish is a list of table sizes. A sweep re-seats each customer of a dish with at most
-``STEPS`` of them, and ``STEPS`` random ones of a larger dish (a random scan leaves the posterior as it is); a seating
-starts from the expected number of tables, so large dishes need no long burn-in.
+A sweep re-seats all customers of every dish: it draws the dish's number of tables, all that the predictive needs, from its
+conditional law (``Seating``), so its cost doesn't grow with the customers of a frequent pair.
 """
 
 from __future__ import annotations
 
 import gc
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +36,9 @@ from riskspark.llm.textbuf import LOWER, distinct, mix64, pieces, ranges, span_h
 BLOCK_BYTES = 4 << 20
 #: Training and held-out tokens whose pairs one owner holds, words that one owner counts, words of one parent range.
 OWNER_TOKENS, OWNER_WORDS, PARENT_WORDS = 1 << 21, 1 << 21, 1 << 18
-STEPS, BURN_IN, SAMPLES, ROUNDS = 16, 1, 2, 2
+BURN_IN, SAMPLES, ROUNDS = 1, 2, 2
+#: Customers of a dish up to which the law of its tables is tabled; cells of a block of such laws.
+TABLED, CHUNK = 512, 1 << 18
 #: Concentrations of the context restaurants and of their parent; discounts come from the counts of counts.
 THETA, THETA_PARENT = 1.0, 1.0
 SEED = 11
@@ -282,12 +284,53 @@ def _merge(sent):
     return run
 
 
+@lru_cache(maxsize=4)
+def _table_weights(discount: float) -> np.ndarray:
+    """log S(n, t) for n <= ``TABLED`` customers at t tables: the sum over their seatings of the product of
+    (1 - d)(2 - d)...(size - 1 - d) of every table, by S(n + 1, t) = S(n, t - 1) + (n - d t) S(n, t)."""
+    out = np.full((TABLED + 1, TABLED + 1), -np.inf)
+    out[1, 1] = 0.0
+    t = np.arange(1, TABLED + 1)
+    with np.errstate(divide="ignore"):
+        for n in range(1, TABLED):
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], out[n, 1:] + np.log(np.maximum(n - discount * t, 0)))
+    return out
+
+
+def _table_moments(n: np.ndarray, rate: np.ndarray, discount: float, nodes: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, variance) of the tables of dishes with the law S(n, t) rate^t.
+
+    sum over t of S(n, t) rate^t is n! [z^n] exp(rate h(z)), h(z) = (1 - (1 - z)^d) / d; factorial moments put powers of
+    rate h(z) before it. The coefficients are contour integrals, taken with z = exp(-q) on a parabola through the saddle.
+    """
+    low, high = np.full(len(n), np.log(1e-14)), np.full(len(n), np.log(60.0))
+    for _ in range(60):
+        mid = (low + high) / 2
+        q = np.exp(mid)
+        beyond = rate * np.exp(-q) * (-np.expm1(-q)) ** (discount - 1) < n
+        low, high = np.where(beyond, low, mid), np.where(beyond, mid, high)
+    q0 = np.maximum(np.exp(high), 4.0 / n)[:, None]
+    y = (np.arange(nodes) + 0.5) / nodes * np.sqrt(40 / (n[:, None] * q0))
+    q = q0 * (1 + 1j * y) ** 2
+    a = rate[:, None] * (1 - (-np.expm1(-q)) ** discount) / discount
+    power = n[:, None] * q + a
+    f = np.exp(power - power.real.max(axis=1, keepdims=True)) * (1 + 1j * y)
+    whole, one, two = (x.real.sum(axis=1) for x in (f, f * a, f * a * a))
+    mean = np.clip(one / whole, 1, n)
+    return mean, np.maximum(two / whole + mean - mean ** 2, 0)
+
+
 class Seating:
-    """Table sizes of dishes with two customers or more, re-seated by Gibbs steps.
+    """Tables of dishes with two customers or more. A sweep re-seats all customers of every dish.
 
     ``restaurant`` numbers the restaurant of every dish, ``total`` holds the tables of each restaurant in all (other
     dishes included), ``fixed`` tells those whose total is not ours alone and stays as told, ``share`` is the parent's
     probability of each dish.
+
+    Nothing outside asks at which table a customer sits, so a sweep draws a dish's number of tables t from its
+    conditional law at once: with a Gamma(theta / d + total) variable x for the restaurant (it makes its dishes
+    independent) t has weights S(n, t) (d x share)^t. The law is tabled up to ``TABLED`` customers; of larger dishes t - 1,
+    a sum of independent 0/1 variables, is drawn from the binomial with its mean and variance.
     """
 
     def __init__(self, counts, restaurant, share, total, fixed, discount: float, theta: float, rng):
@@ -297,71 +340,51 @@ class Seating:
         weight = (theta + discount * self.total[self.of]) * self.share
         # about the expected number of tables: 1 + weight / d for many customers, all of them for few
         many = 1 + weight * (1 - self.n.astype(float) ** -discount) / discount
-        t = np.clip(np.rint(1 / np.sqrt(1.0 / self.n.astype(float) ** 2 + 1.0 / many ** 2)), 1, self.n).astype(np.int64)
-        self.begin = np.append(0, np.cumsum(t))
-        self.size = np.ones(self.begin[-1], dtype=np.int64)
-        # the k-th table to open has some 1/k of the customers beyond one a table; the first gets the rest
-        place = np.arange(len(self.size)) - np.repeat(self.begin[:-1], t)
-        harmonic = np.add.reduceat(1.0 / (place + 1), self.begin[:-1]) if len(t) else np.zeros(0)
-        self.size += np.floor(np.repeat((self.n - t) / harmonic, t) / (place + 1)).astype(np.int64)
-        if len(t):
-            self.size[self.begin[:-1]] += self.n - np.add.reduceat(self.size, self.begin[:-1])
-        self.t = t
-        self._add(t - 1)
+        self.t = np.clip(np.rint(1 / np.sqrt(1.0 / self.n.astype(float) ** 2 + 1.0 / many ** 2)), 1, self.n).astype(np.int64)
+        self._add(self.t - 1)
 
     def _add(self, change: np.ndarray) -> None:
-        delta = np.bincount(self.of[:len(change)], weights=change, minlength=len(self.total))
+        delta = np.bincount(self.of, weights=change, minlength=len(self.total))
         self.total += np.where(self.fixed, 0, delta)
 
-    def _room(self) -> None:
-        """Lay the tables out with room for those that a sweep may open."""
-        room = np.minimum(self.n, self.t + STEPS)
-        begin = np.append(0, np.cumsum(room))
-        size = np.zeros(begin[-1], dtype=np.int64)
-        used = self.size > 0
-        size[ranges(begin[:-1], self.t)] = self.size[used]
-        self.begin, self.size = begin, size
-
-    def _pick(self, weights: np.ndarray, rows: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """A table of each row, drawn in proportion to the weights; ``total`` is their sum by row."""
-        up = np.cumsum(weights)
-        first = self.begin[rows]
-        base = np.where(first > 0, up[first - 1], 0)
-        at = np.searchsorted(up, base + self.rng.random(len(rows)) * total, side="right")
-        return np.clip(at, first, self.begin[rows + 1] - 1)
+    @property
+    def begin(self) -> np.ndarray:
+        return np.append(0, np.cumsum(self.t))
+
+    @property
+    def size(self) -> np.ndarray:
+        """Customers at the tables of one seating with these numbers of tables: some 1/k at the k-th one to open."""
+        begin, t = self.begin, self.t
+        place = np.arange(begin[-1]) - np.repeat(begin[:-1], t)
+        harmonic = np.add.reduceat(1.0 / (place + 1), begin[:-1]) if len(t) else np.zeros(0)
+        size = 1 + np.floor(np.repeat((self.n - t) / harmonic, t) / (place + 1)).astype(np.int64)
+        if len(t):
+            size[begin[:-1]] += self.n - np.add.reduceat(size, begin[:-1])
+        return size
 
     def sweep(self) -> None:
-        self._room()
-        for step in range(STEPS):
-            live = int(np.searchsorted(-self.n, -step, side="left"))  # dishes with more than ``step`` customers
-            if not live:
-                break
-            rows, size = np.arange(live), self.size[:self.begin[live]]
-            left = self._pick(size, rows, self.n[:live])
-            left = np.where(size[left] > 0, left, self.begin[:live] + 0)
-            stays = size[left] > 0  # a rounding miss re-seats nobody
-            rows, left = rows[stays], left[stays]
-            size[left] -= 1
-            closed = size[left] == 0
-            t = self.t[rows] - closed
-            tables = self.n[rows] - 1 - self.d * t
-            total = self.total[self.of[rows]] - np.where(self.fixed[self.of[rows]], 0, closed)
-            fresh = (self.theta + self.d * total) * self.share[rows]
-            opens = self.rng.random(len(rows)) * (tables + fresh) < fresh
-            opens |= t == 0
-            to = self._pick(np.where(size > 0, size - self.d, 0.0), rows, tables)
-            to = np.where(size[to] > 0, to, left)
-            if opens.any():
-                free = np.cumsum(size == 0)
-                first = self.begin[rows[opens]]
-                before = np.where(first > 0, free[first - 1], 0)
-                to[opens] = np.searchsorted(free, before + 1, side="left")
-            opened = size[to] == 0
-            size[to] += 1
-            change = np.zeros(live)
-            change[rows] = opened.astype(np.int64) - closed
-            self.t[rows] = t + opened
-            self._add(change)
+        mass = self.theta + self.d * self.total
+        own = ~self.fixed
+        mass[own] = self.d * self.rng.standard_gamma(self.theta / self.d + self.total[own])
+        rate = np.maximum(mass[self.of] * self.share, 1e-300)
+        t, large = np.ones_like(self.t), int(np.searchsorted(-self.n, -TABLED, side="left"))
+        for a in range(0, large, CHUNK // 64):
+            rows = slice(a, min(large, a + CHUNK // 64))
+            mean, variance = _table_moments(self.n[rows].astype(float), rate[rows], self.d)
+            p = np.clip(1 - variance / np.maximum(mean - 1, 1e-12), 1e-6, 1.0)
+            trials = np.clip(np.rint((mean - 1) / p), 1, self.n[rows] - 1).astype(np.int64)
+            t[rows] = 1 + self.rng.binomial(trials, np.clip((mean - 1) / trials, 0, 1))
+        law, a = _table_weights(self.d), large
+        while a < len(self.n):  # dishes of about one size, widest first
+            wide = int(self.n[a])
+            rows = slice(a, min(len(self.n), a + max(1, CHUNK // wide)))
+            up = law[self.n[rows], 1:wide + 1] + np.log(rate[rows])[:, None] * np.arange(1, wide + 1)
+            up = np.cumsum(np.exp(up - up.max(axis=1, keepdims=True)), axis=1)
+            t[rows] = 1 + (up < (self.rng.random(len(up)) * up[:, -1])[:, None]).sum(axis=1)
+            a = rows.stop
+        t = np.minimum(t, self.n)
+        self._add(t - self.t)
+        self.t = t
 
     def tables(self) -> np.ndarray:
         """Tables of every dish, in the order given."""

@@ -80,6 +80,23 @@ def test_gibbs_reaches_the_law_of_tables(customers):
     assert all(u.sum() == customers for u in used) and [int((u > 0).sum()) for u in used] == seats.t.tolist()
 
 
+def test_a_sweep_seats_all_customers_of_a_large_dish_anew():
+    n, d, share, total = 3000, 0.6, 0.01, 4000.0
+    seats = py.Seating(np.full(400, n), np.zeros(400, dtype=np.int64), np.full(400, share), np.array([0.0]),
+                       np.array([True]), d, 1.0, np.random.default_rng(4))
+    seats.total[:] = total  # what the other dishes have changed to
+    seats.sweep()
+    law = np.zeros(n + 1)
+    law[1] = 1.0
+    for m in range(1, n):
+        law[1:] = law[1:] * np.maximum(m - d * np.arange(1, n + 1), 0) + np.append(0, law[1:-1]) * (1 + d * total) * share
+        law /= law.sum()
+    t = np.arange(n + 1)
+    mean = (law * t).sum()
+    assert seats.tables().mean() == pytest.approx(mean, rel=0.01)  # 16 customers of 3,000 were re-seated before
+    assert seats.tables().std() == pytest.approx(math.sqrt((law * (t - mean) ** 2).sum()), rel=0.15)
+
+
 def test_probabilities_add_up_to_one():
     rng = np.random.default_rng(5)
     v = 30
