@@ -14,8 +14,8 @@ from riskspark.session import ensure_checkpoint_dir
 NULL_ID = -(1 << 63)
 
 
-#: Bytes of rows that Spark hands a Python worker at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of rows that Spark hands a Python worker at once, and that a Parquet writer holds back.
+BATCH_BYTES, ROW_GROUP_BYTES = 2 << 20, 16 << 20
 
 
 @contextmanager
@@ -68,7 +68,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write to the shared folder as Parquet and read back: later reads neither recompute nor depend on executors."""
     path = scratch(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with small_batches(df.sparkSession):

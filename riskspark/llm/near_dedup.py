@@ -28,11 +28,13 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SLOT_BITS = 18
-STEP_BYTES = 1 << 20
+STEP_BYTES = 256 << 10
 #: Sample agreement below the threshold by more than this (over 3 standard deviations) rules a pair out.
 SLACK = 0.17
 #: Bounds of one part of a tile, in texts and in bytes, and bytes of tiles that one group of rows holds.
-PART_TEXTS, PART_BYTES, GROUP_BYTES = 512, 4 << 20, 4 << 20
+PART_TEXTS, PART_BYTES, GROUP_BYTES = 512, 2 << 20, 2 << 20
+#: Rows of a round's stars that a file holds at least, but for a few files a core.
+STAR_ROWS = 50_000
 _TABLE = 1 << 16
 _ODD = mix64(np.arange(1, 600, dtype=np.uint64)) | np.uint64(1)
 
@@ -176,7 +178,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node of each connected component, by alternating large and small stars."""
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
                  .where("u != v").distinct(), "edges")
-    state = None
+    state, tasks = None, edges.sparkSession.sparkContext.defaultParallelism
+    files = max(4 * tasks, -(-now.count() // STAR_ROWS))  # rows never grow: a few rows a file would cost a file's price
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -184,7 +187,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = stored(small, "stars")
+        now = stored(small.coalesce(files), "stars")
         seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:
             break

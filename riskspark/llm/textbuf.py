@@ -12,7 +12,7 @@ import numpy as np
 _P = 0x9E3779B97F4A7C15
 _P_INV = pow(_P, -1, 1 << 64)
 #: Text bytes that one vectorised step handles.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 512 << 10
 
 _WORD = np.zeros(256, dtype=bool)  # [^\x00-\x2F\x3A-\x60\x7B-\x7F] on lower-cased bytes
 _WORD[0x30:0x3A] = True

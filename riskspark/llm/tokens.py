@@ -15,9 +15,9 @@ import numpy as np
 
 from riskspark.llm.textbuf import distinct, groups, ranges, span_hash
 
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Distinct pieces that a worker remembers with their ids; beyond that no more are added.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 JOIN_BYTES = 1 << 16
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -46,3 +46,28 @@ def test_stages_take_clashing_columns_and_nulls(spark, edges, nothing, all_null)
             docs = stored(stage(spark, docs, SF), "test-edge")
             assert docs.columns == edges.columns
         assert P.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_step_memory_is_bounded():
+    """What a worker holds for 6 MB of texts while it hashes words and draws samples: a step's arrays, not a batch's."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from riskspark.llm import near_dedup as N
+    from riskspark.llm.textbuf import words_of
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=300)).encode() for _ in range(3000)]
+    idf = np.ones(1 << N.SLOT_BITS, dtype=np.float32)
+    tracemalloc.start()
+    for _, n, hashes in words_of(texts):
+        pass
+    hashed = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    for _, n, hashes in words_of(texts, N.STEP_BYTES):
+        N.samples(*N.shingles(n, hashes, idf), 2)
+    drawn = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hashed < 24 << 20 and drawn < 24 << 20, (hashed, drawn)
