@@ -86,3 +86,29 @@ def test_edge_rows(edges, nothing, all_null, edge_texts):
     assert [(r["class_id"], r["class_size"], r["kept"]) for r in N.near_classes(all_null).collect()] == [(None, 1, True)] * 3
     assert N.keep_one(all_null).count() == 3
     assert N.keep_one(edges).select(F.count(F.lit(1))).first()[0] < len(edge_texts)
+
+
+def test_star_rounds_write_few_files(spark, monkeypatch):
+    """A round of a few rows writes a few files a core, whatever the number of shuffle partitions."""
+    from riskspark.llm import near_dedup as N
+    files, real = [], N.stored
+
+    def watched(df, name, *by):
+        out = real(df, name, *by)
+        if name == "stars":
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(N, "stored", watched)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        chains = spark.range(0, 400).where("id % 10 < 9").selectExpr("id AS u", "id + 1 AS v")
+        found = {(r["node"], r["comp"]) for r in N.components(chains).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {(i, i // 10 * 10) for i in range(400) if i % 10}
+    assert files and max(files) <= 4 * spark.sparkContext.defaultParallelism
