@@ -216,3 +216,35 @@ def test_training_rows_use_the_cores(spark):
     rows = spark.range(0, 1000, 1, 64)
     assert _few(rows, 1000, 8).rdd.getNumPartitions() == 1
     assert _few(rows, 500_000, 8).rdd.getNumPartitions() == min(12, 2 * cores)  # 46 MB: one task a step before
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_wide_vectors_are_swept_in_few_groups(spark, monkeypatch, text_ids):
+    """Each block of queries meets a chunk of base rows once and returns k rows a query, whatever the number of tiles."""
+    from riskspark.operators import knn
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 20)).round(1)
+    x[60:] = x[:30]  # copies tie
+    ids, keys, folds = list(range(90)), (np.arange(90) % 2).tolist(), (np.arange(90) % 3).tolist()
+    rows = [(f"v{i:03d}" if text_ids else i, [float(v) for v in x[i]], keys[i], folds[i]) for i in ids]
+    df = spark.createDataFrame(rows, f"id {'string' if text_ids else 'long'}, features array<double>, key int, fold int")
+    monkeypatch.setattr(knn, "LEAST_CELLS", 100)
+    got = {}
+    for r in knn.knn_join(df.where("fold = 1"), df, 3, exclude_self=True, within="key", unlike="fold", chunk_rows=7,
+                          query_block_rows=5).collect():
+        got.setdefault(r["q_id"], []).append((r["rank"], r["nb_id"], r["dist"]))
+    assert len(got) == 30
+    for i in ids:
+        if folds[i] != 1:
+            continue
+        near = sorted((float(((x[i] - x[j]) ** 2).sum()), j) for j in ids if keys[j] == keys[i] and folds[j] != 1)[:3]
+        mine = sorted(got[rows[i][0]])
+        assert [m[1] for m in mine] == [rows[j][0] for _, j in near]
+        assert np.allclose([m[2] ** 2 for m in mine], [d for d, _ in near])
+    base = df.select("id", "features", F.lit(0).cast("long").alias("_key"), F.lit(knn.NO_FOLD).alias("_fold"))
+    monkeypatch.setattr(knn, "LEAST_CELLS", 10**9)
+    made = []
+    real = knn._running
+    monkeypatch.setattr(knn, "_running", lambda k, tile: made.append((k, tile)) or real(k, tile))
+    top = knn._swept(base.where("id = id"), base, 3, "id", "features", 20, 7, None)
+    assert made == [(3, 7)] and top.count() == 270
