@@ -146,9 +146,9 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct(values: np.ndarray, kind: str = "stable") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sorted distinct values, index of one occurrence of each, inverse); faster than ``np.unique`` on 64-bit hashes."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values, kind=kind)
     ranked = values[order]
     new = np.empty(len(values), dtype=bool)
     new[:1] = True

@@ -18,7 +18,8 @@ from riskspark.llm.textbuf import distinct, groups, ranges, span_hash
 STEP_BYTES = 1 << 20
 #: Distinct pieces that a worker remembers with their ids; beyond that no more are added.
 CACHE_PIECES = 500_000
-JOIN_BYTES = 1 << 16
+#: Distinct pieces handed to the tokenizer as one string; it takes more time a byte for longer ones.
+JOIN_BYTES = 1 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -78,7 +79,7 @@ def encoder(tokenizer_path: str) -> PieceEncoder:
 class PieceEncoder:
     """Ids of whole texts; ``tokenizer_path`` names a byte-level ``tokenizers`` JSON file.
 
-    The distinct pieces of a step are encoded joined, in strings of some 64 KB:
+    The distinct pieces of a step are encoded joined, in strings of some KB:
     a byte-level token has a known number of bytes, so running sums of the
     lengths tell where each piece's ids end.
     """
@@ -132,7 +133,7 @@ class PieceEncoder:
         inner = inner[(inner - begin >= 3) & (inner + 1 < ends_of[near])]
         starts = np.sort(np.concatenate([inner, (ends_of - sizes)[sizes > 0]]), kind="stable")
         lengths = np.diff(np.append(starts, len(buf)))
-        hashes, first, inv = distinct(span_hash(buf, starts, starts + lengths))
+        hashes, first, inv = distinct(span_hash(buf, starts, starts + lengths), "quicksort")
         if not ((lengths[first][inv] == lengths).all()
                 and (buf[ranges(starts[first][inv], lengths)] == buf).all()):
             # two different pieces share a hash: tell them apart by their bytes

@@ -24,6 +24,8 @@ from riskspark.llm.frames import pick, scratch, small_batches, stored
 
 MAGIC = b"WVMX0001"
 SHARD_TOKENS = 2_000_000
+#: Ids that a plane is split or merged by at once, so that the places in use stay in the processor's cache.
+RUN_IDS = 1 << 15
 #: Shard rows: place in the global order, number of documents and of ids, and the blob.
 SHARD_SCHEMA = "part int, seq int, n_docs long, n_ids long, blob binary"
 
@@ -51,7 +53,7 @@ class WaveletMatrix:
             bit = bit.astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
             if level + 1 < levels:
-                seq = np.concatenate([seq[np.flatnonzero(~bit)], seq[np.flatnonzero(bit)]])
+                seq = _split(seq, bit)
         return levels, planes
 
     def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -143,14 +145,34 @@ class WaveletMatrix:
         for level in reversed(range(self.levels)):
             raw = np.frombuffer(self._load(level), dtype=np.uint8)
             bit = np.unpackbits(raw, count=self.n, bitorder="little").view(bool)
-            zero, one = np.flatnonzero(~bit), np.flatnonzero(bit)
-            up = np.empty(self.n, dtype=kind)
-            up[zero] = seq[:len(zero)]
-            up[one] = seq[len(zero):] | kind(1 << (self.levels - 1 - level))
-            seq = up
+            seq = _merge(seq, bit, kind(1 << (self.levels - 1 - level)))
         return seq
 
 
+def _split(seq: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Ids without the bit, then those with it, each in order."""
+    out, zero, one = np.empty_like(seq), 0, len(bit) - int(np.count_nonzero(bit))
+    for lo in range(0, len(seq), RUN_IDS):
+        run, part = seq[lo:lo + RUN_IDS], bit[lo:lo + RUN_IDS]
+        ones = np.flatnonzero(part)
+        zeros = np.flatnonzero(~part)
+        out[zero:zero + len(zeros)], out[one:one + len(ones)] = run[zeros], run[ones]
+        zero, one = zero + len(zeros), one + len(ones)
+    return out
+
+
+def _merge(seq: np.ndarray, bit: np.ndarray, value) -> np.ndarray:
+    """The order before ``_split``, with ``value`` set in the ids that have the bit."""
+    out, zero, one = np.empty_like(seq), 0, len(bit) - int(np.count_nonzero(bit))
+    for lo in range(0, len(seq), RUN_IDS):
+        run, part = out[lo:lo + RUN_IDS], bit[lo:lo + RUN_IDS]
+        ones = np.flatnonzero(part)
+        zeros = np.flatnonzero(~part)
+        run[zeros], run[ones] = seq[zero:zero + len(zeros)], seq[one:one + len(ones)] | value
+        zero, one = zero + len(zeros), one + len(ones)
+    return out
+
+
 def pack_shard(doc_ids: list[int | None], n_ids: np.ndarray, ids: np.ndarray) -> bytes:
     """One blob: magic, sizes, (offset, length) of each section, then the sections as zstd frames."""
     z = _zstd().ZstdCompressor(level=1)

@@ -88,3 +88,23 @@ def test_corpus_occurrences(spark, frame, tokenizer):
     token = tokenizer.encode(" two", add_special_tokens=False).ids[0]
     got = sorted(r["position"] for r in W.occurrences(W.read_shards(spark, path), [token, END_ID]).collect())
     assert got == [i for i, x in enumerate(ids) if x in (token, END_ID)]
+
+
+def test_tokenizer_gets_short_strings(tokenizer):
+    """Its time a byte grows with the length of a string; ids don't depend on where pieces are joined."""
+    text = " ".join(f"w{i * 7919 % 99991}ord" for i in range(4000))
+    enc, longest = PieceEncoder(tokenizer_path()), []
+    batch = enc.batch
+    enc.batch = lambda texts, **kw: longest.append(max(map(len, texts))) or batch(texts, **kw)
+    (_, n, ids), = enc.encode([text])
+    assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and n.tolist() == [len(ids)]
+    assert max(longest) < 2048
+
+
+def test_planes_split_and_merge_in_runs(monkeypatch):
+    ids = np.random.default_rng(2).integers(0, 70_000, 1_000).astype(np.uint32)
+    whole = W.pack_shard([1], np.array([len(ids)]), ids)
+    for run in (1, 7, 999, 1_000):
+        monkeypatch.setattr(W, "RUN_IDS", run)
+        assert W.pack_shard([1], np.array([len(ids)]), ids) == whole
+        assert W.Shard(whole).matrix.decode().tolist() == ids.tolist()
