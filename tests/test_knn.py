@@ -248,3 +248,50 @@ def test_wide_vectors_are_swept_in_few_groups(spark, monkeypatch, text_ids):
     monkeypatch.setattr(knn, "_running", lambda k, tile: made.append((k, tile)) or real(k, tile))
     top = knn._swept(base.where("id = id"), base, 3, "id", "features", 20, 7, None)
     assert made == [(3, 7)] and top.count() == 270
+
+
+def _counted(monkeypatch, K):
+    """Cells of every block of distances, as they are computed."""
+    cells, plain = [], K._squared
+    monkeypatch.setattr(K, "_squared", lambda x, y: cells.append(len(x) * len(y)) or plain(x, y))
+    return cells, plain
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_tiles_of_few_dimensions_meet_near_rows_only(monkeypatch, text_ids):
+    """Two full tiles: a query is not compared with rows that lie farther along one dimension than its bound."""
+    from riskspark.operators import knn as K
+    rng = np.random.default_rng(8)
+    x, y = rng.uniform(0, 1, (1000, 3)) * [500, 10, 1], np.round(rng.uniform(0, 1, (3000, 3)) * [500, 10, 1], 1)
+    ids = rng.permutation(3000).astype(np.int64)
+    ids = ids.astype(str).astype(object) if text_ids else ids
+    none = np.full(3000, K.NO_FOLD)
+    cells, plain = _counted(monkeypatch, K)
+    r, c, d = K._nearest(x, y, ids, 5, np.full(1000, np.inf), none[:1000], none)
+    assert sum(cells) < 1000 * 3000 / 2
+    d2 = plain(x, y)
+    want = np.concatenate([np.lexsort((ids, row))[:5] for row in d2])
+    assert (c == want).all() and (r == np.repeat(np.arange(1000), 5)).all() and (d == d2[r, c]).all()
+
+
+def test_tiles_are_asked_of_near_cells_only(monkeypatch):
+    from riskspark.operators import knn as K
+    rng = np.random.default_rng(9)
+    piv, x = rng.uniform(0, 1, (900, 2)), rng.uniform(0.4, 0.6, (500, 2))
+    piv = piv[K._neighbourly(piv)]
+    reach, group, limit = rng.uniform(0, 0.03, 900), np.arange(900) // 9, rng.uniform(0, 0.02, 500)
+    limit[7], reach[3] = np.inf, -np.inf
+    cells, plain = _counted(monkeypatch, K)
+    ok = K._within_reach(x, limit, piv, reach, group, 100)
+    assert sum(cells) < 500 * 900 / 2
+    d = np.sqrt(plain(x, piv)) - reach
+    assert (ok == (np.minimum.reduceat(d, np.arange(0, 900, 9), axis=1) <= limit[:, None])).all()
+
+
+def test_nearest_pivot_has_the_exact_distance():
+    from riskspark.operators import knn as K
+    rng = np.random.default_rng(10)
+    x, piv = rng.normal(0, 1, (700, 4)) * [1e5, 10, 1, 1e-3], rng.normal(0, 1, (60, 4)) * [1e5, 10, 1, 1e-3]
+    cell, far = K._nearest_pivot(x, piv)
+    d = np.sqrt(K._squared(x, piv))
+    assert (far == d[np.arange(700), cell]).all() and np.allclose(far, d.min(axis=1))
