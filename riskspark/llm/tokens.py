@@ -1,7 +1,7 @@
 """Byte-level BPE encoding with a public tokenizer, one encode per distinct piece of text.
 
-A piece starts at a single space between two characters that are not white
-space. The tokenizer's own pre-tokenisation always breaks there, so the ids of
+A piece starts at a single space or line feed between two characters that are
+not white space. The tokenizer's own pre-tokenisation always breaks there, so the ids of
 a text are the ids of its pieces in order; each distinct piece of a step is
 encoded once by the ``tokenizers`` library and looked up after that.
 """
@@ -23,6 +23,9 @@ JOIN_BYTES = 1 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: White space before which a piece may start.
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[10, 32]] = True
 #: Lead bytes of the UTF-8 forms of non-ASCII white space (U+0085, U+00A0, U+1680, U+2000.., U+3000).
 _LEAD = np.zeros(256, dtype=bool)
 _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -30,7 +33,7 @@ _LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 def piece_starts(buf: np.ndarray) -> np.ndarray:
     """Positions at which a new piece may start (the first byte excluded)."""
-    at = np.flatnonzero(buf == 32)
+    at = np.flatnonzero(_GAP[buf])
     at = at[(at >= 3) & (at < len(buf) - 1)]
     bad = _SPACE[buf[at - 1]] | _SPACE[buf[at + 1]] | _LEAD[buf[at + 1]] | _LEAD[buf[at - 2]] | _LEAD[buf[at - 3]]
     return at[~bad]
@@ -127,7 +130,7 @@ class PieceEncoder:
         if not len(buf):
             return np.zeros(len(run), dtype=np.int64), np.zeros(0, dtype=np.uint32)
         inner = piece_starts(buf)
-        # a space within 3 bytes of a text's first byte is judged by bytes of the text before: leave it uncut
+        # white space within 3 bytes of a text's first byte is judged by bytes of the text before: leave it uncut
         near = np.searchsorted(ends_of, inner, side="right")
         begin = ends_of[near] - sizes[near]
         inner = inner[(inner - begin >= 3) & (inner + 1 < ends_of[near])]
@@ -153,7 +156,7 @@ class PieceEncoder:
         """(ids per distinct piece, all ids): remembered ones looked up, the rest encoded."""
         place = self.memory.find(hashes, buf, starts, lengths)
         new, old = np.flatnonzero(place < 0), np.flatnonzero(place >= 0)
-        new = new[np.argsort(buf[starts[new]] != 32, kind="stable")]
+        new = new[np.argsort(~_GAP[buf[starts[new]]], kind="stable")]
         old_n, old_at = self.memory.at[3, place[old]].astype(np.int64), self.memory.at[2, place[old]].astype(np.int64)
         old_ids = self.memory.ids[ranges(old_at, old_n)]
         n = np.zeros(len(starts), dtype=np.int64)

@@ -108,3 +108,14 @@ def test_planes_split_and_merge_in_runs(monkeypatch):
         monkeypatch.setattr(W, "RUN_IDS", run)
         assert W.pack_shard([1], np.array([len(ids)]), ids) == whole
         assert W.Shard(whole).matrix.decode().tolist() == ids.tolist()
+
+
+def test_pieces_end_at_line_feeds():
+    """A word before and after a line feed is no new piece: the tokenizer sees each of the few words once."""
+    enc, sent = PieceEncoder(tokenizer_path()), []
+    batch = enc.batch
+    enc.batch = lambda texts, **kw: sent.extend(texts) or batch(texts, **kw)
+    text = "\n".join(f"word{i % 30} end{i % 29}." for i in range(870))
+    (_, _, ids), = enc.encode([text])
+    assert ids.tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert sum(map(len, sent)) < 1000
