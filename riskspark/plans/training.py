@@ -66,6 +66,8 @@ def prepare(df: DataFrame, label: str, id_col: str, cat_cols=None, num_cols=None
     enc = enc.select(id_col, label, *[F.col(c).cast("double").alias(c) for c in feature_cols])
     # a row without a label or with a missing feature can train and test nothing; scoring takes it
     enc = enc.where(F.col(label).isNotNull() & complete_row(feature_cols))
+    if checkpoint:  # the cuts and the split read the rows several times: their source is read once
+        enc = cut_lineage(enc)
     split = stratified_split(enc, label, id_col, test_size, seed, with_rank=False)
     if checkpoint:
         split = cut_lineage(split)

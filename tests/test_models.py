@@ -157,3 +157,32 @@ def test_knn_bundle_with_custom_label_name(spark, signal, tmp_path):
     b.save(str(tmp_path / "knn"))
     got = Bundle.load(spark, str(tmp_path / "knn")).score(df, "id")
     assert got.where(F.col("p").isNull()).count() == 0 and got.count() == 400
+
+
+def test_prepare_reads_its_source_once(spark):
+    """Cuts and split read the encoded rows several times; what makes the rows (whole texts) runs once."""
+    from riskspark.plans.training import prepare
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        seen.add(1)
+        return float(x % 7)
+
+    df = spark.range(200).select("id", (F.col("id") % 3 == 0).cast("int").alias("label"),
+                                 costly.asNondeterministic()("id").alias("a"))
+    prepared = prepare(df, "label", "id", use_smote=False)
+    assert prepared.train.count() + prepared.test.count() == 200
+    assert seen.value == 200
+
+
+def test_document_counts_of_separators(spark, tmp_path):
+    from riskspark.plans.views import documents_view
+    texts = ["a b  c\nd", "", None, "é 日本 \n\n", "word"]
+    docs = [(i, t, "en", "web", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0.5, 0) for i in range(5)], "doc_id long, quality double, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet")
+    got = {r["id"]: (r["n_words"], r["n_lines"]) for r in documents_view(spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if t is None else (t.count(" ") + 1, t.count("\n") + 1) for i, t in enumerate(texts)}
