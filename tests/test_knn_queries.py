@@ -19,7 +19,8 @@ def tables(tmp_path_factory):
 
 
 @pytest.mark.parametrize("name,rows", [("approx_knn_customers", 4 * 45), ("knn_classify", 45), ("self_knn", 5 * 45),
-                                       ("knn_join", 5 * 45), ("self_knn_text_ids", 5 * 45)])
+                                       ("knn_join", 5 * 45), ("self_knn_text_ids", 5 * 45),
+                                       ("knn_missing", 3 * 33 + 12)])
 def test_every_row_is_a_query(spark, tables, name, rows):
     got = E.queries()[name](spark, tables).toPandas()
     con = duckdb.connect()
